@@ -223,14 +223,19 @@ def hydrophobic_moment(column, angle: float = 100.0, scale=scales.EISENBERG) ->
     return F.when(F.length(c) >= 2, moment / F.length(c)).otherwise(F.lit(0.0))
 
 
-def kmers(column, k: int = 2) -> Column:
-    """All overlapping k-mers in order; empty when the sequence is shorter than k."""
+def kmers(column, k: int = 2, long: int = 4096) -> Column:
+    """All overlapping k-mers in order; empty when the sequence is shorter than k.
+
+    ``substring`` counts characters from the start, which is fastest on peptides
+    but quadratic on very long text; those are cut from an array of letters.
+    """
     c = as_column(column)
     letters = F.split(c, "")
     starts = F.sequence(F.lit(1), F.length(c) - (k - 1))
-    return F.when(F.length(c) >= k, F.transform(starts, lambda i: F.array_join(F.slice(letters, i, k), ""))).otherwise(
-        F.array().cast("array<string>")
-    )
+    cut = F.transform(starts, lambda i: F.substring(c, i, F.lit(k)))
+    sliced = F.transform(starts, lambda i: F.array_join(F.slice(letters, i, k), ""))
+    none = F.array().cast("array<string>")
+    return F.when(F.length(c) < k, none).when(F.length(c) <= long, cut).otherwise(sliced)
 
 
 def dipeptide_index(column, weights: Mapping[str, float]) -> Column:

@@ -70,3 +70,29 @@ def value_bucket(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int
     position = F.when(width > 0, (F.col(value) - F.col("_lo")) / width).otherwise(F.lit(0.0))
     sliced = F.least(F.floor(position * buckets), F.lit(buckets - 1)).cast("int")
     return ranged.withColumn("_bucket", sliced).drop("_lo", "_hi")
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linearly interpolated quantiles, one column per entry of ``probabilities``.
+
+    Equal values collapse first; positions come from bucketed running counts, so
+    neither a group nor its set of distinct values has to fit in one task.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_totals(value_bucket(counts, value, by), by, "_bucket", [F.col(value)], {"_upto": F.col("_n")})
+    if by:
+        sized = placed.join(counts.groupBy(*by).agg(F.sum("_n").alias("_total")), list(by))
+    else:
+        sized = placed.withColumn("_total", counts.select(F.sum("_n")).scalar())
+    aggregates, results = [], []
+    for name, p in probabilities.items():
+        position = (F.col("_total") - 1) * F.lit(float(p))
+        low, high = F.floor(position), F.ceil(position)
+        aggregates += [
+            F.min(F.when(F.col("_upto") > low, F.col(value))).cast("double").alias(f"_lo_{name}"),
+            F.min(F.when(F.col("_upto") > high, F.col(value))).cast("double").alias(f"_hi_{name}"),
+            F.min(position - low).alias(f"_at_{name}"),
+        ]
+        lo, hi, at = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_at_{name}")
+        results.append((lo + (hi - lo) * at).alias(name))
+    return sized.groupBy(*by).agg(*aggregates).select(*by, *results)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..functions.hashing import hash_hex
+from .ranks import exact_quantiles
 
 
 def _ratio(condition: Column) -> Column:
@@ -69,28 +70,19 @@ def prevalence_by(df: DataFrame, by: str, labels: Sequence[str]) -> DataFrame:
 
 # Distributions
 
-def describe_by(df: DataFrame, columns: Sequence[str], by: str | None = None, exact: bool = True) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each column, overall or per group.
-
-    Exact quartiles keep one counter per distinct value.  ``exact=False`` uses
-    bounded sketches, for columns with billions of distinct values.
-    """
-    ids = [by] if by else []
-    long = unpivot(df, ids, columns)
-
-    def quantile(p: float) -> Column:
-        return F.percentile("value", p) if exact else F.percentile_approx("value", p, 10000)
-
-    return long.groupBy(*ids, "feature").agg(
+def describe_by(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
+    """count, mean, std, min, quartiles and max of each column, overall or per group."""
+    ids = [*([by] if by else []), "feature"]
+    long = unpivot(df, ids[:-1], columns)
+    moments = long.groupBy(*ids).agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        quantile(0.25).alias("q25"),
-        quantile(0.5).alias("q50"),
-        quantile(0.75).alias("q75"),
         F.max("value").alias("max"),
     )
+    quartiles = exact_quantiles(long, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ids)
+    return moments.join(quartiles, ids, "left")
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
