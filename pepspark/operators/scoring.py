@@ -133,20 +133,26 @@ def group_zscore(df: DataFrame, group: str | Sequence[str], value: str, name: st
     return df.join(moments, keys).withColumn(name, F.when(F.col("_std").isNotNull(), z)).drop("_mean", "_std")
 
 
-def visitation_bonus(
-    df: DataFrame, keys: Sequence[str] = ("run", "cluster_id"), step: str = "step", order: Sequence[str] = ("step", "rid", "pos"), slice_steps: int = 1
+def visit_numbers(
+    df: DataFrame, keys: Sequence[str] = ("run", "cluster_id"), step: str = "step", order: Sequence[str] = ("step", "rid", "pos")
 ) -> DataFrame:
-    """Add ``visit_bonus`` = 1 / sqrt(visits of the row's cluster so far, itself included).
+    """Add ``visits``: how often the row's cluster was hit so far, itself included.
 
-    Steps arrive in order, so a slice of steps is an ordered bucket: numbering
-    happens inside (run, cluster, slice) and earlier slices add an offset.
-    Rows without a cluster are not counted and get 0.
+    Steps arrive in order, so each step is an ordered bucket: numbering happens
+    inside (run, cluster, step) and earlier steps add an offset.  Rows without
+    a cluster are not counted and get NULL.
     """
-    known = df.withColumn("_slice", F.floor(F.col(step) / slice_steps)).withColumn("_one", F.col(keys[-1]).isNotNull().cast("bigint"))
-    numbered = running_totals(known.filter("_one = 1"), list(keys), "_slice", [F.col(c) for c in order], {"_visits": F.col("_one")})
-    visited = numbered.withColumn("visit_bonus", F.lit(1.0) / F.sqrt(F.col("_visits").cast("double"))).drop("_visits")
-    unknown = known.filter("_one = 0").withColumn("visit_bonus", F.lit(0.0))
-    return visited.unionByName(unknown).drop("_slice", "_one")
+    cluster = keys[-1]
+    known = df.filter(F.col(cluster).isNotNull()).withColumn("_slice", F.col(step))
+    numbered = running_totals(known, list(keys), "_slice", [F.col(c) for c in order], {"visits": F.lit(1).cast("bigint")})
+    unknown = df.filter(F.col(cluster).isNull()).withColumn("visits", F.lit(None).cast("bigint"))
+    return numbered.drop("_slice").unionByName(unknown)
+
+
+def visitation_bonus(df: DataFrame, **visits) -> DataFrame:
+    """Add ``visit_bonus`` = 1 / sqrt(visits so far); 0 for rows without a cluster."""
+    bonus = F.coalesce(F.lit(1.0) / F.sqrt(F.col("visits").cast("double")), F.lit(0.0))
+    return visit_numbers(df, **visits).withColumn("visit_bonus", bonus).drop("visits")
 
 
 def class_diversity(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.scoring import visitation_bonus
+from ..operators.scoring import visit_numbers
 
 COMPOUND_SCHEMA = "step int, sequence string, reward double, cluster_id int"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -147,17 +147,19 @@ def visitation_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         before = _exists(spark, f"{folder}/visits/batch={batch_id - 1}")
-        bonus = visitation_bonus(batch, keys=keys, order=order)
-        counts = batch.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("visits"))
+        numbered = visit_numbers(batch, keys=keys, order=order)
+        counts = batch.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         if before is not None:
-            earlier = before.select(*keys, F.col("visits").alias("_before"))
-            shifted = F.lit(1.0) / F.sqrt(F.lit(1.0) / (F.col("visit_bonus") * F.col("visit_bonus")) + F.coalesce("_before", F.lit(0)))
-            bonus = (
-                bonus.join(earlier, list(keys), "left")
-                .withColumn("visit_bonus", F.when(F.col("visit_bonus") > 0, shifted).otherwise(F.lit(0.0)))
+            earlier = before.select(*keys, F.col("n").alias("_before"))
+            numbered = (
+                numbered.join(earlier, list(keys), "left")
+                .withColumn("visits", F.col("visits") + F.coalesce("_before", F.lit(0)))
                 .drop("_before")
             )
-            counts = counts.unionByName(before.select(*keys, "visits")).groupBy(*keys).agg(F.sum("visits").alias("visits"))
+            counts = counts.unionByName(before.select(*keys, "n")).groupBy(*keys).agg(F.sum("n").alias("n"))
+        bonus = numbered.withColumn(
+            "visit_bonus", F.coalesce(F.lit(1.0) / F.sqrt(F.col("visits").cast("double")), F.lit(0.0))
+        ).drop("visits")
         bonus.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
         counts.write.mode("overwrite").parquet(f"{folder}/visits/batch={batch_id}")
 
