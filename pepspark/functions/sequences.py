@@ -36,6 +36,14 @@ def has_nonstandard(column) -> Column:
     return as_column(column).rlike(f"[^{scales.STANDARD}]")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A plain reference inside a lambda would be evaluated for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # Composition
 
 def residue_count(column, residues: str) -> Column:
@@ -161,7 +169,6 @@ def isoelectric_point(
         *[n.cast("double").alias(r) for r, n in counts.items()], first.alias("first"), last.alias("last")
     )
 
-    # One-element arrays bind the counts once per row instead of once per halving.
     def solve(k: Column) -> Column:
         def halve(bounds: Column, _step: Column) -> Column:
             middle = (bounds["lo"] + bounds["hi"]) / F.lit(2.0)
@@ -178,7 +185,7 @@ def isoelectric_point(
             lambda b: (b["lo"] + b["hi"]) / F.lit(2.0),
         )
 
-    return F.element_at(F.transform(F.array(known), solve), 1)
+    return let(known, solve)
 
 
 def charge_density(column, ph: float = 7.0, pkas=scales.HANDBOOK, amide: bool = True) -> Column:
@@ -230,10 +237,9 @@ def kmers(column, k: int = 2, long: int = 4096) -> Column:
     but quadratic on very long text; those are cut from an array of letters.
     """
     c = as_column(column)
-    letters = F.split(c, "")
     starts = F.sequence(F.lit(1), F.length(c) - (k - 1))
     cut = F.transform(starts, lambda i: F.substring(c, i, F.lit(k)))
-    sliced = F.transform(starts, lambda i: F.array_join(F.slice(letters, i, k), ""))
+    sliced = let(F.split(c, ""), lambda letters: F.transform(starts, lambda i: F.array_join(F.slice(letters, i, k), "")))
     none = F.array().cast("array<string>")
     return F.when(F.length(c) < k, none).when(F.length(c) <= long, cut).otherwise(sliced)
 
@@ -241,13 +247,18 @@ def kmers(column, k: int = 2, long: int = 4096) -> Column:
 def dipeptide_index(column, weights: Mapping[str, float]) -> Column:
     """(10 / L) * sum of dipeptide weights; the instability index under the published table."""
     c = as_column(column)
-    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
-    total = F.aggregate(
-        kmers(c, 2),
-        F.lit(0.0),
-        lambda s, pair: s + F.coalesce(F.try_element_at(table, pair), F.lit(0.0)),
-    )
-    return share(F.lit(10.0) * total, c)
+    letters = [chr(code) for code in range(ord("A"), ord("Z") + 1)]
+    table = F.array(*[F.lit(float(weights.get(a + b, 0.0))) for a in letters for b in letters])
+
+    def code(letter: Column) -> Column:
+        value = F.ascii(letter) - 65
+        return F.when(value.between(0, 25), value).otherwise(F.lit(-1000))
+
+    def total(codes: Column) -> Column:
+        pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: a * 26 + b)
+        return F.aggregate(pairs, F.lit(0.0), lambda s, at: s + F.coalesce(F.get(table, at), F.lit(0.0)))
+
+    return share(F.lit(10.0) * let(F.transform(F.split(c, ""), code), total), c)
 
 
 def hamming_similarity(left, right) -> Column:
@@ -263,25 +274,47 @@ def hamming_similarity(left, right) -> Column:
 
 
 def kmer_counts(column, k: int = 2) -> Column:
-    """Sparse k-mer count vector as a map."""
-    found = kmers(column, k)
-    distinct = F.array_distinct(found)
-    counts = F.transform(distinct, lambda d: F.size(F.filter(found, lambda x: x == d)))
-    return F.map_from_arrays(distinct, counts)
+    """Sparse k-mer count vector as (sorted ``keys``, ``counts``).
+
+    In the sorted k-mers, the first position of a key minus that of the next
+    key is its count, so counting needs no nested pass.
+    """
+
+    def runs(found: Column) -> Column:
+        return let(
+            F.array_distinct(found),
+            lambda keys: let(
+                F.concat(
+                    F.transform(keys, lambda key: F.array_position(found, key)),
+                    F.array((F.size(found) + 1).cast("bigint")),
+                ),
+                lambda starts: F.struct(
+                    keys.alias("keys"),
+                    F.zip_with(
+                        F.slice(starts, F.lit(1), F.size(keys)), F.slice(starts, F.lit(2), F.size(keys)), lambda a, b: b - a
+                    ).alias("counts"),
+                ),
+            ),
+        )
+
+    return let(F.array_sort(kmers(column, k)), runs)
 
 
 def dipeptide_cosine(left, right, k: int = 2) -> Column:
     """Cosine of two k-mer count vectors; 0 when either has none."""
-    a, b = kmer_counts(left, k), kmer_counts(right, k)
 
-    def norm(m: Column) -> Column:
-        squares = F.aggregate(F.map_values(m), F.lit(0), lambda s, n: s + n * n)
-        return F.sqrt(squares.cast("double"))
+    def norm(v: Column) -> Column:
+        return F.sqrt(F.aggregate(v["counts"], F.lit(0).cast("bigint"), lambda s, n: s + n * n).cast("double"))
 
-    dot = F.aggregate(
-        F.map_entries(a), F.lit(0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))
-    )
-    return F.coalesce(F.try_divide(dot.cast("double"), norm(a) * norm(b)), F.lit(0.0))
+    def cosine(a: Column, b: Column) -> Column:
+        def product(key: Column) -> Column:
+            x = F.element_at(a["counts"], F.array_position(a["keys"], key).cast("int"))
+            return x * F.element_at(b["counts"], F.array_position(b["keys"], key).cast("int"))
+
+        dot = F.aggregate(F.array_intersect(a["keys"], b["keys"]), F.lit(0).cast("bigint"), lambda s, key: s + product(key))
+        return F.coalesce(F.try_divide(dot.cast("double"), norm(a) * norm(b)), F.lit(0.0))
+
+    return let(kmer_counts(left, k), lambda a: let(kmer_counts(right, k), lambda b: cosine(a, b)))
 
 
 # Shaping terms

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_hex, hash_unit, hex_int
+from ..functions.sequences import let
 from .ranks import hash_ordinal, running_totals
 
 # Hex cut points of an 80 / 10 / 10 split.
@@ -230,17 +231,22 @@ def poisson_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42,
     gauss = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(6.283185307179586) * v)
     large = F.greatest(F.round(F.col("_mean") + F.sqrt("_mean") * gauss), F.lit(0.0)).cast("bigint")
     # Inverse of the cumulative distribution, walked term by term.
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.lit(limit), (F.col("_mean") * 2 + 40).cast("int"))),
-        F.struct(
-            F.exp(-F.col("_mean")).alias("term"), F.exp(-F.col("_mean")).alias("upto"), F.lit(0).cast("bigint").alias("k")
+    start = F.struct(
+        F.exp(-F.col("_mean")).alias("term"), F.exp(-F.col("_mean")).alias("upto"), F.lit(0).cast("bigint").alias("k")
+    )
+    steps = F.sequence(F.lit(1), F.least(F.lit(limit), (F.col("_mean") * 2 + 40).cast("int")))
+    walked = let(
+        u,
+        lambda point: F.aggregate(
+            steps,
+            start,
+            lambda s, i: F.struct(
+                (s["term"] * F.col("_mean") / i).alias("term"),
+                (s["upto"] + s["term"] * F.col("_mean") / i).alias("upto"),
+                F.when(point >= s["upto"], s["k"] + 1).otherwise(s["k"]).alias("k"),
+            ),
+            lambda s: s["k"],
         ),
-        lambda s, i: F.struct(
-            (s["term"] * F.col("_mean") / i).alias("term"),
-            (s["upto"] + s["term"] * F.col("_mean") / i).alias("upto"),
-            F.when(u >= s["upto"], s["k"] + 1).otherwise(s["k"]).alias("k"),
-        ),
-        lambda s: s["k"],
     )
     count = F.when(F.col("_mean") > limit / 2, large).otherwise(walked)
     return ranged.withColumn("n_draws", count).drop("_total", "_mean")

@@ -16,17 +16,21 @@ ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison; adding zero folds -0.0 into 0.0."""
+    """Doubles rounded for comparison.
+
+    The small shift keeps exact decimal halves from rounding either way with
+    the order of summation; adding zero folds -0.0 into 0.0.
+    """
     return df.select(
         *[
-            (F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c)
+            (F.round(F.col(c) + F.lit(1e-9), digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c)
             for c, kind in df.dtypes
         ]
     )
 
 
 def R(expression: str) -> str:
-    return f"(round(({expression})::double, 6) + 0.0::double)"
+    return f"(round(({expression})::double + 1e-9::double, 6) + 0.0::double)"
 
 
 def with_views(body: str) -> str:
