@@ -14,7 +14,25 @@ from .hashing import hash_hex
 WHITESPACE = " \t\n\r\f\x0b"
 
 
-def as_column(column: Column | str) -> Column:
+class Counted:
+    """A sequence column whose residue counts are already columns.
+
+    Composition functions accept it in place of the sequence, so a table of
+    many descriptors counts each residue once.
+    """
+
+    def __init__(self, column: str, prefix: str = "_n_"):
+        self.column = column
+        self.counts = {r: F.col(prefix + r) for r in scales.STANDARD}
+
+    @staticmethod
+    def columns(column: str, prefix: str = "_n_") -> dict[str, Column]:
+        return {prefix + r: residue_count(column, r) for r in scales.STANDARD}
+
+
+def as_column(column: Column | str | Counted) -> Column:
+    if isinstance(column, Counted):
+        return F.col(column.column)
     return F.col(column) if isinstance(column, str) else column
 
 
@@ -48,6 +66,8 @@ def let(value: Column, body) -> Column:
 
 def residue_count(column, residues: str) -> Column:
     """How many characters belong to the set ``residues``."""
+    if isinstance(column, Counted):
+        return sum((column.counts[r] for r in residues[1:]), column.counts[residues[0]])
     c = as_column(column)
     return F.length(c) - F.length(F.translate(c, residues, ""))
 
@@ -147,8 +167,8 @@ def _charge(counts: Mapping[str, Column], first_pk, last_pk, ph: Column, pkas, a
 
 def _ionizable(column, pkas):
     c = as_column(column)
-    residues = [r for side in ("positive", "negative") for r in pkas[side] if not r.endswith("term")]
-    counts = {r: residue_count(c, r) for r in residues}
+    charged = [r for side in ("positive", "negative") for r in pkas[side] if not r.endswith("term")]
+    counts = {r: residue_count(column, r) for r in charged}
     first = _terminal_pk(F.substring(c, 1, 1), pkas["positive"]["Nterm"], pkas["first"])
     last = _terminal_pk(F.substring(c, -1, 1), pkas["negative"]["Cterm"], pkas["last"])
     return counts, first, last
@@ -161,7 +181,7 @@ def charge_at_ph(column, ph: float = 7.0, pkas=scales.BJELLQVIST, amide: bool =
 
 
 def isoelectric_point(
-    column, pkas=scales.BJELLQVIST, amide: bool = False, low: float = 4.05, high: float = 12.0, steps: int = 40
+    column, pkas=scales.BJELLQVIST, amide: bool = False, low: float = 4.05, high: float = 12.0, steps: int = 24
 ) -> Column:
     """The pH of zero charge inside [low, high], by a fixed number of halvings."""
     counts, first, last = _ionizable(column, pkas)
@@ -189,8 +209,7 @@ def isoelectric_point(
 
 
 def charge_density(column, ph: float = 7.0, pkas=scales.HANDBOOK, amide: bool = True) -> Column:
-    c = as_column(column)
-    return F.try_divide(charge_at_ph(c, ph, pkas, amide), molecular_weight(c, amide))
+    return F.try_divide(charge_at_ph(column, ph, pkas, amide), molecular_weight(column, amide))
 
 
 # Position-dependent functions

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_hex
+from ..functions.sequences import let
 
 
 def running_totals(
@@ -58,18 +59,18 @@ def hash_ordinal(
 
 def value_bucket(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
     """Add ``_bucket``: the equal-width slice of ``value`` within its group's range."""
+    def slice_of(lo: Column, hi: Column) -> Column:
+        width = hi - lo
+        position = F.when(width > 0, (F.col(value) - lo) / width).otherwise(F.lit(0.0))
+        return F.least(F.floor(position * buckets), F.lit(buckets - 1)).cast("int")
+
     if by:
         ranges = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
         ranged = df.join(ranges, list(by))
-    else:
-        bounds = df.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-        ranged = df.withColumn("_range", bounds).select(
-            *df.columns, F.col("_range.lo").alias("_lo"), F.col("_range.hi").alias("_hi")
-        )
-    width = F.col("_hi") - F.col("_lo")
-    position = F.when(width > 0, (F.col(value) - F.col("_lo")) / width).otherwise(F.lit(0.0))
-    sliced = F.least(F.floor(position * buckets), F.lit(buckets - 1)).cast("int")
-    return ranged.withColumn("_bucket", sliced).drop("_lo", "_hi")
+        return ranged.withColumn("_bucket", slice_of(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    # The whole-table range is a one-row subquery, referenced once.
+    bounds = df.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    return df.withColumn("_bucket", let(bounds, lambda r: slice_of(r["lo"], r["hi"])))
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_hex, hash_unit, hex_int
@@ -202,11 +202,13 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42
         hashed, [], "_bucket", [F.col("_hash"), F.col(key)], {"_upto": F.col(weight).cast("double")}
     )
     total = df.select(F.sum(F.col(weight).cast("double"))).scalar()
-    scaled = summed.withColumn("_total", total).select(
-        *df.columns,
-        (F.lit(float(n)) * (F.col("_upto") - F.col(weight)) / F.col("_total")).alias("_from"),
-        (F.lit(float(n)) * F.col("_upto") / F.col("_total")).alias("_to"),
+    span = let(
+        total,
+        lambda t: F.struct(
+            (F.lit(float(n)) * (F.col("_upto") - F.col(weight)) / t).alias("_from"), (F.lit(float(n)) * F.col("_upto") / t).alias("_to")
+        ),
     )
+    scaled = summed.select(*df.columns, span.alias("_span")).select(*df.columns, "_span.*")
     cells = scaled.withColumn(
         "_cell", F.explode(F.sequence(F.floor("_from").cast("bigint"), F.floor("_to").cast("bigint")))
     )
@@ -226,27 +228,26 @@ def poisson_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42,
     approximation, which at that size differs from Poisson by less than noise.
     """
     total = df.select(F.sum(F.col(weight).cast("double"))).scalar()
-    ranged = df.withColumn("_total", total).withColumn("_mean", F.lit(float(n)) * F.col(weight) / F.col("_total"))
     u, v = hash_unit(f"{seed}:u", key), hash_unit(f"{seed}:v", key)
-    gauss = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(6.283185307179586) * v)
-    large = F.greatest(F.round(F.col("_mean") + F.sqrt("_mean") * gauss), F.lit(0.0)).cast("bigint")
-    # Inverse of the cumulative distribution, walked term by term.
-    start = F.struct(
-        F.exp(-F.col("_mean")).alias("term"), F.exp(-F.col("_mean")).alias("upto"), F.lit(0).cast("bigint").alias("k")
-    )
-    steps = F.sequence(F.lit(1), F.least(F.lit(limit), (F.col("_mean") * 2 + 40).cast("int")))
-    walked = let(
-        u,
-        lambda point: F.aggregate(
-            steps,
-            start,
-            lambda s, i: F.struct(
-                (s["term"] * F.col("_mean") / i).alias("term"),
-                (s["upto"] + s["term"] * F.col("_mean") / i).alias("upto"),
-                F.when(point >= s["upto"], s["k"] + 1).otherwise(s["k"]).alias("k"),
-            ),
-            lambda s: s["k"],
-        ),
+
+    def approximated(mean: Column) -> Column:
+        gauss = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(6.283185307179586) * v)
+        return F.greatest(F.round(mean + F.sqrt(mean) * gauss), F.lit(0.0)).cast("bigint")
+
+    def walked(mean: Column) -> Column:
+        """Inverse of the cumulative distribution, term by term."""
+        start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("upto"), F.lit(0).cast("bigint").alias("k"))
+
+        def step(s: Column, i: Column, point: Column) -> Column:
+            term = s["term"] * mean / i
+            return F.struct(
+                term.alias("term"), (s["upto"] + term).alias("upto"), F.when(point >= s["upto"], s["k"] + 1).otherwise(s["k"]).alias("k")
+            )
+
+        steps = F.sequence(F.lit(1), F.least(F.lit(limit), (mean * 2 + 40).cast("int")))
+        return let(u, lambda point: F.aggregate(steps, start, lambda s, i: step(s, i, point), lambda s: s["k"]))
+
+    mean = F.lit(float(n)) * F.col(weight) / total
+    return df.withColumn(
+        "n_draws", let(mean, lambda m: F.when(m > limit / 2, approximated(m)).otherwise(walked(m)))
     )
-    count = F.when(F.col("_mean") > limit / 2, large).otherwise(walked)
-    return ranged.withColumn("n_draws", count).drop("_total", "_mean")

@@ -17,9 +17,8 @@ from .ranks import running_totals
 
 # Descriptors
 
-def descriptor_columns(column: str = "sequence", instability: Mapping[str, float] | None = None) -> dict[str, Column]:
-    """Every descriptor as an expression; selecting a few computes only those."""
-    c = F.col(column)
+def descriptor_columns(c, text: str = "sequence", instability: Mapping[str, float] | None = None) -> dict[str, Column]:
+    """Every descriptor of ``c`` (a sequence column or its counts) by name."""
     columns = {f"frac_{residue}": sq.residue_fraction(c, residue) for residue in scales.STANDARD}
     columns |= {
         "molecular_weight": sq.molecular_weight(c),
@@ -28,7 +27,7 @@ def descriptor_columns(column: str = "sequence", instability: Mapping[str, float
         "gravy": sq.gravy(c),
         **sq.ss_fractions(c),
         "charge_at_pH7": sq.charge_at_ph(c, 7.0),
-        "modlamp_Length": F.length(c).cast("double"),
+        "modlamp_Length": F.length(text).cast("double"),
         "modlamp_MW": sq.molecular_weight(c, amide=True),
         "modlamp_Charge": sq.charge_at_ph(c, 7.0, scales.HANDBOOK, amide=True),
         "modlamp_ChargeDensity": sq.charge_density(c),
@@ -39,20 +38,33 @@ def descriptor_columns(column: str = "sequence", instability: Mapping[str, float
         "modlamp_HydrophRatio": sq.hydroph_ratio_lib(c),
     }
     if instability:
-        columns["instability_index"] = sq.dipeptide_index(c, instability)
+        columns["instability_index"] = sq.dipeptide_index(text, instability)
         columns["modlamp_InstabilityInd"] = columns["instability_index"]
     return columns
 
 
 def featurize(df: DataFrame, column: str = "sequence", instability: Mapping[str, float] | None = None) -> DataFrame:
-    """Descriptors of valid rows; invalid rows keep NULL descriptors and a ``reject_reason``."""
+    """Descriptors of valid rows; invalid rows keep NULL descriptors and a ``reject_reason``.
+
+    A first projection counts residues, a second combines the counts, so each
+    descriptor is short arithmetic and unused ones are pruned with their counts.
+    """
     text = F.coalesce(sq.normalized(column), F.lit(""))
-    prepared = df.withColumn(column, text).withColumn("length", F.length(column))
-    valid = (F.col("length") > 0) & ~sq.has_nonstandard(column)
-    features = {n: F.when(valid, e) for n, e in descriptor_columns(column, instability).items()}
-    return prepared.withColumns(
-        {"reject_reason": F.when(valid, F.lit("")).otherwise(F.lit("invalid_chars")), **features}
+    valid = F.col("reject_reason") == ""
+    checked = (
+        df.withColumn(column, text)
+        .withColumn("length", F.length(column))
+        .withColumn(
+            "reject_reason",
+            F.when((F.col("length") > 0) & ~sq.has_nonstandard(column), F.lit("")).otherwise(F.lit("invalid_chars")),
+        )
     )
+    counts = {n: F.when(valid, e) for n, e in sq.Counted.columns(column).items()}
+    features = descriptor_columns(sq.Counted(column), column, instability)
+    for name in ("modlamp_Length", "instability_index", "modlamp_InstabilityInd"):
+        if name in features:
+            features[name] = F.when(valid, features[name])
+    return checked.withColumns(counts).select(*checked.columns, *[e.alias(n) for n, e in features.items()])
 
 
 # Composite score

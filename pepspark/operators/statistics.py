@@ -10,7 +10,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import correlation_tier
+from ..functions.sequences import correlation_tier, let
 from .ranks import exact_quantiles
 from .summaries import best_match, unpivot
 
@@ -30,13 +30,16 @@ def mark_outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> Data
             *[F.max(F.when(F.col("feature") == c, F.struct("lower", "upper"))).alias(c) for c in columns]
         ).alias("f")
     )
-    fenced = df.withColumn("_f", wide.scalar())
 
-    def outside(c: str) -> Column:
-        value = F.col(c).cast("double")
-        return F.coalesce((value < F.col("_f")[c]["lower"]) | (value > F.col("_f")[c]["upper"]), F.lit(False))
+    def flags(f: Column) -> Column:
+        def outside(c: str) -> Column:
+            value = F.col(c).cast("double")
+            return F.coalesce((value < f[c]["lower"]) | (value > f[c]["upper"]), F.lit(False))
 
-    flagged = fenced.select(*df.columns, *[outside(c).alias(f"out_{c}") for c in columns])
+        return F.struct(*[outside(c).alias(f"out_{c}") for c in columns])
+
+    # The subquery is referenced once; its flags then unfold into columns.
+    flagged = df.withColumn("_o", let(wide.scalar(), flags)).select(*df.columns, "_o.*")
     combined = F.lit(False)
     for c in columns:
         combined = combined | F.col(f"out_{c}")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
+from ..functions.sequences import let
 from ..functions.hashing import hash_hex
 from .ranks import exact_quantiles
 
@@ -111,19 +112,21 @@ def histogram(df: DataFrame, column: str, bins: int, by: str) -> DataFrame:
     """Equal-width bins over the whole range; counts and density per group."""
     value = F.col(column).cast("double")
     bounds = df.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    placed = df.select(by, value.alias("_v")).withColumn("_range", bounds).filter("_v is not null")
-    width = (F.col("_range.hi") - F.col("_range.lo")) / F.lit(float(bins))
-    index = F.when(width > 0, F.floor((F.col("_v") - F.col("_range.lo")) / width)).otherwise(F.lit(0))
-    counted = placed.groupBy(by, F.least(index, F.lit(bins - 1)).cast("int").alias("bin"), "_range").agg(
-        F.count(F.lit(1)).alias("n_rows")
-    )
+
+    def place(r: Column) -> Column:
+        width = (r["hi"] - r["lo"]) / F.lit(float(bins))
+        index = F.when(width > 0, F.least(F.floor((F.col("_v") - r["lo"]) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+        return F.struct(index.cast("int").alias("bin"), r["lo"].alias("lo"), width.alias("width"))
+
+    placed = df.select(by, value.alias("_v")).filter("_v is not null").select(by, let(bounds, place).alias("_b"))
+    counted = placed.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("n_rows"))
     total = F.sum("n_rows").over(Window.partitionBy(by))
     return counted.select(
         by,
-        "bin",
-        (F.col("_range.lo") + F.col("bin") * width).alias("bin_from"),
+        "_b.bin",
+        (F.col("_b.lo") + F.col("_b.bin") * F.col("_b.width")).alias("bin_from"),
         "n_rows",
-        F.try_divide(F.col("n_rows").cast("double"), total * width).alias("density"),
+        F.try_divide(F.col("n_rows").cast("double"), total * F.col("_b.width")).alias("density"),
     )
 
 
@@ -258,7 +261,7 @@ def run_summary(df: DataFrame, by: str = "step", terms: Sequence[str] = ("reward
         n.alias("n_samples"),
         (F.count(F.lit(1)) / n).alias("unique_ratio"),
         (total / n).alias("mean_length"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std_length"),
+        F.sqrt(F.when(variance < 0, F.lit(0.0)).otherwise(variance)).alias("std_length"),
         F.min(size).alias("min_length"),
         F.max(size).alias("max_length"),
         *[(F.sum(f"sum_{t}") / n).alias(f"mean_{t}") for t in terms],

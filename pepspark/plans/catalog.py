@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from . import curation_queries, descriptor_queries, sampling_queries  # noqa: F401
+from . import curation_queries, descriptor_queries, metric_queries, sampling_queries, similarity_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -171,8 +171,8 @@ IONIZABLE = "KRHDECY"
     f"""with recursive base as (select id, sequence, {', '.join(f'{count(r)} as n_{r}' for r in IONIZABLE)} from peptides),
       halving as (select *, 4.05::double as lo, 12.0::double as hi, 0 as i from base
         union all select id, sequence, {', '.join(f'n_{r}' for r in IONIZABLE)}, case when q > 0 then mid else lo end, case when q > 0 then hi else mid end, i + 1
-        from (select *, {charge_sql('mid', scales.BJELLQVIST, False, lambda r: f'n_{r}')} as q from (select *, (lo + hi) / 2 as mid from halving where i < 40)))
-      select id, (round((lo + hi) / 2, 5) + 0.0::double) as pi from halving where i = 40""",
+        from (select *, {charge_sql('mid', scales.BJELLQVIST, False, lambda r: f'n_{r}')} as q from (select *, (lo + hi) / 2 as mid from halving where i < 24)))
+      select id, (round((lo + hi) / 2, 5) + 0.0::double) as pi from halving where i = 24""",
 )
 def _(spark, path):
     return p(spark, path).select("id", F.round(sq.isoelectric_point("sequence"), 5).alias("pi"))

@@ -136,7 +136,7 @@ def _(spark, path):
 
 @query(
     "w8_group_zscore",
-    f"""select run, step, rid, {R('(reward - avg(reward) over w) / greatest(stddev_samp(reward) over w, 1e-6::double)')} as advantage
+    f"""select run, step, rid, {R('case when count(*) over w > 1 then (reward - avg(reward) over w) / greatest(stddev_samp(reward) over w, 1e-6::double) end')} as advantage
         from compounds window w as (partition by run, step)""",
 )
 def _(spark, path):
@@ -180,8 +180,8 @@ def _(spark, path):
     "w14_weighted_sample",
     """with ordered as (select event_id, value, sum(value) over (order by md5('42:order:' || event_id), event_id) as upto, sum(value) over () as total from events),
       spans as (select event_id, 5000 * (upto - value) / total as a, 5000 * upto / total as b from ordered),
-      draws as (select i as draw, ('0x' || substr(md5('42:draw:' || i), 1, 8))::bigint / 4294967296.0::double * 5000 as at from range(5000) t(i))
-      select draw, event_id from draws join spans on at >= a and at < b""",
+      draws as (select i as draw, ('0x' || substr(md5('42:draw:' || i), 1, 8))::bigint / 4294967296.0::double * 5000 as x from range(5000) t(i))
+      select draw, event_id from draws join spans on x >= a and x < b""",
 )
 def _(spark, path):
     e = views.table(spark, path, "events").select("event_id", "value")
@@ -198,12 +198,12 @@ def _(spark, path):
     "w15_temper_weights",
     f"""with d as (select distinct source_db, sequence from peptides), n as (select source_db, count(*) as n from d group by 1),
       p as (select source_db, n, power(n / (select sum(n) from n)::double, 0.5) as q from n)
-      select source_db, sequence, {R('q / (select sum(q) from p)')} as group_weight, (round(q / (select sum(q) from p) / n, 12) + 0.0::double) as sample_weight
+      select source_db, sequence, {R('q / (select sum(q) from p)')} as group_weight, {R('1e6 * q / (select sum(q) from p) / n')} as weight_per_million
       from d join p using (source_db)""",
 )
 def _(spark, path):
     weighted = sa.temper_weights(views.peptides(spark, path), "source_db")
-    return weighted.select("source_db", "sequence", "group_weight", "sample_weight")
+    return weighted.select("source_db", "sequence", "group_weight", (F.lit(1e6) * F.col("sample_weight")).alias("weight_per_million"))
 
 
 @query(
