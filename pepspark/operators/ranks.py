@@ -15,7 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_hex
-from ..functions.sequences import let
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of ``row``, an ungrouped aggregate, to every row.
+
+    Such an aggregate has exactly one row by construction, which is what makes
+    the broadcast safe at any table size.
+    """
+    return df.join(F.broadcast(row))
 
 
 def running_totals(
@@ -68,9 +76,8 @@ def value_bucket(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int
         ranges = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
         ranged = df.join(ranges, list(by))
         return ranged.withColumn("_bucket", slice_of(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    # The whole-table range is a one-row subquery, referenced once.
-    bounds = df.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    return df.withColumn("_bucket", let(bounds, lambda r: slice_of(r["lo"], r["hi"])))
+    bounds = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    return attach_row(df, bounds).withColumn("_bucket", slice_of(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -84,7 +91,7 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float
     if by:
         sized = placed.join(counts.groupBy(*by).agg(F.sum("_n").alias("_total")), list(by))
     else:
-        sized = placed.withColumn("_total", counts.select(F.sum("_n")).scalar())
+        sized = attach_row(placed, counts.agg(F.sum("_n").alias("_total")))
     aggregates, results = [], []
     for name, p in probabilities.items():
         position = (F.col("_total") - 1) * F.lit(float(p))

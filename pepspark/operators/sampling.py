@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_hex, hash_unit, hex_int
 from ..functions.sequences import let
-from .ranks import hash_ordinal, running_totals
+from .ranks import attach_row, hash_ordinal, running_totals
 
 # Hex cut points of an 80 / 10 / 10 split.
 TRAIN_BELOW = "cccccccc"
@@ -201,14 +201,12 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42
     summed = running_totals(
         hashed, [], "_bucket", [F.col("_hash"), F.col(key)], {"_upto": F.col(weight).cast("double")}
     )
-    total = df.select(F.sum(F.col(weight).cast("double"))).scalar()
-    span = let(
-        total,
-        lambda t: F.struct(
-            (F.lit(float(n)) * (F.col("_upto") - F.col(weight)) / t).alias("_from"), (F.lit(float(n)) * F.col("_upto") / t).alias("_to")
-        ),
+    total = df.agg(F.sum(F.col(weight).cast("double")).alias("_total"))
+    scaled = attach_row(summed, total).select(
+        *df.columns,
+        (F.lit(float(n)) * (F.col("_upto") - F.col(weight)) / F.col("_total")).alias("_from"),
+        (F.lit(float(n)) * F.col("_upto") / F.col("_total")).alias("_to"),
     )
-    scaled = summed.select(*df.columns, span.alias("_span")).select(*df.columns, "_span.*")
     cells = scaled.withColumn(
         "_cell", F.explode(F.sequence(F.floor("_from").cast("bigint"), F.floor("_to").cast("bigint")))
     )
@@ -227,7 +225,7 @@ def poisson_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42,
     The size is n on average.  Means above ``limit`` / 2 use the rounded normal
     approximation, which at that size differs from Poisson by less than noise.
     """
-    total = df.select(F.sum(F.col(weight).cast("double"))).scalar()
+    total = df.agg(F.sum(F.col(weight).cast("double")).alias("_total"))
     u, v = hash_unit(f"{seed}:u", key), hash_unit(f"{seed}:v", key)
 
     def approximated(mean: Column) -> Column:
@@ -247,7 +245,6 @@ def poisson_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42,
         steps = F.sequence(F.lit(1), F.least(F.lit(limit), (mean * 2 + 40).cast("int")))
         return let(u, lambda point: F.aggregate(steps, start, lambda s, i: step(s, i, point), lambda s: s["k"]))
 
-    mean = F.lit(float(n)) * F.col(weight) / total
-    return df.withColumn(
-        "n_draws", let(mean, lambda m: F.when(m > limit / 2, approximated(m)).otherwise(walked(m)))
-    )
+    mean = F.lit(float(n)) * F.col(weight) / F.col("_total")
+    count = let(mean, lambda m: F.when(m > limit / 2, approximated(m)).otherwise(walked(m)))
+    return attach_row(df, total).withColumn("n_draws", count).drop("_total")

@@ -53,6 +53,14 @@ def _distinct_members(df: DataFrame, group: str, column: str) -> DataFrame:
     return df.groupBy(group, F.col(column).alias("_seq")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_sid", F.md5("_seq"))
 
 
+def _block_at(width: int):
+    def block(i: Column) -> Column:
+        text = F.substring(F.col("_seq"), i * width + 1, F.lit(width))
+        return F.struct(F.lit(width).alias("width"), i.cast("int").alias("at"), text.alias("block"))
+
+    return block
+
+
 def _similar_by_hamming(members: DataFrame, group: str, threshold: float) -> DataFrame:
     """(group, id, similarity) for pairs above the threshold, by the pigeonhole principle.
 
@@ -76,50 +84,66 @@ def _similar_by_hamming(members: DataFrame, group: str, threshold: float) -> Dat
             usable = usable & (size * F.lit(threshold) < wider)
         count = F.floor(size / width).cast("int")
         starts = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
-        blocks = F.transform(
-            starts,
-            lambda i, w=width: F.struct(
-                F.lit(w).alias("width"), i.cast("int").alias("at"), F.substring(F.col("_seq"), i * w + 1, F.lit(w)).alias("block")
-            ),
-        )
+        blocks = F.transform(starts, _block_at(width))
         rows.append(F.when(usable, blocks).otherwise(F.array().cast("array<struct<width:int,at:int,block:string>>")))
-    keyed = members.select(group, "_sid", "_seq", F.explode(F.concat(*rows)).alias("_b")).select(
-        group, "_sid", "_seq", "_b.width", "_b.at", "_b.block"
+    keyed = members.select(group, "_sid", size.alias("_len"), F.explode(F.concat(*rows)).alias("_b")).select(
+        group, "_sid", "_len", "_b.width", "_b.at", "_b.block"
     )
-    other = keyed.select(group, F.col("_sid").alias("_sid2"), F.col("_seq").alias("_seq2"), "width", "at", "block")
-    short = F.least(F.length("_seq"), F.length("_seq2"))
-    long = F.greatest(F.length("_seq"), F.length("_seq2"))
-    pairs = keyed.join(other, [group, "width", "at", "block"]).filter(
-        (F.col("_sid") < F.col("_sid2")) & (short > F.lit(threshold - 1e-9) * long)
+    other = keyed.select(group, F.col("_sid").alias("_sid2"), F.col("_len").alias("_len2"), "width", "at", "block")
+    short, long = F.least("_len", "_len2"), F.greatest("_len", "_len2")
+    # At most ``misses`` blocks differ, so the others must all be found equal.
+    misses = F.ceil(short * F.lit(loss) - F.lit(1e-9)) - 1
+    needed = F.greatest(F.floor(short / F.col("width")) - misses, F.lit(1))
+    pairs = (
+        keyed.join(other, [group, "width", "at", "block"])
+        .filter((F.col("_sid") < F.col("_sid2")) & (short > F.lit(threshold - 1e-9) * long))
+        .groupBy(group, "_sid", "_sid2", "width", needed.alias("needed"))
+        .agg(F.count(F.lit(1)).alias("hits"))
+        .filter("hits >= needed")
+        .select(group, "_sid", "_sid2")
+        .distinct()
     )
-    return pairs.select(group, "_sid", "_sid2", sq.hamming_similarity("_seq", "_seq2").alias("_s")).filter(
+    text = members.select(group, "_sid", "_seq")
+    text2 = text.select(group, F.col("_sid").alias("_sid2"), F.col("_seq").alias("_seq2"))
+    both = pairs.join(text, [group, "_sid"]).join(text2, [group, "_sid2"])
+    return both.select(group, "_sid", "_sid2", sq.hamming_similarity("_seq", "_seq2").alias("_s")).filter(
         F.col("_s") > threshold
     )
 
 
-def _similar_by_kmers(members: DataFrame, group: str, threshold: float, k: int) -> DataFrame:
+def _similar_by_kmers(members: DataFrame, group: str, threshold: float, k: int, rest: float = 0.35) -> DataFrame:
     """(group, id, similarity) for pairs with k-mer cosine above the threshold.
 
-    Prefix filtering: with codes ordered from rare to common, two vectors can
-    only reach the threshold if they share a code within both prefixes, where
-    a prefix ends once the rest of the vector is too short to reach it alone.
+    Prefix filtering: codes go from rare to common, and a prefix ends once the
+    length of what follows is below ``rest`` of the vector.  Up to the earlier
+    of two prefix ends, both prefixes hold every shared code; beyond it one side
+    adds at most ``rest``.  So the prefixes alone must reach threshold - rest,
+    and only pairs that do are compared in full.
     """
     vectors = rare_first(kmer_vectors(members, [group, "_sid"], "_seq", k), [group, "_sid"])
-    squares = F.transform("counts", lambda c: c * c)
-    total = F.aggregate(squares, F.lit(0), lambda s, x: s + x)
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c * c)
     sized = vectors.withColumn("_n2", total)
-    cut = F.col("_n2") * F.lit(threshold * threshold * (1 - 1e-9))
-    # Walk from rare to common; keep a code while the rest, itself included, can still reach the cut.
+    cut = F.col("_n2") * F.lit(rest * rest * (1 - 1e-9))
+    # Walk from rare to common; keep a code while the rest, itself included, is long enough.
     kept = F.aggregate(
         "counts",
         F.struct(F.col("_n2").alias("rest"), F.lit(0).alias("kept")),
         lambda s, c: F.struct((s["rest"] - c * c).alias("rest"), (s["kept"] + F.when(s["rest"] >= cut, 1).otherwise(0)).alias("kept")),
         lambda s: s["kept"],
     )
-    keys = sized.select(group, "_sid", F.explode(F.slice("codes", F.lit(1), kept)).alias("code"))
-    other = keys.withColumnRenamed("_sid", "_sid2")
+    prefixes = sized.withColumn("_kept", kept).select(
+        group, "_sid", F.sqrt(F.col("_n2").cast("double")).alias("_norm"),
+        F.inline(F.arrays_zip(F.slice("codes", F.lit(1), F.col("_kept")).alias("code"), F.slice("counts", F.lit(1), F.col("_kept")).alias("c"))),
+    )
+    keys = prefixes.select(group, "_sid", "code", (F.col("c") / F.col("_norm")).alias("_w"))
+    other = keys.select(group, F.col("_sid").alias("_sid2"), "code", F.col("_w").alias("_w2"))
     pairs = (
-        keys.join(other, [group, "code"]).filter(F.col("_sid") < F.col("_sid2")).select(group, "_sid", "_sid2").distinct()
+        keys.join(other, [group, "code"])
+        .filter(F.col("_sid") < F.col("_sid2"))
+        .groupBy(group, "_sid", "_sid2")
+        .agg(F.sum(F.col("_w") * F.col("_w2")).alias("_part"))
+        .filter(F.col("_part") >= F.lit(threshold - rest - 1e-9))
+        .select(group, "_sid", "_sid2")
     )
     right = sized.select(
         group, F.col("_sid").alias("_sid2"), F.col("codes").alias("_codes2"), F.col("counts").alias("_counts2"), F.col("_n2").alias("_m2")

@@ -10,8 +10,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import correlation_tier, let
-from .ranks import exact_quantiles
+from ..functions.sequences import correlation_tier
+from .ranks import attach_row, exact_quantiles
 from .summaries import best_match, unpivot
 
 
@@ -23,23 +23,17 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFra
 
 
 def mark_outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
-    """Add ``out_<column>`` flags and ``is_outlier``; the fences are a one-row subquery."""
+    """Add ``out_<column>`` flags and ``is_outlier``; the fences are one row."""
     fences = iqr_bounds(df, columns, k)
     wide = fences.agg(
-        F.struct(
-            *[F.max(F.when(F.col("feature") == c, F.struct("lower", "upper"))).alias(c) for c in columns]
-        ).alias("f")
+        *[F.max(F.when(F.col("feature") == c, F.struct("lower", "upper"))).alias(f"_f_{c}") for c in columns]
     )
 
-    def flags(f: Column) -> Column:
-        def outside(c: str) -> Column:
-            value = F.col(c).cast("double")
-            return F.coalesce((value < f[c]["lower"]) | (value > f[c]["upper"]), F.lit(False))
+    def outside(c: str) -> Column:
+        value, fence = F.col(c).cast("double"), F.col(f"_f_{c}")
+        return F.coalesce((value < fence["lower"]) | (value > fence["upper"]), F.lit(False))
 
-        return F.struct(*[outside(c).alias(f"out_{c}") for c in columns])
-
-    # The subquery is referenced once; its flags then unfold into columns.
-    flagged = df.withColumn("_o", let(wide.scalar(), flags)).select(*df.columns, "_o.*")
+    flagged = attach_row(df, wide).select(*df.columns, *[outside(c).alias(f"out_{c}") for c in columns])
     combined = F.lit(False)
     for c in columns:
         combined = combined | F.col(f"out_{c}")

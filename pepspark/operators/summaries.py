@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
-from ..functions.sequences import let
 from ..functions.hashing import hash_hex
-from .ranks import exact_quantiles
+from .ranks import attach_row, exact_quantiles
 
 
 def _ratio(condition: Column) -> Column:
@@ -111,22 +110,18 @@ def length_stats(df: DataFrame, cut: int = 50, column: str = "sequence") -> Data
 def histogram(df: DataFrame, column: str, bins: int, by: str) -> DataFrame:
     """Equal-width bins over the whole range; counts and density per group."""
     value = F.col(column).cast("double")
-    bounds = df.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-
-    def place(r: Column) -> Column:
-        width = (r["hi"] - r["lo"]) / F.lit(float(bins))
-        index = F.when(width > 0, F.least(F.floor((F.col("_v") - r["lo"]) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-        return F.struct(index.cast("int").alias("bin"), r["lo"].alias("lo"), width.alias("width"))
-
-    placed = df.select(by, value.alias("_v")).filter("_v is not null").select(by, let(bounds, place).alias("_b"))
-    counted = placed.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("n_rows"))
+    values = df.select(by, value.alias("_v")).filter("_v is not null")
+    bounds = values.agg(F.min("_v").alias("_lo"), ((F.max("_v") - F.min("_v")) / F.lit(float(bins))).alias("_width"))
+    index = F.least(F.floor((F.col("_v") - F.col("_lo")) / F.col("_width")), F.lit(bins - 1)).cast("int")
+    placed = attach_row(values, bounds).withColumn("bin", F.when(F.col("_width") > 0, index).otherwise(F.lit(0)))
+    counted = placed.groupBy(by, "bin", "_lo", "_width").agg(F.count(F.lit(1)).alias("n_rows"))
     total = F.sum("n_rows").over(Window.partitionBy(by))
     return counted.select(
         by,
-        "_b.bin",
-        (F.col("_b.lo") + F.col("_b.bin") * F.col("_b.width")).alias("bin_from"),
+        "bin",
+        (F.col("_lo") + F.col("bin") * F.col("_width")).alias("bin_from"),
         "n_rows",
-        F.try_divide(F.col("n_rows").cast("double"), total * F.col("_b.width")).alias("density"),
+        F.try_divide(F.col("n_rows").cast("double"), total * F.col("_width")).alias("density"),
     )
 
 

@@ -185,7 +185,7 @@ DOCS = f"""docs as (select doc_id, quality as y, toxic as y2, {", ".join(f"{e} a
 
 def labelled(spark, path):
     docs = views.spread(views.table(spark, path, "documents").select("doc_id", "text"), "doc_id")
-    clean = docs.select("doc_id", views._letters(F.col("text")).alias("sequence")).filter("sequence <> ''")
+    clean = docs.select("doc_id", views.letters(F.col("text")).alias("sequence")).filter("sequence <> ''")
     c = "sequence"
     features = clean.select(
         "doc_id", F.length(c).cast("double").alias("length"), sq.gravy(c).alias("gravy"), sq.net_charge(c).alias("net_charge"),

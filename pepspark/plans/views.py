@@ -25,7 +25,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def _letters(column) -> object:
+def letters(column):
     """Letters only, upper case, ambiguous and rare residue codes removed."""
     return F.regexp_replace(F.upper(F.regexp_replace(column, "[^A-Za-z]", "")), "[BJOUXZ]", "")
 
@@ -34,23 +34,29 @@ SENTENCE = "[.!?\n]+"
 WORD = "[ \n]+"
 
 
-def peptides(spark: SparkSession, path: str) -> DataFrame:
-    """Every sentence of every document as one clean sequence."""
-    docs = spread(table(spark, path, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    return spread(table(spark, path, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+
+
+def peptides_of(docs: DataFrame) -> DataFrame:
     cut = docs.select(
         "doc_id", F.col("source").alias("source_db"), F.col("lang").alias("category"),
         F.posexplode(F.split("text", SENTENCE)).alias("pos", "_s"),
     )
     return cut.select(
         F.concat_ws(".", "doc_id", "pos").alias("id"), "doc_id", "pos", "source_db", "category",
-        _letters(F.col("_s")).alias("sequence"),
+        letters(F.col("_s")).alias("sequence"),
     ).filter("sequence <> ''")
 
 
+def peptides(spark: SparkSession, path: str) -> DataFrame:
+    """Every sentence of every document as one clean sequence."""
+    return peptides_of(documents(spark, path))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Every word of every document: raw records with blanks, lower case and copies."""
-    docs = spread(table(spark, path, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
-    cut = docs.select(
+    cut = documents(spark, path).select(
         "doc_id", F.col("source").alias("source_db"), F.col("lang").alias("category"),
         F.posexplode(F.split("text", WORD)).alias("pos", "_w"),
     )
@@ -64,14 +70,14 @@ def background(spark: SparkSession, path: str) -> DataFrame:
     """Every conversation turn as one long sequence."""
     turns = table(spark, path, "conversations")
     return turns.select(
-        F.concat_ws(".", "conv_id", "turn").alias("id"), "role", _letters(F.col("text")).alias("sequence")
+        F.concat_ws(".", "conv_id", "turn").alias("id"), "role", letters(F.col("text")).alias("sequence")
     ).filter("sequence <> ''")
 
 
 def training(spark: SparkSession, path: str) -> DataFrame:
     """Every benchmark sentence: the corpus that generated sequences are compared with."""
     cut = table(spark, path, "benchmark").select(F.explode(F.split("text", SENTENCE)).alias("_s"))
-    return cut.select(_letters(F.col("_s")).alias("sequence")).filter("sequence <> ''")
+    return cut.select(letters(F.col("_s")).alias("sequence")).filter("sequence <> ''")
 
 
 def external(spark: SparkSession, path: str) -> DataFrame:
@@ -94,17 +100,27 @@ def scores(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def compounds(spark: SparkSession, path: str) -> DataFrame:
-    """A generation log: sentence n of a document is its output at step n."""
-    p = peptides(spark, path)
+def compounds_of(peptides: DataFrame) -> DataFrame:
     h = F.md5("sequence")
-    return p.select(
+    return peptides.select(
         F.col("source_db").alias("run"), F.col("pos").alias("step"), F.col("doc_id").alias("rid"), "sequence",
         (hex_int(F.substring(h, 1, 4), 4) / F.lit(65535.0)).alias("reward"),
         F.pmod(hex_int(F.substring(h, 5, 4), 4), F.lit(5)).cast("int").alias("cluster_id"),
     )
 
 
+def compounds(spark: SparkSession, path: str) -> DataFrame:
+    """A generation log: sentence n of a document is its output at step n."""
+    return compounds_of(peptides(spark, path))
+
+
+def compound_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The same log as a stream over the documents file."""
+    schema = table(spark, path, "documents").schema
+    docs = spark.readStream.schema(schema).parquet(f"{path}/documents.parquet")
+    return compounds_of(peptides_of(docs))
+
+
 def activities(spark: SparkSession, path: str) -> DataFrame:
     """Activity measurements; the smallest values stand for the inactive sentinel."""
     return table(spark, path, "events").select(
