@@ -70,9 +70,9 @@ def _(spark, path):
 
 @query(
     "r2_class_diversity",
-    f"""with natural as (select cluster_id, count(*) / (sum(count(*)) over ())::double as f from compounds where run < 'src2' group by 1)
+    f"""with nat as (select cluster_id, count(*) / (sum(count(*)) over ())::double as f from compounds where run < 'src2' group by 1)
       select run, step, rid, cluster_id, {R('0.5::double * (1 - coalesce(f, 0)) + 0.5::double / sqrt(row_number() over (partition by run, cluster_id order by step, rid))')} as class_bonus
-      from compounds left join natural using (cluster_id)""",
+      from compounds left join nat using (cluster_id)""",
 )
 def _(spark, path):
     log = views.compounds(spark, path)
@@ -93,7 +93,7 @@ GATED = f"""checked as (select doc_id, pos, s as sequence, length(s) as len, cas
         when length(s) < 5 then 'below 5aa — outside the model''s training length range'
         when length(s) > 100 then 'above 100aa — outside the model''s training length range' else '' end as invalid_reason
       from (select doc_id, pos, upper(trim(sequence)) as s from records)),
-    scored as (select *, case when invalid_reason = '' then 1 / (1 + exp(-({GATE_Z}))) end as probability from checked)"""
+    scored as (select *, case when invalid_reason = '' then round(1 / (1 + exp(-({GATE_Z}))), 9) end as probability from checked)"""
 
 
 @query(
@@ -124,7 +124,7 @@ def heads():
 
 @query(
     "r7_spectrum",
-    "select id, " + ", ".join(f"{R(e)} as {t}_prob, (round({e}, 9) >= {c}::double)::int as {t}_pred" for (t, e), c in zip(HEADS_SQL.items(), (0.52, 0.48))) + " from peptides",
+    "select id, " + ", ".join(f"{R(f"round({e}, 9)")} as {t}_prob, (round({e}, 9) >= {c}::double)::int as {t}_pred" for (t, e), c in zip(HEADS_SQL.items(), (0.52, 0.48))) + " from peptides",
 )
 def _(spark, path):
     return sc.spectrum(views.peptides(spark, path).select("id", "sequence"), heads()).drop("sequence")
@@ -133,7 +133,7 @@ def _(spark, path):
 @query(
     "r8_cascade",
     f"with {GATED} select doc_id, pos, {R('probability')} as gate_probability, "
-    + ", ".join(f"{R(e)} as {t}_prob, (round({e}, 9) >= {c}::double)::int as {t}_pred" for (t, e), c in zip(HEADS_SQL.items(), (0.52, 0.48)))
+    + ", ".join(f"{R(f"round({e}, 9)")} as {t}_prob, (round({e}, 9) >= {c}::double)::int as {t}_pred" for (t, e), c in zip(HEADS_SQL.items(), (0.52, 0.48)))
     + " from scored where round(probability, 9) >= 0.5::double",
 )
 def _(spark, path):

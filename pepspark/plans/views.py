@@ -115,9 +115,9 @@ def compounds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compound_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The same log as a stream over the documents file."""
+    """The same log as a stream; the pattern matches a single file or a folder of parts."""
     schema = table(spark, path, "documents").schema
-    docs = spark.readStream.schema(schema).parquet(f"{path}/documents.parquet")
+    docs = spark.readStream.schema(schema).parquet(f"{path}/documents.parque[t]")
     return compounds_of(peptides_of(docs))
 
 
