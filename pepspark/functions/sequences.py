@@ -62,6 +62,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """``value`` computed once per row, as a column of its own.
+
+    Later filters and projections refer to the result of this one-element
+    explode; a plain column could be inlined into each of them again.
+    """
+    return F.explode(F.array(value))
+
+
 # Composition
 
 def residue_count(column, residues: str) -> Column:
@@ -69,7 +78,9 @@ def residue_count(column, residues: str) -> Column:
     if isinstance(column, Counted):
         return sum((column.counts[r] for r in residues[1:]), column.counts[residues[0]])
     c = as_column(column)
-    return F.length(c) - F.length(F.translate(c, residues, ""))
+    # Bytes lost when a residue is removed; a plain replace is far cheaper than a translate table.
+    kept = [F.octet_length(F.replace(c, F.lit(r), F.lit(""))) for r in residues]
+    return F.octet_length(c) * len(residues) - sum(kept[1:], kept[0])
 
 
 def share(count: Column, column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit
+from ..functions.sequences import let, once
 from .ranks import running_totals, value_bucket
 from .summaries import unpivot
 
@@ -234,10 +235,8 @@ POISSON_ONE = (
 
 
 def poisson_weight(u: Column) -> Column:
-    weight = F.lit(0)
-    for bound in POISSON_ONE:
-        weight = weight + F.when(u >= bound, 1).otherwise(0)
-    return weight
+    """Poisson(1) draw for a uniform ``u``."""
+    return let(u, lambda x: sum((F.when(x >= bound, 1).otherwise(0) for bound in POISSON_ONE), F.lit(0)))
 
 
 def resampled_counts(
@@ -251,7 +250,7 @@ def resampled_counts(
     the shuffle by models * n * grid rows whatever the table size.
     """
     replicates = df.select(key, y, *scores).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    weighted = replicates.withColumn("_w", poisson_weight(hash_unit(seed, "replicate", key))).filter("_w > 0")
+    weighted = replicates.withColumn("_w", once(poisson_weight(hash_unit(seed, "replicate", key)))).filter("_w > 0")
     long = unpivot(weighted.withColumn("_w", F.col("_w").cast("double")), [y, "replicate", "_w"], scores, "model", "score")
     if grid:
         long = long.withColumn("score", F.round(F.col("score") * grid) / F.lit(float(grid)))
@@ -286,7 +285,7 @@ def bootstrap_diff(
         key, F.col(y).alias("y"), (F.col(first) >= cut.get(first, 0.5)).alias("a"), (F.col(second) >= cut.get(second, 0.5)).alias("b")
     )
     drawn = flagged.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
-        "w", poisson_weight(hash_unit(seed, "replicate", key))
+        "w", once(poisson_weight(hash_unit(seed, "replicate", key)))
     )
     cells = drawn.filter("w > 0").groupBy("replicate", "y", "a", "b").agg(F.sum("w").alias("w"))
 

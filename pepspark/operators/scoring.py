@@ -248,7 +248,8 @@ def score_table(
     """Validate, featurize, score, label and annotate; every input row is kept
     unless ``on_invalid='drop'``.  Only valid rows reach ``score``."""
     checked = curation.validate(df, column=column, on_invalid=on_invalid)
-    valid = score(featurize(checked.filter("valid"), column)).select(*checked.columns, "probability")
+    valid = score(featurize(checked.filter("valid"), column))
+    valid = valid.select(*checked.columns, sq.once(F.col("probability")).alias("probability"))
     scored = valid
     if on_invalid == "keep":
         scored = valid.unionByName(checked.filter(~F.col("valid")).withColumn("probability", F.lit(None).cast("double")))
