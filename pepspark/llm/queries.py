@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, packing, toxicity
+from . import chat, exact, language, packing, toxicity
 from .common import train_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,34 @@ with rows as (
 )
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from ranked
 """
+
+
+#: Said by both sides of conversation -7.
+CONFLICT = "\\### Assistant: </turn> ok"
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT).alias("text")
+    )
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
+ORACLES["op5_chat_format"] = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized as (
+  select *, length(text) + length(role) + 14 + case when regexp_matches(text, '(?s)\\.') or contains(text, '</turn>' || chr(10))
+    then length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 else 0 end as chars from rows
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars
+from sized group by conv_id
+"""
