@@ -126,6 +126,39 @@ def bounded_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     return near.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= most).drop("_place", "_size", "_nth")
 
 
+class Forest:
+    """Sets of indices, joined many pairs at a time; ``edges`` are the pairs that joined two sets."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
+        a, b = self.label[p], self.label[q]
+        apart = a != b
+        if not apart.any():
+            return
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        _, first = np.unique(np.minimum(a, b) * len(self.label) + np.maximum(a, b), return_index=True)
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        for k in first.tolist():
+            x, y = find(int(a[k])), find(int(b[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                self.edges.append((int(p[k]), int(q[k])))
+        to = np.arange(len(self.label))
+        for x in parent:
+            to[x] = find(x)
+        self.label = to[self.label]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): one root for each connected set of the nodes in ``edges`` (a, b: long).
 
@@ -140,12 +173,12 @@ def components(edges: DataFrame) -> DataFrame:
     seed = 0
     while not edges.isEmpty():
         seed += 1
-        order = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)), F.col(c))  # noqa: E731, B023
+        order = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("place"), F.col(c).alias("id"))  # noqa: E731, B023
         arcs = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), order("b").alias("to")), F.struct(F.col("b").alias("node"), order("a").alias("to")))).alias("x")).select("x.*")
-        steps = arcs.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least(F.col("to"), order("node"))["col2"].alias("to"))
+        steps = arcs.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least(F.col("to"), order("node"))["id"].alias("to"))
         steps = materialize(steps, "steps")
         labels = materialize(
-            labels.join(steps, labels.root == steps.node, "left").select(labels.node, F.coalesce(steps.to, labels.root).alias("root")), "labels"
+            labels.join(steps, labels.root == steps.node, "left").select(labels.node, F.coalesce(steps["to"], labels.root).alias("root")), "labels"
         )
         left = edges.join(steps, edges.a == steps.node).select(F.col("to").alias("a"), "b")
         left = left.join(steps, left.b == steps.node).select("a", F.col("to").alias("b"))

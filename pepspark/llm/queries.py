@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, language, packing, toxicity
+from . import chat, embeddings, exact, jaccard, language, packing, toxicity, warc
 from .common import train_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,35 @@ select conv_id, count(*) as n_turns,
   sum(chars)::bigint as formatted_chars
 from sized group by conv_id
 """
+
+
+@query
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+@query
+def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), least_bytes=0))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op7_warc_dictionary"] = """
+with rows as (
+  select page_id, coalesce(html, '') as payload from pages
+), hashed as (
+  select page_id, strlen(payload)::bigint as payload_bytes, sha1(payload) as hex, min(page_id) over (partition by sha1(payload)) as first from rows
+), coded as (
+  select page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (k // 4)::int + 1, 5))::bigint >> (15 - 5 * (k % 4))::int) & 31)::int + 1, 1), '' order by k) as payload_digest
+  from hashed cross join (select unnest(range(32)) as k) group by page_id
+)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from hashed join coded using (page_id)
+"""
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.membership(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
