@@ -24,7 +24,7 @@ def duck():
 
 def canonical(frame):
     def cell(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or str(v) == "<NA>" or v != v:
             return "NULL"
         if isinstance(v, str):
             return v
