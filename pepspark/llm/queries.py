@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, exact, jaccard, language, packing, toxicity, warc
+from . import chat, embeddings, exact, jaccard, language, packing, suffix, toxicity, warc
 from .common import train_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,8 @@ from hashed join coded using (page_id)
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.membership(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.membership(table(spark, sf_dir, "documents"), length=400).drop("spans")
