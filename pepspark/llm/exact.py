@@ -121,13 +121,13 @@ def membership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns, one for each group of equal texts."""
-    decisions = membership(docs, doc_id, text).filter("kept")
+    decisions = membership(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     ids = materialize(decisions.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    plain = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES.decode(), ""), 256)
-    marked = docs.withColumns({"_own_id": F.col(doc_id).cast("long"), "_own_sha": plain})
+    plain = F.sha2(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACES.decode(), ""), 256)
+    # The whole row travels as one value, so no column name of the input can clash.
+    marked = docs.select(F.col(doc_id).cast("long").alias("_own_id"), plain.alias("_own_sha"), F.length(text).alias("_size"), F.struct("*").alias("_row"))
     found = marked.join(ids, marked["_own_id"].eqNullSafe(ids["_id"]) & (marked["_own_sha"] == ids["_sha"]))
-    once = found.filter("_rows = 1").select(*docs.columns)
-    # Repeated rows: those of one id and digest, the longest original first.
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = found.filter("_rows > 1").groupBy("_own_id", "_own_sha").agg(F.max_by(whole, F.length(text)).alias("_row")).select("_row.*")
+    once = found.filter("_rows = 1").select("_row.*")
+    # Rows that repeat an id and a normalised text: the longest original.
+    again = found.filter("_rows > 1").groupBy("_own_id", "_own_sha").agg(F.max_by("_row", "_size").alias("_row")).select("_row.*")
     return once.unionByName(again)

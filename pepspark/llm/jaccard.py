@@ -386,5 +386,5 @@ def kept_rows(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str =
     found = membership(docs, words, percent, doc_id, text)
     drop = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.lower(F.hex("sha")).alias("_sha")).distinct()
     drop = materialize(drop, "near_dropped")
-    own = docs[doc_id].cast("long").eqNullSafe(drop["_id"]) & (F.md5(F.coalesce(docs[text].cast("string"), F.lit(""))) == drop["_sha"])
-    return docs.join(drop, own, "left_anti")
+    marked = docs.select(F.col(doc_id).cast("long").alias("_own_id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_own_sha"), F.struct("*").alias("_row"))
+    return marked.join(drop, marked["_own_id"].eqNullSafe(drop["_id"]) & (marked["_own_sha"] == drop["_sha"]), "left_anti").select("_row.*")

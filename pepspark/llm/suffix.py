@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -271,11 +272,12 @@ def cut_rows(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
     _, cut = repeats(docs, length, batches, doc_id, text)
     kept = cut.select(F.col("doc").alias("_doc"), F.col("n_bytes").alias("_bytes"), F.col("kept").alias("_kept"))
     doc, size = identity(text)
-    joined = docs.withColumns({"_own": doc, "_size": size}).join(kept, (F.col("_own") == F.col("_doc")) & (F.col("_size") == F.col("_bytes")), "left")
+    marked = docs.select(doc.alias("_own"), size.alias("_size"), F.struct("*").alias("_row"))
+    joined = marked.join(kept, (F.col("_own") == F.col("_doc")) & (F.col("_size") == F.col("_bytes")), "left")
 
     @F.pandas_udf("string")
-    def readable(column):
+    def readable(column: pd.Series) -> pd.Series:
         return column.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    now = F.when(F.col("_kept").isNotNull(), readable("_kept")).otherwise(F.col(text))
-    return joined.select(*[now.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    now = F.when(F.col("_kept").isNotNull(), readable("_kept")).otherwise(F.col("_row")[text])
+    return joined.select(*[now.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -106,18 +106,11 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = texts(batch.column(1))
-            sizes, surprises, found = [], [], []
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                words = data[lo:hi].tobytes().split()
-                space = math.log(model.scale * max(len(words), 1))
-                parts = [(a, b, s, model.decay * s - space) for a, b, s in segments(model.hits(words), model.rest)]
-                good = [p for p in parts if p[3] > 0]
-                surprises.append(sum(p[3] for p in good) if good else max((p[3] for p in parts), default=NOTHING))
-                sizes.append(len(words))
-                found.append([{"first_token": a, "last_token": b, "score": s, "expected": math.exp(-x)} for a, b, s, x in good])
+            rows = [surprise(text, model) for text in _split(batch.column(1))]
+            sizes, values, found = zip(*rows, strict=True) if rows else ((), (), ())
+            spans = [[{"first_token": a, "last_token": b, "score": s, "expected": math.exp(-x)} for a, b, s, x in good] for good in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(surprises, pa.float64()), pa.array(found, pa.list_(kind))],
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(values, pa.float64()), pa.array(spans, pa.list_(kind))],
                 ["doc_id", "n_tokens", "surprise", "segments"],
             )
 
@@ -125,6 +118,20 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     return rows.mapInArrow(work, "doc_id long, n_tokens int, surprise double, segments array<struct<first_token:int,last_token:int,score:double,expected:double>>")
 
 
+def _split(column: pa.Array) -> Iterator[list[bytes]]:
+    data, bounds = texts(column)
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield data[lo:hi].tobytes().split()
+
+
+def surprise(words: list[bytes], model: Model) -> tuple[int, float, list[tuple[int, int, float, float]]]:
+    """(tokens, surprise, significant segments with their own surprise) of one text."""
+    space = math.log(model.scale * max(len(words), 1))
+    parts = [(a, b, s, model.decay * s - space) for a, b, s in segments(model.hits(words), model.rest)]
+    good = [p for p in parts if p[3] > 0]
+    return len(words), sum(p[3] for p in good) if good else max((p[3] for p in parts), default=NOTHING), good
+
+
 def count_units(labelled: DataFrame) -> DataFrame:
     """(unit, toxic, clean): in how many texts of either label a unit occurs; '' counts the texts."""
 
@@ -247,3 +254,15 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     line = F.col("surprise").cast("double")
     margin = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line)) * F.lit(model.slope) + F.lit(model.intercept)
     return rows.select("doc_id", (1 / (1 + F.exp(-margin))).alias("score"), "n_tokens", "segments")
+
+
+def clean_rows(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``least``; nothing is shuffled."""
+    at = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margins = (max(-30.0, min(30.0, surprise(words, model)[1])) * model.slope + model.intercept for words in _split(batch.column(at)))
+            yield batch.filter(pa.array([1 / (1 + math.exp(-m)) < least for m in margins], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
