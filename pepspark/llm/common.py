@@ -44,6 +44,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A join side that grows with the data: it is shuffled at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def source_columns(df: DataFrame, **renamed: str | Column) -> DataFrame:
     """Exactly the named inputs, under the operator's own names; other columns cannot clash."""
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in renamed.items()])

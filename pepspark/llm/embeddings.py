@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, materialize
+from .common import Forest, components, growing, materialize
 
 SLACK = 1e-5  # covers single-precision products of codes and the rounding of the bounds
 
@@ -132,6 +132,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tile: int = 4096, ve
     component = F.when(F.col("kind").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return (
         rows.select("vec_id", "kind")
-        .join(decided, "kind", "left")
+        .join(growing(decided), "kind", "left")
         .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, source_columns, texts
+from .common import growing, materialize, source_columns, texts
 
 #: What counts as white space; deleted before texts are compared.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -109,7 +109,7 @@ def membership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """
     rows = materialize(digests(docs, doc_id, text), "digests")
     groups = materialize(tree_merge(rows), "digest_groups")
-    joined = rows.join(groups.withColumnRenamed("points", "most"), KEY, "left")
+    joined = rows.join(growing(groups.withColumnRenamed("points", "most")), KEY, "left")
     return joined.select(
         "doc_id",
         "keep_id",
@@ -126,7 +126,7 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     plain = F.sha2(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACES.decode(), ""), 256)
     # The whole row travels as one value, so no column name of the input can clash.
     marked = docs.select(F.col(doc_id).cast("long").alias("_own_id"), plain.alias("_own_sha"), F.length(text).alias("_size"), F.struct("*").alias("_row"))
-    found = marked.join(ids, marked["_own_id"].eqNullSafe(ids["_id"]) & (marked["_own_sha"] == ids["_sha"]))
+    found = marked.join(growing(ids), marked["_own_id"].eqNullSafe(ids["_id"]) & (marked["_own_sha"] == ids["_sha"]))
     once = found.filter("_rows = 1").select("_row.*")
     # Rows that repeat an id and a normalised text: the longest original.
     again = found.filter("_rows > 1").groupBy("_own_id", "_own_sha").agg(F.max_by("_row", "_size").alias("_row")).select("_row.*")

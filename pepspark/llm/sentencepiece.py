@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import growing, materialize
 
 SPACE = "▁"  # the mark that vocabularies write for a space
 WIDE = 1 << 31  # a span is its start times this plus its stop
@@ -155,7 +155,7 @@ def encode(rows: DataFrame, pieces: DataFrame, key: str, text: str = "text", fol
     seen = materialize(rows.select(key, F.posexplode(found).alias("at", "word")), "word_places")
     words = encode_words(seen.select("word").distinct(), pieces, fold)
     coded = materialize(words, "coded_words")
-    each = seen.join(coded, "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    each = seen.join(growing(coded), "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
     whole = each.select(key, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
     return rows.select(key).join(whole, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 

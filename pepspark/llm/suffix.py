@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, materialize, mix, runs, texts
+from .common import PrefixHash, growing, materialize, mix, runs, texts
 
 IDENTITY = ["doc", "n_bytes"]
 
@@ -146,7 +146,7 @@ class LevelIndex:
         own = materialize(batch.groupBy("f").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("f"), "suffix_array")
         hits = own.filter("n > 1").select("f")
         for _, level in self.levels:
-            hits = hits.unionByName(own.join(level.select("f"), "f", "left_semi").select("f"))
+            hits = hits.unionByName(own.join(growing(level.select("f")), "f", "left_semi").select("f"))
         size = 1
         while self.levels and self.levels[-1][0] == size:
             _, other = self.levels.pop()
@@ -183,19 +183,19 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
         found = hits if found is None else found.unionByName(hits)
     shared = materialize(found.distinct(), "shared_suffixes")
     every = made.select("doc", "n_bytes", F.explode(F.arrays_zip("f", "e", "start", "count")).alias("x")).select("x.f", "x.e", "doc", "n_bytes", "x.start", "x.count")
-    near = materialize(every.join(shared, "f"), "near_suffixes")
+    near = materialize(every.join(growing(shared), "f"), "near_suffixes")
     kinds = materialize(near.groupBy("f", "e").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "n_bytes", "start", "count")).alias("pick")), "block_kinds")
     several = kinds.groupBy("f").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("f")
     picks = kinds.join(materialize(several, "mixed_suffixes"), "f").select("f", "times", "pick.*")
     twice = kinds.filter("times > 1").select("f", "e")
     stop = F.col("start") + F.col("count") - 1 + length
-    marks = near.join(twice, ["f", "e"]).select(*IDENTITY, F.col("start").cast("long").alias("start"), stop.cast("long").alias("stop"))
+    marks = near.join(growing(twice), ["f", "e"]).select(*IDENTITY, F.col("start").cast("long").alias("start"), stop.cast("long").alias("stop"))
     marks = materialize(marks, "whole_blocks")
     copies = materialize(made.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copied_texts")
     needed = near.select(*IDENTITY).distinct()
     doc, size = identity(text)
     held = docs.select(doc.alias("doc"), size.alias("n_bytes"), whole(text).alias("text")).filter(F.col("n_bytes") >= length)
-    held = held.groupBy(*IDENTITY).agg(F.first("text").alias("text")).join(needed, IDENTITY, "left_semi")
+    held = held.groupBy(*IDENTITY).agg(F.first("text").alias("text")).join(growing(needed), IDENTITY, "left_semi")
     held = materialize(held, "near_texts")
 
     def passages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
         held.join(by_text, IDENTITY).select(*IDENTITY, "picked", "text").mapInArrow(passages, "f long, w long, doc long, n_bytes long, start long, single boolean"), "passages"
     )
     again = materialize(single.groupBy("f", "w").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("f", "w"), "repeated_passages")
-    fine = single.filter("single").join(again, ["f", "w"]).select(*IDENTITY, "start", (F.col("start") + length).alias("stop"))
+    fine = single.filter("single").join(growing(again), ["f", "w"]).select(*IDENTITY, "start", (F.col("start") + length).alias("stop"))
 
     def cutting(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -256,7 +256,7 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
 def membership(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans; see ``repeats``."""
     rows, cut = repeats(docs, length, batches, doc_id, text)
-    joined = rows.join(cut.drop("kept"), IDENTITY, "left")
+    joined = rows.join(growing(cut.drop("kept")), IDENTITY, "left")
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     return joined.select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
@@ -273,7 +273,7 @@ def cut_rows(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
     kept = cut.select(F.col("doc").alias("_doc"), F.col("n_bytes").alias("_bytes"), F.col("kept").alias("_kept"))
     doc, size = identity(text)
     marked = docs.select(doc.alias("_own"), size.alias("_size"), F.struct("*").alias("_row"))
-    joined = marked.join(kept, (F.col("_own") == F.col("_doc")) & (F.col("_size") == F.col("_bytes")), "left")
+    joined = marked.join(growing(kept), (F.col("_own") == F.col("_doc")) & (F.col("_size") == F.col("_bytes")), "left")
 
     @F.pandas_udf("string")
     def readable(column: pd.Series) -> pd.Series:

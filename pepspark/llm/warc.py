@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder
+from .common import growing, materialize, new_folder
 
 # Fixed values of the formats: the dictionary frame of .warc.zst, the revisit profile.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -120,7 +120,7 @@ def write_archives(
     ).withColumns({"sha": F.unhex(F.sha1("html")), "n": F.length("html")})
     first = rows.filter(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"))
     firsts = materialize(first.filter("first is not null"), "responses")
-    placed = rows.join(firsts, ["sha", "n"], "left")
+    placed = rows.join(growing(firsts), ["sha", "n"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, base = fs.FileSystem.from_uri(folder)
