@@ -51,7 +51,8 @@ def compare(left: np.ndarray, right: np.ndarray, least: float, strip: int = 512)
     x, y = _unit(left), _unit(right)
     (a, sa, na, ea), (b, sb, _, eb) = quantize(x), quantize(y)
     codes = b.astype(np.float32).T.copy()
-    norms = [np.sqrt((v * v).sum(1)) for v in (left, right)]
+    with np.errstate(over="ignore"):
+        norms = [np.sqrt((v * v).sum(1)) for v in (left, right)]
     for at in range(0, len(a), strip):
         rows = slice(at, at + strip)
         product = a[rows].astype(np.float32) @ codes
@@ -64,9 +65,10 @@ def compare(left: np.ndarray, right: np.ndarray, least: float, strip: int = 512)
             i = i + at
             for cut in range(0, len(i), 1 << 16):
                 p, q = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    cosine = (left[p] * right[q]).sum(1) / (norms[0][p] * norms[1][q])
-                odd = ~np.isfinite(cosine) | (norms[0][p] * norms[1][q] < 1e-280)
+                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                    lengths = norms[0][p] * norms[1][q]
+                    cosine = (left[p] * right[q]).sum(1) / lengths
+                odd = ~np.isfinite(cosine) | ~np.isfinite(lengths) | (norms[0][p] < 1e-140) | (norms[1][q] < 1e-140)  # out of range: from the scaled vectors
                 if odd.any():
                     cosine[odd] = (x[p[odd]] * y[q[odd]]).sum(1)
                 good = cosine >= least

@@ -132,7 +132,7 @@ def write_archives(
             name = f"{base}/{uuid.uuid4().hex}.warc.zst"
             total = 0
             info = _record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-            with target.open_output_stream(name) as out:
+            with target.open_output_stream(name, compression=None) as out:
                 for part in archive_bytes([info, *held]):
                     out.write(part)
                     total += len(part)
@@ -178,7 +178,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 source, _ = fs.FileSystem.from_uri(folder)
-                with source.open_input_stream(path) as stream:
+                with source.open_input_stream(path, compression=None) as stream:
                     rows = [one(f, b) for f, b in read_archive(stream) if f["WARC-Type"] != "warcinfo"]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
