@@ -389,9 +389,9 @@ def seq_id(column) -> Column:
 
 
 def shuffle_residues(column, seed: int = 42) -> Column:
-    """A scrambled control: the same residues in a seeded order."""
+    """A scrambled control: the same residues in an order seeded by the sequence itself."""
     keyed = F.transform(
-        residues(column), lambda letter, i: F.struct(hash_hex(seed, i).alias("h"), i.alias("i"), letter.alias("ch"))
+        residues(column), lambda letter, i: F.struct(hash_hex(seed, as_column(column), i).alias("h"), i.alias("i"), letter.alias("ch"))
     )
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["ch"]), "")
 
@@ -402,9 +402,17 @@ FIRST_RESIDUE = 3
 
 
 def token_ids(column, max_len: int) -> Column:
-    """BOS, residue ids, EOS, padded on the right to ``max_len`` residues plus both marks."""
+    """BOS, residue ids, EOS, padded on the right to ``max_len`` residues plus both marks.
+
+    A residue outside the alphabet is an error, as no id stands for it.
+    """
     c = as_column(column)
-    ids = F.transform(residues(c), lambda letter: F.instr(F.lit(scales.STANDARD), letter) + (FIRST_RESIDUE - 1))
+
+    def id_of(letter: Column) -> Column:
+        at = F.instr(F.lit(scales.STANDARD), letter)
+        return F.when(at > 0, at + (FIRST_RESIDUE - 1)).otherwise(F.raise_error(F.concat(F.lit("no token for residue "), letter)).cast("int"))
+
+    ids = F.transform(residues(c), id_of)
     body = F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
     missing = F.greatest(F.lit(max_len + 2) - F.size(body), F.lit(0))
     return F.concat(body, F.array_repeat(F.lit(PAD), missing))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..functions.hashing import hash_unit
+from .ranks import join_same
 
 # Reasons given for rejected rows.
 EMPTY = "empty sequence"
@@ -378,8 +379,7 @@ def provenance_ids(df: DataFrame, per_part: int = 10000) -> DataFrame:
     """
     copies = df.groupBy("sequence").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_part)).cast("int").alias("n_parts"))
     parts = (
-        df.select("sequence", "source_id")
-        .join(copies, "sequence")
+        join_same(df.select("sequence", "source_id"), copies, ["sequence"])
         .withColumn("part", F.floor(hash_unit("part", "source_id") * F.col("n_parts")).cast("int"))
     )
     return parts.groupBy("sequence", "part").agg(F.sort_array(F.collect_list("source_id")).alias("source_ids"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit
 from ..functions.sequences import let, once
-from .ranks import running_totals, value_bucket
+from .ranks import join_same, running_totals, value_bucket
 from .summaries import unpivot
 
 
@@ -167,7 +167,7 @@ def threshold_sweep(
     # A group's buckets and its empty grid points: n + 1 small rows per group.
     grid = buckets.select(*by).distinct() if by else df.sparkSession.range(1).select()
     full = grid.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("passed"))
-    filled = full.join(buckets, [*by, "passed"], "left").fillna(0, ["p", "q"])
+    filled = join_same(full, buckets, [*by, "passed"], "left").fillna(0, ["p", "q"])
     above = Window.partitionBy(*by).orderBy(F.desc("passed")).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(*by)
     counts = (

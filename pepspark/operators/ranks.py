@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_hex
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the left side's keys stay."""
+    other = right.withColumnsRenamed({k: f"_same_{i}" for i, k in enumerate(keys)})
+    equal = [F.col(k).eqNullSafe(F.col(f"_same_{i}")) for i, k in enumerate(keys)]
+    return left.join(other, equal, how).drop(*[f"_same_{i}" for i in range(len(keys))])
+
+
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of ``row``, an ungrouped aggregate, to every row.
 
@@ -47,7 +54,7 @@ def running_totals(
     offsets = totals.select(
         *keys, *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums]
     )
-    joined = local.join(offsets, keys)
+    joined = join_same(local, offsets, keys)
     kept = [c for c in df.columns]
     return joined.select(*kept, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums])
 
@@ -74,7 +81,7 @@ def value_bucket(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int
 
     if by:
         ranges = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        ranged = df.join(ranges, list(by))
+        ranged = join_same(df, ranges, list(by))
         return ranged.withColumn("_bucket", slice_of(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     bounds = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     return attach_row(df, bounds).withColumn("_bucket", slice_of(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
@@ -89,7 +96,7 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_totals(value_bucket(counts, value, by), by, "_bucket", [F.col(value)], {"_upto": F.col("_n")})
     if by:
-        sized = placed.join(counts.groupBy(*by).agg(F.sum("_n").alias("_total")), list(by))
+        sized = join_same(placed, counts.groupBy(*by).agg(F.sum("_n").alias("_total")), list(by))
     else:
         sized = attach_row(placed, counts.agg(F.sum("_n").alias("_total")))
     aggregates, results = [], []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_hex, hash_unit, hex_int
 from ..functions.sequences import let
-from .ranks import attach_row, hash_ordinal, running_totals
+from .ranks import attach_row, hash_ordinal, join_same, running_totals
 
 # Hex cut points of an 80 / 10 / 10 split.
 TRAIN_BELOW = "cccccccc"
@@ -185,7 +185,7 @@ def temper_weights(df: DataFrame, by: str = "organism", key: str = "sequence", a
     tempered = counts.withColumn("_p", F.pow(F.col("n") / F.sum("n").over(everything), F.lit(alpha))).withColumn(
         "group_weight", F.col("_p") / F.sum("_p").over(everything)
     )
-    return distinct.join(tempered, by).select(
+    return join_same(distinct, tempered, [by]).select(
         by, key, "group_weight", (F.col("group_weight") / F.col("n")).alias("sample_weight")
     )
 
@@ -219,20 +219,16 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42
     return cells.join(draws, "_cell").filter(inside).select("draw", *df.columns)
 
 
-def poisson_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42, limit: int = 1024) -> DataFrame:
+def poisson_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> DataFrame:
     """A map-side draw count per row, Poisson with mean n * weight / total.
 
-    The size is n on average.  Means above ``limit`` / 2 use the rounded normal
-    approximation, which at that size differs from Poisson by less than noise.
+    The size is n on average.  A Poisson count is the sum of counts of equal parts of
+    its mean, so each row draws parts of a mean of at most 16 by inversion and adds
+    them; at any mean the law is the same.
     """
     total = df.agg(F.sum(F.col(weight).cast("double")).alias("_total"))
-    u, v = hash_unit(f"{seed}:u", key), hash_unit(f"{seed}:v", key)
 
-    def approximated(mean: Column) -> Column:
-        gauss = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(6.283185307179586) * v)
-        return F.greatest(F.round(mean + F.sqrt(mean) * gauss), F.lit(0.0)).cast("bigint")
-
-    def walked(mean: Column) -> Column:
+    def walked(mean: Column, u: Column) -> Column:
         """Inverse of the cumulative distribution, term by term."""
         start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("upto"), F.lit(0).cast("bigint").alias("k"))
 
@@ -242,9 +238,16 @@ def poisson_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42,
                 term.alias("term"), (s["upto"] + term).alias("upto"), F.when(point >= s["upto"], s["k"] + 1).otherwise(s["k"]).alias("k")
             )
 
-        steps = F.sequence(F.lit(1), F.least(F.lit(limit), (mean * 2 + 40).cast("int")))
+        # Beyond 80 terms the rest of a mean of 16 is below a double's resolution.
+        steps = F.sequence(F.lit(1), F.lit(80))
         return let(u, lambda point: F.aggregate(steps, start, lambda s, i: step(s, i, point), lambda s: s["k"]))
 
     mean = F.lit(float(n)) * F.col(weight) / F.col("_total")
-    count = let(mean, lambda m: F.when(m > limit / 2, approximated(m)).otherwise(walked(m)))
+    parts = let(mean, lambda m: F.greatest(F.ceil(m / 16), F.lit(1)))
+
+    def part(at: Column) -> Column:
+        return walked(mean / parts, F.when(at == 0, hash_unit(f"{seed}:u", key)).otherwise(hash_unit(f"{seed}:u", key, at)))
+
+    each = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), part)
+    count = F.aggregate(each, F.lit(0).cast("bigint"), lambda s, c: s + c)
     return attach_row(df, total).withColumn("n_draws", count).drop("_total")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scales
 from ..functions import sequences as sq
 from . import curation
-from .ranks import running_totals
+from .ranks import join_same, running_totals
 
 
 # Descriptors
@@ -142,7 +142,7 @@ def group_zscore(df: DataFrame, group: str | Sequence[str], value: str, name: st
     keys = [group] if isinstance(group, str) else list(group)
     moments = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
     z = (F.col(value) - F.col("_mean")) / F.greatest(F.col("_std"), F.lit(floor))
-    return df.join(moments, keys).withColumn(name, F.when(F.col("_std").isNotNull(), z)).drop("_mean", "_std")
+    return join_same(df, moments, keys).withColumn(name, F.when(F.col("_std").isNotNull(), z)).drop("_mean", "_std")
 
 
 def visit_numbers(

@@ -23,7 +23,8 @@ def kmer_code(kmer: Column, k: int) -> Column:
     code = F.lit(0).cast("bigint")
     for i in range(1, k + 1):
         code = code * 32 + (F.ascii(F.substring(kmer, i, 1)) - 64)
-    return code
+    # Other characters would share a code with some letters.
+    return F.when(kmer.rlike("[^A-Z]"), F.raise_error(F.concat(F.lit("a k-mer has other characters than A-Z: "), kmer))).otherwise(code)
 
 
 def kmer_vectors(df: DataFrame, keys: list[str], column: str, k: int) -> DataFrame:
@@ -165,7 +166,10 @@ def diversity_penalty(
 ) -> DataFrame:
     """Add ``penalty``: how far the highest similarity to another row of the
     group exceeds the threshold, scaled to [0, 1]."""
-    members = _distinct_members(df, group, column)
+    # A struct of the group equals itself when the group is NULL; a NULL sequence has no similarity and no penalty.
+    keyed = df.withColumn("_group", F.struct(F.col(group).alias("g")))
+    group = "_group"
+    members = _distinct_members(keyed.filter(F.col(column).isNotNull()), group, column)
     if sim == "hamming":
         pairs = _similar_by_hamming(members, group, threshold)
     elif sim == "dipeptide":
@@ -183,7 +187,7 @@ def diversity_penalty(
         .withColumn("_s", F.when((F.col("_n") > 1) & self_similar, F.lit(1.0)).otherwise(F.coalesce("_s", F.lit(0.0))))
         .select(group, F.col("_seq").alias(column), _penalty(F.col("_s"), threshold).alias("penalty"))
     )
-    return df.join(highest, [group, column])
+    return keyed.join(highest, [group, column], "left").select(*df.columns, "penalty")
 
 
 # Sampled pairs
@@ -196,15 +200,17 @@ def mean_pairwise(
     Pair numbers are drawn, decoded to two member numbers and joined, so the
     work is bounded by the sample and no pair outside it is formed.
     """
-    members = hash_ordinal(df.select(group, key, column), key, seed, by=[group], name="_i").withColumn("_i", F.col("_i") - 1)
+    keyed = df.select(F.struct(F.col(group).alias("g")).alias("_group"), key, column)
+    outer, group = group, "_group"  # a struct of the group equals itself when the group is NULL
+    members = hash_ordinal(keyed, key, seed, by=[group], name="_i").withColumn("_i", F.col("_i") - 1)
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
-    totals = sizes.withColumn("_pairs", (F.col("_n") * (F.col("_n") - 1) / 2).cast("bigint"))
+    totals = sizes.withColumn("_pairs", F.expr("_n * (_n - 1) div 2"))
     few = F.col("_pairs") <= 4 * max_pairs
     # Small groups enumerate their pairs; large ones draw twice what is needed and drop repeats.
     slots = totals.withColumn(
         "_d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(few, F.col("_pairs") - 1).otherwise(2 * max_pairs - 1)))
     )
-    draw = hex_int(hash_hex(f"{seed}:pair", group, "_d"), 15)
+    draw = hex_int(hash_hex(f"{seed}:pair", F.col("_group.g"), "_d"), 15)
     numbered = slots.withColumn("_p", F.when(few, F.col("_d")).otherwise(F.pmod(draw, F.col("_pairs")))).withColumn(
         "_o", F.when(few, draw).otherwise(F.col("_d"))
     )
@@ -216,7 +222,7 @@ def mean_pairwise(
     guess = F.floor((F.lit(1.0) + F.sqrt(F.lit(1.0) + F.lit(8.0) * F.col("_p"))) / 2).cast("bigint")
 
     def first_of(j: Column) -> Column:
-        return (j * (j - 1) / 2).cast("bigint")
+        return F.when(j % 2 == 0, F.floor(j / 2) * (j - 1)).otherwise(j * F.floor((j - 1) / 2)).cast("bigint")
 
     settled = F.when(first_of(guess) > F.col("_p"), guess - 1).when(first_of(guess + 1) <= F.col("_p"), guess + 1).otherwise(guess)
     decoded = ranked.withColumn("_j", settled).withColumn("_i", F.col("_p") - first_of(F.col("_j")))
@@ -224,7 +230,8 @@ def mean_pairwise(
     right = members.select(group, F.col("_i").alias("_j"), F.col(column).alias("_b"))
     measure = sq.dipeptide_cosine("_a", "_b") if sim == "dipeptide" else sq.hamming_similarity("_a", "_b")
     scored = decoded.join(left, [group, "_i"]).join(right, [group, "_j"]).select(group, measure.alias("_s"))
-    return scored.groupBy(group).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("_s").alias("mean_similarity"))
+    averaged = scored.groupBy(group).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("_s").alias("mean_similarity"))
+    return averaged.select(F.col("_group.g").alias(outer), "n_pairs", "mean_similarity")
 
 
 # Vectors

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,41 +56,56 @@ def remove_outliers(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> Da
     return mark_outliers(df, columns, k).filter(~F.col("is_outlier")).select(*df.columns)
 
 
-def correlation_pairs(df: DataFrame, vector: Column, names: Sequence[str]) -> DataFrame:
-    """All pairs i < j of a vector column with Pearson r.
+def correlation_pairs(df: DataFrame, columns: Mapping[str, Column], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pearson r of the named pairs, each over the rows where both values are there.
 
-    Spark sums the Gram matrix in the executors; the driver sees one
-    names-by-names matrix, whose size does not depend on the rows.
+    Every task adds up masked moments of its rows, taken around the columns' means; the
+    sums have one row for each pair and task.  A constant column, or fewer than two
+    rows, gives NULL; NaN counts as missing.
     """
-    matrix = Correlation.corr(df.select(vector.alias("v")), "v").first()[0].toArray()
-    pairs = [
-        (a, b, None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-        if i < j
-    ]
-    return df.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, correlation double")
-
-
-def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="skip").transform(doubles)
+    names = list(columns)
+    values = df.select(*[F.nanvl(columns[n].cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, n in enumerate(names)])
+    mean = values.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in values.columns]).first()
+    center = np.array([mean[c] for c in values.columns])
+    left = np.array([names.index(a) for a, _ in pairs], int)
+    right = np.array([names.index(b) for _, b in pairs], int)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, len(left)))
+        for batch in batches:
+            x = batch.to_numpy(float) - center
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            known = there.astype(float)
+            n, one, two, both = known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x
+            total += np.stack([n[left, right], one[left, right], one[right, left], two[left, right], two[right, left], both[left, right]])
+        yield pd.DataFrame({"i": left, "j": right, **dict(zip(MOMENTS, total, strict=True))})
+
+    sums = values.mapInPandas(moments, "i int, j int, " + ", ".join(f"{m} double" for m in MOMENTS)).groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    labels, centers = F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(float(c)) for c in center])
+    x, y = F.col("x") / F.col("n"), F.col("y") / F.col("n")
+    spread_x, spread_y = F.col("xx") / F.col("n") - x * x, F.col("yy") / F.col("n") - y * y
+    varies = (spread_x > 1e-24 * F.pow(F.get(centers, F.col("i")), 2)) & (spread_y > 1e-24 * F.pow(F.get(centers, F.col("j")), 2))
+    r = (F.col("xy") / F.col("n") - x * y) / F.sqrt(spread_x) / F.sqrt(spread_y)
+    correlation = F.when((F.col("n") > 1) & varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return sums.select(F.get(labels, F.col("i")).alias("feature_a"), F.get(labels, F.col("j")).alias("feature_b"), correlation.alias("correlation"))
+
+
+MOMENTS = ("n", "x", "y", "xx", "yy", "xy")
 
 
 def high_correlation(df: DataFrame, columns: Sequence[str], limit: float = 0.9) -> DataFrame:
-    pairs = correlation_pairs(_assembled(df, columns), F.col("_v"), columns)
+    pairs = correlation_pairs(df, {c: F.col(c) for c in columns}, list(combinations(columns, 2)))
     return pairs.filter(F.abs("correlation") > limit)
 
 
 def correlate_blocks(df: DataFrame, vector: str, features: Sequence[str], dims: Sequence[int] | None = None) -> DataFrame:
     """Correlation of chosen vector dimensions with every named feature."""
-    size = len(dims) if dims is not None else df.select(F.size(vector)).first()[0]
+    size = len(dims) if dims is not None else df.select(F.max(F.size(vector))).first()[0]
     chosen = list(dims) if dims is not None else list(range(size))
-    parts = [F.get(F.col(vector), F.lit(d)).cast("double") for d in chosen] + [F.col(f).cast("double") for f in features]
-    names = [f"dim_{d}" for d in chosen] + list(features)
-    pairs = correlation_pairs(df, array_to_vector(F.array(*parts)), names)
-    cross = F.col("feature_a").startswith("dim_") & ~F.col("feature_b").startswith("dim_")
-    return pairs.filter(cross).select(F.col("feature_a").alias("dim"), F.col("feature_b").alias("feature"), "correlation")
+    columns = {f"dim_{d}": F.get(F.col(vector), F.lit(d)) for d in chosen} | {f: F.col(f) for f in features}
+    pairs = correlation_pairs(df, columns, [(f"dim_{d}", f) for d in chosen for f in features])
+    return pairs.select(F.col("feature_a").alias("dim"), F.col("feature_b").alias("feature"), "correlation")
 
 
 def interpret_dims(cross: DataFrame) -> DataFrame:

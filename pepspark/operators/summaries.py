@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..functions.hashing import hash_hex
-from .ranks import attach_row, exact_quantiles
+from .ranks import attach_row, exact_quantiles, join_same
 
 
 def _ratio(condition: Column) -> Column:
@@ -82,7 +82,7 @@ def describe_by(df: DataFrame, columns: Sequence[str], by: str | None = None) ->
         F.max("value").alias("max"),
     )
     quartiles = exact_quantiles(long, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ids)
-    return moments.join(quartiles, ids, "left")
+    return join_same(moments, quartiles, ids, "left")
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -168,7 +168,7 @@ def cluster_profile(df: DataFrame, cluster: str, key: str, n: int = 5, seed: int
     sizes = df.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg(F.length("sequence").cast("double")).alias("mean_length")
     )
-    return sizes.join(samples, cluster)
+    return join_same(sizes, samples, [cluster])
 
 
 def flag_rates(df: DataFrame, a: str, threshold_a: float, b: str, threshold_b: float) -> DataFrame:
@@ -190,23 +190,21 @@ def flag_rates(df: DataFrame, a: str, threshold_a: float, b: str, threshold_b: f
 # Diversity
 
 def residue_entropy(df: DataFrame, by: str, column: str = "sequence") -> DataFrame:
-    """Entropy of pooled residue frequencies over log2(20).
+    """Entropy of pooled character frequencies over log2(20); every character counts.
 
-    The twenty counts are sums of per-row counts, so no residue is exploded.
-    Characters outside the alphabet are counted through an 'other' pool only
-    when they occur; standard sequences have none.
+    The 26 letters are sums of per-row counts, so they are not exploded; only what a
+    row has besides them is.  NULL is a group of its own; a group without characters
+    has entropy 0.
     """
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    sums = df.groupBy(by).agg(*[F.sum(sq.residue_count(column, x)).alias(f"n_{x}") for x in letters])
-    counts = F.array(*[F.col(f"n_{x}").cast("double") for x in letters])
-    total = F.aggregate(counts, F.lit(0.0), lambda s, n: s + n)
-    pooled = sums.select(by, counts.alias("_n"), total.alias("_t"))
-    terms = F.aggregate(
-        "_n",
-        F.lit(0.0),
-        lambda s, n: s - F.when(n > 0, n / F.col("_t") * F.log2(n / F.col("_t"))).otherwise(F.lit(0.0)),
-    )
-    return pooled.select(by, F.when(F.col("_t") > 0, terms / F.log2(F.lit(20.0))).otherwise(0.0).alias("entropy"))
+    sums = df.groupBy(by).agg(*[F.sum(sq.residue_count(column, x)).alias(x) for x in letters])
+    counted = sums.unpivot([by], list(letters), "_letter", "_n")
+    others = df.select(by, F.explode(F.split(F.regexp_replace(column, "[A-Z]", ""), "")).alias("_letter")).filter("_letter <> ''")
+    counted = counted.unionByName(others.groupBy(by, "_letter").agg(F.count(F.lit(1)).alias("_n"))).withColumn("_n", F.coalesce("_n", F.lit(0)).cast("double"))
+    # At most one row per group and character of the alphabet in use.
+    shares = counted.withColumn("_p", F.try_divide(F.col("_n"), F.sum("_n").over(Window.partitionBy(by))))
+    terms = F.when(F.col("_p") > 0, -F.col("_p") * F.log2("_p")).otherwise(F.lit(0.0))
+    return shares.groupBy(by).agg((F.sum(terms) / F.log2(F.lit(20.0))).alias("entropy"))
 
 
 def kmer_diversity(df: DataFrame, by: str, k: int = 2, column: str = "sequence") -> DataFrame:
@@ -216,7 +214,7 @@ def kmer_diversity(df: DataFrame, by: str, k: int = 2, column: str = "sequence")
     )
     per_group = counted.groupBy(by).agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n_total"))
     groups = df.select(by).distinct()
-    return groups.join(per_group, by, "left").select(
+    return join_same(groups, per_group, [by], "left").select(
         by,
         F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
         F.coalesce("n_total", F.lit(0)).alias("n_total"),

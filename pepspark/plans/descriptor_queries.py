@@ -280,7 +280,7 @@ def _(spark, path):
 @query(
     "x26_shuffle_residues",
     """select id, array_to_string(list_transform(list_sort(list_transform(range(length(sequence)), lambda i:
-         {'h': md5('42:' || i), 'i': i, 'ch': substr(sequence, i + 1, 1)})), lambda s: s.ch), '') as scrambled from peptides""",
+         {'h': md5('42:' || sequence || ':' || i), 'i': i, 'ch': substr(sequence, i + 1, 1)})), lambda s: s.ch), '') as scrambled from peptides""",
 )
 def _(spark, path):
     return p(spark, path).select("id", sq.shuffle_residues("sequence").alias("scrambled"))

@@ -307,7 +307,7 @@ def _(spark, path):
 
 
 SCRAMBLE = """array_to_string(list_transform(list_sort(list_transform(range(length(sequence)), lambda i:
-    {'h': md5('42:' || i), 'i': i, 'ch': substr(sequence, i + 1, 1)})), lambda s: s.ch), '')"""
+    {'h': md5('42:' || sequence || ':' || i), 'i': i, 'ch': substr(sequence, i + 1, 1)})), lambda s: s.ch), '')"""
 ADJACENT = "(select count(*) from unnest(range(1, length({s}))) t(i) where substr({s}, i::int, 1) = substr({s}, i::int + 1, 1))"
 
 

@@ -188,7 +188,15 @@ def _(spark, path):
     return sa.weighted_sample(e, "event_id", "value", 5000).select("draw", "event_id")
 
 
-@query("w14_poisson_sample")
+@query(
+    "w14_poisson_sample",
+    """with m as (select event_id, 5000::double * value / (select sum(value) from events) as mean from events),
+      d as (select event_id, mean / greatest(ceil(mean / 16), 1) as mean, unnest(range(greatest(ceil(mean / 16), 1)::bigint)) as part from m),
+      c as (select event_id, part, ('0x' || substr(md5('42:u:' || event_id || case when part = 0 then '' else ':' || part end), 1, 8))::bigint / 4294967296.0::double as u,
+          sum(exp(-mean) * power(mean, k) / gamma(k + 1)) over (partition by event_id, part order by k) as upto
+        from d cross join (select unnest(range(80)) as k))
+      select event_id, (count(*) filter (u >= upto))::bigint as n_draws from c group by event_id having count(*) filter (u >= upto) > 0""",
+)
 def _(spark, path):
     e = views.table(spark, path, "events").select("event_id", "value")
     return sa.poisson_sample(e, "event_id", "value", 5000).filter("n_draws > 0").select("event_id", "n_draws")

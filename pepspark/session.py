@@ -35,8 +35,8 @@ def session(master: str | None = None, app: str = "pepspark", **conf: str) -> Sp
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The folder for reliable checkpoints.
 
-    The shared folder named by ``spark.checkpoint.dir`` wins.  Only when the
-    cluster names none (local tests) is one created.
+    The shared folder named by ``spark.checkpoint.dir`` wins.  Only a
+    single-machine session that names none gets a temporary one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -44,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if current:
         return current
     if not named:
+        if not fallback and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         named = fallback or tempfile.mkdtemp(prefix="pepspark-ckpt-")
