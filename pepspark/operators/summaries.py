@@ -197,8 +197,8 @@ def residue_entropy(df: DataFrame, by: str, column: str = "sequence") -> DataFra
     has entropy 0.
     """
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    sums = df.groupBy(by).agg(*[F.sum(sq.residue_count(column, x)).alias(x) for x in letters])
-    counted = sums.unpivot([by], list(letters), "_letter", "_n")
+    sums = df.groupBy(by).agg(*[F.sum(sq.residue_count(column, x)).alias(f"_{x}") for x in letters])
+    counted = sums.unpivot([by], [f"_{x}" for x in letters], "_letter", "_n").withColumn("_letter", F.substring("_letter", 2, 1))
     others = df.select(by, F.explode(F.split(F.regexp_replace(column, "[A-Z]", ""), "")).alias("_letter")).filter("_letter <> ''")
     counted = counted.unionByName(others.groupBy(by, "_letter").agg(F.count(F.lit(1)).alias("_n"))).withColumn("_n", F.coalesce("_n", F.lit(0)).cast("double"))
     # At most one row per group and character of the alphabet in use.
