@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, PrefixHash, components, materialize, mix, runs, source_columns, texts
+from .common import Forest, PrefixHash, components, growing, materialize, mix, runs, source_columns, texts
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -322,7 +322,7 @@ def membership(
     made = materialize(signatures(docs, words, percent, doc_id, text), "signatures")
     keys = made.select("node", F.explode("keys").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub"), "shared_keys")
-    near = keys.join(shared, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    near = keys.join(growing(shared), "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(near)
     nodes = materialize(made.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha")).alias("pick")).filter("node is not null"), "shingle_nodes")
     wanted = materialize(groups.join(nodes, "node").select("node", F.col("root").alias("grp"), F.col("pick.doc_id").alias("pick_id"), F.col("pick.sha").alias("pick_sha"), "n"), "near_nodes")
@@ -339,11 +339,11 @@ def membership(
                 yield pa.RecordBatch.from_arrays([c.filter(good) for c in (pa.array(node), batch.column(2).slice(lo, hi - lo), lists)], ["node", "grp", "items"])
 
     rows = source_columns(docs, doc_id=F.col(doc_id).cast("long"), text=F.col(text).cast("string"))
-    picked = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.pick_id)).select("text", "node", "grp")
+    picked = rows.join(growing(wanted), rows.doc_id.eqNullSafe(wanted.pick_id)).select("text", "node", "grp")
     sets = materialize(picked.mapInArrow(items, "node long, grp long, items array<long>"), "near_sets")
     sizes = wanted.groupBy("grp").agg(F.sum("n").alias("total"))
     parted = sets.join(sizes, "grp").withColumn("parts", F.ceil(F.col("total") / block))
-    buckets = max(1, int(wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (block // 4)))
+    buckets = max(1, int(wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (block // 16)))
     small = parted.filter("parts = 1").select(F.pmod(F.xxhash64("grp"), F.lit(buckets)).alias("cell"), "grp", F.lit(0).alias("part"), F.lit(0).alias("one"), F.lit(0).alias("two"), "node", "items")
     work = lambda t: join_block(t, percent)
     edges = materialize(small.groupBy("cell").applyInArrow(work, "a long, b long"), "near_links")
@@ -377,7 +377,7 @@ def membership(
     roots = components(edges)
     smallest = roots.join(nodes, "node").groupBy("root").agg(F.min("least_id").alias("component"))
     decided = materialize(nodes.join(roots, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("component", "least_id").alias("component")), "near_components")
-    joined = made.select("doc_id", "sha", "n_shingles", "node").join(decided, "node", "left")
+    joined = made.select("doc_id", "sha", "n_shingles", "node").join(growing(decided), "node", "left")
     return joined.select("doc_id", "sha", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
@@ -387,4 +387,4 @@ def kept_rows(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str =
     drop = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.lower(F.hex("sha")).alias("_sha")).distinct()
     drop = materialize(drop, "near_dropped")
     marked = docs.select(F.col(doc_id).cast("long").alias("_own_id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_own_sha"), F.struct("*").alias("_row"))
-    return marked.join(drop, marked["_own_id"].eqNullSafe(drop["_id"]) & (marked["_own_sha"] == drop["_sha"]), "left_anti").select("_row.*")
+    return marked.join(growing(drop), marked["_own_id"].eqNullSafe(drop["_id"]) & (marked["_own_sha"] == drop["_sha"]), "left_anti").select("_row.*")
