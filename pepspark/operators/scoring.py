@@ -195,21 +195,31 @@ def register_scorer(name: str, fn: Scorer) -> None:
     _SCORERS[name] = fn
 
 
-def scorer_udf(name: str):
+def scorer_udf(name: str, most: int = 200):
+    """The scorer as a column function; one call gets at most ``most`` rows, whatever the session's Arrow batches."""
     fn = _SCORERS[name]
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sizes: list[int] = []
+        calls: list[int] = []
 
-        def watched() -> Iterator[pd.Series]:
+        def chunks() -> Iterator[pd.Series]:
             for batch in batches:
-                sizes.append(len(batch))
-                yield batch
-
-        for i, scores in enumerate(fn(watched())):
+                calls.append(max(1, -(-len(batch) // most)))
+                for at in range(0, max(len(batch), 1), most):
+                    part = batch.iloc[at : at + most]
+                    sizes.append(len(part))
+                    yield part
+
+        held: list[pd.Series] = []
+        done = 0
+        for i, scores in enumerate(fn(chunks())):
             if len(scores) != sizes[i]:
                 raise ValueError(f"scorer {name}: {len(scores)} scores for {sizes[i]} sequences")
-            yield pd.Series(scores, dtype="float64")
+            held.append(pd.Series(scores, dtype="float64"))
+            if len(held) == calls[done]:
+                yield pd.concat(held, ignore_index=True)
+                held, done = [], done + 1
 
     # Annotations must be real types: the UDF kind is read from them.
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
@@ -218,8 +228,7 @@ def scorer_udf(name: str):
 
 def score_column(df: DataFrame, name: str, batch: int = 200, column: str = "sequence", output: str | None = None) -> DataFrame:
     """Add the scorer's column; ``batch`` bounds the rows of one call."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
-    return df.withColumn(output or f"{name}_score", scorer_udf(name)(F.col(column)))
+    return df.withColumn(output or f"{name}_score", scorer_udf(name, batch)(F.col(column)))
 
 
 def linear_probability(features: Mapping[str, float], intercept: float = 0.0) -> Column:

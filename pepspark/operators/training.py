@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import metrics
 
-# Search space, as (low, high, kind).
+# The default search space, as (low, high, kind); a caller may bring another.
 SEARCH_SPACE = {
     "maxIter": (20, 120, "int"),
     "maxDepth": (3, 10, "int"),
@@ -98,6 +98,7 @@ def search_gbt(
         rows.append((i, score, str(sorted(params.items()))))
         if best is None or score > best[0]:
             best = (score, model)
+    cached.unpersist()
     trials = df.sparkSession.createDataFrame(rows, "trial int, validation_mcc double, params string")
     return best[1], trials
 
@@ -112,7 +113,9 @@ def ablation(
             model = train_gbt(df, label, features, split, seed, **params)
             scored = predict_gbt(model, df, label, features, split)
             row = metrics.best_threshold(scored.filter("split = 'val'"), "y", "p").select("threshold").first()
-            threshold = float(row["threshold"]) if row else 0.5
+            if row is None:
+                raise ValueError(f"{label}: no validation rows to choose a threshold on")
+            threshold = float(row["threshold"])
             test = scored.filter("split = 'test'").withColumn("model", F.lit(name))
             report = metrics.classification_report(test, "y", "p", threshold, ["model"])
             line = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.ranks import join_same
 from ..operators.scoring import visit_numbers
 
 COMPOUND_SCHEMA = "step int, sequence string, reward double, cluster_id int"
@@ -35,6 +36,14 @@ def _exists(spark: SparkSession, path: str):
         raise
 
 
+def _state(spark: SparkSession, folder: str, batch_id: int):
+    """What the batch before wrote; only the first batch has none."""
+    before = _exists(spark, f"{folder}/batch={batch_id - 1}")
+    if before is None and batch_id > 0:
+        raise ValueError(f"{folder} lacks the state of batch {batch_id - 1}; totals would start again from nothing")
+    return before
+
+
 def _trigger(writer, once: bool, interval: str):
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
 
@@ -64,7 +73,7 @@ def monitor_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = batch.orderBy(*[F.desc(c) for c in order]).limit(last).select(*fields)
-        before = _exists(spark, f"{folder}/progress/batch={batch_id - 1}")
+        before = _state(spark, f"{folder}/progress", batch_id)
         counted = batch.agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("latest"))
         if before is None:
             total, latest = F.col("n"), F.col("latest")
@@ -146,13 +155,13 @@ def visitation_stream(
     check_fingerprint(spark, folder, f"visits keys={keys} order={order}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = _exists(spark, f"{folder}/visits/batch={batch_id - 1}")
+        before = _state(spark, f"{folder}/visits", batch_id)
         numbered = visit_numbers(batch, keys=keys, order=order)
         counts = batch.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         if before is not None:
             earlier = before.select(*keys, F.col("n").alias("_before"))
             numbered = (
-                numbered.join(earlier, list(keys), "left")
+                join_same(numbered, earlier, list(keys), "left")
                 .withColumn("visits", F.col("visits") + F.coalesce("_before", F.lit(0)))
                 .drop("_before")
             )
