@@ -41,7 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, executors may go."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that only written tables were made from."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def growing(df: DataFrame) -> DataFrame:
@@ -182,10 +192,12 @@ def components(edges: DataFrame) -> DataFrame:
         arcs = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), order("b").alias("to")), F.struct(F.col("b").alias("node"), order("a").alias("to")))).alias("x")).select("x.*")
         steps = arcs.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least(F.col("to"), order("node"))["id"].alias("to"))
         steps = materialize(steps, "steps")
-        labels = materialize(
-            labels.join(steps, labels.root == steps.node, "left").select(labels.node, F.coalesce(steps["to"], labels.root).alias("root")), "labels"
-        )
+        moved = labels.join(steps, labels.root == steps.node, "left").select(labels.node, F.coalesce(steps["to"], labels.root).alias("root"))
+        before = (labels, edges, steps)
+        labels = materialize(moved, "labels")
         left = edges.join(steps, edges.a == steps.node).select(F.col("to").alias("a"), "b")
         left = left.join(steps, left.b == steps.node).select("a", F.col("to").alias("b"))
         edges = materialize(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        discard(*before)
+    discard(edges)
     return labels

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, growing, materialize
+from .common import Forest, components, discard, growing, materialize
 
 SLACK = 1e-5  # covers single-precision products of codes and the rounding of the bounds
 
@@ -131,6 +131,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tile: int = 4096, ve
     smallest = known.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("root_id"))
     own = known.join(links, "node", "left").join(roots.join(smallest, "root"), "node", "left")
     decided = materialize(own.select("kind", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("root_id", "least_id").alias("component")), "vector_groups")
+    discard(known, found, roots)
     component = F.when(F.col("kind").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return (
         rows.select("vec_id", "kind")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import growing, materialize, source_columns, texts
+from .common import discard, growing, materialize, source_columns, texts
 
 #: What counts as white space; deleted before texts are compared.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -44,7 +44,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return rows.mapInArrow(work, "doc_id long, sha binary, n_bytes long, check binary, points long")
 
 
-def tree_merge(rows: DataFrame, fan_in: int = 16, leaves: int | None = None) -> DataFrame:
+def tree_merge(rows: DataFrame, fan_in: int = 16, leaves: int | None = None, written: list[DataFrame] | None = None) -> DataFrame:
     """One row for each digest: (sha, n_bytes, check, keep_id, group_size, points).
 
     Every partition first reduces its rows to a sorted run with one entry for each
@@ -54,7 +54,8 @@ def tree_merge(rows: DataFrame, fan_in: int = 16, leaves: int | None = None) ->
     with most code points, then smallest id.  After the last round partition p alone
     holds the digests of range p.  A partition never gets more than one entry of a
     digest from each of ``fan_in`` others, so copies of one text cannot gather.
-    Entries are one only if length and a second digest agree as well, so a collision
+    The table that the first round reads is appended to ``written`` for the caller to
+    discard.  Entries are one only if length and a second digest agree as well, so a collision
     of the first would split, not join, a group.
     """
     spark = rows.sparkSession
@@ -68,6 +69,8 @@ def tree_merge(rows: DataFrame, fan_in: int = 16, leaves: int | None = None) ->
     # The leading 31 bits place a digest; the digits of that number are its path.
     lead = F.conv(F.substring(F.hex("sha"), 1, 8), 16, 10).cast("long")
     run = materialize(first.withColumn("home", (lead % F.lit(size**rounds)).cast("int")), "digest_runs")
+    if written is not None:
+        written.append(run)
     for r in range(rounds):
         digit = size**r
         # Partition p passes an entry to the partition that has p's digits but the entry's own r-th one.
@@ -108,7 +111,9 @@ def membership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     ``kept``; ``kept_rows`` leaves one of them.
     """
     rows = materialize(digests(docs, doc_id, text), "digests")
-    groups = materialize(tree_merge(rows), "digest_groups")
+    runs: list[DataFrame] = []
+    groups = materialize(tree_merge(rows, written=runs), "digest_groups")
+    discard(*runs)
     joined = rows.join(growing(groups.withColumnRenamed("points", "most")), KEY, "left")
     return joined.select(
         "doc_id",

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, PrefixHash, components, growing, materialize, mix, runs, source_columns, texts
+from .common import Forest, PrefixHash, components, discard, growing, materialize, mix, runs, source_columns, texts
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -319,11 +319,13 @@ def membership(
     No group, key or pair is capped: every pair of a group is either pruned by a bound,
     joined already, or counted exactly.
     """
-    made = materialize(signatures(docs, words, percent, doc_id, text), "signatures")
-    keys = made.select("node", F.explode("keys").alias("key"))
+    signed = materialize(signatures(docs, words, percent, doc_id, text), "signatures")
+    made = materialize(signed.drop("keys"), "shingle_rows")
+    keys = signed.select("node", F.explode("keys").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub"), "shared_keys")
     near = keys.join(growing(shared), "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(near)
+    discard(signed, shared)
     nodes = materialize(made.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha")).alias("pick")).filter("node is not null"), "shingle_nodes")
     wanted = materialize(groups.join(nodes, "node").select("node", F.col("root").alias("grp"), F.col("pick.doc_id").alias("pick_id"), F.col("pick.sha").alias("pick_sha"), "n"), "near_nodes")
 
@@ -341,6 +343,7 @@ def membership(
     rows = source_columns(docs, doc_id=F.col(doc_id).cast("long"), text=F.col(text).cast("string"))
     picked = rows.join(growing(wanted), rows.doc_id.eqNullSafe(wanted.pick_id)).select("text", "node", "grp")
     sets = materialize(picked.mapInArrow(items, "node long, grp long, items array<long>"), "near_sets")
+    discard(groups)
     sizes = wanted.groupBy("grp").agg(F.sum("n").alias("total"))
     parted = sets.join(sizes, "grp").withColumn("parts", F.ceil(F.col("total") / block))
     buckets = max(1, int(wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (block // 16)))
@@ -377,6 +380,7 @@ def membership(
     roots = components(edges)
     smallest = roots.join(nodes, "node").groupBy("root").agg(F.min("least_id").alias("component"))
     decided = materialize(nodes.join(roots, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("component", "least_id").alias("component")), "near_components")
+    discard(nodes, wanted, sets, roots)
     joined = made.select("doc_id", "sha", "n_shingles", "node").join(growing(decided), "node", "left")
     return joined.select("doc_id", "sha", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialize, mix, runs, source_columns, texts
+from .common import bounded_sample, discard, materialize, mix, runs, source_columns, texts
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -149,6 +149,7 @@ def fit(docs: DataFrame, most: int = 2_000) -> Model:
         right.setdefault(r.bit, []).append((1 + r.s * float(sides[r.lang][r.bit])) / 2)
         sizes.append(abs(r.m))
     model.trust = np.array([max(0.05, 2 * float(np.mean(right[b])) - 1) if b in right else 0.05 for b in range(code.shape[1])])
+    discard(sample)
     model.gain = 3.0 / max(float(np.mean(sizes)), 1e-6) if sizes else 1.0
     return model
 

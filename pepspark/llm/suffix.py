@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, growing, materialize, mix, runs, texts
+from .common import PrefixHash, discard, growing, materialize, mix, runs, texts
 
 IDENTITY = ["doc", "n_bytes"]
 
@@ -134,25 +134,27 @@ class LevelIndex:
 
     A suffix array is a table of the sampled suffixes' fingerprints (f) in order, with how often each
     occurs.  A batch is scanned against every level in order, then becomes a
-    level; two levels of one size merge into one of twice the size, so a suffix is
-    rewritten a logarithmic number of times.
+    level; before the next one comes, two levels of one size merge into one of twice the
+    size, so a suffix is rewritten a logarithmic number of times.
     """
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
+        self.tables: list[DataFrame] = []  # all that was written and is still there
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Insert a batch of suffixes (f); the fingerprints that it shares with a level or within itself."""
-        own = materialize(batch.groupBy("f").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("f"), "suffix_array")
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, one), (_, two) = self.levels.pop(), self.levels.pop()
+            merged = one.unionByName(two).groupBy("f").agg(F.sum("n").cast("int").alias("n")).sortWithinPartitions("f")
+            self.levels.append((2 * size, materialize(merged, "suffix_array")))
+            self.tables.append(self.levels[-1][1])
+        own = materialize(batch.groupBy("f").agg(F.count(F.lit(1)).cast("int").alias("n")).sortWithinPartitions("f"), "suffix_array")
         hits = own.filter("n > 1").select("f")
         for _, level in self.levels:
             hits = hits.unionByName(own.join(growing(level.select("f")), "f", "left_semi").select("f"))
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            _, other = self.levels.pop()
-            own = materialize(other.unionByName(own).groupBy("f").agg(F.sum("n").alias("n")).sortWithinPartitions("f"), "suffix_array")
-            size *= 2
-        self.levels.append((size, own))
+        self.levels.append((1, own))
+        self.tables.append(own)
         return hits
 
 
@@ -175,27 +177,31 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
     Groups are only counted and joined, never gathered; a fingerprint that a third of
     all texts share is a skewed join key, which adaptive execution splits.
     """
-    made = materialize(suffixes(docs, length, doc_id, text), "suffixes")
+    taken = materialize(suffixes(docs, length, doc_id, text), "suffixes")
+    made = materialize(taken.select("doc_id", *IDENTITY, "sha"), "suffix_rows")
     index, found = LevelIndex(), None
     for b in range(batches):
-        part = made.filter(F.pmod(F.hash("doc"), F.lit(batches)) == b).select(F.explode("f").alias("f"))
+        part = taken.filter(F.pmod(F.hash("doc"), F.lit(batches)) == b).select(F.explode("f").alias("f"))
         hits = index.add(part)
         found = hits if found is None else found.unionByName(hits)
     shared = materialize(found.distinct(), "shared_suffixes")
-    every = made.select("doc", "n_bytes", F.explode(F.arrays_zip("f", "e", "start", "count")).alias("x")).select("x.f", "x.e", "doc", "n_bytes", "x.start", "x.count")
+    every = taken.select("doc", "n_bytes", F.explode(F.arrays_zip("f", "e", "start", "count")).alias("x")).select("x.f", "x.e", "doc", "n_bytes", "x.start", "x.count")
     near = materialize(every.join(growing(shared), "f"), "near_suffixes")
+    discard(taken, shared, *index.tables)
     kinds = materialize(near.groupBy("f", "e").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "n_bytes", "start", "count")).alias("pick")), "block_kinds")
     several = kinds.groupBy("f").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("f")
-    picks = kinds.join(materialize(several, "mixed_suffixes"), "f").select("f", "times", "pick.*")
+    several = materialize(several, "mixed_suffixes")
+    picks = kinds.join(several, "f").select("f", "times", "pick.*")
     twice = kinds.filter("times > 1").select("f", "e")
     stop = F.col("start") + F.col("count") - 1 + length
     marks = near.join(growing(twice), ["f", "e"]).select(*IDENTITY, F.col("start").cast("long").alias("start"), stop.cast("long").alias("stop"))
     marks = materialize(marks, "whole_blocks")
+    near_docs = materialize(near.select(*IDENTITY).distinct(), "near_names")
+    discard(near)
     copies = materialize(made.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copied_texts")
-    needed = near.select(*IDENTITY).distinct()
     doc, size = identity(text)
     held = docs.select(doc.alias("doc"), size.alias("n_bytes"), whole(text).alias("text")).filter(F.col("n_bytes") >= length)
-    held = held.groupBy(*IDENTITY).agg(F.first("text").alias("text")).join(growing(needed), IDENTITY, "left_semi")
+    held = held.groupBy(*IDENTITY).agg(F.first("text").alias("text")).join(growing(near_docs), IDENTITY, "left_semi")
     held = materialize(held, "near_texts")
 
     def passages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,19 +215,20 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
                 count = np.array([w["count"] for w in wanted], np.int64)
                 which = np.repeat(np.arange(len(wanted)), count)
                 start = np.repeat(first, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                f = np.array([w["f"] for w in wanted], np.int64)[which]
+                # 32 bits of f beside the 64 of the passage itself: passages only meet within one f.
+                f = np.array([w["f"] for w in wanted], np.int64).astype(np.int32)[which]
                 single = np.array([w["times"] == 1 for w in wanted])[which]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(f), pa.array(hashes.ranges(start, start + length).view(np.int64)), pa.array(np.full(len(start), names[i])), pa.array(np.full(len(start), sizes[i])), pa.array(start), pa.array(single)],
+                    [pa.array(f), pa.array(hashes.ranges(start, start + length).view(np.int64)), pa.array(np.full(len(start), names[i])), pa.array(np.full(len(start), sizes[i], np.int32)), pa.array(start.astype(np.int32)), pa.array(single)],
                     ["f", "w", *IDENTITY, "start", "single"],
                 )
 
     by_text = picks.groupBy(*IDENTITY).agg(F.collect_list(F.struct("f", "times", "start", "count")).alias("picked"))
     single = materialize(
-        held.join(by_text, IDENTITY).select(*IDENTITY, "picked", "text").mapInArrow(passages, "f long, w long, doc long, n_bytes long, start long, single boolean"), "passages"
+        held.join(by_text, IDENTITY).select(*IDENTITY, "picked", "text").mapInArrow(passages, "f int, w long, doc long, n_bytes int, start int, single boolean"), "passages"
     )
     again = materialize(single.groupBy("f", "w").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("f", "w"), "repeated_passages")
-    fine = single.filter("single").join(growing(again), ["f", "w"]).select(*IDENTITY, "start", (F.col("start") + length).alias("stop"))
+    fine = single.filter("single").join(growing(again), ["f", "w"]).select("doc", *[c.cast("long").alias(n) for n, c in (("n_bytes", F.col("n_bytes")), ("start", F.col("start")), ("stop", F.col("start") + length))])
 
     def cutting(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -250,7 +257,9 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
         *IDENTITY, F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"), F.lit(b"").alias("kept"), F.unhex(F.sha2(F.lit(b""), 256)).alias("kept_sha"),
     )
-    return made.select("doc_id", *IDENTITY, "sha"), materialize(partial.unionByName(gone), "cuts")
+    cut = materialize(partial.unionByName(gone), "cuts")
+    discard(kinds, several, marks, near_docs, copies, held, single, again)
+    return made, cut
 
 
 def membership(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialize, source_columns, texts
+from .common import bounded_sample, discard, materialize, source_columns, texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = range(4, 9)  # prefix lengths that are units beside the whole word
@@ -196,6 +196,7 @@ def fit(
     surprise = scored(sample, model).join(sample.select("doc_id", "label"), "doc_id").select("surprise", "label")
     bins = surprise.groupBy(F.round("surprise", 1).alias("x"), "label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most the sample
     model.slope, model.intercept = _logistic(np.array([[r.x, r.label, r.n] for r in bins], float))
+    discard(sample, counted)
     return model
 
 
