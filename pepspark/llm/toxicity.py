@@ -153,20 +153,23 @@ def count_units(labelled: DataFrame) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, most: int = 10_000, prior: float = 0.05, least_share: float = 0.002, least_z: float = 4.0
+    docs: DataFrame, labels: DataFrame, most: int = 10_000, prior: float = 0.05, least_share: float = 0.002, least_odds: float = 1.5
 ) -> Model:
     """Learn from ``labels`` (doc_id, label 0/1) and the texts of ``docs``.
 
     At most ``most`` labelled documents of each label take part, the first in hash
     order; equal texts count once.  A unit's log-odds have an informative Dirichlet
     prior: pseudo-counts of ``prior`` times the sample's size, dealt by the unit's
-    share in both labels together.  A unit is scored if its z-score is at least
-    ``least_z`` and at least ``least_share`` of the toxic texts have it, so there are at
-    most (units of a text) / ``least_share`` of them.  All other tokens share one
-    weight.  Without toxic or without clean rows nothing is scored and every
+    share in both labels together.  A unit is scored if the odds' lower bound (two
+    standard errors) is at least ``least_odds``, which no word reaches that is merely a
+    little more frequent in toxic texts however many texts there are, and if at least
+    ``least_share`` of the toxic texts have it, so there are at most (units of a text) /
+    ``least_share`` of them.  All other tokens share one weight.  The calibration weighs
+    the sample by the labels' true numbers.  Without toxic or without clean rows nothing is scored and every
     probability is the share of toxic rows (0 without any).
     """
     one = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    true = {r.label: r.n for r in one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = F.broadcast(bounded_sample(one, "label", "doc_id", most))  # at most twice ``most`` ids
     found = source_columns(docs, doc_id=F.col("doc_id").cast("long"), text=F.coalesce(F.col("text"), F.lit(""))).join(chosen, "doc_id")
     sample = materialize(found.groupBy(F.md5("text").alias("_sha")).agg(F.first("text").alias("text"), F.max("label").alias("label"), F.min("doc_id").alias("doc_id")), "toxicity_sample")
@@ -182,11 +185,9 @@ def fit(
     for row in strong:
         pseudo = mass * (row.toxic + row.clean) / (toxic + clean)
         a, b = row.toxic + pseudo, row.clean + pseudo
-        odds = math.log(a / (toxic + mass - a)) - math.log(b / (clean + mass - b))
-        z = odds / math.sqrt(1 / a + 1 / b)
-        if z >= least_z:
-            exact = math.log((row.toxic + 0.5) / (toxic + 1)) - math.log((row.clean + 0.5) / (clean + 1))
-            weights[row.unit] = min(odds, exact) if exact > 0 else odds
+        odds = math.log(a / (toxic + mass - a)) - math.log(b / (clean + mass - b)) - 2 * math.sqrt(1 / a + 1 / b)
+        if odds >= least_odds:
+            weights[row.unit] = odds
     model = Model(weights, -1e-3)
     # Hits for each token of either label give the weight of all the other tokens.
     totals = _hit_totals(sample, model)
@@ -195,7 +196,7 @@ def fit(
     model.decay = _decay(model, totals[0])
     surprise = scored(sample, model).join(sample.select("doc_id", "label"), "doc_id").select("surprise", "label")
     bins = surprise.groupBy(F.round("surprise", 1).alias("x"), "label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most the sample
-    model.slope, model.intercept = _logistic(np.array([[r.x, r.label, r.n] for r in bins], float))
+    model.slope, model.intercept = _logistic(np.array([[r.x, r.label, r.n * true[r.label] / (toxic if r.label else clean)] for r in bins], float))
     discard(sample, counted)
     return model
 
