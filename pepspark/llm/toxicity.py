@@ -153,7 +153,7 @@ def count_units(labelled: DataFrame) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, most: int = 10_000, prior: float = 0.05, least_share: float = 0.002, least_odds: float = 1.5
+    docs: DataFrame, labels: DataFrame, most: int = 10_000, prior: float = 0.05, least_share: float = 0.002, least_odds: float = 1.0
 ) -> Model:
     """Learn from ``labels`` (doc_id, label 0/1) and the texts of ``docs``.
 
@@ -185,8 +185,8 @@ def fit(
     for row in strong:
         pseudo = mass * (row.toxic + row.clean) / (toxic + clean)
         a, b = row.toxic + pseudo, row.clean + pseudo
-        odds = math.log(a / (toxic + mass - a)) - math.log(b / (clean + mass - b)) - 2 * math.sqrt(1 / a + 1 / b)
-        if odds >= least_odds:
+        odds = math.log(a / (toxic + mass - a)) - math.log(b / (clean + mass - b))
+        if odds - 2 * math.sqrt(1 / a + 1 / b) >= least_odds:
             weights[row.unit] = odds
     model = Model(weights, -1e-3)
     # Hits for each token of either label give the weight of all the other tokens.
