@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -15,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, source_columns, texts
+from .common import growing, materialize, source_columns, texts
 
 #: Words of letters whose lower-casing and composition are one character to one, then plain punctuation.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?]*)")
@@ -26,7 +25,7 @@ class WordTokenizer:
 
     The vocabulary drops white space and never joins across it, so a text's ids are
     those of its ASCII-white-space-separated words in order.  Two generations of words
-    are remembered, each of at most ``most``; the memo changes speed only.
+    and the runs in them are remembered, each of at most ``most``; that changes speed only.
     """
 
     def __init__(self, path: str, most: int = 250_000):
@@ -37,21 +36,30 @@ class WordTokenizer:
         self.most = most
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         codes = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in codes]
         # Bytes as the printable characters that byte-level vocabularies are written in.
         self.printable = {b: chr(b) for b in codes} | {b: chr(256 + i) for i, b in enumerate(others)}
 
+    def piece(self, text: str) -> bytes:
+        """Ids of one run of letters or marks in lower case."""
+        got = self.pieces.get(text)
+        if got is None:
+            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.printable))
+            got = np.array([t.id for t in tokens], "<u4").tobytes()
+            if len(self.pieces) >= self.most:
+                self.pieces.clear()
+            self.pieces[text] = got
+        return got
+
     def slow(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         simple = SIMPLE.fullmatch(text)
         if simple:
             letters, marks = simple.groups()
-            pieces = [unicodedata.normalize("NFC", letters).lower()] + ([marks] if marks else [])
-            ids = [t.id for p in pieces for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.printable))]
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            return self.piece(letters.lower()) + (self.piece(marks) if marks else b"")
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing(self, word: bytes) -> bytes:
         got = self.old.get(word)
@@ -64,15 +72,12 @@ class WordTokenizer:
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids."""
-        find, miss = self.young.get, self.__missing
-        out = []
-        for word in text.split():
-            got = find(word)
-            if got is None:
-                got = miss(word)
-                find = self.young.get
-            out.append(got)
-        return b"".join(out)
+        words = text.split()
+        got = list(map(self.young.get, words))
+        if None in got:
+            for i in [i for i, x in enumerate(got) if x is None]:
+                got[i] = self.__missing(words[i])
+        return b"".join(got)
 
 
 TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -191,7 +196,7 @@ def pack(
     histogram = {r.length: r.n for r in starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = np.array(sorted(plan(histogram, capacity)), np.int64).reshape(-1, 6)
     keys = slots[:, 0] << 48 | slots[:, 1]
-    ranked = made.join(starts.drop("n"), ["length", "part"], "left").withColumn("rank", F.col("nth") + F.col("before"))
+    ranked = made.join(growing(starts.drop("n")), ["length", "part"], "left").withColumn("rank", F.col("nth") + F.col("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
