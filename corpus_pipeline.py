@@ -28,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of passages of 400 bytes that occur twice; n_chars follows."""
-    return suffix.cut_rows(docs, length=400).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, without the passages of over 50 words, or of 400 bytes, that occur twice; n_chars follows."""
+    return suffix.cut_rows(docs, length=400, words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,8 +95,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
 class PrefixHash:
-    """Hashes of any byte range of a buffer in constant time (polynomial, modulo 2**64)."""
+    """Hashes of any range of a buffer of bytes, or of 64-bit hashes, in constant time (polynomial, modulo 2**64)."""
 
     BASE = 0x9E3779B97F4A7C15 | 1
     INVERSE = pow(BASE, -1, 1 << 64)
@@ -114,7 +118,7 @@ class PrefixHash:
                 steps[0] = 1
                 setattr(cls, name, np.multiply.accumulate(steps))
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(cls.VALUES[data] * cls._powers[:n], out=self.sums[1:])
+        np.cumsum((cls.VALUES[data] if data.dtype == np.uint8 else data) * cls._powers[:n], out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """One well-mixed 64-bit value for each range; the length takes part."""

@@ -10,10 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, PrefixHash, components, discard, growing, materialize, mix, runs, source_columns, texts
+from .common import SPACE, Forest, PrefixHash, components, discard, growing, materialize, mix, runs, source_columns, texts
 
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 STEP = np.uint64(0xFF51AFD7ED558CCD)

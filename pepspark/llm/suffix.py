@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, discard, growing, materialize, mix, runs, texts
+from .common import SPACE, PrefixHash, discard, growing, materialize, mix, runs, texts
 
 IDENTITY = ["doc", "n_bytes"]
 
@@ -68,18 +68,38 @@ def sampled(hashes: PrefixHash, bounds: np.ndarray, length: int) -> tuple[np.nda
     return start, places[pick]
 
 
-def blocks(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def word_edges(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, offsets): where the words of the texts start and stop, and each text's range of words.
+
+    Words are runs of other bytes than ASCII white space; none goes over the edge of a text.
+    """
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    inside = ~SPACE[data]
+    start = np.nonzero(inside & (edge[:-1] | np.concatenate([[True], ~inside[:-1]])))[0]
+    stop = np.nonzero(inside & (edge[1:] | np.concatenate([~inside[1:], [True]])))[0] + 1
+    return start, stop, np.searchsorted(start, bounds)
+
+
+def word_hashes(hashes: PrefixHash, start: np.ndarray, stop: np.ndarray) -> PrefixHash:
+    """Hashes of any range of words; the white space between them takes no part."""
+    return PrefixHash(hashes.ranges(start, stop))
+
+
+def blocks(data: np.ndarray, bounds: np.ndarray, length: int, words: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, last row, row, start, count, f, e) of the sampled suffixes, some texts at a time.
 
     A suffix stands for its block, the ``count`` neighbouring passages that it is sampled
     for.  ``f`` names the ``reach`` bytes at the suffix, which all of them hold; ``e``
     names all bytes of the block's passages and where the suffix is in them.
+
+    With ``words``, passages of that many words are sampled beside those of ``length``
+    bytes.  Their starts and counts are in words, and their ``f`` are odd, the others even.
     """
-    _, _, reach = geometry(length)
-    for lo, hi in runs(bounds, 1 << 19):
-        own = bounds[lo : hi + 1] - bounds[lo]
-        hashes = PrefixHash(data[bounds[lo] : bounds[hi]])
-        start, suffix = sampled(hashes, own, length)
+
+    def of(hashes: PrefixHash, own: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        _, _, reach = geometry(size)
+        start, suffix = sampled(hashes, own, size)
         fresh = np.ones(len(start), bool)
         fresh[1:] = (suffix[1:] != suffix[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.nonzero(fresh)[0]
@@ -87,11 +107,24 @@ def blocks(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tuple[
         start, suffix = start[first], suffix[first]
         row = np.searchsorted(own, start, "right") - 1
         f = hashes.ranges(suffix, suffix + reach)
-        e = mix(hashes.ranges(start, start + count - 1 + length) + (suffix - start).astype(np.uint64))
-        yield lo, hi, row, start - own[row], count, f, e
+        e = mix(hashes.ranges(start, start + count - 1 + size) + (suffix - start).astype(np.uint64))
+        return row, start - own[row], count, f, e
 
-
-def suffixes(docs: DataFrame, length: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    for lo, hi in runs(bounds, 1 << 19):
+        own, part = bounds[lo : hi + 1] - bounds[lo], data[bounds[lo] : bounds[hi]]
+        hashes = PrefixHash(part)
+        found = of(hashes, own, length)
+        if words:
+            start, stop, offsets = word_edges(part, own)
+            worded = of(word_hashes(hashes, start, stop), offsets, words)
+            found = (*found[:3], found[3] & ~np.uint64(1), found[4]), (*worded[:3], worded[3] | np.uint64(1), worded[4])
+            found = tuple(np.concatenate(pair) for pair in zip(*found, strict=True))
+            order = np.argsort(found[0], kind="stable")
+            found = tuple(column[order] for column in found)
+        yield lo, hi, *found
+
+
+def suffixes(docs: DataFrame, length: int, doc_id: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
     """(doc_id, doc, n_bytes, sha, start, count, f, e): a row for each row, arrays for the first copy in a task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +132,7 @@ def suffixes(docs: DataFrame, length: int, doc_id: str = "doc_id", text: str = "
         for batch in batches:
             data, bounds = texts(batch.column(2))
             names = batch.column(1).to_numpy()
-            for lo, hi, row, start, count, f, e in blocks(data, bounds, length):
+            for lo, hi, row, start, count, f, e in blocks(data, bounds, length, words):
                 n = hi - lo
                 size = np.diff(bounds[lo : hi + 1])
                 fresh = np.zeros(n, bool)
@@ -158,7 +191,7 @@ class LevelIndex:
         return hits
 
 
-def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str = "doc_id", text: str = "text", words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, cut): every row with its text's name, and the cut of each text that repeats something.
 
     rows: doc_id, doc, n_bytes, sha (SHA-256 of the text).  cut: doc, n_bytes,
@@ -167,7 +200,8 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
     A byte is cut if a ``length``-byte string that covers it also starts anywhere
     else, in any text or the same, overlapping or not.  Texts are UTF-8 bytes, a null is
     empty, shorter texts keep all.  A text of ``length`` or more that occurs in two rows
-    is cut whole.
+    is cut whole.  With ``words``, so is every byte from the first to the last of that many
+    words in a row that start anywhere else too, whatever white space is between them.
 
     1. Suffixes are sampled by content, and the level index finds the fingerprints that
        occur twice; a passage that repeats has a sampled suffix with such a one.
@@ -177,7 +211,7 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
     Groups are only counted and joined, never gathered; a fingerprint that a third of
     all texts share is a skewed join key, which adaptive execution splits.
     """
-    taken = materialize(suffixes(docs, length, doc_id, text), "suffixes")
+    taken = materialize(suffixes(docs, length, doc_id, text, words), "suffixes")
     made = materialize(taken.select("doc_id", *IDENTITY, "sha"), "suffix_rows")
     index, found = LevelIndex(), None
     for b in range(batches):
@@ -193,14 +227,19 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
     several = materialize(several, "mixed_suffixes")
     picks = kinds.join(several, "f").select("f", "times", "pick.*")
     twice = kinds.filter("times > 1").select("f", "e")
-    stop = F.col("start") + F.col("count") - 1 + length
-    marks = near.join(growing(twice), ["f", "e"]).select(*IDENTITY, F.col("start").cast("long").alias("start"), stop.cast("long").alias("stop"))
+    worded = (F.col("f") % 2 != 0) if words else F.lit(False)
+    unit = F.when(worded, F.lit(words or 0)).otherwise(F.lit(length))
+    stop = F.col("start") + F.col("count") - 1 + unit
+    marks = near.join(growing(twice), ["f", "e"]).select(*IDENTITY, F.col("start").cast("long").alias("start"), stop.cast("long").alias("stop"), worded.alias("worded"))
     marks = materialize(marks, "whole_blocks")
-    near_docs = materialize(near.select(*IDENTITY).distinct(), "near_names")
-    discard(near)
     copies = materialize(made.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copied_texts")
+    # Copies below ``length`` bytes may still hold enough words: words are a byte and a space at least.
+    least = min(length, 2 * words - 1) if words else length
+    small = copies.filter((F.col("n_bytes") < length) & (F.col("n_bytes") >= least)).select(*IDENTITY)
+    near_docs = materialize(near.select(*IDENTITY).unionByName(small).distinct(), "near_names")
+    discard(near)
     doc, size = identity(text)
-    held = docs.select(doc.alias("doc"), size.alias("n_bytes"), whole(text).alias("text")).filter(F.col("n_bytes") >= length)
+    held = docs.select(doc.alias("doc"), size.alias("n_bytes"), whole(text).alias("text")).filter(F.col("n_bytes") >= least)
     held = held.groupBy(*IDENTITY).agg(F.first("text").alias("text")).join(growing(near_docs), IDENTITY, "left_semi")
     held = materialize(held, "near_texts")
 
@@ -210,35 +249,55 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
             data, bounds = texts(batch.column(3))
             sizes = batch.column(1).to_numpy()
             for i, wanted in enumerate(picked):
-                hashes = PrefixHash(data[bounds[i] : bounds[i + 1]])
+                own = data[bounds[i] : bounds[i + 1]]
+                hashes = PrefixHash(own)
                 first = np.array([w["start"] for w in wanted], np.int64)
                 count = np.array([w["count"] for w in wanted], np.int64)
                 which = np.repeat(np.arange(len(wanted)), count)
                 start = np.repeat(first, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                stop = start + length
                 # 32 bits of f beside the 64 of the passage itself: passages only meet within one f.
                 f = np.array([w["f"] for w in wanted], np.int64).astype(np.int32)[which]
+                value = np.zeros(len(start), np.uint64)
+                odd = (f & 1 != 0) if words else np.zeros(len(start), bool)
+                value[~odd] = hashes.ranges(start[~odd], stop[~odd])
+                if odd.any():
+                    begin, end, _ = word_edges(own, np.array([0, len(own)]))
+                    of, to = start[odd], start[odd] + words
+                    value[odd] = word_hashes(hashes, begin, end).ranges(of, to)
+                    start[odd], stop[odd] = begin[of], end[to - 1]
                 single = np.array([w["times"] == 1 for w in wanted])[which]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(f), pa.array(hashes.ranges(start, start + length).view(np.int64)), pa.array(np.full(len(start), names[i])), pa.array(np.full(len(start), sizes[i], np.int32)), pa.array(start.astype(np.int32)), pa.array(single)],
-                    ["f", "w", *IDENTITY, "start", "single"],
+                    [pa.array(f), pa.array(value.view(np.int64)), pa.array(np.full(len(start), names[i])), pa.array(np.full(len(start), sizes[i], np.int32)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(single)],
+                    ["f", "w", *IDENTITY, "start", "stop", "single"],
                 )
 
     by_text = picks.groupBy(*IDENTITY).agg(F.collect_list(F.struct("f", "times", "start", "count")).alias("picked"))
     single = materialize(
-        held.join(by_text, IDENTITY).select(*IDENTITY, "picked", "text").mapInArrow(passages, "f int, w long, doc long, n_bytes int, start int, single boolean"), "passages"
+        held.join(by_text, IDENTITY).select(*IDENTITY, "picked", "text").mapInArrow(passages, "f int, w long, doc long, n_bytes int, start int, stop int, single boolean"), "passages"
     )
     again = materialize(single.groupBy("f", "w").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("f", "w"), "repeated_passages")
-    fine = single.filter("single").join(growing(again), ["f", "w"]).select("doc", *[c.cast("long").alias(n) for n, c in (("n_bytes", F.col("n_bytes")), ("start", F.col("start")), ("stop", F.col("start") + length))])
+    fine = single.filter("single").join(growing(again), ["f", "w"]).select("doc", *[c.cast("long").alias(n) for n, c in (("n_bytes", F.col("n_bytes")), ("start", F.col("start")), ("stop", F.col("stop")))], F.lit(False).alias("worded"))
 
     def cutting(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             data, bounds = texts(batch.column(3))
+            copied = batch.column(4).to_pylist()
             out: dict[str, list] = {k: [] for k in ("n_removed", "n_spans", "spans", "kept", "kept_sha")}
             for i, marked in enumerate(batch.column(2).to_pylist()):
                 own = data[bounds[i] : bounds[i + 1]]
+                start, stop = np.array([m["start"] for m in marked], np.int64), np.array([m["stop"] for m in marked], np.int64)
+                odd = np.array([m["worded"] for m in marked], bool)
+                if odd.any():
+                    begin, end, _ = word_edges(own, np.array([0, len(own)]))
+                    start[odd], stop[odd] = begin[start[odd]], end[stop[odd] - 1]
+                if copied[i] and words:
+                    begin, end, _ = word_edges(own, np.array([0, len(own)]))
+                    if len(begin) >= words:
+                        start, stop = np.append(start, begin[0]), np.append(stop, end[-1])
                 depth = np.zeros(len(own) + 1, np.int64)
-                np.add.at(depth, [m["start"] for m in marked], 1)
-                np.add.at(depth, [m["stop"] for m in marked], -1)
+                np.add.at(depth, start, 1)
+                np.add.at(depth, stop, -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 edges = np.nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))[0]
                 kept = own[~gone].tobytes()
@@ -251,8 +310,13 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], [*IDENTITY, *out])
 
     result = "doc long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha binary"
-    spans = marks.unionByName(fine).groupBy(*IDENTITY).agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
-    partial = held.join(spans, IDENTITY).join(copies, IDENTITY, "left_anti").select(*IDENTITY, "marks", "text").mapInArrow(cutting, result)
+    spans = marks.unionByName(fine).groupBy(*IDENTITY).agg(F.collect_list(F.struct("start", "stop", "worded")).alias("marks"))
+    copied = copies.select(*IDENTITY, F.lit(True).alias("copied"))
+    some = held.join(spans, IDENTITY, "left").join(growing(copied), IDENTITY, "left")
+    # A copied text of ``length`` bytes goes whole, below; what has neither marks nor copies stays.
+    some = some.filter((F.col("marks").isNotNull() & F.col("copied").isNull()) | (F.col("copied") & (F.col("n_bytes") < length)))
+    marked = F.coalesce("marks", F.array().cast("array<struct<start:bigint,stop:bigint,worded:boolean>>"))
+    partial = some.select(*IDENTITY, marked.alias("marks"), "text", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(cutting, result).filter("n_removed > 0")
     gone = copies.filter(F.col("n_bytes") >= length).select(
         *IDENTITY, F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"), F.lit(b"").alias("kept"), F.unhex(F.sha2(F.lit(b""), 256)).alias("kept_sha"),
@@ -273,12 +337,12 @@ def membership(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str
     )
 
 
-def cut_rows(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with the repeated bytes gone from the text.
+def cut_rows(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with the repeated bytes gone from the text; see ``repeats``.
 
     A character that a cut splits goes with it; a null text stays null.
     """
-    _, cut = repeats(docs, length, batches, doc_id, text)
+    _, cut = repeats(docs, length, batches, doc_id, text, words)
     kept = cut.select(F.col("doc").alias("_doc"), F.col("n_bytes").alias("_bytes"), F.col("kept").alias("_kept"))
     doc, size = identity(text)
     marked = docs.select(doc.alias("_own"), size.alias("_size"), F.struct("*").alias("_row"))
