@@ -130,7 +130,7 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     ids = materialize(decisions.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
     plain = F.sha2(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACES.decode(), ""), 256)
     # The whole row travels as one value, so no column name of the input can clash.
-    marked = docs.select(F.col(doc_id).cast("long").alias("_own_id"), plain.alias("_own_sha"), F.length(text).alias("_size"), F.struct("*").alias("_row"))
+    marked = docs.select(F.col(doc_id).cast("long").alias("_own_id"), plain.alias("_own_sha"), F.coalesce(F.length(text), F.lit(-1)).alias("_size"), F.struct("*").alias("_row"))
     found = marked.join(growing(ids), marked["_own_id"].eqNullSafe(ids["_id"]) & (marked["_own_sha"] == ids["_sha"]))
     once = found.filter("_rows = 1").select("_row.*")
     # Rows that repeat an id and a normalised text: the longest original.
