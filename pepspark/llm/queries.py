@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embeddings, exact, jaccard, language, packing, sentencepiece, suffix, toxicity, warc
-from .common import materialize, train_rows
+from .common import growing, materialize, train_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,16 +131,24 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.membership(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
-@query
-def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every conversation turn, and whether decoding them gives the text again."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "turns")
+def encoded(spark: SparkSession, rows: DataFrame, *keys: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text again."""
+    rows = materialize(rows.select(*keys, "text").withColumn("row", F.monotonically_increasing_id()), "encoded_rows")
     pieces = sentencepiece.piece_table(spark, vocabulary("piece_bpe_32k.model"))
-    ids = materialize(sentencepiece.encode(rows, pieces, "row"), "turn_ids")
+    ids = materialize(sentencepiece.encode(rows, pieces, "row"), "row_ids")
     back = sentencepiece.decode(ids, pieces, "row").withColumnRenamed("text", "decoded")
-    joined = rows.join(ids, "row").join(back, "row")
-    return joined.select("conv_id", "turn", "ids", F.size("ids").cast("long").alias("n_ids"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    joined = rows.join(growing(ids), "row").join(growing(back), "row")
+    return joined.select(*keys, "ids", F.size("ids").cast("long").alias("n_ids"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(spark, table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query
+def op9_sentencepiece_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(spark, table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
 @query
