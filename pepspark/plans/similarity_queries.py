@@ -198,7 +198,7 @@ def _(spark, path):
 
 @query("p8_select_k")
 def _(spark, path):
-    _, table, _ = cl.select_k(vectors(spark, path), [3, 5, 7])
+    _, table, _ = cl.select_k(vectors(spark, path), [5, 8, 10, 15, 20], restarts=10)
     return table
 
 
