@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, exact, jaccard, language, packing, sentencepiece, suffix, toxicity, warc
+from . import chat, embeddings, exact, filters, jaccard, language, packing, sentencepiece, suffix, toxicity, warc
 from .common import growing, materialize, train_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,47 @@ def op9_sentencepiece_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.membership(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+ORACLES["op13_filter_audit"] = r"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents
+), w as (
+  select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d
+), f as (
+  select part,
+    case when len(ws) < 50 then 'A' else '' end
+    || case when 100 * len(list_distinct(ws)) < 65 * len(ws) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as mask,
+    exists (select 1 from labels l where l.doc_id = w.doc_id and quality = 1) as good,
+    exists (select 1 from labels l where l.doc_id = w.doc_id and toxic = 1) as toxic
+  from w
+), m as (
+  select part, mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from f group by all
+), l as (
+  select unnest(['A', 'B', 'C', 'D', 'E']) as x
+), p as (
+  select a.x || b.x || c.x || d.x || e.x as o from l a, l b, l c, l d, l e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), hit as (
+  select m.*, o, case when mask = '' then 6 else list_min(list_transform(string_split(mask, ''), lambda x: strpos(o, x))) end as first from m, p
+), step as (
+  select unnest(range(1, 6)) as s
+), cell as (
+  select part, o, s, substr(o, s::int, 1) as x, sum(n) filter (where first > s) as kept, sum(n) filter (where first = s) as removed,
+    sum(n) filter (where first < s and contains(mask, substr(o, s::int, 1))) as redundant, sum(n) filter (where mask = substr(o, s::int, 1)) as unique_fails,
+    sum(good) filter (where first = s) as good_lost, sum(toxic) filter (where first = s) as toxic_lost
+  from hit, step group by part, o, s
+)
+select part, o as filter_order, s::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+  coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  coalesce(sum(removed) over (partition by part, x), 0)::bigint as shapley
+from cell
+"""
