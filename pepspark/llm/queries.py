@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, exact, filters, jaccard, language, packing, sentencepiece, suffix, toxicity, warc
+from . import chat, embeddings, exact, filters, jaccard, language, packing, repair, sentencepiece, suffix, toxicity, warc
 from .common import growing, materialize, train_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +156,67 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.membership(table(spark, sf_dir, "documents"), length=400).drop("spans")
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"), damage=True)
+
+
+def _then(before: str, cost: str, edit: str, line: str | None = None) -> str:
+    """SQL for a state reached from ``before`` by one more edit."""
+    text = f"{before}.t || {line} || chr(10)" if line else f"{before}.t"
+    return f"{{'c': {before}.c + {cost}, 'a': {before}.a || '{edit}', 't': {text}}}"
+
+
+# The oracle walks all four states of a conversation row by row and keeps the least (cost, audit) of each.
+ORACLES["op12_conversation_repair"] = f"""
+with recursive bytes as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint) as key
+  from conversations
+), kinds as (
+  select *, xor(list_reduce(key, lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::bigint), xor(c, b)), 4294967295::bigint), 4294967295::bigint) % 20 as kind from bytes
+), damaged as (
+  select conv_id, turn, case kind when 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case kind when 3 then 2 else 1 end)) as copy
+  from kinds where kind <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos, substr(role, 1, 1) as initial,
+    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from damaged
+), rows as (
+  select *, body = '' as blank, body <> '' and row_number() over (partition by conv_id, role, text order by pos) > 1 as duplicate,
+    lag(initial) over (partition by conv_id order by pos) || initial not in ('su', 'ua', 'au') as illegal from placed
+), faults as (
+  select *, blank or duplicate as gone, not blank and not duplicate and right(body, 1) not in ('.', '!', '?') as truncated from rows
+), counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank, count(*) filter (where duplicate) as duplicate,
+    count(*) filter (where truncated) as truncated, count(*) filter (where illegal) as illegal, count(*) as n
+  from faults group by conv_id
+), walk as (
+  select conv_id, 0::bigint as pos, n, {{'c': 0, 'a': '', 't': ''}} as z, {{'c': 1000000000, 'a': '', 't': ''}} as s, {{'c': 1000000000, 'a': '', 't': ''}} as u, {{'c': 1000000000, 'a': '', 't': ''}} as a from counted
+  union all
+  select w.conv_id, w.pos + 1, n, {_then("z", "4", "D")},
+    least({_then("s", "4", "D")}, case when not gone and initial = 's' then {_then("z", "more", "K", "role || ':' || text")} else {{'c': 1000000000, 'a': '', 't': ''}} end),
+    least({_then("v", "4", "D")}, case when not gone then least(case when initial = 'u' then {_then("o", "more", "K", "role || ':' || text")} else {{'c': 1000000000, 'a': '', 't': ''}} end,
+      {_then("o", "3 + more", "R", "'user:' || text")}) else {{'c': 1000000000, 'a': '', 't': ''}} end),
+    least({_then("e", "4", "D")}, case when not gone then least(case when initial = 'a' then {_then("v", "more", "K", "role || ':' || text")} else {{'c': 1000000000, 'a': '', 't': ''}} end,
+      {_then("v", "3 + more", "R", "'assistant:' || text")}) else {{'c': 1000000000, 'a': '', 't': ''}} end)
+  from (
+    select *, least(z, s, e) as o from (
+      select *, least(a, {_then("v", "3", "I", "'assistant:'")}) as e from (
+        select *, least(u, {_then("least(z, s, a)", "3", "I", "'user:'")}) as v from walk where pos < n
+      )
+    )
+  ) w join (select *, case when truncated then 3 else 0 end as more from faults) f on f.conv_id is not distinct from w.conv_id and f.pos = w.pos + 1
+), ended as (
+  select *, least(z, a, {_then("v", "3", "I", "'assistant:'")}) as best from (select *, least(u, {_then("least(z, s, a)", "3", "I", "'user:'")}) as v from walk where pos = n)
+)
+select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(left(best.t, greatest(length(best.t) - 1, 0)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) i
+left join counted c on c.conv_id is not distinct from i.conv_id left join ended e on e.conv_id is not distinct from i.conv_id
+"""
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
