@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, exact, filters, jaccard, language, packing, repair, sentencepiece, suffix, toxicity, warc
+from . import chat, embeddings, exact, filters, jaccard, language, licenses, packing, repair, sentencepiece, suffix, toxicity, warc
 from .common import growing, materialize, train_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +156,45 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.membership(table(spark, sf_dir, "documents"), length=400).drop("spans")
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _templates_sql(which: dict[str, str], more: int = 0) -> str:
+    return ", ".join(f"({k}, '{text}', '{label}')" for k, (text, label) in enumerate(which.items(), more))
+
+
+# The oracle counts every template's words in every block, without filters.
+ORACLES["op11_license_scan"] = rf"""
+with phrases(id, words, label) as (values {_templates_sql(licenses.PHRASES)}
+), notices(id, words, label) as (values {_templates_sql(licenses.NOTICES)}
+), wanted as (
+  select id, label, unnest(list_distinct(string_split(words, ' '))) as w, len(list_distinct(string_split(words, ' '))) as size from notices
+), d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), words as (
+  select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from d
+), runs as (
+  select doc_id, i, w, lead(w, 1) over p as x, lead(w, 2) over p as y, lead(w, 3) over p as z from words window p as (partition by doc_id order by i)
+), places as (
+  select doc_id, i, label from runs join phrases on words = w || ' ' || x or words = w || ' ' || x || ' ' || y or words = w || ' ' || x || ' ' || y || ' ' || z
+), base as (
+  select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from places group by doc_id
+), hits as (
+  select doc_id, id, label, w, size, unnest(range(greatest(0, (i - {licenses.LICENSES.reach()} + {licenses.LICENSES.block}) // {licenses.LICENSES.block}), i // {licenses.LICENSES.block} + 1)) as block from words join wanted using (w)
+), blocks as (
+  select doc_id, id, label, block, count(distinct w) / any_value(size) as share from hits group by all having 100 * count(distinct w) >= {licenses.LICENSES.percent} * any_value(size)
+), labelled as (
+  select doc_id, string_agg(distinct label, ',' order by label) as labels, max(share) as score
+  from (select doc_id, label, share from blocks union all select doc_id, label, 1.0::double from places) group by doc_id
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from d left join base using (doc_id) left join labelled using (doc_id)
+"""
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"), damage=True)
