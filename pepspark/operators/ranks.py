@@ -2,7 +2,7 @@
 
 A plain ``row_number`` or running sum over a big group sorts that group in one
 task.  Here rows first fall into buckets that respect the order (a hash prefix,
-or an equal-width slice of the value range).  Windows run inside buckets; only
+or a slice between quantiles of a sketch).  Windows run inside buckets; only
 the small table of bucket totals is ever scanned in order per group.  Buckets
 are pure functions of the data, so recomputed branches always agree.
 """
@@ -72,19 +72,44 @@ def hash_ordinal(
     return ranked.drop("_hash", "_bucket")
 
 
-def value_bucket(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
-    """Add ``_bucket``: the equal-width slice of ``value`` within its group's range."""
-    def slice_of(lo: Column, hi: Column) -> Column:
-        width = hi - lo
-        position = F.when(width > 0, (F.col(value) - lo) / width).otherwise(F.lit(0.0))
-        return F.least(F.floor(position * buckets), F.lit(buckets - 1)).cast("int")
+def value_sketch(df: DataFrame, value: str, by: Sequence[str] = (), rows: int = 1 << 16, per_bucket: int = 16) -> DataFrame:
+    """(by, _bounds): sorted values that cut a group's rows into slices of about ``rows``.
 
-    if by:
-        ranges = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        ranged = join_same(df, ranges, list(by))
-        return ranged.withColumn("_bucket", slice_of(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    bounds = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    return attach_row(df, bounds).withColumn("_bucket", slice_of(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    A sketch by hash threshold: of a group with n rows the values stay whose hash is
+    below a share of ``per_bucket`` in ``rows``, and every ``per_bucket``-th of them in order is a
+    bound.  What stays depends on the values alone, so sketches of parts merge by union
+    and every recomputation gives the same bounds.  A slice is off by about one part in
+    the root of ``per_bucket``.  The number of bounds follows n; groups of up to
+    ``rows`` rows have none.
+    """
+    every = max(1, rows // per_bucket)
+    sampled = F.pmod(F.xxhash64(F.lit(7), F.col(value)), F.lit(every)) == 0
+    sizes = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.when(sampled, F.col(value)))).alias("_sample")
+    )
+    picked = F.filter("_sample", lambda x, i: (i + 1) % per_bucket == 0)
+    none = F.filter("_sample", lambda x: F.lit(False))
+    return sizes.select(*by, F.when(F.col("_n") > rows, picked).otherwise(none).alias("_bounds"))
+
+
+def _bounds_below(value: Column, bounds: Column) -> Column:
+    """How many of the sorted ``bounds`` lie below ``value``, by bisection inside the row."""
+    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    useful = F.filter(steps, lambda s: s <= F.size(bounds))
+    search = F.aggregate(useful, F.lit(0), lambda found, s: found + F.when(F.get(bounds, found + s - 1) < value, s).otherwise(F.lit(0)))
+    return F.when(F.size(bounds) == 0, F.lit(0)).otherwise(search)
+
+
+def value_bucket(df: DataFrame, value: str, by: Sequence[str] = (), rows: int = 1 << 16) -> DataFrame:
+    """Add ``_bucket``: the slice of ``value`` in its group, by order, each of about ``rows`` rows.
+
+    ``df`` has each value once a group, as counts do; however values lie (one far
+    outlier, most in a narrow range), slices hold equal numbers of rows, and the
+    number of slices follows the number of rows.
+    """
+    sketch = value_sketch(df, value, by, rows)
+    placed = join_same(df, sketch, list(by)) if by else attach_row(df, sketch)
+    return placed.withColumn("_bucket", _bounds_below(F.col(value), F.col("_bounds"))).drop("_bounds")
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:

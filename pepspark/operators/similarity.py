@@ -6,13 +6,16 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sequences as sq
 from ..functions.hashing import hash_hex, hex_int
+from . import tiles
 from .ranks import hash_ordinal
 
 
@@ -37,12 +40,6 @@ def kmer_vectors(df: DataFrame, keys: list[str], column: str, k: int) -> DataFra
     return counted.join(frequency, "code")
 
 
-def rare_first(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Per row its codes from rare to common, with counts; bounded by the row's own length."""
-    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("f", "code", "c"))).alias("_v"))
-    return packed.select(*keys, F.transform("_v", lambda s: s["code"]).alias("codes"), F.transform("_v", lambda s: s["c"]).alias("counts"))
-
-
 # Within-group penalties
 
 def _penalty(similarity: Column, threshold: float) -> Column:
@@ -112,53 +109,44 @@ def _similar_by_hamming(members: DataFrame, group: str, threshold: float) -> Dat
     )
 
 
-def _similar_by_kmers(members: DataFrame, group: str, threshold: float, k: int, rest: float = 0.35) -> DataFrame:
-    """(group, id, similarity) for pairs with k-mer cosine above the threshold.
+def _nearest_by_kmers(members: DataFrame, group: str, threshold: float, k: int) -> DataFrame:
+    """(group, id, similarity): the highest k-mer cosine to another member, where it is above the threshold.
 
-    Prefix filtering: codes go from rare to common, and a prefix ends once the
-    length of what follows is below ``rest`` of the vector.  Up to the earlier
-    of two prefix ends, both prefixes hold every shared code; beyond it one side
-    adds at most ``rest``.  So the prefixes alone must reach threshold - rest,
-    and only pairs that do are compared in full.
+    Groups of up to a block's size are gathered, several to a tile; larger ones are
+    cut into blocks, and every pair of blocks is a tile of its own, so that a group
+    with a third of all rows spreads over as many tasks as it needs.  A tile hands
+    on one row for each member.
     """
-    vectors = rare_first(kmer_vectors(members, [group, "_sid"], "_seq", k), [group, "_sid"])
-    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c * c)
-    sized = vectors.withColumn("_n2", total)
-    cut = F.col("_n2") * F.lit(rest * rest * (1 - 1e-9))
-    # Walk from rare to common; keep a code while the rest, itself included, is long enough.
-    kept = F.aggregate(
-        "counts",
-        F.struct(F.col("_n2").alias("rest"), F.lit(0).alias("kept")),
-        lambda s, c: F.struct((s["rest"] - c * c).alias("rest"), (s["kept"] + F.when(s["rest"] >= cut, 1).otherwise(0)).alias("kept")),
-        lambda s: s["kept"],
-    )
-    prefixes = sized.withColumn("_kept", kept).select(
-        group, "_sid", F.sqrt(F.col("_n2").cast("double")).alias("_norm"),
-        F.inline(F.arrays_zip(F.slice("codes", F.lit(1), F.col("_kept")).alias("code"), F.slice("counts", F.lit(1), F.col("_kept")).alias("c"))),
-    )
-    keys = prefixes.select(group, "_sid", "code", (F.col("c") / F.col("_norm")).alias("_w"))
-    other = keys.select(group, F.col("_sid").alias("_sid2"), "code", F.col("_w").alias("_w2"))
-    pairs = (
-        keys.join(other, [group, "code"])
-        .filter(F.col("_sid") < F.col("_sid2"))
-        .groupBy(group, "_sid", "_sid2")
-        .agg(F.sum(F.col("_w") * F.col("_w2")).alias("_part"))
-        .filter(F.col("_part") >= F.lit(threshold - rest - 1e-9))
-        .select(group, "_sid", "_sid2")
-    )
-    right = sized.select(
-        group, F.col("_sid").alias("_sid2"), F.col("codes").alias("_codes2"), F.col("counts").alias("_counts2"), F.col("_n2").alias("_m2")
-    )
-    both = pairs.join(sized, [group, "_sid"]).join(right, [group, "_sid2"])
-    dot = F.aggregate(
-        F.array_intersect("codes", "_codes2"),
-        F.lit(0),
-        lambda s, code: s
-        + F.element_at("counts", F.array_position(F.col("codes"), code).cast("int"))
-        * F.element_at("_counts2", F.array_position(F.col("_codes2"), code).cast("int")),
-    )
-    cosine = dot / (F.sqrt(F.col("_n2").cast("double")) * F.sqrt(F.col("_m2").cast("double")))
-    return both.select(group, "_sid", "_sid2", cosine.alias("_s")).filter(F.col("_s") > threshold)
+    sized = members.withColumn("_w", F.length("_seq").cast("long")).withColumn("_gkey", F.to_json(group))
+    totals = sized.groupBy(group).agg(F.sum("_w").alias("_sum"))
+    small = totals.agg(F.coalesce(F.sum(F.when(F.col("_sum") <= tiles.BLOCK, F.col("_sum"))), F.lit(0))).first()[0]
+    # Of small groups about a block's worth shares a tile; of a large one every pair of blocks makes one.
+    n_blocks = F.greatest(F.ceil(F.col("_sum") / tiles.BLOCK), F.lit(1)).cast("long")
+    bucket = F.pmod(F.xxhash64("_gkey"), F.when(F.col("_sum") <= tiles.BLOCK, F.lit(int(small) // tiles.BLOCK + 1)).otherwise(F.lit(1 << 62)))
+    placed = sized.join(totals, group).withColumn("_blocks", n_blocks).withColumn("_bucket", bucket).withColumn("_block", F.pmod(F.xxhash64("_sid"), F.col("_blocks")))
+    dealt = placed.select(group, "_gkey", "_sid", "_seq", "_bucket", "_blocks", "_block", tiles.every_block(F.col("_blocks")).alias("_other"))
+    dealt = dealt.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_other")
+
+    def work(table: pa.Table) -> pa.Table:
+        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+        space = table.column("_gkey").combine_chunks().dictionary_encode().indices.to_numpy()
+        vectors = tiles.kmer_counts(table.column("_seq").to_pylist(), k, space)
+        norms = np.sqrt(np.bincount(vectors.rows(), vectors.counts**2, len(table)))
+        norms[norms == 0] = 1.0
+        block = table.column("_block").to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        best = np.zeros(len(table))
+        for start, stop, dots in tiles.overlaps(vectors.take(block == i), vectors.take(block == j)):
+            cosine = dots / (norms[left[start:stop], None] * norms[None, right])
+            if i == j:
+                cosine[np.arange(stop - start), np.arange(start, stop)] = 0.0
+            best[left[start:stop]] = np.maximum(best[left[start:stop]], cosine.max(axis=1))
+            best[right] = np.maximum(best[right], cosine.max(axis=0))
+        hit = pa.array(best > threshold)
+        return pa.table({group: table.column(group), "_sid": table.column("_sid"), "_s": pa.array(best)}).filter(hit)
+
+    schema = T.StructType([members.schema[group], members.schema["_sid"], T.StructField("_s", T.DoubleType())])
+    return dealt.groupBy("_bucket", "_blocks", "_i", "_j").applyInArrow(work, schema).groupBy(group, "_sid").agg(F.max("_s").alias("_s"))
 
 
 def diversity_penalty(
@@ -172,14 +160,12 @@ def diversity_penalty(
     members = _distinct_members(keyed.filter(F.col(column).isNotNull()), group, column)
     if sim == "hamming":
         pairs = _similar_by_hamming(members, group, threshold)
+        sides = F.array(F.struct(F.col("_sid"), F.col("_s")), F.struct(F.col("_sid2").alias("_sid"), F.col("_s")))
+        best = pairs.select(group, F.inline(sides)).groupBy(group, "_sid").agg(F.max("_s").alias("_s"))
     elif sim == "dipeptide":
-        pairs = _similar_by_kmers(members, group, threshold, k)
+        best = _nearest_by_kmers(members, group, threshold, k)
     else:
         raise ValueError("sim must be 'hamming' or 'dipeptide'")
-    sides = F.array(
-        F.struct(F.col("_sid"), F.col("_s")), F.struct(F.col("_sid2").alias("_sid"), F.col("_s"))
-    )
-    best = pairs.select(group, F.inline(sides)).groupBy(group, "_sid").agg(F.max("_s").alias("_s"))
     # A copy counts as similarity 1 only where the measure of a sequence with itself is 1.
     self_similar = F.length("_seq") >= (1 if sim == "hamming" else k)
     highest = (

@@ -102,14 +102,19 @@ def _(spark, path):
     return si.ad_penalty(v, v.filter("label <> 0"), threshold=0.6, limit=0).select("id", "penalty")
 
 
-PAIRS = """members as (select min(id) as id, sequence from peptides where length(sequence) between 11 and 60 group by sequence),
-  k as (select distinct id, substr(sequence, i::int, 5) as kmer from (select id, sequence, unnest(range(1, length(sequence) - 3)) as i from members)),
+def pairs_sql(k: int) -> str:
+    """Tables of the distinct sequences and their similar pairs at k-mers of ``k`` and half of the smaller set."""
+    return f"""members as (select min(id) as id, sequence from peptides where length(sequence) between 11 and 60 group by sequence),
+  k as (select distinct id, substr(sequence, i::int, {k}) as kmer from (select id, sequence, unnest(range(1, length(sequence) - {k - 2})) as i from members)),
   n as (select id, count(*) as n from k group by 1),
   shared as (select a.id as x, b.id as y, count(*) as c from k a join k b on a.kmer = b.kmer and a.id < b.id group by 1, 2),
   pairs as (select x, y, c::double / least(p.n, q.n) as similarity, p.n as nx, q.n as ny from shared join n p on p.id = x join n q on q.id = y
     where c >= 0.5::double * least(p.n, q.n))"""
 
 
+PAIRS = pairs_sql(5)
+
+
 def windowed(spark, path):
     p = views.peptides(spark, path).select("id", "sequence")
     return p.filter(F.length("sequence").between(11, 60))
@@ -124,13 +129,33 @@ def _(spark, path):
     return cl.similar_pairs(distinct, k=5)
 
 
-LINKS = f"""{PAIRS}, ranked as (select id, sequence, row_number() over (order by length(sequence) desc, id) as r from members),
+@query(
+    "p5_similar_pairs_k3",
+    f"""with {pairs_sql(3)} select case when nx <= ny then x else y end as id_a, case when nx <= ny then y else x end as id_b, {R('similarity')} as similarity from pairs""",
+)
+def _(spark, path):
+    distinct = windowed(spark, path).groupBy("sequence").agg(F.min("id").alias("id"))
+    return cl.similar_pairs(distinct)
+
+
+def links_sql(k: int) -> str:
+    return f"""{pairs_sql(k)}, ranked as (select id, sequence, row_number() over (order by length(sequence) desc, id) as r from members),
   links as (select greatest(a.r, b.r) as worse, least(a.r, b.r) as better from pairs join ranked a on a.id = x join ranked b on b.id = y)"""
 
 
+def greedy_sql(k: int) -> str:
+    """The longest-first loop itself: one step of the recursion for each rank."""
+    return f"""with recursive {links_sql(k)}, near as (select r, coalesce(list(better) filter (where better is not null), []) as better from ranked left join links on worse = r group by r),
+      walk as (select 0::bigint as r, []::bigint[] as reps union all
+        select near.r, case when list_has_any(near.better, reps) then reps else list_append(reps, near.r) end from walk join near on near.r = walk.r + 1),
+      ended as (select reps from walk order by r desc limit 1),
+      chosen as (select r, coalesce(list_min(list_intersect(better, reps)), r) as c from near, ended)
+      select p.id, n.id as cluster_id from peptides p join ranked m on m.sequence = p.sequence join chosen on chosen.r = m.r join ranked n on n.r = c"""
+
+
 @query(
     "p5_cluster_components",
-    f"""with recursive {LINKS}, both_ways as (select worse as u, better as v from links union select better, worse from links),
+    f"""with recursive {links_sql(5)}, both_ways as (select worse as u, better as v from links union select better, worse from links),
       walk as (select r as u, r as root from ranked union select e.v, w.root from walk w join both_ways e on e.u = w.u where e.v > w.root),
       roots as (select u, min(root) as root from walk group by 1),
       named as (select root, min(id) as name from roots join ranked on r = u group by 1)
@@ -140,11 +165,16 @@ def _(spark, path):
     return cl.cluster_by_kmer(windowed(spark, path), k=5, mode="components")
 
 
-@query("p5_cluster_greedy")
-def greedy(spark, path):
+@query("p5_cluster_greedy", greedy_sql(5))
+def _(spark, path):
     return cl.cluster_by_kmer(windowed(spark, path), k=5)
 
 
+@query("p5_cluster_greedy_k3", greedy_sql(3))
+def _(spark, path):
+    return cl.cluster_by_kmer(windowed(spark, path))
+
+
 SPLIT = "case when substr(md5('42:' || source_db), 1, 8) < 'cccccccc' then 'train' when substr(md5('42:' || source_db), 1, 8) < 'e6666666' then 'val' else 'test' end"
 
 

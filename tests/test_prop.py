@@ -124,6 +124,39 @@ def test_quantiles_match_numpy(spark):
     assert tuple(row) == pytest.approx(tuple(np.quantile(data, [0.1, 0.5, 0.975])))
 
 
+def test_slices_are_balanced_under_an_outlier(spark):
+    """One far outlier, 99 % of the values in a narrow range, one value in a third of the rows, a NULL group."""
+    wide = spark.range(20_000).select((F.col("id") / 1e6).alias("v"), F.lit("a").alias("g")).unionByName(
+        spark.range(200).select((F.col("id") * 1000.0).alias("v"), F.lit("a").alias("g"))
+    )
+    wide = wide.unionByName(spark.createDataFrame([(1e300, "a"), (float("nan"), "a"), (-1e300, None)], "v double, g string"))
+    heavy = wide.unionByName(spark.range(10_000).select(F.lit(0.005).alias("v"), F.lit("a").alias("g")))
+    counts = heavy.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    rows = ranks.value_bucket(counts, "v", ["g"], rows=500).filter("g = 'a'").orderBy("v").collect()
+    buckets = [r._bucket for r in rows]
+    sizes = [buckets.count(b) for b in set(buckets)]
+    assert buckets == sorted(buckets) and 25 <= len(sizes) <= 60 and max(sizes) <= 1200
+    fewer = ranks.value_bucket(counts, "v", ["g"], rows=5000).filter("g = 'a'").select("_bucket").distinct().count()
+    assert 2 <= fewer <= 8
+    alone = ranks.value_bucket(counts.filter("g is null"), "v", rows=500).collect()
+    assert [(r.v, r._bucket) for r in alone] == [(-1e300, 0)]
+
+
+def test_ranks_over_many_slices(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ranks.value_bucket, "__defaults__", ((), 50))
+    data = [float((i * 37) % 1009) ** 5 for i in range(1000)] + [1e250]
+    df = spark.createDataFrame([(x, i % 3 % 2) for i, x in enumerate(data)], "s double, y int")
+    row = ranks.exact_quantiles(df, "s", {"a": 0.1, "b": 0.5, "c": 0.975}).first()
+    assert tuple(row) == pytest.approx(tuple(np.quantile(data, [0.1, 0.5, 0.975])))
+    order = sorted(range(len(data)), key=lambda i: data[i])
+    rank = {i: r + 1 for r, i in enumerate(order)}
+    positive = [i for i in range(len(data)) if i % 3 % 2]
+    u = sum(rank[i] for i in positive) - len(positive) * (len(positive) + 1) / 2
+    assert me.auroc(df, "y", "s").first().auroc == pytest.approx(u / (len(positive) * (len(data) - len(positive))))
+
+
 def test_bootstrap_interval_holds_the_point_estimate(spark):
     df = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("y"), ((F.col("id") * 7919 % 1000 + 300 * (F.col("id") % 2)) / 1300).alias("s"))
     point = me.auroc(df, "y", "s").first().auroc
