@@ -48,16 +48,13 @@ class Sparse:
         return Sparse(flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64), None, bounds)
 
 
-def kmer_counts(sequences: list[str], k: int, spaces: list[int] | None = None) -> Sparse:
-    """The k-mers of upper-case sequences with their counts.
-
-    Rows of different ``spaces`` share no code.  Codes are numbers of the k-mers at hand.
-    """
+def _kmer_codes(sequences: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of every k-mer of upper-case sequences, five bits a letter."""
+    if k > 12:
+        raise ValueError("k-mers longer than 12 do not fit a bigint")
     raw = np.frombuffer("".join(sequences).encode("utf-32-le"), np.uint32).astype(np.int64) - 64
     if len(raw) and (raw.min() < 1 or raw.max() > 26):
         raise ValueError("a sequence has other characters than A-Z")
-    if k > 12:
-        raise ValueError("k-mers longer than 12 do not fit a bigint")
     sizes = np.array([len(s) for s in sequences], np.int64)
     row = np.repeat(np.arange(len(sequences)), sizes)
     first = np.cumsum(sizes) - sizes
@@ -65,18 +62,39 @@ def kmer_counts(sequences: list[str], k: int, spaces: list[int] | None = None) -
     code = np.zeros(len(raw), np.int64)
     for i in range(k):
         code[: len(raw) - i] = code[: len(raw) - i] * 32 + raw[i:]
-    row, code = row[inside], code[inside]
+    return row[inside], code[inside]
+
+
+def _entries(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, code) in order: codes, how often each occurs, and where rows end."""
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))) if len(row) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(row)))
+    return code[first], counts, np.searchsorted(row[first], np.arange(n + 1))
+
+
+def kmer_lists(sequences: pa.Array, k: int) -> pa.Array:
+    """The distinct k-mers of each sequence; none of a null or a shorter one."""
+    texts = [s or "" for s in sequences.to_pylist()]
+    codes, _, bounds = _entries(*_kmer_codes(texts, k), len(texts))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(codes))
+
+
+def kmer_counts(sequences: list[str], k: int, spaces: list[int] | None = None) -> Sparse:
+    """The k-mers of upper-case sequences with their counts.
+
+    Rows of different ``spaces`` share no code.  Codes are numbers of the k-mers at hand.
+    """
+    row, code = _kmer_codes(sequences, k)
     _, code = np.unique(code, return_inverse=True)
-    width = int(code.max(initial=0)) + 1
     if spaces is not None:
-        _, code = np.unique(np.asarray(spaces, np.int64)[row] * width + code, return_inverse=True)
-        width = int(code.max(initial=0)) + 1
-    entry, count = np.unique(row * width + code, return_counts=True)
-    bounds = np.searchsorted(entry, np.arange(len(sequences) + 1) * width)
-    return Sparse(entry % width, count.astype(np.float64), bounds)
+        code = code + np.asarray(spaces, np.int64)[row] * (int(code.max(initial=0)) + 1)
+    codes, counts, bounds = _entries(row, code, len(sequences))
+    return Sparse(codes, counts.astype(np.float64), bounds)
 
 
-def overlaps(left: Sparse, right: Sparse, cells: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
+def overlaps(left: Sparse, right: Sparse, cells: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray]]:
     """(start, stop, dots): dot products of rows start to stop of ``left`` with all of ``right``.
 
     About ``cells`` numbers are held at a time, more only for a single row.
@@ -94,17 +112,19 @@ def overlaps(left: Sparse, right: Sparse, cells: int = 1 << 20) -> Iterator[tupl
     start_of = np.where(hit, first[at] if len(known) else 0, 0)
     sizes = np.where(hit, (last - first)[at] if len(known) else 0, 0)
     work = np.concatenate(([0], np.cumsum(sizes)))[left.bounds]
-    owner = left.rows()
+    row_base = left.rows() * width
+    post_base = start_of - (np.cumsum(sizes) - sizes)
     start = 0
     while start < n:
         stop = min(start + max(1, cells // width), int(np.searchsorted(work, work[start] + cells, "right")) - 1, n)
         stop = max(stop, start + 1)
         part = slice(left.bounds[start], left.bounds[stop])
         size = sizes[part]
-        entry = np.repeat(np.arange(len(size)), size)
-        posting = np.repeat(start_of[part] - (np.cumsum(size) - size), size) + np.arange(len(entry))
-        cell = (owner[part][entry] - start) * width + row_of[posting]
-        weights = None if left.counts is None else left.counts[part][entry] * right.counts[order[posting]]
+        posting = np.repeat(post_base[part], size)
+        posting += np.arange(work[start], work[stop])
+        cell = row_of[posting]
+        cell += np.repeat(row_base[part] - start * width, size)
+        weights = None if left.counts is None else np.repeat(left.counts[part], size) * right.counts[order[posting]]
         yield start, stop, np.bincount(cell, weights, (stop - start) * width).reshape(stop - start, width)
         start = stop
 

@@ -96,9 +96,11 @@ def test_pairs_by_join_and_by_tile(spark, monkeypatch, heavy):
         assert len(got) == len(set(got)) and set(got) == expected
 
 
-@pytest.mark.parametrize("heavy, first", [(0, 50), (6, 20), (10_000, 1000)])
-def test_greedy_in_batches_equals_the_loop(spark, monkeypatch, heavy, first):
+@pytest.mark.parametrize("heavy, first, edges", [(0, 50, 1 << 22), (6, 20, 0), (10_000, 1000, 1 << 22)])
+def test_greedy_in_batches_equals_the_loop(spark, monkeypatch, heavy, first, edges):
+    """One batch or many; elections in one task, or in rounds."""
     monkeypatch.setattr(cl.numbered_blocks, "__defaults__", (300,))
+    monkeypatch.setattr(cl, "MOST_EDGES", edges)
     words = families(160, 9)
     order = sorted(words, key=lambda s: (-len(s), s))
     reps, expected = [], {}
@@ -111,6 +113,48 @@ def test_greedy_in_batches_equals_the_loop(spark, monkeypatch, heavy, first):
     assert got.pop("none") is None and got == expected
 
 
+@pytest.mark.parametrize("edges", [0, 1 << 22])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, edges):
+    monkeypatch.setattr(cl, "MOST_EDGES", edges)
+    words = families(80, 6)
+    root = list(range(len(words)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(words):
+        for j in range(i):
+            if similar(a, words[j], 3, 0.7):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(s, s) for s in words], "id string, sequence string")
+    got = {r.id: r.cluster_id for r in cl.cluster_by_kmer(df, tau=0.7, mode="components").collect()}
+    assert got == {s: words[find(i)] for i, s in enumerate(words)}
+
+
+def test_labels_of_random_graphs():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(2, 30))
+        pairs = {tuple(sorted(p)) for p in rng.integers(0, n, (int(rng.integers(1, 60)), 2)).tolist() if p[0] != p[1]}
+        if not pairs:
+            continue
+        u, v = (np.array(c) for c in zip(*sorted(pairs), strict=True))
+        reps, labels = [], []
+        for i in range(n):
+            best = next((r for r in reps if (r, i) in pairs), i)
+            reps += [i] if best == i else []
+            labels.append(best)
+        assert cl._greedy_labels(u, v, n).tolist() == labels
+        lowest = list(range(n))
+        for _ in range(n):
+            for a, b in pairs:
+                lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+        assert cl._component_labels(u, v, n).tolist() == lowest
+
+
 def test_one_large_group_is_cut_into_tiles(spark, monkeypatch):
     """A group with most rows, among small ones, a NULL group and rows without k-mers."""
     monkeypatch.setattr(tiles, "BLOCK", 150)
