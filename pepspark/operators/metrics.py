@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-
+import hashlib
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hashing import hash_unit
-from ..functions.sequences import let, once
 from .ranks import join_same, running_totals, value_bucket
 from .summaries import unpivot
 
@@ -233,42 +238,137 @@ POISSON_ONE = (
     0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974149, 0.9999998885745217,
 )
 
+#: Replicates that one md5 decides: its 128 bits are four uniform numbers of 32.
+DRAWS = 4
+
+
+def poisson_weights(seed: int, keys: Sequence[str], n: int) -> np.ndarray:
+    """Poisson(1) weights of each key in n replicates.
+
+    Replicate r reads the (r mod 4)-th eight hex digits of md5(seed:r div 4:key), so
+    weights depend on nothing but the seed, the replicate and the key.
+    """
+    draws = -(-n // DRAWS)
+    raw = b"".join(hashlib.md5(f"{seed}:{i}:{key}".encode()).digest() for key in keys for i in range(draws))
+    uniform = np.frombuffer(raw, ">u4").astype(np.uint32).reshape(len(keys), draws * DRAWS)[:, :n]
+    weights = np.zeros(uniform.shape, np.int32)
+    for bound in POISSON_ONE:
+        weights += uniform >= np.uint32(math.ceil(bound * 2**32))
+    return weights
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw for a uniform ``u``."""
-    return let(u, lambda x: sum((F.when(x >= bound, 1).otherwise(0) for bound in POISSON_ONE), F.lit(0)))
 
+def replicate_cells(df: DataFrame, key: str, cells: Sequence[str], n: int, seed: int) -> DataFrame:
+    """(cells, weights): for each distinct value of ``cells`` an array of its summed Poisson(1) weights in n replicates.
 
-def resampled_counts(
-    df: DataFrame, key: str, y: str, scores: Sequence[str], n: int, seed: int, grid: int | None = None
+    The sum over the c rows of a cell is a Poisson(c) draw.  Rows that agree in all cells
+    collapse inside their batch, then in a combining aggregate of vectors, so what is
+    shuffled grows with distinct cells, each a single row whatever the number of replicates.
+    """
+    rows = df.select(F.col(key).cast("string").alias("_key"), *cells)
+    fields = T.StructType([*rows.select(*cells).schema, T.StructField("weights", T.ArrayType(T.DoubleType()))])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 21) // n)  # about two million weights at a time
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                code = np.zeros(len(part), np.int64)
+                for column in part.columns[1:]:
+                    values = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) + 1
+                    code = np.unique(code * (int(values.max(initial=0)) + 1) + values, return_inverse=True)[1]
+                order = np.argsort(code, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(code[order]) > 0))
+                sums = np.add.reduceat(poisson_weights(seed, part.column(0).to_pylist(), n)[order], first, axis=0).astype(np.float64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, n), pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(order[first])) for c in part.columns[1:]), lists], names=fields.names)
+
+    total = Summarizer.sum(array_to_vector("weights"))
+    return rows.mapInArrow(draw, fields).groupBy(*cells).agg(vector_to_array(total).alias("weights"))
+
+
+def replicate_auroc(cells: DataFrame, n: int, rows: int = 1 << 11) -> DataFrame:
+    """(model, replicate, auroc) from (model, score, y, weights); a replicate of one class has none.
+
+    Rank sums of all replicates are taken at once, as arrays, inside slices of about ``rows``
+    scores; the slices of a model are then added up in order, as a stream.
+    """
+    scores = cells.select("model", "score").distinct()
+    placed = cells.join(value_bucket(scores, "score", ["model"], rows), ["model", "score"])
+
+    def inside(table: pa.Table) -> pa.Table:
+        weights = table.column("weights").combine_chunks().flatten().to_numpy().reshape(len(table), n)
+        score, positive = table.column("score").to_numpy(), table.column("y").to_numpy() == 1
+        order = np.argsort(score, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(score[order]) > 0))
+        c = np.add.reduceat(weights[order], first, axis=0)
+        p = np.add.reduceat(np.where(positive[:, None], weights, 0.0)[order], first, axis=0)
+        ranks = (p * (np.cumsum(c, axis=0) - c + (c + 1) / 2)).sum(axis=0)
+        out = {"r": ranks, "p": p.sum(axis=0), "c": c.sum(axis=0)}
+        return pa.table({"model": table.column("model")[:1], "_bucket": table.column("_bucket")[:1]} | {k: pa.array([v]) for k, v in out.items()})
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, r, p, c = None, np.zeros(n), np.zeros(n), np.zeros(n)
+
+        def ended() -> pa.RecordBatch:
+            u = r - p * (p + 1) / 2
+            both = p * (c - p)
+            auroc = pa.array(np.divide(u, both, out=np.zeros(n), where=both > 0), mask=both <= 0)
+            return pa.RecordBatch.from_arrays([pa.array([model] * n), pa.array(np.arange(n, dtype=np.int32)), auroc], ["model", "replicate", "auroc"])
+
+        for batch in batches:
+            for name, *sums in zip(*(batch.column(k) for k in ("model", "r", "p", "c")), strict=True):
+                if name.as_py() != model:
+                    if model is not None:
+                        yield ended()
+                    model, r, p, c = name.as_py(), np.zeros(n), np.zeros(n), np.zeros(n)
+                own_r, own_p, own_c = (x.values.to_numpy() for x in sums)
+                r, p, c = r + own_r + own_p * c, p + own_p, c + own_c
+        if model is not None:
+            yield ended()
+
+    arrays = "r array<double>, p array<double>, c array<double>"
+    slices = placed.groupBy("model", "_bucket").applyInArrow(inside, f"model string, _bucket int, {arrays}")
+    return slices.repartition("model").sortWithinPartitions("model", "_bucket").mapInArrow(in_order, "model string, replicate int, auroc double")
+
+
+def _interval(replicates: DataFrame, value: str, by: Sequence[str] = (), mean: str = "mean") -> DataFrame:
+    return replicates.filter(F.col(value).isNotNull()).groupBy(*by).agg(
+        F.avg(value).alias(mean), F.percentile(value, 0.025).alias("lower"), F.percentile(value, 0.975).alias("upper"), F.count(F.lit(1)).alias("n_replicates")
+    )
+
+
+def bootstrap_auroc(
+    df: DataFrame, key: str, y: str, scores: Sequence[str], n: int = 1000, seed: int = 42, grid: int | None = None,
+    metric: Callable[[], Column] | None = None, thresholds: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """(model, replicate, score) counts under Poisson(1) row weights.
+    """Mean and 2.5 / 97.5 percentiles of AUROC over n replicates; one-class replicates are skipped.
 
-    Replicates are independent weights on the same rows, so a replicate needs
-    no sampling pass.  Zero weights vanish before the shuffle and equal scores
-    merge map-side.  ``grid`` rounds scores to that many steps, which bounds
-    the shuffle by models * n * grid rows whatever the table size.
+    ``grid`` rounds scores to that many steps, which bounds the cells whatever the table
+    size.  With ``metric`` (an expression over tp, fp, tn, fn) that is taken instead, of
+    scores cut at ``thresholds`` (0.5 where not given); it needs four cells a model only.
     """
-    replicates = df.select(key, y, *scores).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    weighted = replicates.withColumn("_w", once(poisson_weight(hash_unit(seed, "replicate", key)))).filter("_w > 0")
-    long = unpivot(weighted.withColumn("_w", F.col("_w").cast("double")), [y, "replicate", "_w"], scores, "model", "score")
+    long = unpivot(df.select(key, F.col(y).cast("int").alias("y"), *scores), [key, "y"], scores, "model", "score").filter("score is not null")
+    if metric is not None:
+        cut = F.lit(0.5)
+        for name, at in (thresholds or {}).items():
+            cut = F.when(F.col("model") == name, F.lit(float(at))).otherwise(cut)
+        flagged = long.withColumn("hit", F.col("score") >= cut)
+        cells = replicate_cells(flagged, key, ["model", "y", "hit"], n, seed).select("model", "y", "hit", F.posexplode("weights").alias("replicate", "w"))
+        counts = cells.groupBy("model", "replicate").agg(*weighted_confusion(F.col("y"), F.col("hit"), F.col("w")))
+        return _interval(counts.select("model", metric().alias("value")), "value", ["model"])
     if grid:
         long = long.withColumn("score", F.round(F.col("score") * grid) / F.lit(float(grid)))
-    return score_counts(long, y, "score", ["model", "replicate"], F.col("_w").cast("bigint"))
+    return _interval(replicate_auroc(replicate_cells(long, key, ["model", "score", "y"], n, seed), n), "auroc", ["model"])
 
 
-def bootstrap_auroc(
-    df: DataFrame, key: str, y: str, scores: Sequence[str], n: int = 1000, seed: int = 42, grid: int | None = None
-) -> DataFrame:
-    """Mean and 2.5 / 97.5 percentiles of AUROC; one-class replicates are skipped."""
-    counts = resampled_counts(df, key, y, scores, n, seed, grid)
-    replicates = auroc_from_counts(counts, ["model", "replicate"]).filter("auroc is not null")
-    return replicates.groupBy("model").agg(
-        F.avg("auroc").alias("mean"),
-        F.percentile("auroc", 0.025).alias("lower"),
-        F.percentile("auroc", 0.975).alias("upper"),
-        F.count(F.lit(1)).alias("n_replicates"),
-    )
+def weighted_confusion(y: Column, predicted: Column, weight: Column) -> list[Column]:
+    def total(condition: Column) -> Column:
+        return F.sum(F.when(condition, weight).otherwise(0))
+
+    return [
+        total((y == 1) & predicted).alias("tp"), total((y == 0) & predicted).alias("fp"),
+        total((y == 0) & ~predicted).alias("tn"), total((y == 1) & ~predicted).alias("fn"),
+    ]
 
 
 def bootstrap_diff(
@@ -278,35 +378,17 @@ def bootstrap_diff(
     """Paired bootstrap of metric(first) - metric(second): both models see the same weights.
 
     The metric needs confusion counts only, so rows first collapse to at most
-    eight (label, prediction, prediction) cells per replicate, map-side.
+    twelve (label, prediction, prediction) cells with their weights in all replicates.
     """
     cut = thresholds or {}
     flagged = df.select(
         key, F.col(y).alias("y"), (F.col(first) >= cut.get(first, 0.5)).alias("a"), (F.col(second) >= cut.get(second, 0.5)).alias("b")
     )
-    drawn = flagged.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
-        "w", once(poisson_weight(hash_unit(seed, "replicate", key)))
-    )
-    cells = drawn.filter("w > 0").groupBy("replicate", "y", "a", "b").agg(F.sum("w").alias("w"))
+    cells = replicate_cells(flagged, key, ["y", "a", "b"], n, seed).select("y", "a", "b", F.posexplode("weights").alias("replicate", "w"))
 
     def scored(side: str) -> DataFrame:
-        predicted = F.col(side)
-
-        def total(condition: Column) -> Column:
-            return F.sum(F.when(condition, F.col("w")).otherwise(0))
-
-        counts = cells.groupBy("replicate").agg(
-            total((F.col("y") == 1) & predicted).alias("tp"),
-            total((F.col("y") == 0) & predicted).alias("fp"),
-            total((F.col("y") == 0) & ~predicted).alias("tn"),
-            total((F.col("y") == 1) & ~predicted).alias("fn"),
-        )
+        counts = cells.groupBy("replicate").agg(*weighted_confusion(F.col("y"), F.col(side), F.col("w")))
         return counts.select("replicate", metric().alias(f"m_{side}"))
 
     differences = scored("a").join(scored("b"), "replicate").select((F.col("m_a") - F.col("m_b")).alias("d"))
-    return differences.agg(
-        F.avg("d").alias("mean_diff"),
-        F.percentile("d", 0.025).alias("lower"),
-        F.percentile("d", 0.975).alias("upper"),
-        F.count(F.lit(1)).alias("n_replicates"),
-    )
+    return _interval(differences, "d", mean="mean_diff")

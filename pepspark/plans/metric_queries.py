@@ -122,9 +122,9 @@ def _(spark, path):
 
 
 CDF = " + ".join(f"(u >= ({b})::double)::int" for b in me.POISSON_ONE)
-WEIGHTS = f"""reps as (select id, y, s1, s2, replicate, {CDF} as w from (
-    select *, ('0x' || substr(md5('42:replicate:' || id), 1, 8))::bigint / 4294967296.0::double as u from (
-      select id, y, s1, s2, unnest(range(200))::int as replicate from scores)))""".replace("'42:replicate:' || id", "'42:' || replicate || ':' || id")
+WEIGHTS = f"""digests as (select id, y, s1, s2, draw, md5('42:' || draw || ':' || id) as h from (select *, unnest(range(250))::int as draw from scores)),
+  reps as (select id, y, s1, s2, draw * 4 + j as replicate, {CDF} as w from (
+    select *, ('0x' || substr(h, (1 + 8 * j)::int, 8))::bigint / 4294967296.0::double as u from (select *, unnest(range(4))::int as j from digests)))"""
 
 
 @query(
@@ -136,7 +136,7 @@ WEIGHTS = f"""reps as (select id, y, s1, s2, replicate, {CDF} as w from (
       select model, {R('avg(a)')} as mean, {R('quantile_cont(a, 0.025)')} as lower, {R('quantile_cont(a, 0.975)')} as upper, count(a) as n_replicates from auc where a is not null group by 1""",
 )
 def _(spark, path):
-    return me.bootstrap_auroc(views.scores(spark, path), "id", "y", ["s1", "s2"], n=200)
+    return me.bootstrap_auroc(views.scores(spark, path), "id", "y", ["s1", "s2"])
 
 
 def _mcc_of(side: str) -> str:
@@ -156,7 +156,7 @@ def _mcc_of(side: str) -> str:
       select {R('avg(d)')} as mean_diff, {R('quantile_cont(d, 0.025)')} as lower, {R('quantile_cont(d, 0.975)')} as upper, count(*) as n_replicates from d""",
 )
 def _(spark, path):
-    return me.bootstrap_diff(views.scores(spark, path), "id", "y", "s1", "s2", n=200)
+    return me.bootstrap_diff(views.scores(spark, path), "id", "y", "s1", "s2")
 
 
 @query(

@@ -210,12 +210,30 @@ def _(spark, path):
     return report.orderBy(F.desc("batch")).limit(1).select("n_rows", "latest_step", "mean_recent")
 
 
-@query("t2_novel_stream", "select distinct sequence from compounds where sequence not in (select sequence from training)")
+def _log_of_files(spark, path, files: int = 4):
+    """The whole compound log as a stream of several files in the order of steps, one file a batch."""
+    folder = f"{_folder(spark)}/log"
+    log = views.compounds(spark, path).persist()
+    last = log.agg(F.max("step")).first()[0] or 0
+    # A file begins at a step and holds all rows up to the next one's; later files are written later.
+    for n in range(files):
+        part = log.filter((F.col("step") * files >= n * (last + 1)) & (F.col("step") * files < (n + 1) * (last + 1)))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    log.unpersist()
+    return mo.read_compounds(spark, folder, log.schema, "parquet", files_per_batch=1)
+
+
+@query(
+    "t2_novel_stream",
+    f"""select run, step, rid, sequence, {R('reward')} as reward, cluster_id from (
+        select *, row_number() over (partition by sequence order by step, rid) as k from compounds
+        where sequence not in (select sequence from training)) where k = 1""",
+)
 def _(spark, path):
     folder = _folder(spark)
-    novel = mo.novel_stream(views.compound_stream(spark, path), views.training(spark, path))
-    mo.write_stream(novel.select("sequence"), folder, once=True).awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").select("sequence")
+    novel = mo.novel_stream(_log_of_files(spark, path), views.training(spark, path), order=("step", "rid"))
+    mo.write_stream(novel, folder, "update", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
 @query("t3_step_metrics_stream", f"select step, count(*) as n_new, {R('avg(reward)')} as mean_reward from compounds group by 1")
@@ -231,7 +249,7 @@ def _(spark, path):
 )
 def _(spark, path):
     folder = _folder(spark)
-    mo.visitation_stream(views.compound_stream(spark, path), folder, order=("step", "rid"), once=True).awaitTermination()
+    mo.visitation_stream(_log_of_files(spark, path), folder, order=("step", "rid"), once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/rows").select("run", "step", "rid", "cluster_id", "visit_bonus")
 
 

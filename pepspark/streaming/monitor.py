@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.ranks import join_same
-from ..operators.scoring import visit_numbers
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 COMPOUND_SCHEMA = "step int, sequence string, reward double, cluster_id int"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_compounds(spark: SparkSession, path: str, schema: str = COMPOUND_SCHEMA, fmt: str = "csv", files_per_batch: int | None = None) -> DataFrame:
+def read_compounds(spark: SparkSession, path: str, schema: str | T.StructType = COMPOUND_SCHEMA, fmt: str = "csv", files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
@@ -106,9 +108,46 @@ def progress(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("batch", "n_rows", "n_new", "latest_step", "mean_recent", rate.alias("rows_per_minute"))
 
 
-def novel_stream(stream: DataFrame, training: DataFrame, key: str = "sequence") -> DataFrame:
-    """Sequences neither in training nor emitted before, across restarts."""
-    return stream.join(training.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+class Visits(StatefulProcessor):
+    """Number the rows of a key in order, going on from the visits of earlier batches.
+
+    The state of a key is one number; a batch touches those of its own keys only.
+    """
+
+    def __init__(self, columns: list[str], order: list[str], ttl_ms: int | None):
+        self.columns, self.order, self.ttl_ms = columns, order, ttl_ms
+
+    def init(self, handle) -> None:
+        self.count = handle.getValueState("visits", "n long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[-1] is None or key[-1] != key[-1]:  # without a cluster there is nothing to count
+            for part in rows:
+                yield part.assign(visit_bonus=0.0)[self.columns]
+            return
+        before = self.count.get()[0] if self.count.exists() else 0
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        self.count.update((before + len(batch),))
+        yield batch.assign(visit_bonus=1.0 / np.sqrt(np.arange(before + 1, before + len(batch) + 1)))[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def novel_stream(stream: DataFrame, training: DataFrame, key: str = "sequence", order: tuple[str, ...] = ("step",)) -> DataFrame:
+    """The first row of each sequence that is neither in training nor was emitted before, across restarts.
+
+    For ``write_stream`` in update mode.  The state of a sequence is its first row by ``order`` and
+    the times of the first and the latest batch that held it; a batch touches its own
+    sequences only, and emits those for which both are its own time (a replayed batch
+    has the same).  Over a log whose batches arrive in order the rows are the batch form's.
+    """
+    use_rocksdb(stream.sparkSession)
+    unknown = stream.filter(F.col(key).isNotNull()).join(training.select(key).distinct(), key, "left_anti")
+    first = F.min_by(F.struct(*[F.col(c) for c in stream.columns]), F.struct(*[F.col(c) for c in order])).alias("_row")
+    timed = unknown.withColumn("_now", F.current_timestamp())
+    states = timed.groupBy(key).agg(first, F.min("_now").alias("_since"), F.max("_now").alias("_latest"))
+    return states.filter("_since = _latest").select("_row.*")
 
 
 def step_metrics_stream(stream: DataFrame, step: str = "step") -> DataFrame:
@@ -143,34 +182,16 @@ def latest_rows(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 
 def visitation_stream(
     stream: DataFrame, folder: str, keys: tuple[str, ...] = ("run", "cluster_id"), order: tuple[str, ...] = ("step", "rid", "pos"),
-    once: bool = False, interval: str = "30 seconds",
+    once: bool = False, interval: str = "30 seconds", ttl_minutes: int | None = None,
 ) -> StreamingQuery:
     """The running visitation bonus over a log whose batches arrive in step order.
 
-    A batch is numbered like a batch table and shifted by the visits stored
-    with the batch before it, so a busy cluster is never one task's work, and
-    a replayed batch rewrites the same rows.
+    Visits are state by key; a batch reads and writes only the keys it holds.  The rows
+    of one key in one batch are ordered in one task, so the reader's ``files_per_batch``
+    bounds what a busy cluster takes.  ``ttl_minutes`` drops counters that long untouched.
     """
-    spark = stream.sparkSession
-    check_fingerprint(spark, folder, f"visits keys={keys} order={order}")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = _state(spark, f"{folder}/visits", batch_id)
-        numbered = visit_numbers(batch, keys=keys, order=order)
-        counts = batch.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        if before is not None:
-            earlier = before.select(*keys, F.col("n").alias("_before"))
-            numbered = (
-                join_same(numbered, earlier, list(keys), "left")
-                .withColumn("visits", F.col("visits") + F.coalesce("_before", F.lit(0)))
-                .drop("_before")
-            )
-            counts = counts.unionByName(before.select(*keys, "n")).groupBy(*keys).agg(F.sum("n").alias("n"))
-        bonus = numbered.withColumn(
-            "visit_bonus", F.coalesce(F.lit(1.0) / F.sqrt(F.col("visits").cast("double")), F.lit(0.0))
-        ).drop("visits")
-        bonus.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
-        counts.write.mode("overwrite").parquet(f"{folder}/visits/batch={batch_id}")
-
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
-    return _trigger(writer, once, interval).start()
+    use_rocksdb(stream.sparkSession)
+    ttl, mode = (None, "None") if ttl_minutes is None else (ttl_minutes * 60_000, "ProcessingTime")
+    schema = T.StructType([*stream.schema.fields, T.StructField("visit_bonus", T.DoubleType())])
+    numbered = stream.groupBy(*keys).transformWithStateInPandas(Visits(schema.names, list(order), ttl), schema, "Append", mode)
+    return write_stream(numbered, folder, once=once, interval=interval, definition=f"visits keys={keys} order={order}")

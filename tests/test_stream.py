@@ -41,14 +41,15 @@ def test_novel_and_resume(spark, log, tmp_path):
     out, training = str(tmp_path / "out"), spark.createDataFrame([("AK",)], "sequence string")
 
     def run():
-        mo.write_stream(mo.novel_stream(stream(spark, log), training).select("sequence"), out, once=True).awaitTermination()
-        return sorted(r.sequence for r in spark.read.parquet(f"{out}/rows").collect())
+        mo.write_stream(mo.novel_stream(stream(spark, log), training, order=("step", "rid")), out, "update", once=True).awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(f"{out}/rows").drop("batch").collect())
 
     first = run()
-    expected = sorted(r.sequence for r in sm.first_seen(spark.read.parquet(log), training, ["step", "rid"]).collect())
+    expected = sorted(tuple(r) for r in sm.first_seen(spark.read.parquet(log), training, ["step", "rid"]).collect())
     assert first == expected and run() == first
-    spark.createDataFrame([("r", 9, 0, "WWW", 1.0, 0), ("r", 9, 1, first[0], 1.0, 0)], SCHEMA).write.mode("append").parquet(log)
-    assert run() == sorted([*first, "WWW"])
+    late = [("r", 9, 1, "WWW", 2.0, 0), ("r", 9, 0, "WWW", 1.0, None), ("r", 9, 2, first[0][3], 1.0, 0), ("r", 9, 3, None, 1.0, 0)]
+    spark.createDataFrame(late, SCHEMA).coalesce(1).write.mode("append").parquet(log)
+    assert run() == sorted([*first, late[1]], key=lambda r: r[:4])
 
 
 def test_step_metrics(spark, log, tmp_path):
@@ -66,3 +67,16 @@ def test_visits(spark, log, tmp_path):
     got = {(r.step, r.rid): r.visit_bonus for r in spark.read.parquet(f"{out}/rows").collect()}
     plain = sc.visitation_bonus(spark.read.parquet(log), order=["step", "rid"]).collect()
     assert got == pytest.approx({(r.step, r.rid): r.visit_bonus for r in plain})
+
+
+def test_visits_go_on_after_a_restart(spark, log, tmp_path):
+    """Rows without a cluster have no bonus; a second run counts on from the state."""
+    out = str(tmp_path / "out")
+    run = lambda: mo.visitation_stream(stream(spark, log), out, order=("step", "rid"), once=True).awaitTermination()
+    run()
+    more = [("r", 7, 1, "A", 1.0, None), ("r", 7, 0, "B", 1.0, 1), ("r", 7, 2, "C", 1.0, 1), ("q", 7, 3, "C", 1.0, 1)]
+    spark.createDataFrame(more, SCHEMA).coalesce(1).write.mode("append").parquet(log)
+    run()
+    got = {(r.run, r.step, r.rid): r.visit_bonus for r in spark.read.parquet(f"{out}/rows").collect()}
+    plain = sc.visitation_bonus(spark.read.parquet(log), order=["step", "rid"]).collect()
+    assert got == pytest.approx({(r.run, r.step, r.rid): r.visit_bonus for r in plain}) and got["r", 7, 1] == 0.0
