@@ -153,7 +153,7 @@ def op9_sentencepiece_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.membership(table(spark, sf_dir, "documents"), length=400).drop("spans")
+    return suffix.membership(table(spark, sf_dir, "documents"), length=400, words=51).drop("spans")
 
 
 @query

@@ -191,11 +191,13 @@ class LevelIndex:
         return hits
 
 
-def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str = "doc_id", text: str = "text", words: int | None = None) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str = "doc_id", text: str = "text", words: int | None = None, separate: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, cut): every row with its text's name, and the cut of each text that repeats something.
 
     rows: doc_id, doc, n_bytes, sha (SHA-256 of the text).  cut: doc, n_bytes,
-    n_removed, n_spans, spans (start, stop), kept (the bytes that stay), kept_sha.
+    n_removed, n_spans, spans (start, stop), kept (the bytes that stay), kept_sha,
+    n_removed_words.  With ``separate`` all but the last are about ``length`` alone, and
+    n_removed_words counts the bytes that ``words`` would take beside them.
 
     A byte is cut if a ``length``-byte string that covers it also starts anywhere
     else, in any text or the same, overlapping or not.  Texts are UTF-8 bytes, a null is
@@ -283,22 +285,21 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
         for batch in parts:
             data, bounds = texts(batch.column(3))
             copied = batch.column(4).to_pylist()
-            out: dict[str, list] = {k: [] for k in ("n_removed", "n_spans", "spans", "kept", "kept_sha")}
+            out: dict[str, list] = {k: [] for k in ("n_removed", "n_spans", "spans", "kept", "kept_sha", "n_removed_words")}
             for i, marked in enumerate(batch.column(2).to_pylist()):
                 own = data[bounds[i] : bounds[i + 1]]
                 start, stop = np.array([m["start"] for m in marked], np.int64), np.array([m["stop"] for m in marked], np.int64)
                 odd = np.array([m["worded"] for m in marked], bool)
-                if odd.any():
-                    begin, end, _ = word_edges(own, np.array([0, len(own)]))
-                    start[odd], stop[odd] = begin[start[odd]], end[stop[odd] - 1]
-                if copied[i] and words:
+                gone = _covered(start[~odd], stop[~odd], len(own))
+                worded = gone
+                if odd.any() or (copied[i] and words):
                     begin, end, _ = word_edges(own, np.array([0, len(own)]))
-                    if len(begin) >= words:
+                    start, stop = begin[start[odd]], end[stop[odd] - 1]
+                    if copied[i] and len(begin) >= words:
                         start, stop = np.append(start, begin[0]), np.append(stop, end[-1])
-                depth = np.zeros(len(own) + 1, np.int64)
-                np.add.at(depth, start, 1)
-                np.add.at(depth, stop, -1)
-                gone = np.cumsum(depth[:-1]) > 0
+                    worded = gone | _covered(start, stop, len(own))
+                if not separate:
+                    gone = worded
                 edges = np.nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))[0]
                 kept = own[~gone].tobytes()
                 out["n_removed"].append(int(gone.sum()))
@@ -306,34 +307,50 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
                 out["spans"].append([{"start": int(a), "stop": int(b)} for a, b in edges.reshape(-1, 2)])
                 out["kept"].append(kept)
                 out["kept_sha"].append(hashlib.sha256(kept).digest())
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary(), pa.binary()]
+                out["n_removed_words"].append(int(worded.sum()))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], [*IDENTITY, *out])
 
-    result = "doc long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha binary"
+    result = "doc long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha binary, n_removed_words long"
     spans = marks.unionByName(fine).groupBy(*IDENTITY).agg(F.collect_list(F.struct("start", "stop", "worded")).alias("marks"))
     copied = copies.select(*IDENTITY, F.lit(True).alias("copied"))
     some = held.join(spans, IDENTITY, "left").join(growing(copied), IDENTITY, "left")
     # A copied text of ``length`` bytes goes whole, below; what has neither marks nor copies stays.
     some = some.filter((F.col("marks").isNotNull() & F.col("copied").isNull()) | (F.col("copied") & (F.col("n_bytes") < length)))
     marked = F.coalesce("marks", F.array().cast("array<struct<start:bigint,stop:bigint,worded:boolean>>"))
-    partial = some.select(*IDENTITY, marked.alias("marks"), "text", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(cutting, result).filter("n_removed > 0")
+    partial = some.select(*IDENTITY, marked.alias("marks"), "text", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(cutting, result).filter("n_removed_words > 0")
     gone = copies.filter(F.col("n_bytes") >= length).select(
         *IDENTITY, F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"), F.lit(b"").alias("kept"), F.unhex(F.sha2(F.lit(b""), 256)).alias("kept_sha"),
+        F.col("n_bytes").alias("n_removed_words"),
     )
     cut = materialize(partial.unionByName(gone), "cuts")
     discard(kinds, several, marks, near_docs, copies, held, single, again)
     return made, cut
 
 
-def membership(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans; see ``repeats``."""
-    rows, cut = repeats(docs, length, batches, doc_id, text)
+def _covered(start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    """Which of n bytes lie in one of the ranges."""
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, start, 1)
+    np.add.at(depth, stop, -1)
+    return np.cumsum(depth[:-1]) > 0
+
+
+def membership(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """One row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_removed_words; see ``repeats``.
+
+    All columns but the last are about strings of ``length`` bytes.  ``n_removed_words``
+    counts the bytes in repeats of ``length`` bytes or of ``words`` words (without
+    ``words`` it equals n_removed), so that shorter passages of many words show as well.
+    """
+    rows, cut = repeats(docs, length, batches, doc_id, text, words, separate=True)
     joined = rows.join(growing(cut.drop("kept")), IDENTITY, "left")
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return joined.select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.lower(F.hex(F.coalesce("kept_sha", "sha"))).alias("kept_sha256"), F.coalesce("spans", none).alias("spans"),
+        "doc_id", "n_bytes", count("n_removed"), count("n_spans"),
+        F.lower(F.hex(F.coalesce("kept_sha", "sha"))).alias("kept_sha256"), F.coalesce("spans", none).alias("spans"), count("n_removed_words"),
     )
 
 

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from test_dedup import SCHEMA, WORD
+from test_dedup import SCHEMA, WORD, expect_cut
 
 import corpus_pipeline
 from pepspark.llm import suffix
@@ -27,20 +27,34 @@ def expect_text(rows, length, words):
             if runs[tuple(w[k : k + words])] > 1:
                 gone[s[k][0] : s[k + words - 1][1]] = True
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
-        out.append((i, t if t is None else kept))
+        out.append((i, t if t is None else kept, int(gone.sum())))
     return out
 
 
-@pytest.mark.parametrize(("length", "words"), [(400, 5), (30, 9), (12, 2)])
-def test_word_passages(spark, length, words):
+def passages(words):
     random.seed(words)
     vocabulary = ["ab", "cde", "éß", "x", "qwerty", "zzz", "foo", "in", "to", "the"]
     text = lambda n: random.choice([" ", "  ", "\n"]).join(random.choice(vocabulary) + str(random.randint(0, 99)) for _ in range(n))
     shared = [text(random.randint(2, 30)) for _ in range(8)]
     rows = [(i, text(random.randint(0, 20)) + " " + random.choice(shared).replace("  ", random.choice([" ", "\t"])) + " " + text(random.randint(0, 20))) for i in range(120)]
     rows += [(200 + i, rows[3][1]) for i in range(20)] + [(300 + i, " a b c d e f g h i j ") for i in range(2)] + [(400, "x " * 60), (401, None), (402, ""), (None, text(9))]
+    return rows
+
+
+@pytest.mark.parametrize(("length", "words"), [(400, 5), (30, 9), (12, 2)])
+def test_word_passages(spark, length, words):
+    rows = passages(words)
     got = suffix.cut_rows(spark.createDataFrame(rows, SCHEMA).repartition(5), length, words=words)
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(expect_text(rows, length, words), key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r[:2] for r in expect_text(rows, length, words)), key=str)
+
+
+@pytest.mark.parametrize(("length", "words"), [(60, 5), (30, 9)])
+def test_word_passages_beside_bytes(spark, length, words):
+    """What words remove has a column of its own; all others are about bytes."""
+    rows = passages(words)
+    got = [tuple(r) for r in suffix.membership(spark.createDataFrame(rows, SCHEMA).repartition(5), length, words=words).drop("spans").collect()]
+    both = [(*a, b[2]) for a, b in zip(expect_cut(rows, length), expect_text(rows, length, words), strict=True)]
+    assert sorted(got, key=str) == sorted(both, key=str) and any(r[2] < r[5] for r in got)
 
 
 def test_stage_cuts_51_short_words(spark, tmp_path):
