@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..functions.hashing import hash_unit
+from ..session import ensure_checkpoint_dir
 from .ranks import join_same
+from .tiles import numbered_blocks
 
 # Reasons given for rejected rows.
 EMPTY = "empty sequence"
@@ -317,10 +319,18 @@ def union_distinct(df: DataFrame, rank: str, key: str = "sequence") -> DataFrame
     return counts.withColumn("union_size", F.sum("n_new").over(running))
 
 
-def merge_into(existing: DataFrame, new: DataFrame, key: str = "sequence") -> DataFrame:
-    """Existing keys plus unseen new ones, one row each; existing rows win."""
-    both = existing.select(key).withColumn("_rank", F.lit(0)).unionByName(new.select(key).withColumn("_rank", F.lit(1)))
-    return both.groupBy(key).agg((F.min("_rank") == 1).alias("is_new"))
+def merge_into(existing: DataFrame, new: DataFrame, key: str = "sequence", order: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``existing`` plus those of ``new`` with an unseen key, one a key, with all columns and ``is_new``.
+
+    Existing rows win; among rows of one table the first by ``order`` (then by their
+    other columns) stays.  A column that one table lacks is NULL in its rows; a NULL
+    key is one key.
+    """
+    both = existing.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (key, "is_new", *order)]
+    place = F.struct(F.col("is_new"), *[F.col(f"`{c}`") for c in (*order, *rest)])
+    best = both.groupBy(key).agg(F.min(place).alias("_best"))
+    return best.select(*[F.col(f"`{c}`") if c == key else F.col(f"_best.`{c}`").alias(c) for c in both.columns])
 
 
 def merge_report(existing: DataFrame, new: DataFrame, key: str = "sequence") -> DataFrame:
@@ -347,11 +357,13 @@ def first_by(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFra
     return chosen.select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 
-def dedup_with_provenance(df: DataFrame) -> DataFrame:
+def dedup_with_provenance(df: DataFrame, order: Sequence[str] = (), per_part: int = 10000) -> DataFrame:
     """One row per sequence: sorted distinct sources, counts, flags and first id.
 
-    State per sequence is one entry per source, whatever the number of copies;
-    the full id lists are a table of their own (``provenance_ids``).
+    State per sequence is one entry per source, whatever the number of copies.  With
+    ``order`` the row has its records' ids in that order too (``source_ids``, the first
+    ``per_part`` of them) and how many such lists there are; the others are in
+    ``provenance_ids``.
     """
     per_source = df.groupBy("sequence", "source_db").agg(
         F.count(F.lit(1)).alias("n"),
@@ -359,7 +371,7 @@ def dedup_with_provenance(df: DataFrame) -> DataFrame:
         F.bool_or("had_lowercase").alias("had_lowercase"),
         F.bool_or("has_nonstandard_char").alias("has_nonstandard_char"),
     )
-    return per_source.groupBy("sequence").agg(
+    found = per_source.groupBy("sequence").agg(
         F.length(F.first("sequence")).alias("sequence_length"),
         F.sort_array(F.collect_list("source_db")).alias("source_dbs"),
         F.count(F.lit(1)).alias("n_source_dbs"),
@@ -368,15 +380,29 @@ def dedup_with_provenance(df: DataFrame) -> DataFrame:
         F.bool_or("had_lowercase").alias("had_lowercase"),
         F.bool_or("has_nonstandard_char").alias("has_nonstandard_char"),
     )
+    if not order:
+        return found
+    first = provenance_ids(df, per_part, order).filter("part = 0").select("sequence", "source_ids")
+    return join_same(found, first, ["sequence"], "left").withColumn("n_id_parts", F.ceil(F.col("n_records") / F.lit(per_part)).cast("int"))
 
 
-def provenance_ids(df: DataFrame, per_part: int = 10000) -> DataFrame:
-    """Every record id of every sequence, as sorted lists of bounded size.
+def provenance_ids(df: DataFrame, per_part: int = 10000, order: Sequence[str] = ()) -> DataFrame:
+    """Every record id of every sequence, as ordered lists of bounded size.
 
-    A sequence with few copies gets one list (part 0).  One with very many gets
-    as many hash-split parts as it needs, so no list and no task grows with the
-    most frequent sequence, and no id is dropped.
+    A sequence with few copies gets one list (part 0), one with very many as many as
+    it needs, so no list and no task grows with the most frequent sequence, and no
+    id is dropped.  With ``order`` the lists follow one another in that order: rows are
+    numbered over range partitions of (sequence, order), which a hot sequence
+    spreads over.  Without, records are dealt into parts by hash and sorted there.
     """
+    if order:
+        ensure_checkpoint_dir(df.sparkSession)
+        keyed = df.select("sequence", "source_id", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.lit(1).alias("_one"))
+        numbered, _ = numbered_blocks(keyed, ["sequence", *[f"_o{i}" for i in range(len(order))], "source_id"], "_one", 1)
+        starts = numbered.groupBy("sequence").agg(F.min("ordinal").alias("_first"))
+        placed = join_same(numbered, starts, ["sequence"]).withColumn("part", F.floor((F.col("ordinal") - F.col("_first")) / per_part).cast("int"))
+        lists = placed.groupBy("sequence", "part").agg(F.sort_array(F.collect_list(F.struct("ordinal", "source_id"))).alias("_ids"))
+        return lists.select("sequence", "part", F.col("_ids.source_id").alias("source_ids"))
     copies = df.groupBy("sequence").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_part)).cast("int").alias("n_parts"))
     parts = (
         join_same(df.select("sequence", "source_id"), copies, ["sequence"])

@@ -222,11 +222,11 @@ def leak_check(df: DataFrame, features: Sequence[str], y: str, limit: float = 0.
 def metric_by_bin(
     df: DataFrame, value: str, edges: Sequence[float], y: str, score: str, threshold: float = 0.5
 ) -> DataFrame:
-    """Confusion metrics inside half-open bins [edge, next edge)."""
-    label = F.lit(None).cast("string")
+    """Confusion metrics inside half-open bins [edge, next edge); rows beyond the edges or without a value are in bin 'outside'."""
+    label = F.lit("outside")
     for lo, hi in reversed(list(zip(edges, edges[1:]))):
         label = F.when((F.col(value) >= lo) & (F.col(value) < hi), F.lit(f"{lo}-{hi}")).otherwise(label)
-    binned = df.withColumn("bin", label).filter("bin is not null")
+    binned = df.withColumn("bin", label)
     return classification_report(binned, y, score, threshold, ["bin"])
 
 

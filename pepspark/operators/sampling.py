@@ -190,32 +190,35 @@ def temper_weights(df: DataFrame, by: str = "organism", key: str = "sequence", a
     )
 
 
+#: A weight counts in units of the largest over 2**40; a draw is one of 2**52 points.
+WEIGHT_BITS, POINT_BITS = 40, 52
+
+
 def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` independent draws with replacement, proportional to ``weight``.
 
-    Weights become adjoining intervals on [0, n).  Draw i falls at a hashed
-    point; both sides are cut into unit cells, so finding the interval of a
-    draw is an equi-join on the cell and a bounds check.
+    Weights are whole numbers of units, so their prefix sums are exact: an interval
+    begins where the last ended, the last one ends at the total, and every draw falls
+    into exactly one, however skewed the weights.  Draws and intervals meet in
+    about ``n`` cells of equal width, so finding an interval is an equi-join on the
+    cell and a bounds check in whole numbers.  NULL, negative and vanishing weights
+    are never drawn.
     """
-    hashed = df.withColumn("_hash", hash_hex(f"{seed}:order", key)).withColumn("_bucket", F.substring("_hash", 1, 3))
-    summed = running_totals(
-        hashed, [], "_bucket", [F.col("_hash"), F.col(key)], {"_upto": F.col(weight).cast("double")}
-    )
-    total = df.agg(F.sum(F.col(weight).cast("double")).alias("_total"))
-    scaled = attach_row(summed, total).select(
-        *df.columns,
-        (F.lit(float(n)) * (F.col("_upto") - F.col(weight)) / F.col("_total")).alias("_from"),
-        (F.lit(float(n)) * F.col("_upto") / F.col("_total")).alias("_to"),
-    )
-    cells = scaled.withColumn(
-        "_cell", F.explode(F.sequence(F.floor("_from").cast("bigint"), F.floor("_to").cast("bigint")))
-    )
-    draws = (
-        df.sparkSession.range(n)
-        .select(F.col("id").alias("draw"), (hash_unit(f"{seed}:draw", "id") * F.lit(float(n))).alias("_at"))
-        .withColumn("_cell", F.floor("_at").cast("bigint"))
-    )
-    inside = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
+    exact = "decimal(38,0)"
+    largest = df.agg(F.max(F.col(weight).cast("double")).alias("_max"))
+    units = F.floor(F.col(weight).cast("double") / F.col("_max") * F.lit(float(1 << WEIGHT_BITS)) + F.lit(0.5))
+    known = attach_row(df.filter(F.col(weight) > 0), largest).withColumn("_units", units.cast(exact)).filter("_units > 0")
+    hashed = known.withColumn("_hash", hash_hex(f"{seed}:order", key)).withColumn("_bucket", F.substring("_hash", 1, 3))
+    summed = running_totals(hashed, [], "_bucket", [F.col("_hash"), F.col(key)], {"_upto": F.col("_units")})
+    total = known.agg(F.sum("_units").cast(exact).alias("_total"))
+    upto = F.col("_upto").cast(exact)
+    placed = attach_row(summed, total).withColumn("_to", upto).withColumn("_from", (upto - F.col("_units")).cast(exact))
+    bits = min(POINT_BITS - 12, max(0, (n - 1).bit_length()))
+    cells = placed.withColumn("_cell", F.explode(F.expr(f"sequence((_from * {1 << bits}) div _total, (_to * {1 << bits} - 1) div _total)")))
+    point = hex_int(hash_hex(f"{seed}:draw", "draw"), POINT_BITS // 4)
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_point", point)
+    draws = draws.withColumn("_cell", F.shiftright("_point", POINT_BITS - bits)).withColumn("_point", F.col("_point").cast("decimal(16,0)"))
+    inside = F.expr(f"_point * _total >= _from * {1 << POINT_BITS} and _point * _total < _to * {1 << POINT_BITS}")
     return cells.join(draws, "_cell").filter(inside).select("draw", *df.columns)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import sequences as sq
 from ..functions.hashing import hash_hex, hex_int
+from ..session import ensure_checkpoint_dir
 from . import tiles
 from .ranks import hash_ordinal
 
@@ -317,32 +318,60 @@ def mean_pool(tokens: DataFrame, key: str, position: str = "pos", length: str =
     return group_means(inside, key, column)
 
 
-def assign_clusters(df: DataFrame, centroids: DataFrame, cluster: str = "cluster_id", column: str = "embedding", limit: int = 10000):
+def _nearest_points(rows: np.ndarray, points: np.ndarray, numbers: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """(position, squared distance) of the point nearest to each row; the first of equally near ones.
+
+    Differences are squared and summed as they are, about ``numbers`` at a time, so that a
+    distance does not depend on what else is compared.
+    """
+    at, least = np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
+    wide = max(1, min(len(points), numbers // max(1, rows.shape[1] if rows.ndim == 2 else 1)))
+    for first in range(0, len(points), wide):
+        part = points[first : first + wide]
+        step = max(1, numbers // max(1, part.size))
+        for start in range(0, len(rows), step):
+            own = slice(start, start + step)
+            distance = ((rows[own, None, :] - part[None, :, :]) ** 2).sum(axis=2)
+            best = distance.argmin(axis=1)
+            found = distance[np.arange(len(best)), best]
+            closer = found < least[own]
+            at[own], least[own] = np.where(closer, best + first, at[own]), np.where(closer, found, least[own])
+    return at, least
+
+
+def assign_clusters(
+    df: DataFrame, centroids: DataFrame, cluster: str = "cluster_id", column: str = "embedding", block: int = 1 << 20
+):
     """Nearest stored centroid by squared distance; the lowest id wins ties.
 
-    Centroids are one row per cluster; more than ``limit`` is an error, since
-    they are shipped to every task.  NULL or empty vectors get no cluster.
+    Centroids are cut into blocks of about ``block`` numbers.  Every distinct vector
+    meets every block in a tile of bounded size, and a combining aggregate keeps the
+    nearest, so any number of centroids works.  NULL or empty vectors get no cluster;
+    repeated centroid ids are an error.
     """
-    rows = centroids.select(F.col(cluster).cast("int"), column).orderBy(cluster).limit(limit + 1).collect()
-    if not rows or len(rows) > limit:
-        raise ValueError(f"expected 1 to {limit} centroids")
-    ids = np.array([r[0] for r in rows], dtype=np.int32)
-    shared = df.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in rows], dtype=np.float64)))
-
-    @F.pandas_udf("int")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        names, points = shared.value
-        result = pd.Series([None] * len(vectors), dtype="Int32")
-        usable = vectors.map(lambda v: v is not None and len(v) > 0).to_numpy(dtype=bool)
-        if usable.any():
-            rows_ = np.stack(vectors[usable].to_numpy()).astype(np.float64)
-            for start in range(0, len(rows_), 1024):
-                block = rows_[start : start + 1024]
-                distance = ((block[:, None, :] - points[None, :, :]) ** 2).sum(axis=2) if len(points) <= 64 else (
-                    (points**2).sum(axis=1)[None, :] - 2.0 * block @ points.T
-                )
-                index = np.flatnonzero(usable)[start : start + 1024]
-                result.iloc[index] = names[distance.argmin(axis=1)]
-        return result
-
-    return df.withColumn(cluster, nearest(F.col(column)))
+    ensure_checkpoint_dir(df.sparkSession)
+    known = centroids.select(F.col(cluster).cast("int").alias("_c"), F.col(column).cast("array<double>").alias("_p")).withColumn("_w", F.size("_p"))
+    numbered, n_blocks = tiles.numbered_blocks(known, ["_c"], "_w", block)
+    same = numbered.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or _c is null").limit(1).collect()
+    if not n_blocks or same:
+        raise ValueError("expected centroids with one row for each cluster")
+    vectors = df.select(F.col(column).cast("array<double>").alias("_v")).filter(F.size("_v") > 0).distinct()
+    # As many vectors to a tile as make about a block.
+    weight = vectors.agg(F.coalesce(F.sum(F.size("_v")), F.lit(0))).first()[0]
+    n_chunks = int(weight) // block + 1
+    rows = vectors.select(F.lit(False).alias("_known"), F.lit(None).cast("int").alias("_c"), F.col("_v").alias("_p"), F.pmod(F.xxhash64("_v"), F.lit(n_chunks)).alias("_i"), tiles.every_block(n_blocks).alias("_j"))
+    points = numbered.select(F.lit(True).alias("_known"), "_c", "_p", tiles.every_block(n_chunks).alias("_i"), F.col("block").alias("_j"))
+
+    def work(table: pa.Table) -> pa.Table:
+        side = table.column("_known").to_numpy()
+        left, right = table.filter(pa.array(~side)), table.filter(pa.array(side)).sort_by("_c")
+        if not len(left) or not len(right):
+            return pa.table({"_v": pa.array([], pa.list_(pa.float64())), "_d": pa.array([], pa.float64()), "_c": pa.array([], pa.int32())})
+        matrix = lambda t: np.stack(t.column("_p").combine_chunks().to_numpy(zero_copy_only=False))
+        at, least = _nearest_points(matrix(left), matrix(right))
+        return pa.table({"_v": left.column("_p"), "_d": pa.array(least), "_c": right.column("_c").take(pa.array(at))})
+
+    near = rows.unionByName(points).groupBy("_i", "_j").applyInArrow(work, "_v array<double>, _d double, _c int")
+    best = near.groupBy("_v").agg(F.min(F.struct("_d", "_c")).alias("_best")).select("_v", F.col("_best._c").alias(cluster))
+    keyed = df.drop(cluster).withColumn("_v", F.col(column).cast("array<double>"))
+    return keyed.join(best, "_v", "left").select(*[c for c in df.columns if c != cluster], cluster)

@@ -153,9 +153,9 @@ def numbered_blocks(df: DataFrame, order: list[str], weight: str, size: int = BL
     counts = cut.groupBy("_part").agg((F.max("_nth") + 1).alias("_blocks"), F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each partition.
-    offsets = counts.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_blocks", "_rows")])
+    offsets = counts.select(F.col("_part").alias("_of_part"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_blocks", "_rows")])
     total = counts.agg(F.coalesce(F.sum("_blocks"), F.lit(0))).first()[0]
-    placed = cut.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
+    placed = cut.join(F.broadcast(offsets), F.col("_part") == F.col("_of_part"))
     numbered = placed.select(*df.columns, (F.col("_rows_before") + F.col("_row")).alias("ordinal"), (F.col("_blocks_before") + F.col("_nth")).alias("block"))
     return numbered, int(total)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..operators import curation as cu
 from ..operators import summaries as sm
-from ..sources import fasta, logs, records as rec
+from ..session import ensure_checkpoint_dir
+from ..sources import fasta, logs, records as rec, tabular
 from . import views
 from .registry import R, query
 
@@ -41,12 +44,42 @@ def _(spark, path):
     return fasta.parse_fasta(rows.unionByName(banner), skip_header_like="search led to")
 
 
+def folder(spark, name: str) -> str:
+    """A new place in the shared folder for files that a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+@query("s3_read_csv_column", "select id, sequence as peptide, sequence from peptides")
+def _(spark, path):
+    place = folder(spark, "peptides.csv")
+    tabular.write_csv(views.peptides(spark, path).select("id", F.col("sequence").alias("peptide")), place)
+    return tabular.read_sequences(spark, place, "peptide")
+
+
+@query("s4_read_text", "select sequence from peptides")
+def _(spark, path):
+    place = folder(spark, "peptides.txt")
+    p = views.peptides(spark, path)
+    # Blank lines and white space around a sequence do not count.
+    p.select(F.concat(F.lit(" "), "sequence", F.when(F.col("pos") % 2 == 0, "\n  ").otherwise("")).alias("value")).write.text(place)
+    return tabular.read_sequences(spark, place)
+
+
+@query("s5_literal_sequences", "select n_name as sequence from nation")
+def _(spark, path):
+    return tabular.sequences_df(spark, [r.n_name for r in views.table(spark, path, "nation").select("n_name").collect()])
+
+
 @query(
     "s6_merge_columns",
     """select sequence from (select sequence from peptides union select sequence from training)""",
 )
 def _(spark, path):
-    return views.peptides(spark, path).select("sequence").unionByName(views.training(spark, path)).distinct()
+    p, one, two = views.peptides(spark, path), folder(spark, "one"), folder(spark, "two")
+    # Parts under two headers: the column is the last of some files and the first of others.
+    tabular.write_csv(p.select("id", "pos", "sequence").repartition(5, "id"), one)
+    tabular.write_csv(views.training(spark, path).select("sequence", F.lit("x, y").alias("note")).repartition(2), two)
+    return tabular.merge_parts(spark, [f"{one}/*.csv", f"{two}/*.csv"], "sequence")
 
 
 @query("s7_resolve_column", "select text as sequence, item_id from benchmark")
@@ -127,6 +160,41 @@ def _(spark, path):
     return logs.step_rows(o.select(value.alias("value"))).select("step", "total_steps", "mean_reward", "pg_loss", "charge")
 
 
+@query(
+    "s9_read_tsv",
+    """select 'P' || conv_id || '.' || turn as "Entry", role as "Reviewed", length(s)::int as "Length", s as "Sequence"
+       from (select *, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g') as s from conversations) where s <> ''""",
+)
+def _(spark, path):
+    place = folder(spark, "background.tsv")
+    b = views.background(spark, path)
+    empty = [F.lit(None).cast("string").alias(c) for c in ("keyword", "go_id", "protein_name", "organism")]
+    rows = b.select(F.concat(F.lit("P"), "id").alias("Entry"), F.col("role").alias("Reviewed"), F.length("sequence").alias("Length"), F.col("sequence").alias("Sequence"), *empty)
+    tabular.write_csv(rows, place, "\t")
+    return tabular.read_tsv(spark, place, tabular.BACKGROUND_SCHEMA).select("Entry", "Reviewed", "Length", "Sequence")
+
+
+@query(
+    "s14_write_csv",
+    """select sequence, string_agg(distinct source_db, ';' order by source_db) as source_dbs, count(*) as n_rows from peptides group by 1""",
+)
+def _(spark, path):
+    place = folder(spark, "positives.csv")
+    p = views.peptides(spark, path).groupBy("sequence").agg(F.sort_array(F.collect_set("source_db")).alias("source_dbs"), F.count(F.lit(1)).alias("n_rows"))
+    tabular.write_csv(p, place)
+    return tabular.read_csv(spark, place, schema="sequence string, source_dbs string, n_rows long")
+
+
+@query("s16_write_by_category", "select id, sequence, category from peptides")
+def _(spark, path):
+    place = folder(spark, "by_category")
+    tabular.write_by(views.peptides(spark, path).select("id", "sequence", "category"), "category", place)
+    parts = [r.category for r in spark.read.parquet(place).select("category").distinct().collect()]  # one folder each
+    whole = spark.read.parquet(*[f"{place}/category={c}" for c in parts])
+    # Read folder by folder: the category comes from the folder's name.
+    return whole.select("id", "sequence", F.regexp_extract(F.col("_metadata.file_path"), "category=([^/]+)", 1).alias("category"))
+
+
 @query("s15_fasta_records", "select '>' || id || chr(10) || sequence as value from peptides")
 def _(spark, path):
     return fasta.fasta_records(views.peptides(spark, path))
@@ -385,7 +453,19 @@ def _(spark, path):
           select sequence, 0 as n from external union all select sequence, 1 from norm) group by 1""",
 )
 def _(spark, path):
-    return cu.merge_into(views.external(spark, path), normalized(spark, path))
+    return cu.merge_into(views.external(spark, path), normalized(spark, path)).select("sequence", "is_new")
+
+
+@query(
+    "u3_merge_payload",
+    f"""with {NORMAL}, b as (select sequence, 'external:' || item_id as origin, pos, 0 as n, item_id as a from external
+          union all select sequence, source_id, pos, 1, doc_id from norm)
+      select sequence, origin, pos, n = 1 as is_new from (select *, row_number() over (partition by sequence order by n, a, pos) as k from b) where k = 1""",
+)
+def _(spark, path):
+    known = views.external(spark, path).select("sequence", F.concat(F.lit("external:"), "item_id").alias("origin"), "pos", F.col("item_id").alias("a"))
+    new = normalized(spark, path).select("sequence", F.col("source_id").alias("origin"), "pos", F.col("doc_id").alias("a"))
+    return cu.merge_into(known, new, order=["a", "pos"]).drop("a")
 
 
 @query(
@@ -420,6 +500,17 @@ def provenance(spark, path):
     return deduped.withColumn("source_dbs", F.array_join("source_dbs", ";"))
 
 
+@query(
+    "a1_provenance_in_order",
+    f"""with {NORMAL}, r as (select *, row_number() over (partition by sequence order by doc_id, pos, source_id) as k from norm)
+      select sequence, count(*) as n_records, ceil(count(*) / 100.0)::int as n_id_parts,
+        string_agg(source_id, ';' order by k) filter (where k <= 100) as source_ids from r group by 1""",
+)
+def _(spark, path):
+    deduped = cu.dedup_with_provenance(normalized(spark, path), order=["doc_id", "pos"], per_part=100)
+    return deduped.select("sequence", "n_records", "n_id_parts", F.array_join("source_ids", ";").alias("source_ids"))
+
+
 @query(
     "a1_provenance_ids",
     f"""with {NORMAL}, n as (select sequence, ceil(count(*) / 1000.0)::int as parts from norm group by 1)

@@ -351,14 +351,14 @@ def _(spark, path):
 
 @query(
     "q17_metric_by_bin",
-    f"""with {DOCS}, b as (select docs.y as y, s1 as s, case when length < 500 then '0-500' when length < 2000 then '500-2000' when length < 1000000 then '2000-1000000' end as bin
-        from docs join scores on id = doc_id), c as (select bin, {CONFUSION} from b where bin is not null group by 1)
+    f"""with {DOCS}, b as (select docs.y as y, s1 as s, case when length >= 50 and length < 500 then '50-500' when length >= 500 and length < 2000 then '500-2000' else 'outside' end as bin
+        from docs join scores on id = doc_id), c as (select bin, {CONFUSION} from b group by 1)
       select bin, tp, fp, tn, fn, {R(PRECISION)} as precision, {R(RECALL)} as recall, {R(F1)} as f1, {R(MCC)} as mcc from c""",
 )
 def _(spark, path):
     s = views.scores(spark, path).select(F.col("id").alias("doc_id"), "s1")
     joined = labelled(spark, path).join(s, "doc_id")
-    return me.metric_by_bin(joined, "length", [0, 500, 2000, 1000000], "y", "s1")
+    return me.metric_by_bin(joined, "length", [50, 500, 2000], "y", "s1")
 
 
 @query(

@@ -178,10 +178,10 @@ def _(spark, path):
 
 @query(
     "w14_weighted_sample",
-    """with ordered as (select event_id, value, sum(value) over (order by md5('42:order:' || event_id), event_id) as upto, sum(value) over () as total from events),
-      spans as (select event_id, 5000 * (upto - value) / total as a, 5000 * upto / total as b from ordered),
-      draws as (select i as draw, ('0x' || substr(md5('42:draw:' || i), 1, 8))::bigint / 4294967296.0::double * 5000 as x from range(5000) t(i))
-      select draw, event_id from draws join spans on x >= a and x < b""",
+    """with units as (select event_id, floor(value / (select max(value) from events) * 1099511627776.0::double + 0.5::double)::hugeint as u from events where value > 0),
+      spans as (select event_id, sum(u) over (order by md5('42:order:' || event_id), event_id)::hugeint as upto, u, (select sum(u) from units)::hugeint as total from units),
+      draws as (select i as draw, ('0x' || substr(md5('42:draw:' || i), 1, 13))::bigint::hugeint as x from range(5000) t(i))
+      select draw, event_id from draws join spans on x * total >= (upto - u) * 4503599627370496 and x * total < upto * 4503599627370496""",
 )
 def _(spark, path):
     e = views.table(spark, path, "events").select("event_id", "value")

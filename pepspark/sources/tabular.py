@@ -61,18 +61,29 @@ def sequences_df(spark: SparkSession, sequences: str | Sequence[str]) -> DataFra
 def merge_parts(spark: SparkSession, paths: str | Sequence[str], column: str) -> DataFrame:
     """One column of many CSV parts, deduplicated.
 
-    Each part is read under its own header, since parts may order their other
-    columns differently; only the wanted column is parsed.
+    Each part is read under its own header, since parts may order their columns
+    differently.  All files are one scan: the first line of a file's first split is its
+    header, which names the column's place; lines are parsed once and join their
+    file's place, a row for each file.  A file without the column is an error; a line
+    that repeats its file's header is no data.  Fields hold no line breaks.
     """
     globs = [paths] if isinstance(paths, str) else list(paths)
-    files = sorted({f for g in globs for f in spark.read.text(g).inputFiles()})
-    merged = None
-    for file in files:
-        part = require_columns(read_csv(spark, file), [column]).select(column)
-        merged = part if merged is None else merged.unionByName(part)
-    if merged is None:
-        raise ValueError(f"no files match {globs}")
-    return merged.distinct()
+    lines = spark.read.text(globs).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    # Within a task ids follow the order of lines, so the lowest of a file's first split is its header.
+    first = lines.filter("_start = 0").withColumn("_line", F.monotonically_increasing_id())
+    headers = first.groupBy("_file").agg(F.min_by("value", "_line").alias("_header"))
+    # A name may stand in quotes, but not hold a comma.
+    names = F.transform(F.split("_header", ","), lambda c: F.trim(F.regexp_replace(c, '^\\ufeff|"', "")))
+    placed = headers.select("_file", "_header", F.size(names).alias("_width"), F.array_position(names, column).alias("_at"))
+    checked = placed.agg(F.max("_width").alias("width"), F.min_by("_file", "_at").alias("file"), F.min("_at").alias("at")).first()
+    if checked["width"] is None:
+        raise ValueError(f"no lines in {globs}")
+    if checked["at"] == 0:
+        raise ValueError(f"no column {column!r} in {checked['file']}")
+    fields = [f"c{i}" for i in range(checked["width"])]
+    parsed = F.from_csv("value", ", ".join(f"{f} string" for f in fields))
+    rows = lines.join(placed, "_file").filter(F.col("value") != F.col("_header")).select("_at", parsed.alias("_row"))
+    return rows.select(F.element_at(F.array(*[F.col(f"_row.{f}") for f in fields]), F.col("_at").cast("int")).alias(column)).distinct()
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "error") -> None:

@@ -165,6 +165,53 @@ def test_bootstrap_interval_holds_the_point_estimate(spark):
     assert me.bootstrap_diff(df, "id", "y", "s", "s", n=20).first().mean_diff == 0.0
 
 
+def test_replicates_of_collapsed_cells_equal_rows(spark):
+    """Weights by row and plain rank sums, against arrays over cells in many slices; ties, a third of all rows equal, NULLs."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = [(f"r{i}", rng.choice([0, 1, 1]), rng.choice([0.5, rng.random(), float(rng.randrange(4))]), rng.choice([None, 0.25, 0.75])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, y int, a double, b double").repartition(7)
+    n = 13
+    weights = me.poisson_weights(7, [r[0] for r in rows], n)
+    cells = me.replicate_cells(df.select("id", "y", F.lit("a").alias("model"), F.col("a").alias("score")), "id", ["model", "score", "y"], n, 7)
+    got = {r.replicate: r.auroc for r in me.replicate_auroc(cells, n, rows=20).collect()}
+    scores, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    for k in range(n):
+        s, truth = np.repeat(scores, weights[:, k]), np.repeat(y, weights[:, k])
+        wins = (s[truth == 1][:, None] > s[truth == 0][None, :]).mean() + 0.5 * (s[truth == 1][:, None] == s[truth == 0][None, :]).mean()
+        assert got[k] == pytest.approx(wins)
+    assert abs(me.poisson_weights(1, [str(i) for i in range(2000)], 40).mean() - 1.0) < 0.02
+    row = me.bootstrap_auroc(df, "id", "y", ["a", "b"], n=50, metric=me.recall, thresholds={"a": 0.9}).orderBy("model").collect()
+    point = sum(r[2] >= 0.9 for r in rows if r[1] == 1) / sum(r[1] for r in rows)
+    assert [r.model for r in row] == ["a", "b"] and row[0].lower < point < row[0].upper and row[0].n_replicates == 50
+    one_class = me.bootstrap_auroc(df.filter("y = 1"), "id", "y", ["a"], n=8).collect()
+    assert one_class == []
+
+
+def test_nearest_of_many_centroids(spark):
+    """20,000 centroids in several blocks, equally near ones in different blocks, repeated and unusable vectors."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(20_000, 4)).round(3)
+    points[19_000] = points[7]
+    vectors = [points[7].tolist(), points[19_999].tolist(), *rng.normal(size=(60, 4)).tolist(), points[7].tolist(), None, []]
+    centroids = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "cluster_id int, embedding array<double>").repartition(6)
+    df = spark.createDataFrame(list(enumerate(vectors)), "id int, embedding array<double>")
+    usable = np.array([v for v in vectors if v])
+    expected = ((usable[:, None, :] - points[None, :, :]) ** 2).sum(axis=2).argmin(axis=1).tolist() + [None, None]
+    for block in (1 << 20, 9000):
+        got = {r.id: r.cluster_id for r in si.assign_clusters(df, centroids, block=block).collect()}
+        assert [got[i] for i in range(len(vectors))] == expected and got[0] == 7
+    with pytest.raises(ValueError):
+        si.assign_clusters(df, centroids.limit(0))
+    with pytest.raises(ValueError):
+        si.assign_clusters(df, centroids.unionByName(centroids.limit(1)))
+
+
 def test_weighted_draws_follow_the_weights(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 0.0)], "id int, w double")
     drawn = {r["id"]: r["count"] for r in sa.weighted_sample(df, "id", "w", 2000).groupBy("id").count().collect()}
@@ -174,6 +221,32 @@ def test_weighted_draws_follow_the_weights(spark):
     assert 1300 < total < 1700
 
 
+def test_no_draw_is_lost_or_doubled(spark):
+    """Weights over eighteen orders of magnitude, NULL, zero and negative ones; one row with a third of the weight."""
+    weight = F.pow(F.lit(10.0), F.pmod(F.xxhash64("id"), F.lit(1800)) / 100 - 12)
+    rows = spark.range(100_000).select("id", F.when(F.col("id") % 1000 == 0, None).when(F.col("id") % 1000 == 1, 0.0).when(F.col("id") % 1000 == 2, -5.0).otherwise(weight).alias("w"))
+    hot = rows.agg(F.sum(F.when(F.col("w") > 0, F.col("w")))).first()[0] / 2
+    rows = rows.unionByName(spark.createDataFrame([(-1, hot)], "id long, w double"))
+    for n in (1, 7, 30_000):
+        drawn = sa.weighted_sample(rows, "id", "w", n).select("draw", "id", "w").collect()
+        assert sorted(r.draw for r in drawn) == list(range(n)) and all(r.w > 0 for r in drawn)
+    assert 0.32 < sum(r.id == -1 for r in drawn) / n < 0.35
+    assert sa.weighted_sample(rows.filter("w < 0"), "id", "w", 5).count() == 0
+
+
+def test_ids_in_order(spark):
+    """A sequence with a third of all rows in lists of ten, one after the other."""
+    from pepspark.operators import curation as cu
+
+    rows = [("HOT", f"i{(i * 37) % 500:03d}", (i * 37) % 500) for i in range(500)] + [(f"S{i}", f"x{i}{j}", -j) for i in range(90) for j in range(i % 3 + 1)] + [(None, "n", 0)]
+    df = spark.createDataFrame(rows, "sequence string, source_id string, at int").repartition(6)
+    got = {}
+    for r in sorted(cu.provenance_ids(df, 10, ["at"]).collect(), key=lambda r: r.part):
+        got.setdefault(r.sequence, []).append(r.source_ids)
+    assert got["HOT"] == [[f"i{10 * p + k:03d}" for k in range(10)] for p in range(50)] and got[None] == [["n"]]
+    assert got["S2"] == [["x22", "x21", "x20"]] and len(got) == 92
+
+
 def test_small_and_large_reference_paths_agree(spark):
     import math
 
