@@ -81,7 +81,7 @@ def merge_parts(spark: SparkSession, paths: str | Sequence[str], column: str) ->
     if checked["at"] == 0:
         raise ValueError(f"no column {column!r} in {checked['file']}")
     fields = [f"c{i}" for i in range(checked["width"])]
-    parsed = F.from_csv("value", ", ".join(f"{f} string" for f in fields))
+    parsed = F.from_csv("value", ", ".join(f"{f} string" for f in fields), {"escape": '"'})  # a quote in quotes is doubled
     rows = lines.join(placed, "_file").filter(F.col("value") != F.col("_header")).select("_at", parsed.alias("_row"))
     return rows.select(F.element_at(F.array(*[F.col(f"_row.{f}") for f in fields]), F.col("_at").cast("int")).alias(column)).distinct()
 
