@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
@@ -47,11 +48,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that only written tables were made from."""
+    """Delete tables of ``materialize`` that only written tables were made from.
+
+    Spark deletes the shuffle files of a finished job once the driver's JVM has
+    collected its plan; collecting now spares the executors' disks for the next one.
+    """
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def growing(df: DataFrame) -> DataFrame:
@@ -105,24 +113,32 @@ class PrefixHash:
     BASE = 0x9E3779B97F4A7C15 | 1
     INVERSE = pow(BASE, -1, 1 << 64)
     VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    _powers = np.ones(1, np.uint64)
-    _inverses = np.ones(1, np.uint64)
+    #: Powers up to here stay between buffers; a longer buffer makes its own, which go with it.
+    KEPT = 1 << 20
+    _tables: tuple[np.ndarray, np.ndarray] | None = None
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        cls = PrefixHash
-        if len(cls._powers) <= n:
-            size = max(n + 1, 1 << 16)
-            for name, base in (("_powers", cls.BASE), ("_inverses", cls.INVERSE)):
-                steps = np.full(size, np.uint64(base))
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
+        powers, self.inverses = self._powers(n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((cls.VALUES[data] if data.dtype == np.uint8 else data) * cls._powers[:n], out=self.sums[1:])
+        np.cumsum((PrefixHash.VALUES[data] if data.dtype == np.uint8 else data) * powers[:n], out=self.sums[1:])
+
+    @classmethod
+    def _powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if cls._tables is not None and len(cls._tables[0]) > n:
+            return cls._tables
+        made = []
+        for base in (cls.BASE, cls.INVERSE):
+            steps = np.full(max(n + 1, 1 << 16), np.uint64(base))
+            steps[0] = 1
+            made.append(np.multiply.accumulate(steps))
+        if n <= cls.KEPT:
+            cls._tables = (made[0], made[1])
+        return made[0], made[1]
 
     def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """One well-mixed 64-bit value for each range; the length takes part."""
-        value = (self.sums[stop] - self.sums[start]) * PrefixHash._inverses[start]
+        value = (self.sums[stop] - self.sums[start]) * self.inverses[start]
         return mix(value ^ mix((stop - start).astype(np.uint64)))
 
 
@@ -178,19 +194,45 @@ class Forest:
         self.label = to[self.label]
 
 
+#: Edges that one task may hold: two ids each, 16 MB in all.
+MOST_EDGES = 1 << 20
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes of a bounded edge table: roots hook to lower neighbours, then paths are halved."""
+    held = [batch for batch in batches if len(batch)]
+    if not held:
+        return
+    ends = [np.concatenate([batch.column(k).to_numpy() for batch in held]) for k in (0, 1)]
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    p, q = at[: len(ends[0])], at[len(ends[0]) :]
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[p], root[q]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): one root for each connected set of the nodes in ``edges`` (a, b: long).
 
     Every round each node moves to the neighbour with the smallest hash under the
     round's own order, and the edges move along, so a chain loses a constant share of
     its nodes however its ids run.  Aggregates combine before they shuffle; joins read
-    written tables, so adaptive execution can split a hub's rows.
+    written tables, so adaptive execution can split a hub's rows.  Once at most
+    ``MOST_EDGES`` edges are left one task finishes them, which takes less than a round.
     """
     edges = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    both = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = materialize(both.select("node", F.col("node").alias("root")), "labels")
-    seed = 0
-    while not edges.isEmpty():
+    labels, seed = None, 0
+    while edges.count() > MOST_EDGES:
+        if labels is None:
+            both = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            labels = materialize(both.select("node", F.col("node").alias("root")), "labels")
         seed += 1
         order = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("place"), F.col(c).alias("id"))  # noqa: E731, B023
         arcs = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), order("b").alias("to")), F.struct(F.col("b").alias("node"), order("a").alias("to")))).alias("x")).select("x.*")
@@ -203,5 +245,11 @@ def components(edges: DataFrame) -> DataFrame:
         left = left.join(steps, left.b == steps.node).select("a", F.col("to").alias("b"))
         edges = materialize(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         discard(*before)
+    last = materialize(edges.repartition(1).mapInArrow(_roots, "node long, root long"), "labels")
     discard(edges)
-    return labels
+    if labels is None:
+        return last
+    ends = last.select(F.col("node").alias("_from"), F.col("root").alias("_to"))
+    found = materialize(labels.join(growing(ends), labels.root == ends["_from"], "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
+    discard(labels, last)
+    return found

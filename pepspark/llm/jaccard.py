@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, Forest, PrefixHash, components, discard, growing, materialize, mix, runs, source_columns, texts
@@ -143,6 +143,12 @@ def signatures(docs: DataFrame, words: int, percent: int, doc_id: str, text: str
     return rows.mapInArrow(work, "doc_id long, sha binary, n_shingles long, node long, keys array<long>")
 
 
+#: Bytes of bitmaps that one side of a tree holds at most, and that one comparison gathers.
+BITMAPS, GATHERED = 1 << 24, 1 << 21
+#: Node pairs that go down together.
+PAIRS = 1 << 14
+
+
 class SignatureTree:
     """Sets under nodes of four that hold OR-combined bitmaps, size ranges and the most bits lost to collisions."""
 
@@ -170,8 +176,9 @@ def _possible(one: tuple, two: tuple, x: np.ndarray, y: np.ndarray, percent: int
     (a, a_least, a_most, a_lost), (b, b_least, b_most, b_lost) = one, two
     fit = (100 * a_most[x] >= percent * b_least[y]) & (100 * b_most[y] >= percent * a_least[x])
     at = np.nonzero(fit)[0]
-    for cut in range(0, len(at), 2048):
-        p = at[cut : cut + 2048]
+    step = max(16, GATHERED // (8 * a.shape[1]))
+    for cut in range(0, len(at), step):
+        p = at[cut : cut + step]
         overlap = np.bitwise_count(a[x[p]] & b[y[p]]).sum(1).astype(np.int64) + np.minimum(a_lost[x[p]], b_lost[y[p]])
         overlap = np.minimum(overlap, np.minimum(a_most[x[p]], b_most[y[p]]))
         # 100 i >= percent (|A| + |B| - i)
@@ -183,37 +190,47 @@ def dual_traversal(one: SignatureTree, two: SignatureTree, first: np.ndarray, se
     """Join in ``forest`` all linked pairs of the two trees (the same tree twice: each pair once).
 
     ``first`` and ``second`` are the forest indices of the trees' sets.  Node pairs go
-    down together; those that cannot hold a link, or whose sets are one component
-    already, stop.
+    down together, ``PAIRS`` at a time from a stack; those that cannot hold a link, or
+    whose sets are one component already, stop.
     """
     same = one is two
-    x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
     deep = max(len(one.levels), len(two.levels)) - 1
-    fan = SignatureTree.FAN
-    for level in range(deep, 0, -1):
-        # Children of every pair; the shorter tree waits at its root.
-        for tree, which in ((one, 0), (two, 1)):
-            if level <= len(tree.levels) - 1:
-                count = len(tree.levels[level - 1][1])
-                now = (x, y)[which]
-                child = (now[:, None] * fan + np.arange(fan)).ravel()
-                other = np.repeat((x, y)[1 - which], fan)
-                good = child < count
-                x, y = (child[good], other[good]) if which == 0 else (other[good], child[good])
-        if same:
-            x, y = x[x <= y], y[x <= y]
+    if deep <= 1:
+        i, j = (c.ravel() for c in np.indices((len(one.sets), len(two.sets))))
+        _pairs(one, two, first, second, i, j, forest, percent, same)
+        return
+    stack = [(deep, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        level, x, y = stack.pop()
+        if level < deep:  # links found meanwhile may have joined them
+            good = ~_joined(one, two, first, second, x, y, level, forest)
+            x, y = x[good], y[good]
+        x, y = _children(one, two, x, y, level, same)
         a = one.levels[min(level - 1, len(one.levels) - 1)]
         b = two.levels[min(level - 1, len(two.levels) - 1)]
         good = _possible(a, b, x, y, percent)
-        if level > 1:
-            good &= ~_joined(one, two, first, second, x, y, level - 1, forest)
         x, y = x[good], y[good]
-        if level == 2:  # what follows are the sets themselves: near neighbours in order first
-            near = np.argsort(np.abs(x - y), kind="stable") if same else np.arange(len(x))
-            _leaves(one, two, first, second, x[near], y[near], forest, percent, same)
-            return
-    if deep == 0 or deep == 1:
-        _pairs(one, two, first, second, x, y, forest, percent, same)
+        # Near neighbours in order first: their links spare later work.
+        near = np.argsort(np.abs(x - y), kind="stable") if same else np.arange(len(x))
+        x, y = x[near], y[near]
+        if level == 2:
+            _leaves(one, two, first, second, x, y, forest, percent, same)
+        else:
+            stack += [(level - 1, x[at : at + PAIRS], y[at : at + PAIRS]) for at in reversed(range(0, len(x), PAIRS))]
+
+
+def _children(one, two, x, y, level, same) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes one level down; the shorter tree waits at its root."""
+    fan = SignatureTree.FAN
+    for tree, which in ((one, 0), (two, 1)):
+        if level <= len(tree.levels) - 1:
+            count = len(tree.levels[level - 1][1])
+            now = (x, y)[which]
+            child = (now[:, None] * fan + np.arange(fan)).ravel()
+            other = np.repeat((x, y)[1 - which], fan)
+            good = child < count
+            x, y = (child[good], other[good]) if which == 0 else (other[good], child[good])
+    return (x[x <= y], y[x <= y]) if same else (x, y)
 
 
 def _joined(one, two, first, second, x, y, level, forest) -> np.ndarray:
@@ -268,8 +285,13 @@ def _pairs(one, two, first, second, i, j, forest, percent, same) -> None:
 
 
 def _width(sets: list[np.ndarray]) -> int:
-    """Bits of a bitmap: about sixteen for each element of the largest set, 1,024 to 65,536."""
-    return min(1 << 16, max(1 << 10, 1 << int(16 * max(map(len, sets))).bit_length()))
+    """Bits of a bitmap: about sixteen for each element of the largest set, 1,024 to 65,536, in ``BITMAPS`` bytes for all sets.
+
+    Narrow bitmaps prune less; what they lose to collisions is known, so results are the same.
+    """
+    wanted = min(1 << 16, 1 << int(16 * max(map(len, sets))).bit_length())
+    room = 1 << max(0, (8 * BITMAPS // len(sets)).bit_length() - 1)
+    return max(1 << 10, min(wanted, room))
 
 
 def join_block(table: pa.Table, percent: int) -> pa.Table:
@@ -295,6 +317,68 @@ def join_block(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
+def key_neighbours(keys: DataFrame, share: int = 256, often: int = 64, most: int = 100_000) -> DataFrame:
+    """(a, b): pairs of nodes that connect all nodes of each key; ``keys``: (node, key).
+
+    Nodes of a key are chained in their order, in one shuffle of (node, key).  A key
+    that a sample of one node in ``share`` holds ``often`` times is hot: its nodes are joined
+    to their smallest instead, a join that adaptive execution splits.  Hot keys are few
+    (one in ``share`` * ``often`` entries at most); up to ``most`` of them are broadcast, more are
+    shuffled.
+    """
+    sampled = keys.filter(F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(share)) == 0)
+    hot = materialize(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= often).select("key"), "hot_keys")
+    sent = F.broadcast(hot) if hot.count() <= most else growing(hot)
+    order = Window.partitionBy("key").orderBy("node")
+    chained = keys.join(sent, "key", "left_anti").select("node", F.lag("node").over(order).alias("hub"))
+    warm = keys.join(sent, "key")
+    hubs = warm.groupBy("key").agg(F.min("node").alias("hub"))
+    starred = warm.join(growing(hubs), "key").select("node", "hub")
+    return chained.unionByName(starred).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
+def _large_groups(large: DataFrame, work, block: int) -> DataFrame:
+    """Links of groups cut into parts: (grp, parts, part, node, items) to pairs (a, b) that connect them.
+
+    Whatever decides which sets meet is told from the narrow columns; items travel
+    only to the blocks themselves.
+    """
+    within = large.select("grp", "part", F.col("part").alias("one"), F.col("part").alias("two"), "node", "items")
+    inner = materialize(within.groupBy("grp", "part").applyInArrow(work, "a long, b long"), "inner_links")
+    narrow = large.select("grp", "parts", "part", "node", F.size("items").alias("n"))
+    # A leader of each part's largest component joins the others', so that dense groups are one component before parts meet.
+    label = components(inner)
+    labelled = narrow.join(growing(label), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    leaders = labelled.groupBy("grp", "part", "label").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("size"))
+    main = leaders.groupBy("grp", "part").agg(F.max_by("node", F.struct("size", "node")).alias("node"))
+    # Blocks of 500 leaders; the first of each is in the block before too, so that they chain.
+    near_blocks = F.array_distinct(F.array(F.floor(F.col("part") / 500), F.floor(F.greatest(F.col("part") - 1, F.lit(0)) / 500)))
+    main = materialize(main.select(F.col("grp").alias("_grp"), F.col("node").alias("_node"), F.explode(near_blocks).alias("chain")), "leaders")
+    # Nodes are unique; the leaders' table has a known size, so Spark broadcasts or shuffles it by that.
+    led = large.join(main, (F.col("node") == F.col("_node")) & (F.col("grp") == F.col("_grp")))
+    led = led.select("grp", "chain", F.lit(0).alias("part"), F.lit(0).alias("one"), F.lit(0).alias("two"), "node", "items")
+    led = materialize(led.groupBy("grp", "chain").applyInArrow(work, "a long, b long"), "leader_links")
+    discard(main, label)
+    label = components(inner.unionByName(led))
+    now = narrow.join(growing(label), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    count = now.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"))
+    top = count.groupBy(F.col("grp").alias("_grp")).agg(F.max_by("label", F.struct("size", "label")).alias("top"))
+    # Sets outside the largest component are parts of their own, as many as their shingles need, numbered after the
+    # others: the others meet those parts alone, so each travels as often as there are such parts.
+    ranked = now.join(top, F.col("grp") == F.col("_grp")).withColumn("outside", F.col("label") != F.col("top")).drop("_grp")
+    needed = ranked.groupBy(F.col("grp").alias("_grp")).agg(F.greatest(F.ceil(F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)) / block), F.lit(1)).alias("more"))
+    own = F.col("parts") + F.pmod(F.xxhash64(F.lit(4), "node"), F.col("more"))
+    split = ranked.join(needed, F.col("grp") == F.col("_grp")).withColumn("part", F.when(F.col("outside"), own).otherwise(F.col("part")).cast("int"))
+    split = materialize(split.select("grp", "part", "parts", F.col("node").alias("_node")), "large_parts")
+    there = split.select("grp", "part", "parts").distinct()
+    other = there.select("grp", F.col("part").alias("other"))
+    cells = there.join(other, "grp").filter("part < other and other >= parts or part = other and part >= parts")
+    sides = cells.select("grp", F.col("part").alias("one"), F.col("other").alias("two"), F.explode(F.array_distinct(F.array("part", "other"))).alias("part"))
+    meeting = sides.join(growing(split.drop("parts")), ["grp", "part"])
+    across = meeting.join(growing(large.select("node", "items")), F.col("_node") == F.col("node")).groupBy("grp", "one", "two").applyInArrow(work, "a long, b long")
+    return inner.unionByName(led).unionByName(materialize(across, "outer_links"))
+
+
 def membership(
     docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", block: int = 1_000_000
 ) -> DataFrame:
@@ -319,13 +403,12 @@ def membership(
     """
     signed = materialize(signatures(docs, words, percent, doc_id, text), "signatures")
     made = materialize(signed.drop("keys"), "shingle_rows")
-    keys = signed.select("node", F.explode("keys").alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub"), "shared_keys")
-    near = keys.join(growing(shared), "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(near)
-    discard(signed, shared)
+    groups = components(key_neighbours(signed.select("node", F.explode("keys").alias("key"))))
+    discard(signed)
     nodes = materialize(made.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha")).alias("pick")).filter("node is not null"), "shingle_nodes")
-    wanted = materialize(groups.join(nodes, "node").select("node", F.col("root").alias("grp"), F.col("pick.doc_id").alias("pick_id"), F.col("pick.sha").alias("pick_sha"), "n"), "near_nodes")
+    grouped = groups.join(nodes, "node").select("node", F.col("root").alias("grp"), F.col("pick.doc_id").alias("pick_id"), F.col("pick.sha").alias("pick_sha"), "n")
+    sizes = grouped.groupBy(F.col("grp").alias("_grp")).agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
+    wanted = materialize(grouped.join(growing(sizes), F.col("grp") == F.col("_grp")).drop("_grp"), "near_nodes")
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,45 +419,19 @@ def membership(
                 starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=hi - lo))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(value.view(np.int64)))
                 good = pa.array(node == want[lo:hi])
-                yield pa.RecordBatch.from_arrays([c.filter(good) for c in (pa.array(node), batch.column(2).slice(lo, hi - lo), lists)], ["node", "grp", "items"])
+                yield pa.RecordBatch.from_arrays([c.filter(good) for c in (pa.array(node), *(batch.column(k).slice(lo, hi - lo) for k in (2, 3)), lists)], ["node", "grp", "parts", "items"])
 
     rows = source_columns(docs, doc_id=F.col(doc_id).cast("long"), text=F.col(text).cast("string"))
-    picked = rows.join(growing(wanted), rows.doc_id.eqNullSafe(wanted.pick_id)).select("text", "node", "grp")
-    sets = materialize(picked.mapInArrow(items, "node long, grp long, items array<long>"), "near_sets")
+    picked = rows.join(growing(wanted), rows.doc_id.eqNullSafe(wanted.pick_id)).select("text", "node", "grp", "parts")
+    sets = materialize(picked.mapInArrow(items, "node long, grp long, parts int, items array<long>"), "near_sets")
     discard(groups)
-    sizes = wanted.groupBy("grp").agg(F.sum("n").alias("total"))
-    parted = sets.join(sizes, "grp").withColumn("parts", F.ceil(F.col("total") / block))
     buckets = max(1, int(wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (block // 16)))
-    small = parted.filter("parts = 1").select(F.pmod(F.xxhash64("grp"), F.lit(buckets)).alias("cell"), "grp", F.lit(0).alias("part"), F.lit(0).alias("one"), F.lit(0).alias("two"), "node", "items")
+    small = sets.filter("parts = 1").select(F.pmod(F.xxhash64("grp"), F.lit(buckets)).alias("cell"), "grp", F.lit(0).alias("part"), F.lit(0).alias("one"), F.lit(0).alias("two"), "node", "items")
     work = lambda t: join_block(t, percent)
     edges = materialize(small.groupBy("cell").applyInArrow(work, "a long, b long"), "near_links")
-    large = parted.filter("parts > 1").select("grp", "parts", "node", "items", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int").alias("part"))
+    large = sets.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int"))
     if not large.isEmpty():
-        large = materialize(large, "large_groups")
-        within = large.select("grp", "part", F.col("part").alias("one"), F.col("part").alias("two"), "node", "items")
-        inner = materialize(within.groupBy("grp", "part").applyInArrow(work, "a long, b long"), "inner_links")
-        # A leader of each component and part joins the others', so that dense groups are one component before parts meet.
-        label = components(inner)
-        labelled = large.join(label, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        leaders = labelled.groupBy("grp", "part", "label").agg(F.min_by("items", "node").alias("items"), F.min("node").alias("node"), F.count(F.lit(1)).alias("size"))
-        main = leaders.groupBy("grp", "part").agg(F.max_by(F.struct("node", "items"), F.struct("size", "node")).alias("x"))
-        # Blocks of 500 leaders; the first of each is in the block before too, so that they chain.
-        near_blocks = F.array_distinct(F.array(F.floor(F.col("part") / 500), F.floor(F.greatest(F.col("part") - 1, F.lit(0)) / 500)))
-        main = main.withColumn("chain", F.explode(near_blocks)).select("grp", "chain", F.lit(0).alias("part"), F.lit(0).alias("one"), F.lit(0).alias("two"), "x.*")
-        led = materialize(main.groupBy("grp", "chain").applyInArrow(work, "a long, b long"), "leader_links")
-        label = components(inner.unionByName(led))
-        now = large.join(label, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        count = now.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"))
-        top = count.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("top"))
-        # Sets outside the largest component are parts of their own, numbered after the others.
-        split = now.join(top, "grp").withColumn("part", F.when(F.col("label") == F.col("top"), F.col("part")).otherwise(F.col("part") + F.col("parts")).cast("int"))
-        split = materialize(split.select("grp", "part", "parts", "node", "items"), "large_parts")
-        there = split.select("grp", "part", "parts").distinct()
-        other = there.select("grp", F.col("part").alias("other"))
-        cells = there.join(other, "grp").filter("part < other and other >= parts or part = other and part >= parts")
-        sides = cells.select("grp", F.col("part").alias("one"), F.col("other").alias("two"), F.explode(F.array_distinct(F.array("part", "other"))).alias("part"))
-        across = sides.join(split.drop("parts"), ["grp", "part"]).groupBy("grp", "one", "two").applyInArrow(work, "a long, b long")
-        edges = edges.unionByName(inner).unionByName(led).unionByName(materialize(across, "outer_links"))
+        edges = edges.unionByName(_large_groups(large, work, block))
     roots = components(edges)
     smallest = roots.join(nodes, "node").groupBy("root").agg(F.min("least_id").alias("component"))
     decided = materialize(nodes.join(roots, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("component", "least_id").alias("component")), "near_components")

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from pepspark.llm import exact, jaccard, suffix
+from pepspark.llm import common, exact, jaccard, suffix
 from pepspark.llm.common import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -22,7 +22,11 @@ def clashing(rows):
     return [(i, t, 1, "r", 2, "s", 3, "x") for i, t in rows]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 20, 30, 0])
+def test_components(spark, monkeypatch, most):
+    """In one task, in rounds and then one task, in rounds alone."""
+    monkeypatch.setattr(common, "MOST_EDGES", most)
+    assert components(spark.createDataFrame([(5, 5)], "a long, b long")).count() == 0
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(200, 260)] + [(7, 7), (300, 301), (301, 300)]
     got = collections.defaultdict(set)
     for r in components(spark.createDataFrame(edges, "a long, b long")).collect():
@@ -135,6 +139,38 @@ def test_keys_meet(spark):
             assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("often, most", [(1 << 20, 10), (3, 10), (3, 0)])
+def test_neighbours_connect_the_nodes_of_each_key(spark, often, most):
+    """No hot key; hot keys broadcast; hot keys shuffled: the same components of every key's nodes."""
+    rng = random.Random(8)
+    rows = [(n, rng.choice([k, k, 7, 1000 + n])) for n in range(60) for k in range(0, 20, 4)]
+    pairs = jaccard.key_neighbours(spark.createDataFrame(rows, "node long, key long"), 1, often, most).collect()
+    for key in {k for _, k in rows}:
+        nodes = {n for n, k in rows if k == key}
+        seen, todo = set(), {min(nodes)}
+        while todo:
+            n = todo.pop()
+            seen.add(n)
+            todo |= {x for a, b in pairs for x in ((a, b) if n in (a, b) else ()) if x not in seen and x in nodes}
+        assert nodes <= seen
+    linked = {frozenset((a, b)) for a, b in pairs}
+    assert linked <= {frozenset((a, b)) for a, k in rows for b, m in rows if k == m and a != b}
+
+
+def test_bounded_bitmaps_give_the_same_links(spark, monkeypatch):
+    rows = [(i, " ".join(random.Random(i // 3).choices("abcdefgh", k=60))[: 110 + i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = sorted(tuple(r) for r in jaccard.membership(df, 3, 90).select("doc_id", "component_id").collect())
+
+    def small(table):
+        jaccard.BITMAPS, jaccard.GATHERED, jaccard.PAIRS = 1 << 7, 1 << 9, 5
+        return jaccard_block(table, 90)
+
+    jaccard_block = jaccard.join_block
+    monkeypatch.setattr(jaccard, "join_block", lambda table, percent: small(table))
+    assert plain == sorted(tuple(r) for r in jaccard.membership(df, 3, 90).select("doc_id", "component_id").collect())
+
+
 def test_jaccard_kept_rows(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "other text of some words here"), (4, None), (5, ""), (None, " ".join(words[1:]))]
