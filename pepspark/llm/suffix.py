@@ -265,9 +265,8 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
                 value[~odd] = hashes.ranges(start[~odd], stop[~odd])
                 if odd.any():
                     begin, end, _ = word_edges(own, np.array([0, len(own)]))
-                    of, to = start[odd], start[odd] + words
-                    value[odd] = word_hashes(hashes, begin, end).ranges(of, to)
-                    start[odd], stop[odd] = begin[of], end[to - 1]
+                    stop[odd] = start[odd] + words
+                    value[odd] = word_hashes(hashes, begin, end).ranges(start[odd], stop[odd])
                 single = np.array([w["times"] == 1 for w in wanted])[which]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(f), pa.array(value.view(np.int64)), pa.array(np.full(len(start), names[i])), pa.array(np.full(len(start), sizes[i], np.int32)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(single)],
@@ -279,7 +278,8 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
         held.join(by_text, IDENTITY).select(*IDENTITY, "picked", "text").mapInArrow(passages, "f int, w long, doc long, n_bytes int, start int, stop int, single boolean"), "passages"
     )
     again = materialize(single.groupBy("f", "w").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("f", "w"), "repeated_passages")
-    fine = single.filter("single").join(growing(again), ["f", "w"]).select("doc", *[c.cast("long").alias(n) for n, c in (("n_bytes", F.col("n_bytes")), ("start", F.col("start")), ("stop", F.col("stop")))], F.lit(False).alias("worded"))
+    # Places of word passages stay counted in words, as in ``marks``.
+    fine = single.filter("single").join(growing(again), ["f", "w"]).select("doc", *[F.col(c).cast("long").alias(c) for c in ("n_bytes", "start", "stop")], worded.alias("worded"))
 
     def cutting(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:

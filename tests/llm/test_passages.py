@@ -57,6 +57,17 @@ def test_word_passages_beside_bytes(spark, length, words):
     assert sorted(got, key=str) == sorted(both, key=str) and any(r[2] < r[5] for r in got)
 
 
+def test_single_word_passages_are_no_byte_passages(spark):
+    """Runs of short words that end inside a block count for the words' column alone."""
+    random.seed(8)
+    text = lambda n: " ".join(f"{random.choice('abcdef')}{random.randint(0, 99)}" for _ in range(n))
+    shared = [text(n) for n in (51, 53, 60, 70)]
+    rows = [(i, f"{text(i % 30)} x{i} {shared[i % 4]} y{i} {text(30 - i % 30)}") for i in range(40)]
+    got = [tuple(r) for r in suffix.membership(spark.createDataFrame(rows, SCHEMA).repartition(3), 400, words=51).drop("spans").collect()]
+    both = [(*a, b[2]) for a, b in zip(expect_cut(rows, 400), expect_text(rows, 400, 51), strict=True)]
+    assert sorted(got, key=str) == sorted(both, key=str) and all(r[2] == 0 < r[5] for r in got)
+
+
 def test_stage_cuts_51_short_words(spark, tmp_path):
     random.seed(5)
     word = lambda k: f"{random.choice('abcdef')}{random.choice('ghijk')}{k % 10}"
