@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -49,105 +52,107 @@ def _penalty(similarity: Column, threshold: float) -> Column:
 
 def _distinct_members(df: DataFrame, group: str, column: str) -> DataFrame:
     """Copies are maximally similar to each other, so one row stands for all of them."""
-    return df.groupBy(group, F.col(column).alias("_seq")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_sid", F.md5("_seq"))
+    return df.groupBy(group, F.col(column).alias("_seq")).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _block_at(width: int):
-    def block(i: Column) -> Column:
-        text = F.substring(F.col("_seq"), i * width + 1, F.lit(width))
-        return F.struct(F.lit(width).alias("width"), i.cast("int").alias("at"), text.alias("block"))
+def _hamming_cells(left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray) -> np.ndarray:
+    """Equal positions over the longer length, for every row of ``left`` with every row of ``right``."""
+    matches = (left[:, None, :] == right[None, :, :]).sum(axis=2, dtype=np.int32)
+    return matches / np.maximum(np.maximum(left_sizes[:, None], right_sizes[None, :]), 1)
 
-    return block
 
+def _padded(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, pad: int) -> np.ndarray:
+    """The first ``width`` characters of each sequence, one a row; shorter ones end in ``pad``."""
+    at = np.arange(width)[None, :]
+    inside = at < sizes[:, None]
+    return np.where(inside, codes[np.where(inside, starts[:, None] + at, 0)], codes.dtype.type(pad))
 
-def _similar_by_hamming(members: DataFrame, group: str, threshold: float) -> DataFrame:
-    """(group, id, similarity) for pairs above the threshold, by the pigeonhole principle.
-
-    A pair above the threshold t differs in fewer than (1 - t) * L of the L
-    positions of the shorter sequence.  Cut into more blocks than that, at
-    least one block must be equal in place.  The widest block that keeps this
-    true depends on L, so each row emits the widths a partner may need.
-    """
-    loss = 1.0 - threshold
-    widths = {}
-    for width in range(1, max(1, math.ceil(1.0 / loss - 1e-9) - 1) + 1):
-        room = 1.0 - width * loss
-        widths[width] = 1 if width == 1 else math.ceil((width - 1) / room - 1e-9)
-    size = F.length("_seq")
-    rows = []
-    ordered = sorted(widths)
-    for width in ordered:
-        wider = widths.get(width + 1)
-        usable = size >= widths[width]
-        if wider is not None:
-            usable = usable & (size * F.lit(threshold) < wider)
-        count = F.floor(size / width).cast("int")
-        starts = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
-        blocks = F.transform(starts, _block_at(width))
-        rows.append(F.when(usable, blocks).otherwise(F.array().cast("array<struct<width:int,at:int,block:string>>")))
-    keyed = members.select(group, "_sid", size.alias("_len"), F.explode(F.concat(*rows)).alias("_b")).select(
-        group, "_sid", "_len", "_b.width", "_b.at", "_b.block"
-    )
-    other = keyed.select(group, F.col("_sid").alias("_sid2"), F.col("_len").alias("_len2"), "width", "at", "block")
-    short, long = F.least("_len", "_len2"), F.greatest("_len", "_len2")
-    # At most ``misses`` blocks differ, so the others must all be found equal.
-    misses = F.ceil(short * F.lit(loss) - F.lit(1e-9)) - 1
-    needed = F.greatest(F.floor(short / F.col("width")) - misses, F.lit(1))
-    pairs = (
-        keyed.join(other, [group, "width", "at", "block"])
-        .filter((F.col("_sid") < F.col("_sid2")) & (short > F.lit(threshold - 1e-9) * long))
-        .groupBy(group, "_sid", "_sid2", "width", needed.alias("needed"))
-        .agg(F.count(F.lit(1)).alias("hits"))
-        .filter("hits >= needed")
-        .select(group, "_sid", "_sid2")
-        .distinct()
-    )
-    text = members.select(group, "_sid", "_seq")
-    text2 = text.select(group, F.col("_sid").alias("_sid2"), F.col("_seq").alias("_seq2"))
-    both = pairs.join(text, [group, "_sid"]).join(text2, [group, "_sid2"])
-    return both.select(group, "_sid", "_sid2", sq.hamming_similarity("_seq", "_seq2").alias("_s")).filter(
-        F.col("_s") > threshold
-    )
 
+def _best_hamming(sequences: list[str], spaces: np.ndarray, lead: np.ndarray, other: np.ndarray, threshold: float, cells: int = 1 << 22) -> np.ndarray:
+    """The highest Hamming similarity of each sequence to another of its space, between rows of ``lead`` and of ``other``.
 
-def _nearest_by_kmers(members: DataFrame, group: str, threshold: float, k: int) -> DataFrame:
-    """(group, id, similarity): the highest k-mer cosine to another member, where it is above the threshold.
+    Above the threshold t the shorter of two sequences has more than t of the longer
+    one's length, so each only meets those of near lengths; what lies below stays 0
+    or is some lower similarity.  About ``cells`` characters are compared at a time.
+    """
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    # Two codes are kept for padding, one a side.
+    codes = np.frombuffer("".join(sequences).encode("utf-32-le"), np.uint32).astype(np.int64) + 2
+    codes = codes.astype(np.uint8 if codes.max(initial=0) < 256 else np.uint32)
+    starts = np.cumsum(sizes) - sizes
+    best = np.zeros(len(sequences))
+    order = np.lexsort((sizes, spaces))
+    ends = np.append(np.flatnonzero(np.diff(spaces[order])) + 1, len(order))
+    for lo, hi in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
+        group = order[lo:hi]
+        a, b = group[lead[group] & (sizes[group] > 0)], group[other[group] & (sizes[group] > 0)]
+        near, at = sizes[b], 0
+        while at < len(a) and len(b):
+            least = int(sizes[a[at]])
+            stop = int(np.searchsorted(sizes[a], least + least // 8 + 2, "right"))
+            widest = int(sizes[a[stop - 1]])
+            first = int(np.searchsorted(near, math.floor(least * threshold - 1e-9), "left"))
+            last = int(np.searchsorted(near, math.ceil(widest / threshold + 1e-9), "right")) if threshold > 0 else len(b)
+            stop = min(stop, at + max(1, cells // max(1, (last - first) * widest)))
+            width = int(sizes[a[stop - 1]])
+            mine, theirs = a[at:stop], b[first:last]
+            if len(theirs):
+                found = _hamming_cells(_padded(codes, starts[mine], sizes[mine], width, 0), _padded(codes, starts[theirs], sizes[theirs], width, 1), sizes[mine], sizes[theirs])
+                found[mine[:, None] == theirs[None, :]] = 0.0
+                best[mine] = np.maximum(best[mine], found.max(axis=1))
+                best[theirs] = np.maximum(best[theirs], found.max(axis=0))
+            at = stop
+    return best
+
+
+def _best_kmers(sequences: list[str], spaces: np.ndarray, lead: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """The highest k-mer cosine of each sequence to another of its space, between rows of ``lead`` and of ``other``."""
+    vectors = tiles.kmer_counts(sequences, k, spaces)
+    norms = np.sqrt(np.bincount(vectors.rows(), vectors.counts**2, len(sequences)))
+    norms[norms == 0] = 1.0
+    left, right = np.flatnonzero(lead), np.flatnonzero(other)
+    best = np.zeros(len(sequences))
+    for start, stop, dots in tiles.overlaps(vectors.take(lead), vectors.take(other)):
+        cosine = dots / (norms[left[start:stop], None] * norms[None, right])
+        cosine[left[start:stop, None] == right[None, :]] = 0.0
+        best[left[start:stop]] = np.maximum(best[left[start:stop]], cosine.max(axis=1))
+        best[right] = np.maximum(best[right], cosine.max(axis=0))
+    return best
+
+
+def _nearest_in_tiles(members: DataFrame, group: str, threshold: float, shortest: int, nearest: Callable[..., np.ndarray]) -> DataFrame:
+    """(group, sequence, similarity): the highest similarity to another row, where it is above the threshold.
 
     Groups of up to a block's size are gathered, several to a tile; larger ones are
     cut into blocks, and every pair of blocks is a tile of its own, so that a group
     with a third of all rows spreads over as many tasks as it needs.  A tile hands
-    on one row for each member.
+    on one row for each member above the threshold.  A copy counts as similarity 1
+    from ``shortest`` characters on, where a sequence is similar to itself.
     """
-    sized = members.withColumn("_w", F.length("_seq").cast("long")).withColumn("_gkey", F.to_json(group))
-    totals = sized.groupBy(group).agg(F.sum("_w").alias("_sum"))
-    small = totals.agg(F.coalesce(F.sum(F.when(F.col("_sum") <= tiles.BLOCK, F.col("_sum"))), F.lit(0))).first()[0]
+    # The counts stay in use, so that this reads the tiles' own shuffle of members again instead of one without them.
+    weight = F.when(F.col("_n") > 0, F.length("_seq").cast("long"))
+    totals = members.groupBy(group).agg(F.sum(weight).alias("_sum"))
+    small = totals.agg(F.coalesce(F.sum(F.when(F.col("_sum") <= tiles.BLOCK, F.col("_sum"))), F.lit(0).cast("long")).alias("small")).scalar()
+    # At most one row for each block's worth of letters.
+    large = totals.filter(F.col("_sum") > tiles.BLOCK).select(group, F.ceil(F.col("_sum") / tiles.BLOCK).cast("long").alias("_blocks"))
     # Of small groups about a block's worth shares a tile; of a large one every pair of blocks makes one.
-    n_blocks = F.greatest(F.ceil(F.col("_sum") / tiles.BLOCK), F.lit(1)).cast("long")
-    bucket = F.pmod(F.xxhash64("_gkey"), F.when(F.col("_sum") <= tiles.BLOCK, F.lit(int(small) // tiles.BLOCK + 1)).otherwise(F.lit(1 << 62)))
-    placed = sized.join(totals, group).withColumn("_blocks", n_blocks).withColumn("_bucket", bucket).withColumn("_block", F.pmod(F.xxhash64("_sid"), F.col("_blocks")))
-    dealt = placed.select(group, "_gkey", "_sid", "_seq", "_bucket", "_blocks", "_block", tiles.every_block(F.col("_blocks")).alias("_other"))
+    bucket = F.pmod(F.xxhash64(group), F.when(F.col("_blocks") == 1, F.floor(small / tiles.BLOCK) + 1).otherwise(F.lit(1 << 62)))
+    placed = members.join(F.broadcast(large), group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
+    placed = placed.withColumn("_bucket", bucket).withColumn("_block", F.pmod(F.xxhash64("_seq"), F.col("_blocks")))
+    dealt = placed.select(group, "_seq", (F.col("_n") > 1).alias("_copied"), "_bucket", "_blocks", "_block", tiles.every_block(F.col("_blocks")).alias("_other"))
     dealt = dealt.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_other")
 
     def work(table: pa.Table) -> pa.Table:
         i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
-        space = table.column("_gkey").combine_chunks().dictionary_encode().indices.to_numpy()
-        vectors = tiles.kmer_counts(table.column("_seq").to_pylist(), k, space)
-        norms = np.sqrt(np.bincount(vectors.rows(), vectors.counts**2, len(table)))
-        norms[norms == 0] = 1.0
+        space = table.column(group).combine_chunks().field(0).dictionary_encode("encode").indices.to_numpy()
         block = table.column("_block").to_numpy()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        best = np.zeros(len(table))
-        for start, stop, dots in tiles.overlaps(vectors.take(block == i), vectors.take(block == j)):
-            cosine = dots / (norms[left[start:stop], None] * norms[None, right])
-            if i == j:
-                cosine[np.arange(stop - start), np.arange(start, stop)] = 0.0
-            best[left[start:stop]] = np.maximum(best[left[start:stop]], cosine.max(axis=1))
-            best[right] = np.maximum(best[right], cosine.max(axis=0))
-        hit = pa.array(best > threshold)
-        return pa.table({group: table.column(group), "_sid": table.column("_sid"), "_s": pa.array(best)}).filter(hit)
+        best = nearest(table.column("_seq").to_pylist(), space, block == i, block == j)
+        same = table.column("_copied").to_numpy() & (pc.utf8_length(table.column("_seq")).to_numpy() >= shortest)
+        best[same] = 1.0
+        return pa.table({group: table.column(group), "_seq": table.column("_seq"), "_s": pa.array(best)}).filter(pa.array(best > threshold))
 
-    schema = T.StructType([members.schema[group], members.schema["_sid"], T.StructField("_s", T.DoubleType())])
-    return dealt.groupBy("_bucket", "_blocks", "_i", "_j").applyInArrow(work, schema).groupBy(group, "_sid").agg(F.max("_s").alias("_s"))
+    schema = T.StructType([members.schema[group], members.schema["_seq"], T.StructField("_s", T.DoubleType())])
+    return dealt.groupBy("_bucket", "_blocks", "_i", "_j").applyInArrow(work, schema)
 
 
 def diversity_penalty(
@@ -155,26 +160,19 @@ def diversity_penalty(
 ) -> DataFrame:
     """Add ``penalty``: how far the highest similarity to another row of the
     group exceeds the threshold, scaled to [0, 1]."""
+    if sim not in ("hamming", "dipeptide"):
+        raise ValueError("sim must be 'hamming' or 'dipeptide'")
     # A struct of the group equals itself when the group is NULL; a NULL sequence has no similarity and no penalty.
     keyed = df.withColumn("_group", F.struct(F.col(group).alias("g")))
     group = "_group"
     members = _distinct_members(keyed.filter(F.col(column).isNotNull()), group, column)
-    if sim == "hamming":
-        pairs = _similar_by_hamming(members, group, threshold)
-        sides = F.array(F.struct(F.col("_sid"), F.col("_s")), F.struct(F.col("_sid2").alias("_sid"), F.col("_s")))
-        best = pairs.select(group, F.inline(sides)).groupBy(group, "_sid").agg(F.max("_s").alias("_s"))
-    elif sim == "dipeptide":
-        best = _nearest_by_kmers(members, group, threshold, k)
-    else:
-        raise ValueError("sim must be 'hamming' or 'dipeptide'")
-    # A copy counts as similarity 1 only where the measure of a sequence with itself is 1.
-    self_similar = F.length("_seq") >= (1 if sim == "hamming" else k)
-    highest = (
-        members.join(best, [group, "_sid"], "left")
-        .withColumn("_s", F.when((F.col("_n") > 1) & self_similar, F.lit(1.0)).otherwise(F.coalesce("_s", F.lit(0.0))))
-        .select(group, F.col("_seq").alias(column), _penalty(F.col("_s"), threshold).alias("penalty"))
-    )
-    return keyed.join(highest, [group, column], "left").select(*df.columns, "penalty")
+    nearest = functools.partial(_best_hamming, threshold=threshold) if sim == "hamming" else functools.partial(_best_kmers, k=k)
+    near = _nearest_in_tiles(members, group, threshold, 1 if sim == "hamming" else k, nearest)
+    found = near.groupBy(group, "_seq").agg(F.max("_s").alias("_s"))
+    # Only members above the threshold come back.
+    highest = found.select(group, F.col("_seq").alias(column), "_s")
+    penalty = F.when(F.col(column).isNotNull(), _penalty(F.coalesce("_s", F.lit(0.0)), threshold))
+    return keyed.join(highest, [group, column], "left").select(*df.columns, penalty.alias("penalty"))
 
 
 # Sampled pairs

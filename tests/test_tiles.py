@@ -175,3 +175,25 @@ def test_one_large_group_is_cut_into_tiles(spark, monkeypatch):
         expected[i] = max(0.0, (best - 0.7) / 0.3)
     got = {r.id: r.penalty for r in si.diversity_penalty(df, "g", sim="dipeptide").collect()}
     assert got.pop(len(rows) - 1) is None and got == pytest.approx(expected, abs=1e-9)
+
+
+def hamming(a, b):
+    return sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b), 1)
+
+
+@pytest.mark.parametrize("size", [1 << 17, 60])
+def test_hamming_penalties_in_tiles(spark, monkeypatch, size):
+    """Many short sequences, one letter in common, in small groups and in one of many blocks."""
+    monkeypatch.setattr(tiles, "BLOCK", size)
+    rng = random.Random(4)
+    rows = [(i, i % 5 and 1, "A" + "".join(rng.choices("ABC\x00é", k=rng.choice([0, 1, 2, 5, 6, 30])))) for i in range(150)]
+    rows += [(900, 1, ""), (901, 1, ""), (902, 2, "x" * 500), (903, 2, "x" * 400 + "y" * 100), (904, None, "AB"), (905, None, "AB"), (906, 1, None)]
+    df = spark.createDataFrame(rows, "id int, g int, sequence string")
+    got = {r.id: r.penalty for r in si.diversity_penalty(df, "g").collect()}
+    assert got.pop(906) is None
+    for i, g, s in rows[:-1]:
+        best = max((hamming(s, t) for j, h, t in rows[:-1] if j != i and h == g), default=0.0)
+        assert got[i] == pytest.approx(max(0.0, (best - 0.7) / 0.3)), (i, s)
+    plan = si.diversity_penalty(df, "g")._jdf.queryExecution().optimizedPlan().toString()
+    # Pairs are formed inside tiles; no row is handed on for a block that two sequences share.
+    assert "_sid" not in plan and "FlatMapGroupsInArrow" in plan
