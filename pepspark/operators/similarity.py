@@ -242,8 +242,8 @@ def ad_penalty(
     to the nearest reference vector.
 
     Up to ``limit`` reference vectors are counted, shipped once and multiplied
-    in the tasks.  More than that are split into cells around pivots; by the
-    triangle inequality on angles a row only visits cells that can hold a
+    in the tasks.  More than that are cut into blocks by cell and angle around pivots;
+    by the triangle inequality on angles a row only visits blocks that can hold a
     vector within the threshold, which keeps the result exact.
     """
     small = _small_matrix(negatives, column, limit)
@@ -262,7 +262,12 @@ def ad_penalty(
     return _ad_penalty_cells(df, negatives, column, key, threshold, pivots)
 
 
-def _ad_penalty_cells(df: DataFrame, negatives: DataFrame, column: str, key: str, threshold: float, pivots: int) -> DataFrame:
+def _ad_penalty_cells(df: DataFrame, negatives: DataFrame, column: str, key: str, threshold: float, pivots: int, block: int = 1 << 21) -> DataFrame:
+    """Rows against blocks of references that may be in reach, in tiles of about ``block`` numbers a side.
+
+    A tile is one matrix product and hands on one number a row, so no pair leaves it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     reference = negatives.select(F.col(column).alias("_r")).distinct()
     hashed = reference.orderBy(F.md5(F.col("_r").cast("string"))).limit(pivots)
     centres = unit_rows(np.array([r[0] for r in hashed.collect()], dtype=np.float64))
@@ -278,28 +283,44 @@ def _ad_penalty_cells(df: DataFrame, negatives: DataFrame, column: str, key: str
         cell = a.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "angle": a[np.arange(len(a)), cell]})
 
-    @F.pandas_udf("array<double>")
-    def all_angles(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(angles(vectors)))
+    placed = reference.withColumn("_c", nearest_cell("_r")).select("_r", F.col("_c.cell").alias("cell"), F.col("_c.angle").alias("angle"), F.size("_r").alias("_w"))
+    numbered, _ = tiles.numbered_blocks(placed, ["cell", "angle"], "_w", block)
+    # Counted along the whole order, so that their number does not follow the partitions.
+    blocks = numbered.withColumn("block", F.floor(F.col("ordinal") / max(1, block // centres.shape[-1])))
+    # A block holds a run of angles in one cell or in a few: a row for each of them, about one a block and one a pivot.
+    spans = blocks.groupBy("block", "cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()
+    of, cell, lo, hi = (np.array([r[n] for r in spans]) for n in ("block", "cell", "lo", "hi"))
+    reach = math.acos(max(-1.0, 1.0 - threshold)) + 1e-6
 
-    @F.pandas_udf("double")
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = unit_rows(np.stack(a.to_numpy()).astype(np.float64))
-        y = unit_rows(np.stack(b.to_numpy()).astype(np.float64))
-        return pd.Series((x * y).sum(axis=1))
+    @F.pandas_udf("array<long>")
+    def blocks_in_reach(vectors: pd.Series) -> pd.Series:
+        a = angles(vectors)[:, cell]
+        hit = (a >= lo - reach) & (a <= hi + reach)
+        return pd.Series([np.unique(of[h]) for h in hit])
 
-    placed = reference.withColumn("_c", nearest_cell("_r")).select("_r", F.col("_c.cell").alias("cell"), F.col("_c.angle").alias("angle"))
-    # One radius per pivot: a table of ``pivots`` rows.
-    radii = placed.groupBy("cell").agg(F.max("angle").alias("radius"))
-    reach = math.acos(max(-1.0, 1.0 - threshold)) + 1e-6
-    visits = (
-        df.select(F.col(key), F.col(column).alias("_q"), F.posexplode(all_angles(F.col(column))).alias("cell", "_a"))
-        .join(radii, "cell")
-        .filter(F.col("_a") <= F.col("radius") + F.lit(reach))
+    weight = df.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
+    n_chunks = int(weight) // block + 1
+    none = F.lit(None)
+    queries = df.select(
+        F.col(key).alias("_key"), F.col(column).cast("array<double>").alias("_p"), F.lit(False).alias("_known"), F.pmod(F.xxhash64(key), F.lit(n_chunks)).alias("_i"), F.explode(blocks_in_reach(F.col(column))).alias("_j")
     )
-    # The same inequality prunes single references by their angle to the pivot.
-    near = visits.join(placed, "cell").filter(F.abs(F.col("_a") - F.col("angle")) <= F.lit(reach))
-    best = near.select(key, cosine("_q", "_r").alias("_s")).groupBy(key).agg(F.max("_s").alias("_s"))
+    points = blocks.select(none.cast(df.schema[key].dataType).alias("_key"), F.col("_r").cast("array<double>").alias("_p"), F.lit(True).alias("_known"), tiles.every_block(n_chunks).alias("_i"), F.col("block").alias("_j"))
+
+    def work(table: pa.Table) -> pa.Table:
+        side = table.column("_known").to_numpy()
+        left, right = table.filter(pa.array(~side)), table.filter(pa.array(side))
+        matrix = lambda t: unit_rows(np.stack(t.column("_p").combine_chunks().to_numpy(zero_copy_only=False)))
+        found = [np.zeros(0)]
+        if len(left) and len(right):
+            rows, known = matrix(left), matrix(right).T
+            step = max(1, (1 << 22) // known.shape[1])
+            found += [(rows[i : i + step] @ known).max(axis=1) for i in range(0, len(rows), step)]
+        best = np.concatenate(found)
+        return pa.table({"_key": left.column("_key").slice(0, len(best)), "_s": pa.array(best)})
+
+    schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("_s", T.DoubleType())])
+    near = queries.unionByName(points).groupBy("_i", "_j").applyInArrow(work, schema)
+    best = near.groupBy(F.col("_key").alias(key)).agg(F.max("_s").alias("_s"))
     joined = df.join(best, key, "left")
     return joined.withColumn("penalty", F.coalesce(sq.clip01(F.lit(1.0) - (F.lit(1.0) - F.col("_s")) / F.lit(threshold)), F.lit(0.0))).drop("_s")
 

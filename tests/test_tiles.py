@@ -197,3 +197,15 @@ def test_hamming_penalties_in_tiles(spark, monkeypatch, size):
     plan = si.diversity_penalty(df, "g")._jdf.queryExecution().optimizedPlan().toString()
     # Pairs are formed inside tiles; no row is handed on for a block that two sequences share.
     assert "_sid" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_reference_vectors_meet_in_tiles(spark):
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(size=(120, 6)), np.zeros((1, 6))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "id int, embedding array<double>")
+    known = df.filter("id % 3 = 0")
+    want = {r.id: r.penalty for r in si.ad_penalty(df, known, threshold=0.6).collect()}
+    near = si._ad_penalty_cells(df, known, "embedding", "id", 0.6, 4, 24)
+    assert {r.id: r.penalty for r in near.collect()} == pytest.approx(want)
+    # One number for each row and block, not a row for each pair.
+    assert "FlatMapGroupsInArrow" in near._jdf.queryExecution().optimizedPlan().toString()
