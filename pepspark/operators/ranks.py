@@ -54,7 +54,8 @@ def running_totals(
     offsets = totals.select(
         *keys, *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums]
     )
-    joined = join_same(local, offsets, keys)
+    # Buckets of many groups are no small table: written sizes are far below what the driver would hold of them.
+    joined = join_same(local, offsets.hint("merge") if by else offsets, keys)
     kept = [c for c in df.columns]
     return joined.select(*kept, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums])
 

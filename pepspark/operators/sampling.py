@@ -97,7 +97,8 @@ def fragment_fill(pool: DataFrame, target: DataFrame, key: str = "id", seed: int
         .withColumn("ordinal", F.pmod(F.col("slot_offset") + F.col("slot"), F.col("eligible")))
     )
     draw = hex_int(hash_hex(seed, "frag_length", "slot"), 7)
-    cut = slots.join(numbered, "ordinal").withColumn(
+    # Both sides grow with the data: neither is broadcast.
+    cut = slots.join(numbered.hint("merge"), "ordinal").withColumn(
         "start", F.pmod(draw, (F.col("length") - F.col("frag_length") + 1).cast("bigint"))
     )
     return cut.select(
@@ -131,8 +132,8 @@ def fragment_clean(fragments: DataFrame, direct: DataFrame, positives: DataFrame
     order = F.struct(-F.col("length"), F.col("slot"))
     whole = F.struct(*[F.col(c) for c in fragments.columns])
     first = fragments.groupBy("sequence").agg(F.min_by(whole, order).alias("_row")).select("_row.*")
-    return first.join(direct.select("sequence"), "sequence", "left_anti").join(
-        positives.select("sequence"), "sequence", "left_anti"
+    return first.join(direct.select("sequence").hint("merge"), "sequence", "left_anti").join(
+        positives.select("sequence").hint("merge"), "sequence", "left_anti"
     )
 
 

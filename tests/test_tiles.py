@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pepspark.operators import clustering as cl
+from pepspark.operators import sampling as sa
 from pepspark.operators import similarity as si
 from pepspark.operators import tiles
 from pepspark.session import ensure_checkpoint_dir
@@ -209,3 +210,15 @@ def test_reference_vectors_meet_in_tiles(spark):
     assert {r.id: r.penalty for r in near.collect()} == pytest.approx(want)
     # One number for each row and block, not a row for each pair.
     assert "FlatMapGroupsInArrow" in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pools_and_buckets_of_groups_are_not_broadcast(spark):
+    rng = random.Random(6)
+    rows = [(str(i), "A" * rng.randint(3, 40)) for i in range(300)]
+    pool = spark.createDataFrame(rows, "id string, sequence string")
+    target = spark.createDataFrame([("C" * rng.randint(3, 30),) for _ in range(900)], "sequence string")
+    fragments = sa.fragment_fill(pool, target)
+    fragments.collect()
+    plan = fragments._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and ("ordinal" in line or "_bucket" in line)]
+    assert joins and all("strategy=merge" in line for line in joins)
