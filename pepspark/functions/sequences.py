@@ -1,10 +1,12 @@
-"""Column -> Column functions on residue strings; everything stays in the JVM."""
+"""Column -> Column functions on residue strings; all but two stay in the JVM."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -194,29 +196,31 @@ def charge_at_ph(column, ph: float = 7.0, pkas=scales.BJELLQVIST, amide: bool =
 def isoelectric_point(
     column, pkas=scales.BJELLQVIST, amide: bool = False, low: float = 4.05, high: float = 12.0, steps: int = 24
 ) -> Column:
-    """The pH of zero charge inside [low, high], by a fixed number of halvings."""
-    counts, first, last = _ionizable(column, pkas)
-    known = F.struct(
-        *[n.cast("double").alias(r) for r, n in counts.items()], first.alias("first"), last.alias("last")
-    )
-
-    def solve(k: Column) -> Column:
-        def halve(bounds: Column, _step: Column) -> Column:
-            middle = (bounds["lo"] + bounds["hi"]) / F.lit(2.0)
-            charge = _charge({r: k[r] for r in counts}, k["first"], k["last"], middle, pkas, amide)
-            return F.struct(
-                F.when(charge > 0, middle).otherwise(bounds["lo"]).alias("lo"),
-                F.when(charge > 0, bounds["hi"]).otherwise(middle).alias("hi"),
-            )
-
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(steps)),
-            F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")),
-            halve,
-            lambda b: (b["lo"] + b["hi"]) / F.lit(2.0),
-        )
+    """The pH of zero charge inside [low, high], by a fixed number of halvings.
 
-    return let(known, solve)
+    A batch of rows is halved at once in NumPy; the same halvings row by row in the
+    JVM's interpreter take many times as long.
+    """
+    counts, first, last = _ionizable(column, pkas)
+    side = [(r, pk, 1.0) for r, pk in pkas["positive"].items() if r != "Nterm"] + [(r, pk, -1.0) for r, pk in pkas["negative"].items() if r != "Cterm"]
+
+    @F.pandas_udf("double")
+    def solve(first_pk: pd.Series, last_pk: pd.Series, *n: pd.Series) -> pd.Series:
+        start, end, numbers = first_pk.to_numpy(np.float64), last_pk.to_numpy(np.float64), [c.to_numpy(np.float64) for c in n]
+        lo, hi = np.full(len(start), low), np.full(len(start), high)
+        for _ in range(steps):
+            middle = (lo + hi) / 2.0
+            charge = 1.0 / (1.0 + 10.0 ** (middle - start))
+            for (_, pk, sign), number in zip(side, numbers, strict=True):
+                charge = charge + sign * (number / (1.0 + 10.0 ** (sign * (middle - pk))))
+            if not amide:
+                charge = charge - 1.0 / (1.0 + 10.0 ** (end - middle))
+            lo, hi = np.where(charge > 0, middle, lo), np.where(charge > 0, hi, middle)
+        return pd.Series((lo + hi) / 2.0)
+
+    ready = [counts[r].cast("double") for r, _, _ in side]
+    # Rows without a sequence have no counts; they keep the value that no positive charge leads to.
+    return solve(first, last, *ready)
 
 
 def charge_density(column, ph: float = 7.0, pkas=scales.HANDBOOK, amide: bool = True) -> Column:
