@@ -334,21 +334,49 @@ def kmer_counts(column, k: int = 2) -> Column:
     return let(F.array_sort(kmers(column, k)), runs)
 
 
-def dipeptide_cosine(left, right, k: int = 2) -> Column:
-    """Cosine of two k-mer count vectors; 0 when either has none."""
+def _kmer_entries(sequences: pd.Series, k: int, letters: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of every k-mer; equal codes are equal k-mers for one table of ``letters``."""
+    texts = [s if isinstance(s, str) else "" for s in sequences]
+    sizes = np.array([len(s) for s in texts], np.int64)
+    raw = letters["rank"][np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)] if sizes.sum() else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    inside = np.arange(len(raw)) - (np.cumsum(sizes) - sizes)[row] <= sizes[row] - k
+    code = np.zeros(len(raw), np.int64)
+    for i in range(k):
+        code[: len(raw) - i] = code[: len(raw) - i] * letters["n"] + raw[i:]
+    return row[inside], code[inside]
+
 
-    def norm(v: Column) -> Column:
-        return F.sqrt(F.aggregate(v["counts"], F.lit(0).cast("bigint"), lambda s, n: s + n * n).cast("double"))
+def dipeptide_cosine(left, right, k: int = 2) -> Column:
+    """Cosine of two k-mer count vectors; 0 when either has none.  A batch of rows is counted at once in NumPy."""
+
+    def part(a: pd.Series, b: pd.Series) -> np.ndarray:
+        known = np.unique(np.frombuffer("".join(s for c in (a, b) for s in c if isinstance(s, str)).encode("utf-32-le"), np.uint32))
+        n = max(1, len(known))
+        if n**k * max(1, len(a)) >= 1 << 63:
+            raise ValueError("too many different letters for k-mers of this length")
+        rank = np.zeros(int(known[-1]) + 1 if len(known) else 1, np.int64)
+        rank[known] = np.arange(len(known))
+        sides = []
+        for column in (a, b):
+            row, code = _kmer_entries(column, k, {"rank": rank, "n": n})
+            sides.append(np.unique(row * n**k + code, return_counts=True))
+        _, i, j = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
+        dot = np.bincount(sides[0][0][i] // n**k, sides[0][1][i] * sides[1][1][j], len(a))
+        x, y = (np.sqrt(np.bincount(keys // n**k, counts.astype(np.float64) ** 2, len(a))) for keys, counts in sides)
+        norm = x * y
+        return np.divide(dot, norm, out=np.zeros(len(a)), where=norm > 0)
 
-    def cosine(a: Column, b: Column) -> Column:
-        def product(key: Column) -> Column:
-            x = F.element_at(a["counts"], F.array_position(a["keys"], key).cast("int"))
-            return x * F.element_at(b["counts"], F.array_position(b["keys"], key).cast("int"))
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        # About a million letters at a time, more only for a single row.
+        upto = np.cumsum([len(x or "") + len(y or "") for x, y in zip(a, b, strict=True)])
+        cuts = np.flatnonzero(np.diff(upto >> 20)) + 1
+        ends = [0, *cuts.tolist(), len(a)]
+        return pd.Series(np.concatenate([part(a[i:j], b[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]))
 
-        dot = F.aggregate(F.array_intersect(a["keys"], b["keys"]), F.lit(0).cast("bigint"), lambda s, key: s + product(key))
-        return F.coalesce(F.try_divide(dot.cast("double"), norm(a) * norm(b)), F.lit(0.0))
 
-    return let(kmer_counts(left, k), lambda a: let(kmer_counts(right, k), lambda b: cosine(a, b)))
+    return cosine(as_column(left), as_column(right))
 
 
 # Shaping terms

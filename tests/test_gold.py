@@ -1,5 +1,9 @@
 """Hand-derived values."""
 
+import collections
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +156,18 @@ def test_logs(spark, tmp_path):
     (tmp_path / "run.log").write_text("start\n" + step.format(0) + terms.format(5) + "  -> saved at step 0\n" + step.format(1) + step.format(2) + terms.format(7))
     got = logs.parse_step_log(spark, str(tmp_path / "run.log")).orderBy("step").collect()
     assert [(r.step, r.model2, r.diversity_penalty) for r in got] == [(0, 0.5, -0.4), (2, 0.7, -0.4)]
+
+
+def test_cosines_and_isoelectric_points_come_in_batches(spark):
+    """Long, empty and missing sequences in one batch; both are Python steps of the plan, not loops of the interpreter."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices("ACDEK", k=n)), "".join(rng.choices("ACDEKé", k=m))) for i, (n, m) in enumerate([(0, 5), (1, 9), (2, 2), (700, 40), (600_000, 5), (30, 700_000), (50, 50)])]
+    df = spark.createDataFrame([*rows, (90, None, "AC"), (91, "AC", None)], "id int, a string, b string").coalesce(1)
+    scored = df.select("id", sq.dipeptide_cosine("a", "b").alias("s"), sq.isoelectric_point("a").alias("pi"))
+    got = {r.id: (r.s, r.pi) for r in scored.collect()}
+    for i, a, b in rows:
+        x, y = (collections.Counter(t[k : k + 2] for k in range(len(t) - 1)) for t in (a, b))
+        norm = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
+        assert got[i][0] == pytest.approx(sum(x[k] * y[k] for k in x) / norm if norm else 0.0)
+    assert got[90][0] == got[91][0] == 0.0 and all(4.05 <= pi <= 12.0 for _, pi in got.values())
+    assert "ArrowEvalPython" in scored._jdf.queryExecution().executedPlan().toString()
