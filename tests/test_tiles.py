@@ -222,3 +222,17 @@ def test_pools_and_buckets_of_groups_are_not_broadcast(spark):
     plan = fragments._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and ("ordinal" in line or "_bucket" in line)]
     assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_blocks_are_written_once_not_shuffled_to_every_partner(spark):
+    ensure_checkpoint_dir(spark)
+    df = spark.range(300).select("id", F.concat(F.lit("ACDEFGHIKL"), F.translate(F.col("id").cast("string"), "0123456789", "ACDEFGHIKL")).alias("sequence"))
+    sets = cl.kmer_sets(df, "id", "sequence", 3, 0.5, 1)
+    placed, n = tiles.numbered_blocks(sets, ["n", "id"], "n", 200)
+    folder = cl._stored(placed)
+    kept = [t.column("id").to_pylist() for t in (tiles.read_block(folder, i) for i in range(n)) if t]
+    assert n > 5 and sorted(i for ids in kept for i in ids) == list(range(300))
+    met = {(r.i, b) for r in tiles.block_runs(spark, n, n, upper=True, run=4).collect() for b in range(r.j, r.stop)}
+    assert met == {(i, j) for i in range(n) for j in range(i, n)}
+    plan = cl.similar_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
