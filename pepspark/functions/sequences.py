@@ -1,17 +1,18 @@
-"""Column -> Column functions on residue strings; all but two stay in the JVM."""
+"""Column -> Column functions on residue strings; those that look at every position work on batches in NumPy."""
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import scales
-from .hashing import hash_hex
 
 WHITESPACE = " \t\n\r\f\x0b"
 
@@ -29,7 +30,8 @@ class Counted:
 
     @staticmethod
     def columns(column: str, prefix: str = "_n_") -> dict[str, Column]:
-        return {prefix + r: residue_count(column, r) for r in scales.STANDARD}
+        counts = residue_counts(column)
+        return {prefix + r: F.get(counts, F.lit(i)) for i, r in enumerate(scales.STANDARD)}
 
 
 def as_column(column: Column | str | Counted) -> Column:
@@ -75,6 +77,29 @@ def once(value: Column) -> Column:
 
 # Composition
 
+def residue_counts(column) -> Column:
+    """How often each of the twenty residues occurs, as an array; a batch of rows is counted at once in NumPy."""
+    place = np.full(256, len(scales.STANDARD))
+    place[[ord(r) for r in scales.STANDARD]] = np.arange(len(scales.STANDARD))
+    width = len(scales.STANDARD) + 1
+
+    @F.arrow_udf("array<int>")
+    def count(sequences: pa.Array) -> pa.Array:
+        n, known = len(sequences), sequences.fill_null("").cast(pa.large_string())
+        ends = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + n + 1]
+        raw = np.frombuffer(known.buffers()[2] or b"", np.uint8)
+        found = np.zeros((n, width), np.int32)
+        cuts = [0, *(np.flatnonzero(np.diff((ends[1:] - ends[0]) >> 20)) + 1).tolist(), n]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            row = np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1]))
+            cell = row * width + place[raw[ends[start] : ends[stop]]]
+            found[start:stop] = np.bincount(cell, minlength=(stop - start) * width).reshape(-1, width)
+        bounds = pa.array(np.arange(n + 1) * (width - 1), pa.int32())
+        return pa.ListArray.from_arrays(bounds, pa.array(found[:, :-1].ravel()), mask=sequences.is_null())
+
+    return count(as_column(column))
+
+
 def residue_count(column, residues: str) -> Column:
     """How many characters belong to the set ``residues``."""
     if isinstance(column, Counted):
@@ -235,33 +260,41 @@ def residues(column) -> Column:
     return F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
 
 
-def _letter_values(scale: Mapping[str, float]) -> Column:
-    return F.array(*[F.lit(float(scale.get(chr(code), 0.0))) for code in range(ord("A"), ord("Z") + 1)])
+def _letter_parts(sequences: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code, row, position) of every letter, for about a million letters at a time; codes outside A-Z are 26."""
+    texts = [s if isinstance(s, str) else "" for s in sequences]
+    sizes = np.array([len(s) for s in texts], np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) >> 20)) + 1
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+        size = sizes[start:stop]
+        code = np.frombuffer("".join(texts[start:stop]).encode("utf-32-le"), np.uint32).astype(np.int64) - 65
+        code[(code < 0) | (code > 25)] = 26
+        row = np.repeat(np.arange(start, stop), size)
+        yield code, row, np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _row_values(function: Callable[[pd.Series], np.ndarray]) -> Callable[[Column], Column]:
+    @F.pandas_udf("double")
+    def apply(sequences: pd.Series) -> pd.Series:
+        return pd.Series(function(sequences))
+
+    return apply
 
 
 def hydrophobic_moment(column, angle: float = 100.0, scale=scales.EISENBERG) -> Column:
     """Eisenberg moment per residue, ``angle`` degrees between neighbours."""
     c = as_column(column)
     step = math.radians(angle)
-    values = _letter_values(scale)
+    values = np.array([float(scale.get(chr(code), 0.0)) for code in range(ord("A"), ord("Z") + 1)] + [0.0])
 
-    def value(letter: Column) -> Column:
-        code = F.ascii(letter)
-        return F.when(code.between(65, 90), F.get(values, code - 65)).otherwise(F.lit(0.0))
+    def moment(sequences: pd.Series) -> np.ndarray:
+        x, y = np.zeros(len(sequences)), np.zeros(len(sequences))
+        for code, row, position in _letter_parts(sequences):
+            x += np.bincount(row, values[code] * np.cos(position * step), len(x))
+            y += np.bincount(row, values[code] * np.sin(position * step), len(y))
+        return np.sqrt(x * x + y * y)
 
-    parts = F.transform(
-        F.split(c, ""),
-        lambda letter, i: F.struct(
-            (value(letter) * F.cos(i * F.lit(step))).alias("x"), (value(letter) * F.sin(i * F.lit(step))).alias("y")
-        ),
-    )
-    moment = F.aggregate(
-        parts,
-        F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
-        lambda s, p: F.struct((s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y")),
-        lambda s: F.sqrt(s["x"] * s["x"] + s["y"] * s["y"]),
-    )
-    return F.when(F.length(c) >= 2, moment / F.length(c)).otherwise(F.lit(0.0))
+    return F.when(F.length(c) >= 2, _row_values(moment)(c) / F.length(c)).otherwise(F.lit(0.0))
 
 
 def kmers(column, k: int = 2, long: int = 4096) -> Column:
@@ -282,17 +315,17 @@ def dipeptide_index(column, weights: Mapping[str, float]) -> Column:
     """(10 / L) * sum of dipeptide weights; the instability index under the published table."""
     c = as_column(column)
     letters = [chr(code) for code in range(ord("A"), ord("Z") + 1)]
-    table = F.array(*[F.lit(float(weights.get(a + b, 0.0))) for a in letters for b in letters])
+    table = np.zeros((27, 27))
+    table[:26, :26] = [[float(weights.get(a + b, 0.0)) for b in letters] for a in letters]
 
-    def code(letter: Column) -> Column:
-        value = F.ascii(letter) - 65
-        return F.when(value.between(0, 25), value).otherwise(F.lit(-1000))
+    def total(sequences: pd.Series) -> np.ndarray:
+        found = np.zeros(len(sequences))
+        for code, row, _ in _letter_parts(sequences):
+            same = row[1:] == row[:-1]
+            found += np.bincount(row[1:][same], table[code[:-1][same], code[1:][same]], len(found))
+        return found
 
-    def total(codes: Column) -> Column:
-        pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: a * 26 + b)
-        return F.aggregate(pairs, F.lit(0.0), lambda s, at: s + F.coalesce(F.get(table, at), F.lit(0.0)))
-
-    return share(F.lit(10.0) * let(F.transform(F.split(c, ""), code), total), c)
+    return share(F.lit(10.0) * _row_values(total)(c), c)
 
 
 def hamming_similarity(left, right) -> Column:
@@ -422,10 +455,24 @@ def seq_id(column) -> Column:
 
 def shuffle_residues(column, seed: int = 42) -> Column:
     """A scrambled control: the same residues in an order seeded by the sequence itself."""
-    keyed = F.transform(
-        residues(column), lambda letter, i: F.struct(hash_hex(seed, as_column(column), i).alias("h"), i.alias("i"), letter.alias("ch"))
-    )
-    return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["ch"]), "")
+
+    @F.pandas_udf("string")
+    def shuffled(sequences: pd.Series) -> pd.Series:
+        rows = []
+        for text in sequences:
+            if not isinstance(text, str):
+                rows.append("")
+                continue
+            # md5 of "seed:text:i" for each position; the common beginning is digested once.
+            begun, digests = hashlib.md5(f"{seed}:{text}:".encode(), usedforsecurity=False), []
+            for i in range(len(text)):
+                h = begun.copy()
+                h.update(b"%d" % i)
+                digests.append(h.digest())
+            rows.append("".join([text[i] for i in sorted(range(len(text)), key=digests.__getitem__)]))
+        return pd.Series(rows, dtype=object)
+
+    return shuffled(as_column(column))
 
 
 # Special token ids; residues follow in alphabetic order.

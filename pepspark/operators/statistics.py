@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import correlation_tier
+from ..functions.sequences import correlation_tier, shuffle_residues
 from .ranks import attach_row, exact_quantiles
 from .summaries import best_match, unpivot
 
@@ -130,6 +130,13 @@ def control_gap(real: DataFrame, control: DataFrame, key: str, score: str = "sco
     return real.join(other, key).withColumn("gap", F.col(score) - F.col("control_score"))
 
 
+def scrambled_gap(df: DataFrame, key: str, score: Callable[[str], Column], column: str = "sequence") -> DataFrame:
+    """``control_gap`` of rows and their own scrambled sequences: both are scored in one pass, without a join."""
+    both = df.select(key, column, shuffle_residues(column).alias("_control"))
+    scored = both.select(key, score(column).alias("score"), score("_control").alias("control_score"))
+    return scored.withColumn("gap", F.col("score") - F.col("control_score"))
+
+
 def kl_estimate(tokens: DataFrame, key: str, policy: str = "policy_logprob", reference: str = "ref_logprob", mask: str = "mask"):
     """Per sequence: mean token log-probability and mean of exp(r) - r - 1, r = ref - policy."""
     r = F.col(reference) - F.col(policy)

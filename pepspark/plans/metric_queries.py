@@ -185,14 +185,14 @@ DOCS = f"""docs as (select doc_id, quality as y, toxic as y2, {", ".join(f"{e} a
 
 def labelled(spark, path):
     docs = views.spread(views.table(spark, path, "documents").select("doc_id", "text"), "doc_id")
-    clean = docs.select("doc_id", views.letters(F.col("text")).alias("sequence")).filter("sequence <> ''")
+    labels = views.table(spark, path, "labels").select("doc_id", F.col("quality").alias("y"), F.col("toxic").alias("y2"))
+    # Only labelled texts are cleaned and counted.
+    clean = docs.join(labels, "doc_id").select("doc_id", "y", "y2", sq.once(views.letters(F.col("text"))).alias("sequence")).filter("sequence <> ''")
     c = "sequence"
-    features = clean.select(
+    return clean.select(
         "doc_id", F.length(c).cast("double").alias("length"), sq.gravy(c).alias("gravy"), sq.net_charge(c).alias("net_charge"),
-        sq.hydrophobic_ratio(c).alias("hydrophobic"), sq.boman_index(c).alias("boman"),
+        sq.hydrophobic_ratio(c).alias("hydrophobic"), sq.boman_index(c).alias("boman"), "y", "y2",
     )
-    labels = views.table(spark, path, "labels").select("doc_id", F.col("quality").alias("y"), F.col("toxic").alias("y2"))
-    return features.join(labels, "doc_id")
 
 
 NAMES = list(FEATURES)
@@ -324,11 +324,7 @@ def _(spark, path):
     # A score that depends on order: the share of residues equal to their right neighbour.
     doubled = {a + a: 0.1 for a in scales.STANDARD}
     p = views.peptides(spark, path).select("id", "sequence")
-    real = p.select("id", sq.dipeptide_index("sequence", doubled).alias("score"))
-    control = p.select("id", sq.shuffle_residues("sequence").alias("sequence")).select(
-        "id", sq.dipeptide_index("sequence", doubled).alias("score")
-    )
-    return st.control_gap(real, control, "id")
+    return st.scrambled_gap(p, "id", lambda c: sq.dipeptide_index(c, doubled))
 
 
 @query(
