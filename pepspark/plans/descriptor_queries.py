@@ -120,9 +120,10 @@ LINEAR = {
     "select id, " + ", ".join(f"{R(e)} as {n}" for n, e in LINEAR.items()) + " from peptides",
 )
 def _(spark, path):
-    c = "sequence"
+    c = sq.Counted("sequence")
     ss = sq.ss_fractions(c)
-    return p(spark, path).select(
+    # Each residue is counted once for all descriptors.
+    return p(spark, path).select("id", "sequence").withColumns(sq.Counted.columns("sequence")).select(
         "id", sq.gravy(c).alias("gravy"), *[e.alias(n) for n, e in ss.items()], sq.aromaticity(c).alias("aromaticity"),
         sq.aliphatic_index(c).alias("aliphatic"), sq.hydroph_ratio_lib(c).alias("hydroph_ratio"),
         sq.molecular_weight(c).alias("molecular_weight"), sq.molecular_weight(c, amide=True).alias("amide_weight"),
