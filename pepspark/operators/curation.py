@@ -210,7 +210,8 @@ def keys_of(df: DataFrame, key: str) -> DataFrame:
 
 def exclude_known(df: DataFrame, known: DataFrame, key: str = "sequence") -> DataFrame:
     """Rows whose key is absent from ``known``; also the resume and novelty filter."""
-    return df.join(known.select(key), key, "left_anti")
+    # Copies of a known key are folded first: a frequent one would fill the task that holds it.
+    return df.join(keys_of(known, key), key, "left_anti")
 
 
 novel_only = exclude_known
@@ -329,8 +330,9 @@ def merge_into(existing: DataFrame, new: DataFrame, key: str = "sequence", order
     both = existing.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)), allowMissingColumns=True)
     rest = [c for c in both.columns if c not in (key, "is_new", *order)]
     place = F.struct(F.col("is_new"), *[F.col(f"`{c}`") for c in (*order, *rest)])
-    best = both.groupBy(key).agg(F.min(place).alias("_best"))
-    return best.select(*[F.col(f"`{c}`") if c == key else F.col(f"_best.`{c}`").alias(c) for c in both.columns])
+    # ``is_new`` on its own: a caller that selects no other column sorts and shuffles none.
+    best = both.groupBy(key).agg(F.min("is_new").alias("is_new"), F.min(place).alias("_best"))
+    return best.select(*[F.col(f"`{c}`") if c in (key, "is_new") else F.col(f"_best.`{c}`").alias(c) for c in both.columns])
 
 
 def merge_report(existing: DataFrame, new: DataFrame, key: str = "sequence") -> DataFrame:
