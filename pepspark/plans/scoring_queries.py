@@ -210,17 +210,20 @@ def _(spark, path):
     return report.orderBy(F.desc("batch")).limit(1).select("n_rows", "latest_step", "mean_recent")
 
 
-def _log_of_files(spark, path, files: int = 4):
-    """The whole compound log as a stream of several files in the order of steps, one file a batch."""
+def _growing_log(spark, path, slices: int = 4):
+    """The whole compound log as a stream that grows in the order of steps, yielded again after each slice.
+
+    A slice begins at a step and holds all rows up to the next one's, about as many as
+    the others; it is written by all tasks, and whoever follows the log takes it before the next comes.
+    """
     folder = f"{_folder(spark)}/log"
     log = views.compounds(spark, path).persist()
-    last = log.agg(F.max("step")).first()[0] or 0
-    # A file begins at a step and holds all rows up to the next one's; later files are written later.
-    for n in range(files):
-        part = log.filter((F.col("step") * files >= n * (last + 1)) & (F.col("step") * files < (n + 1) * (last + 1)))
-        part.coalesce(1).write.mode("append").parquet(folder)
+    cuts = sorted({int(c) for c in log.approxQuantile("step", [i / slices for i in range(1, slices)], 0.01)})
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = log if low is None else log.filter(F.col("step") > low)
+        (part if high is None else part.filter(F.col("step") <= high)).write.mode("append").parquet(folder)
+        yield mo.read_compounds(spark, folder, log.schema, "parquet")
     log.unpersist()
-    return mo.read_compounds(spark, folder, log.schema, "parquet", files_per_batch=1)
 
 
 @query(
@@ -231,8 +234,9 @@ def _log_of_files(spark, path, files: int = 4):
 )
 def _(spark, path):
     folder = _folder(spark)
-    novel = mo.novel_stream(_log_of_files(spark, path), views.training(spark, path), order=("step", "rid"))
-    mo.write_stream(novel, folder, "update", once=True).awaitTermination()
+    for log in _growing_log(spark, path):  # each start goes on from the checkpoint of the one before
+        novel = mo.novel_stream(log, views.training(spark, path), order=("step", "rid"))
+        mo.write_stream(novel, folder, "update", once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
@@ -249,7 +253,8 @@ def _(spark, path):
 )
 def _(spark, path):
     folder = _folder(spark)
-    mo.visitation_stream(_log_of_files(spark, path), folder, order=("step", "rid"), once=True).awaitTermination()
+    for log in _growing_log(spark, path):
+        mo.visitation_stream(log, folder, order=("step", "rid"), once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/rows").select("run", "step", "rid", "cluster_id", "visit_bonus")
 
 
