@@ -43,21 +43,23 @@ def descriptor_columns(c, text: str = "sequence", instability: Mapping[str, floa
     return columns
 
 
-def featurize(df: DataFrame, column: str = "sequence", instability: Mapping[str, float] | None = None) -> DataFrame:
+def featurize(
+    df: DataFrame, column: str = "sequence", instability: Mapping[str, float] | None = None, validated: bool = False
+) -> DataFrame:
     """Descriptors of valid rows; invalid rows keep NULL descriptors and a ``reject_reason``.
 
+    With ``validated`` all rows are valid rows of ``curation.validate``: nothing is normalized or tested again.
+
     A first projection counts residues, a second combines the counts, so each
     descriptor is short arithmetic and unused ones are pruned with their counts.
     """
-    text = F.coalesce(sq.normalized(column), F.lit(""))
+    text = F.col(column) if validated else F.coalesce(sq.normalized(column), F.lit(""))
+    standard = F.lit(True) if validated else (F.col("length") > 0) & ~sq.has_nonstandard(column)
     valid = F.col("reject_reason") == ""
     checked = (
         df.withColumn(column, text)
         .withColumn("length", F.length(column))
-        .withColumn(
-            "reject_reason",
-            F.when((F.col("length") > 0) & ~sq.has_nonstandard(column), F.lit("")).otherwise(F.lit("invalid_chars")),
-        )
+        .withColumn("reject_reason", F.when(standard, F.lit("")).otherwise(F.lit("invalid_chars")))
     )
     counts = {n: F.when(valid, e) for n, e in sq.Counted.columns(column).items()}
     features = descriptor_columns(sq.Counted(column), column, instability)
@@ -257,7 +259,7 @@ def score_table(
     """Validate, featurize, score, label and annotate; every input row is kept
     unless ``on_invalid='drop'``.  Only valid rows reach ``score``."""
     checked = curation.validate(df, column=column, on_invalid=on_invalid)
-    valid = score(featurize(checked.filter("valid"), column))
+    valid = score(featurize(checked.filter("valid"), column, validated=True))
     valid = valid.select(*checked.columns, sq.once(F.col("probability")).alias("probability"))
     scored = valid
     if on_invalid == "keep":
@@ -266,9 +268,9 @@ def score_table(
     return curation.confidence_note(labelled)
 
 
-def spectrum(df: DataFrame, heads: Mapping[str, tuple[Column, float]], column: str = "sequence") -> DataFrame:
+def spectrum(df: DataFrame, heads: Mapping[str, tuple[Column, float]], column: str = "sequence", validated: bool = False) -> DataFrame:
     """One ``<task>_prob`` and ``<task>_pred`` per head over valid rows."""
-    features = featurize(df, column).filter("reject_reason = ''")
+    features = featurize(df, column, validated=validated).filter("reject_reason = ''")
     outputs = []
     for task, (probability, threshold) in heads.items():
         outputs += [probability.alias(f"{task}_prob"), (probability >= threshold).cast("int").alias(f"{task}_pred")]
@@ -278,4 +280,4 @@ def spectrum(df: DataFrame, heads: Mapping[str, tuple[Column, float]], column: s
 def cascade(df: DataFrame, gate: Callable[[DataFrame], DataFrame], gate_threshold: float, heads: Mapping[str, tuple[Column, float]]) -> DataFrame:
     """Gate first; only rows labelled AMP get the per-class heads."""
     passed = score_table(df, gate, gate_threshold).filter("prediction = 'AMP'")
-    return spectrum(passed.select(*df.columns, F.col("probability").alias("gate_probability")), heads)
+    return spectrum(passed.select(*df.columns, F.col("probability").alias("gate_probability")), heads, validated=True)

@@ -106,7 +106,7 @@ def _(spark, path):
     def rounded_gate(df):
         return gate(df).withColumn("probability", F.round("probability", 9))
 
-    table = sc.score_table(views.records(spark, path).select("doc_id", "pos", "sequence"), rounded_gate, 0.5)
+    table = sc.score_table(views.words(spark, path), rounded_gate, 0.5)
     return table.select(
         "doc_id", "pos", "invalid_reason", "probability", "prediction", (F.col("confidence_note") != "").cast("int").alias("low_confidence")
     )
@@ -140,8 +140,7 @@ def _(spark, path):
     def rounded_gate(df):
         return gate(df).withColumn("probability", F.round("probability", 9))
 
-    words = views.records(spark, path).select("doc_id", "pos", "sequence")
-    return sc.cascade(words, rounded_gate, 0.5, heads()).drop("sequence")
+    return sc.cascade(views.words(spark, path), rounded_gate, 0.5, heads()).drop("sequence")
 
 
 # Model jobs

@@ -17,6 +17,16 @@ def test_texts_are_cut_once_in_batches(spark, name):
     assert text.count("MapInArrow") == 1 and "regexp_replace" not in text and "lambdafunction" not in text
 
 
+@pytest.mark.parametrize("name", ["r7_score_table", "r8_cascade"])
+def test_words_come_without_their_sources(spark, name):
+    assert "source_db" not in plan(spark, name)
+
+
+def test_cascade_normalizes_and_tests_a_word_once(spark):
+    text = plan(spark, "r8_cascade")
+    assert text.count("trim(") == 1 and text.count("RLIKE") == 1
+
+
 def test_control_gap_joins_nothing(spark):
     text = plan(spark, "q15_control_gap")
     assert "Join" not in text and "lambdafunction" not in text
