@@ -94,7 +94,10 @@ def runs(bounds: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
-    x = x.astype(np.uint64, copy=True)
+    return _mixed(x.astype(np.uint64, copy=True))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -136,6 +139,13 @@ class PrefixHash:
             cls._tables = (made[0], made[1])
         return made[0], made[1]
 
+    def every(self, size: int) -> np.ndarray:
+        """The values of all ranges of one size, by where they start."""
+        value = self.sums[size:] - self.sums[:-size]
+        value *= self.inverses[: len(value)]
+        value ^= mix(np.array([size], np.uint64))
+        return _mixed(value)
+
     def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """One well-mixed 64-bit value for each range; the length takes part."""
         value = (self.sums[stop] - self.sums[start]) * self.inverses[start]

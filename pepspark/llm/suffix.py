@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def sampled(hashes: PrefixHash, bounds: np.ndarray, length: int) -> tuple[np.nda
     if not len(start):
         return start, start
     at = np.arange(int(bounds[-1]) - grain + 1)
-    value = hashes.ranges(at, at + grain)
+    value = hashes.every(grain)
     least = _slide(value, gap, np.minimum, (1 << 64) - 1)[start]
     # Places that are the smallest of some start's positions, then for each start the first such place with its value.
     lowest = np.zeros(len(value), np.uint64)
@@ -68,6 +69,56 @@ def sampled(hashes: PrefixHash, bounds: np.ndarray, length: int) -> tuple[np.nda
     return start, places[pick]
 
 
+def sampled_blocks(hashes: PrefixHash, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, count, suffix): runs of neighbouring starts for which ``sampled`` gives one suffix.
+
+    A window's smallest hash is nearly always among the hashes below a limit that ten
+    places of a window are expected to meet; longer stretches without such a place are
+    looked at whole.  Each place has the windows that reach neither back to one that is
+    as small nor on to a smaller one.
+    """
+    gap, grain, _ = geometry(length)
+    usable = np.maximum(np.diff(bounds) - length + 1, 0)
+    if not usable.any():
+        return (np.zeros(0, np.int64),) * 3
+    value = hashes.every(grain)
+    low = value < np.uint64(min((1 << 64) - 1, 10 * (1 << 64) // gap))
+    at = np.flatnonzero(low)
+    far = np.flatnonzero(np.diff(np.concatenate([[-1], at, [len(value)]])) > gap)
+    for one, two in zip(np.concatenate([[-1], at])[far].tolist(), np.concatenate([at, [len(value)]])[far].tolist(), strict=True):
+        low[one + 1 : two] = True
+    if 2 * np.count_nonzero(low) > len(value):
+        start, suffix = sampled(hashes, bounds, length)
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = (suffix[1:] != suffix[:-1]) | (start[1:] != start[:-1] + 1)
+        first = np.flatnonzero(fresh)
+        return start[first], np.diff(np.append(first, len(start))), suffix[first]
+    at = np.flatnonzero(low) if len(far) else at
+    value = value[at]
+    back, on = _nearest(at, value, gap, -1, np.less_equal), _nearest(at, value, gap, 1, np.less)
+    row = np.searchsorted(bounds, at, "right") - 1
+    first = np.maximum(np.maximum(at - gap, back) + 1, bounds[row])
+    last = np.minimum(np.minimum(at, on - gap), bounds[row] + usable[row] - 1)
+    good = first <= last
+    return first[good], (last - first + 1)[good], at[good]
+
+
+def _nearest(at: np.ndarray, value: np.ndarray, gap: int, way: int, beats: np.ufunc) -> np.ndarray:
+    """The nearest place before (``way`` -1) or after (1) each whose value beats its own; one ``gap`` away if none is nearer."""
+    found = at + way * gap
+    open_ = np.arange(len(at))
+    other = open_ + way
+    while len(open_):
+        inside = (other >= 0) & (other < len(at))
+        open_, other = open_[inside], other[inside]
+        near = np.abs(at[other] - at[open_]) < gap
+        open_, other = open_[near], other[near]
+        won = beats(value[other], value[open_])
+        found[open_[won]] = at[other[won]]
+        open_, other = open_[~won], other[~won] + way
+    return found
+
+
 def word_edges(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, stop, offsets): where the words of the texts start and stop, and each text's range of words.
 
@@ -99,12 +150,7 @@ def blocks(data: np.ndarray, bounds: np.ndarray, length: int, words: int | None
 
     def of(hashes: PrefixHash, own: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
         _, _, reach = geometry(size)
-        start, suffix = sampled(hashes, own, size)
-        fresh = np.ones(len(start), bool)
-        fresh[1:] = (suffix[1:] != suffix[:-1]) | (start[1:] != start[:-1] + 1)
-        first = np.nonzero(fresh)[0]
-        count = np.diff(np.concatenate([first, [len(start)]]))
-        start, suffix = start[first], suffix[first]
+        start, count, suffix = sampled_blocks(hashes, own, size)
         row = np.searchsorted(own, start, "right") - 1
         f = hashes.ranges(suffix, suffix + reach)
         e = mix(hashes.ranges(start, start + count - 1 + size) + (suffix - start).astype(np.uint64))
@@ -247,19 +293,19 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
 
     def passages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            names, picked = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            names, (edge, picked) = batch.column(0).to_numpy(), _flat(batch.column(2))
             data, bounds = texts(batch.column(3))
             sizes = batch.column(1).to_numpy()
-            for i, wanted in enumerate(picked):
+            for i in range(len(names)):
                 own = data[bounds[i] : bounds[i + 1]]
                 hashes = PrefixHash(own)
-                first = np.array([w["start"] for w in wanted], np.int64)
-                count = np.array([w["count"] for w in wanted], np.int64)
-                which = np.repeat(np.arange(len(wanted)), count)
+                wanted = slice(edge[i], edge[i + 1])
+                first, count = picked["start"][wanted].astype(np.int64), picked["count"][wanted].astype(np.int64)
+                which = np.repeat(np.arange(len(first)), count)
                 start = np.repeat(first, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
                 stop = start + length
                 # 32 bits of f beside the 64 of the passage itself: passages only meet within one f.
-                f = np.array([w["f"] for w in wanted], np.int64).astype(np.int32)[which]
+                f = picked["f"][wanted].astype(np.int32)[which]
                 value = np.zeros(len(start), np.uint64)
                 odd = (f & 1 != 0) if words else np.zeros(len(start), bool)
                 value[~odd] = hashes.ranges(start[~odd], stop[~odd])
@@ -267,7 +313,7 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
                     begin, end, _ = word_edges(own, np.array([0, len(own)]))
                     stop[odd] = start[odd] + words
                     value[odd] = word_hashes(hashes, begin, end).ranges(start[odd], stop[odd])
-                single = np.array([w["times"] == 1 for w in wanted])[which]
+                single = (picked["times"][wanted] == 1)[which]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(f), pa.array(value.view(np.int64)), pa.array(np.full(len(start), names[i])), pa.array(np.full(len(start), sizes[i], np.int32)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(single)],
                     ["f", "w", *IDENTITY, "start", "stop", "single"],
@@ -285,11 +331,12 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
         for batch in parts:
             data, bounds = texts(batch.column(3))
             copied = batch.column(4).to_pylist()
-            out: dict[str, list] = {k: [] for k in ("n_removed", "n_spans", "spans", "kept", "kept_sha", "n_removed_words")}
-            for i, marked in enumerate(batch.column(2).to_pylist()):
+            edge, marked = _flat(batch.column(2))
+            out: dict[str, list] = {k: [] for k in ("n_removed", "n_spans", "kept", "kept_sha", "n_removed_words")}
+            spans = [np.zeros((0, 2), np.int64)]
+            for i in range(batch.num_rows):
                 own = data[bounds[i] : bounds[i + 1]]
-                start, stop = np.array([m["start"] for m in marked], np.int64), np.array([m["stop"] for m in marked], np.int64)
-                odd = np.array([m["worded"] for m in marked], bool)
+                start, stop, odd = (marked[c][edge[i] : edge[i + 1]] for c in ("start", "stop", "worded"))
                 gone = _covered(start[~odd], stop[~odd], len(own))
                 worded = gone
                 if odd.any() or (copied[i] and words):
@@ -300,16 +347,21 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
                     worded = gone | _covered(start, stop, len(own))
                 if not separate:
                     gone = worded
-                edges = np.nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))[0]
+                edges = np.nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))[0].reshape(-1, 2)
                 kept = own[~gone].tobytes()
                 out["n_removed"].append(int(gone.sum()))
-                out["n_spans"].append(len(edges) // 2)
-                out["spans"].append([{"start": int(a), "stop": int(b)} for a, b in edges.reshape(-1, 2)])
+                out["n_spans"].append(len(edges))
+                spans.append(edges)
                 out["kept"].append(kept)
                 out["kept_sha"].append(hashlib.sha256(kept).digest())
                 out["n_removed_words"].append(int(worded.sum()))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], [*IDENTITY, *out])
+            starts = pa.array(np.concatenate([[0], np.cumsum(out["n_spans"])]).astype(np.int32))
+            flat = np.concatenate(spans)
+            listed = pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["start", "stop"]))
+            kinds = {"kept": pa.binary(), "kept_sha": pa.binary()}
+            made = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
+            names = ["n_removed", "n_spans", "spans", "kept", "kept_sha", "n_removed_words"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *({**made, "spans": listed}[n] for n in names)], [*IDENTITY, *names])
 
     result = "doc long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha binary, n_removed_words long"
     spans = marks.unionByName(fine).groupBy(*IDENTITY).agg(F.collect_list(F.struct("start", "stop", "worded")).alias("marks"))
@@ -329,6 +381,13 @@ def repeats(docs: DataFrame, length: int = 400, batches: int = 4, doc_id: str =
     return made, cut
 
 
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(offsets, fields) of a column of lists of structs without nulls."""
+    edge = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
+    values = column.flatten()
+    return edge, {f.name: values.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(values.type)}
+
+
 def _covered(start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
     """Which of n bytes lie in one of the ranges."""
     depth = np.zeros(n + 1, np.int64)

@@ -79,3 +79,31 @@ def test_stage_cuts_51_short_words(spark, tmp_path):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_passages(spark, docs, str(tmp_path)).collect()}
     want = {i: t.replace(passage, "") for i, t in rows}
     assert got == {i: (t, len(t)) for i, t in want.items()} and want[1] != rows[1][1]
+
+
+def _blocks_of_every_start(data, bounds, size):
+    """Runs of starts with one suffix, from the suffix of every start."""
+    hashes = suffix.PrefixHash(data)
+    start, at = suffix.sampled(hashes, bounds, size)
+    cut = [k for k in range(len(start)) if k == 0 or at[k] != at[k - 1] or start[k] != start[k - 1] + 1]
+    return [(int(start[k]), n - k, int(at[k])) for k, n in zip(cut, [*cut[1:], len(start)], strict=True)]
+
+
+@pytest.mark.parametrize("size", [2, 5, 16, 51, 400])
+@pytest.mark.parametrize("letters", [1, 2, 200])
+def test_blocks_equal_those_of_every_start(size, letters):
+    random = np.random.default_rng(size)
+    lengths = random.integers(0, 3 * size, 40)
+    data = np.concatenate([random.integers(0, letters, lengths.sum(), dtype=np.uint8), np.zeros(2000, np.uint8), random.integers(0, 250, 3000, dtype=np.uint8)])
+    bounds = np.concatenate([[0], np.cumsum(lengths), [len(data)]])
+    found = [tuple(map(int, x)) for x in zip(*suffix.sampled_blocks(suffix.PrefixHash(data), bounds, size), strict=True)]
+    assert found == _blocks_of_every_start(data, bounds, size)
+
+
+def test_most_places_are_never_compared(monkeypatch):
+    """Only hashes below a limit take part; the dense way is for texts whose hashes all are."""
+    data = np.random.default_rng(3).integers(0, 250, 1 << 17, dtype=np.uint8)
+    seen = []
+    monkeypatch.setattr(suffix, "_nearest", lambda at, *rest, real=suffix._nearest: (seen.append(len(at)), real(at, *rest))[1])
+    suffix.sampled_blocks(suffix.PrefixHash(data), np.array([0, len(data)]), 400)
+    assert max(seen) < len(data) // 8
