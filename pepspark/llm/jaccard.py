@@ -70,7 +70,17 @@ def partition_keys(rows: np.ndarray, value: np.ndarray, n: int, percent: int) ->
     segments hold the same elements in both.  A key names class, segment and contents.
     Empty segments make no key; a set with more than z of them (few have) makes a
     catch-all key of its class too, so that two such sets still meet.  A set
-    takes part in its own class and the one below.
+    takes part in its own class and the one below; a key's last bit tells which of them is odd.
+    """
+    return _partition(rows, value, n, percent)[:2]
+
+
+def _partition(rows: np.ndarray, value: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``partition_keys``, and how many keys each set shares with one that it links with, in its even and its odd class.
+
+    Of 1 + z segments that hold the same elements no more can be empty than a set has
+    empty ones, so 1 + z less those share a key; 1 where the catch-all key may be all.
+    That holds in the class that the smaller of two linked sets is of.
     """
     sizes = np.bincount(rows, minlength=n)
     limits = size_bounds(percent, int(sizes.max(initial=1)) + 1)
@@ -79,13 +89,14 @@ def partition_keys(rows: np.ndarray, value: np.ndarray, n: int, percent: int) ->
     low, high = (mixed & np.uint64((1 << 26) - 1)).astype(np.float64), (mixed >> np.uint64(38)).astype(np.float64)
     place = (mix(mixed ^ STEP) >> np.uint64(33)).astype(np.int64)
     out_rows, out_keys = [], []
+    need = np.full((n, 2), np.iinfo(np.int32).max, np.int32)
     for below in (0, 1):
         slot = own - below
         usable = (sizes > 0) & (slot >= 0)
         largest = np.where(usable, limits[np.clip(slot, 0, None) + 1] - 1, 0)
         differ = largest * (100 - percent) // percent
         usable &= differ > 0
-        spare = 2 + differ // 10
+        spare = 2 + differ // 6
         segments = np.where(usable, differ + 1 + spare, 0)
         offset = np.concatenate([[0], np.cumsum(segments)])
         take = usable[rows]
@@ -101,9 +112,12 @@ def partition_keys(rows: np.ndarray, value: np.ndarray, n: int, percent: int) ->
         filled = count > 0
         empty = segments - np.bincount(owner[filled], minlength=n)
         sparse = np.nonzero(usable & (empty > spare))[0]
+        part = np.nonzero(usable)[0]
+        need[part, slot[part] & 1] = np.maximum(1 + spare - empty, 1)[part]
         out_rows += [owner[filled], sparse]
-        out_keys += [key[filled], mix(slot[sparse].astype(np.uint64) + np.uint64(1 << 40))]
-    return np.concatenate(out_rows), np.concatenate(out_keys)
+        for of, made in ((slot[owner[filled]], key[filled]), (slot[sparse], mix(slot[sparse].astype(np.uint64) + np.uint64(1 << 40)))):
+            out_keys.append(made & ~np.uint64(1) | (of & 1).astype(np.uint64))
+    return np.concatenate(out_rows), np.concatenate(out_keys), need
 
 
 def node_of(rows: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -115,7 +129,7 @@ def node_of(rows: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, sha, n_shingles, node, keys); equal sets of one task give their keys once."""
+    """(doc_id, sha, n_shingles, node, even, odd, keys); equal sets of one task give their keys once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -124,7 +138,7 @@ def signatures(docs: DataFrame, words: int, percent: int, doc_id: str, text: str
             for lo, hi, rows, value in shingles(data, bounds, words):
                 n = hi - lo
                 sizes, node = np.bincount(rows, minlength=n), node_of(rows, value, n)
-                owner, key = partition_keys(rows, value, n, percent)
+                owner, key, need = _partition(rows, value, n, percent)
                 fresh = np.zeros(n, bool)
                 for i, x in enumerate(node.tolist()):
                     if x and x not in seen:
@@ -137,10 +151,10 @@ def signatures(docs: DataFrame, words: int, percent: int, doc_id: str, text: str
                 keys = pa.ListArray.from_arrays(pa.array(starts), pa.array(key[order].view(np.int64)))
                 sha = [hashlib.md5(data[bounds[i] : bounds[i + 1]].tobytes()).digest() for i in range(lo, hi)]
                 nodes = pa.array(node.view(np.int64), mask=node == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(sha, pa.binary()), pa.array(sizes.astype(np.int64)), nodes, keys], ["doc_id", "sha", "n_shingles", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(sha, pa.binary()), pa.array(sizes.astype(np.int64)), nodes, pa.array(need[:, 0].copy()), pa.array(need[:, 1].copy()), keys], ["doc_id", "sha", "n_shingles", "node", "even", "odd", "keys"])
 
     rows = source_columns(docs, doc_id=F.col(doc_id).cast("long"), text=F.col(text).cast("string"))
-    return rows.mapInArrow(work, "doc_id long, sha binary, n_shingles long, node long, keys array<long>")
+    return rows.mapInArrow(work, "doc_id long, sha binary, n_shingles long, node long, even int, odd int, keys array<long>")
 
 
 #: Bytes of bitmaps that one side of a tree holds at most, and that one comparison gathers.
@@ -317,6 +331,13 @@ def join_block(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
+def _hot_keys(keys: DataFrame, share: int, often: int, most: int) -> DataFrame:
+    """The keys that a sample of one node in ``share`` holds ``often`` times, as a side for a join."""
+    sampled = keys.filter(F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(share)) == 0)
+    hot = materialize(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= often).select("key"), "hot_keys")
+    return F.broadcast(hot) if hot.count() <= most else growing(hot)
+
+
 def key_neighbours(keys: DataFrame, share: int = 256, often: int = 64, most: int = 100_000) -> DataFrame:
     """(a, b): pairs of nodes that connect all nodes of each key; ``keys``: (node, key).
 
@@ -326,9 +347,7 @@ def key_neighbours(keys: DataFrame, share: int = 256, often: int = 64, most: int
     (one in ``share`` * ``often`` entries at most); up to ``most`` of them are broadcast, more are
     shuffled.
     """
-    sampled = keys.filter(F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(share)) == 0)
-    hot = materialize(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= often).select("key"), "hot_keys")
-    sent = F.broadcast(hot) if hot.count() <= most else growing(hot)
+    sent = _hot_keys(keys, share, often, most)
     order = Window.partitionBy("key").orderBy("node")
     chained = keys.join(sent, "key", "left_anti").select("node", F.lag("node").over(order).alias("hub"))
     warm = keys.join(sent, "key")
@@ -337,6 +356,40 @@ def key_neighbours(keys: DataFrame, share: int = 256, often: int = 64, most: int
     return chained.unionByName(starred).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
+#: Nodes of a key that are paired with each other; a key of more is crowded.
+CROWD = 6
+
+
+def near_neighbours(keys: DataFrame, needs: DataFrame, share: int = 256, often: int = 64, most: int = 100_000) -> DataFrame:
+    """(a, b): pairs that connect any two linked nodes; ``keys``: (node, key), ``needs``: (node, even, odd).
+
+    Linked nodes share at least the needed keys of either node, all even or all odd.  As many of them as a node
+    has crowded keys may be crowded, so the pair shares the rest among keys of few nodes:
+    such pairs are counted.  Where that leaves nothing to count for both nodes, crowded keys
+    connect them.  Texts that share a passage have a key or two in common and stay apart.
+    """
+    sent = _hot_keys(keys, share, often, most)
+    order = Window.partitionBy("key").orderBy("node")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    single = keys.join(sent, "key", "left_anti").withColumn("last", F.lag("node").over(order)).filter("last is null or last <> node")
+    before = F.array(*[F.lag("node", k).over(order) for k in range(1, CROWD)])
+    held = single.select("node", "key", F.count(F.lit(1)).over(whole).alias("n"), before.alias("others")).filter("n > 1")
+    few = F.col("n") <= CROWD
+    side = F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("side")
+    held = held.select("node", side, F.when(~few, F.col("key")).alias("key"), F.when(few, F.filter("others", lambda x: x.isNotNull())).alias("others"))
+    held = materialize(held, "shared_keys")
+    crowded = held.filter("key is not null").select("node", "key", "side").unionByName(keys.join(sent, "key").select("node", "key", side))
+    taken = crowded.groupBy("node", "side").agg(F.count(F.lit(1)).alias("n"))
+    both = needs.select("node", F.posexplode(F.array("even", "odd")).alias("side", "need"))
+    left = both.join(growing(taken), ["node", "side"], "left").select("node", "side", (F.col("need") - F.coalesce("n", F.lit(0))).alias("left"))
+    left = materialize(left, "key_needs")
+    pairs = held.select("side", F.col("node").alias("b"), F.explode("others").alias("a")).groupBy("a", "b", "side").agg(F.count(F.lit(1)).alias("n"))
+    for end in ("a", "b"):
+        pairs = pairs.join(growing(left.withColumnRenamed("node", end)), [end, "side"]).filter(F.col("n") >= F.col("left")).drop("left")
+    open_ = crowded.join(growing(left.filter("left <= 0")), ["node", "side"], "left_semi").select("node", "key")
+    return pairs.select("a", "b").unionByName(key_neighbours(open_, share, often, most))
+
+
 def _large_groups(large: DataFrame, work, block: int) -> DataFrame:
     """Links of groups cut into parts: (grp, parts, part, node, items) to pairs (a, b) that connect them.
 
@@ -390,8 +443,8 @@ def membership(
     links reach, null ids aside; a row that links with nothing has its own id.
 
     1. Equal sets are one node.  Keys that linked sets must share come from the
-       pigeonhole rule (``partition_keys``); nodes that share keys form groups, and every
-       link is inside a group.
+       pigeonhole rule (``partition_keys``); nodes that share as many as links have
+       (``near_neighbours``) form groups, and every link is inside a group.
     2. A group of at most ``block`` shingles is one block; small groups share blocks.  A
        larger one is cut into parts of about that size by hash: parts are joined
        within, and pairs of parts unless both hold one and the same component.  Inside a
@@ -403,7 +456,8 @@ def membership(
     """
     signed = materialize(signatures(docs, words, percent, doc_id, text), "signatures")
     made = materialize(signed.drop("keys"), "shingle_rows")
-    groups = components(key_neighbours(signed.select("node", F.explode("keys").alias("key"))))
+    needs = made.filter("node is not null").groupBy("node").agg(F.min("even").alias("even"), F.min("odd").alias("odd"))
+    groups = components(near_neighbours(signed.select("node", F.explode("keys").alias("key")), needs))
     discard(signed)
     nodes = materialize(made.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha")).alias("pick")).filter("node is not null"), "shingle_nodes")
     grouped = groups.join(nodes, "node").select("node", F.col("root").alias("grp"), F.col("pick.doc_id").alias("pick_id"), F.col("pick.sha").alias("pick_sha"), "n")

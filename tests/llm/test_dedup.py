@@ -225,3 +225,44 @@ def test_suffix_cut_rows(spark):
     assert len(got.columns) == 8
     empty = suffix.membership(spark.createDataFrame([], SCHEMA), 20)
     assert empty.count() == 0
+
+
+def test_linked_sets_share_the_keys_they_need():
+    random.seed(6)
+    for percent in (60, 80, 90, 95):
+        for _ in range(60):
+            n = random.choice([2, 5, 10, 30, 200, 700])
+            a = random.sample(range(1 << 40), n)
+            keep = random.randint(int(n * percent / 100), n)
+            b = random.sample(a, keep) + random.sample(range(1 << 40, 1 << 41), random.randint(0, n - keep + 1))
+            both = [np.unique(np.array(x, np.uint64)) for x in (a, b)]
+            inter = len(set(a) & set(b))
+            if 100 * inter < percent * (len(both[0]) + len(both[1]) - inter) or set(a) == set(b):
+                continue
+            rows = np.repeat([0, 1], [len(x) for x in both])
+            owner, key, need = jaccard._partition(rows, np.concatenate(both), 2, percent)
+            shared = set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
+            assert any(len([k for k in shared if k % 2 == side]) >= need[:, side].max() >= 1 for side in (0, 1))
+
+
+@pytest.mark.parametrize("crowd, often", [(2, 1 << 20), (6, 1 << 20), (6, 20), (3, 2)])
+def test_near_groups_with_crowded_keys(spark, monkeypatch, crowd, often):
+    """Links survive however many nodes a key may pair: clusters below, at and beyond it."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    defaults = jaccard.near_neighbours.__defaults__
+    monkeypatch.setattr(jaccard.near_neighbours, "__defaults__", (1, often, defaults[2]))
+    rows = near_rows(9)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.membership(df, 3, 80).collect()]
+    assert sorted(got, key=str) == sorted(expect_components(rows, 3, 80), key=str)
+
+
+def test_texts_that_share_a_passage_form_no_group(spark, monkeypatch):
+    rng = random.Random(4)
+    said = [f"s{i}" for i in range(30)]
+    rows = [(i, " ".join([*said, *(f"d{i}x{rng.random()}" for _ in range(150))])) for i in range(300)]
+    seen = []
+    monkeypatch.setattr(jaccard, "components", lambda edges: (seen.append(edges.count()), components(edges))[1])
+    found = jaccard.membership(spark.createDataFrame(rows, SCHEMA), 5, 80)
+    assert found.filter("doc_id <> component_id").count() == 0
+    assert seen[0] == 0
