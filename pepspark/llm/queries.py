@@ -133,12 +133,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, rows: DataFrame, *keys: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text again."""
-    rows = materialize(rows.select(*keys, "text").withColumn("row", F.monotonically_increasing_id()), "encoded_rows")
     pieces = sentencepiece.piece_table(spark, vocabulary("piece_bpe_32k.model"))
-    ids = materialize(sentencepiece.encode(rows, pieces, "row"), "row_ids")
-    back = sentencepiece.decode(ids, pieces, "row").withColumnRenamed("text", "decoded")
-    joined = rows.join(growing(ids), "row").join(growing(back), "row")
-    return joined.select(*keys, "ids", F.size("ids").cast("long").alias("n_ids"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    ids = sentencepiece.encode(rows.select(*keys, "text"), pieces, keys[0], stored=True)
+    back = sentencepiece.decoded(F.col("ids"), pieces)
+    return ids.select(*keys, "ids", F.size("ids").cast("long").alias("n_ids"), (F.coalesce("text", F.lit("")) == back).alias("round_trip"))
 
 
 @query

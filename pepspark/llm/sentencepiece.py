@@ -1,24 +1,38 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Distinct words are exploded into substrings no longer than the longest piece, joined
-to the piece table, and the matches are grouped by word again: the word's lattice.  A
-higher-order aggregate folds the lattice into one path.
+Texts are cut where no piece can lie across.  Distinct words are exploded into substrings
+no longer than the longest piece, joined to the piece table, and the matches are grouped
+by word again: the word's lattice.  A higher-order aggregate folds the lattice into one
+path.  The ids go back to each block of rows that holds the word, as a dictionary that the
+block's tasks read beside its texts; neither texts nor occurrences of words are shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import growing, materialize
+from .common import growing, materialize, new_folder, runs, texts
 
 SPACE = "▁"  # the mark that vocabularies write for a space
 WIDE = 1 << 31  # a span is its start times this plus its stop
 NATIVE = 48  # longest word, in code points, that is folded by the aggregate
+WINDOW = 64  # starts of substrings of a longer word that are cut from one part of it
+PAIRS = 22  # bits of a hashed pair of code points
+HELD = 1 << 20  # words that a task holds before it hands them on
+ROWS = 13  # a block is 2**13 rows of a file, which is the same however a file is split for tasks
+#: An event of the merge fold is one long: rank of the score (20 bits), start and stop of the piece that forms (6 each),
+#: 1 for a check (2), one more place (6; of a merge the start again), and the id. This moves the places of a piece at 0.
+MOVE = (1 << 32) + (1 << 26) + (1 << 18)
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -35,30 +49,120 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string, score double, byte int")
 
 
-def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, edges): for each word a map from start * 2**31 + stop to (score, id) of the pieces in it."""
+def lattice(words: DataFrame, pieces: DataFrame, key: str = "word") -> DataFrame:
+    """(key, edges): for each word a map from start * 2**31 + stop to (score, id) of the pieces in it.
+
+    ``key`` is the column that tells words apart.  Substrings are cut from parts of bounded length.
+    """
     known = pieces.filter("piece is not null").select("piece", "score", "id")
     longest = known.agg(F.max(F.length("piece"))).first()[0] or 1
     size = F.length("word")
-    starts = words.filter(size > 0).select("word", size.alias("n"), F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.col("start") + 1, F.least("n", F.col("start") + longest))).alias("stop"))
-    cut = spans.withColumn("piece", F.expr("substring(word, start + 1, stop - start)"))
+    bases = words.filter(size > 0).select(key, "word", F.explode(F.sequence(F.lit(0), size - 1, F.lit(WINDOW))).alias("base"))
+    parts = bases.select(key, "base", F.col("word").substr(F.col("base") + 1, F.lit(WINDOW - 1 + longest)).alias("part"))
+    starts = parts.select(key, "base", "part", F.explode(F.sequence(F.lit(0), F.least(F.lit(WINDOW), F.length("part")) - 1)).alias("start"))
+    spans = starts.select(key, "base", "part", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("part"), F.col("start") + longest))).alias("stop"))
+    cut = spans.withColumn("piece", F.expr("substring(part, start + 1, stop - start)"))
     # The vocabulary is a fixed file, so its size is bounded whatever the corpus.
-    edges = cut.join(F.broadcast(known), "piece").select("word", (F.col("start").cast("long") * WIDE + F.col("stop")).alias("span"), "score", "id")
-    return edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("span", F.struct("score", "id")))).alias("edges"))
+    edges = cut.join(F.broadcast(known), "piece").select(key, ((F.col("base") + F.col("start")).cast("long") * WIDE + F.col("base") + F.col("stop")).alias("span"), "score", "id")
+    return edges.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("span", F.struct("score", "id")))).alias("edges"))
+
+
+def merge_events(pieces: DataFrame) -> tuple[list[tuple[str, list[int]]], list[tuple[str, int]]]:
+    """(piece, events) of the pieces of two or more code points, and (piece, id) of the others.
+
+    The first event of a piece merges its span, in the order of scores.  Another stands for
+    each pair of pieces that makes up the piece although one of them scores no better: after
+    that one has formed, the piece must not be open to merging any more, or the order of
+    scores is not the order of merges.
+    """
+    known = [r for r in pieces.filter("piece is not null").select("piece", "score", "id").collect() if len(r.piece) <= NATIVE]
+    rank = {x: k for k, x in enumerate(sorted({r.score for r in known}, reverse=True))}
+    if len(rank) >= 1 << 20 or any(r.id >= 1 << 18 for r in known):
+        raise ValueError("ids of pieces must be below 2**18")
+    place = {r.piece: rank[r.score] for r in known}
+    made = []
+    for r in known:
+        n, own = len(r.piece), place[r.piece]
+        if n < 2:
+            continue
+        events = [own << 38 | n << 26 | r.id]
+        for m in range(1, n):
+            # A single code point is there from the start.
+            left, right = (place.get(x) if len(x) > 1 else -1 for x in (r.piece[:m], r.piece[m:]))
+            if left is not None and right is not None and (last := max(left, right)) >= own:
+                start, stop, other = (m, n, 0) if right == last else (0, m, n)
+                events.append(last << 38 | start << 32 | stop << 26 | 1 << 24 | other << 18)
+        made.append((r.piece, events))
+    return made, [(r.piece, r.id) for r in sorted(known, key=lambda r: -r.score) if len(r.piece) == 1]
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
+def _field(event: Column, at: int) -> Column:
+    return F.shiftright(event, at).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _span(event: Column, cuts: Column) -> tuple[Column, Column, Column]:
+    """The cuts in an event's span, the bits of its ends, and its three places."""
+    start, stop, other = _field(event, 32), _field(event, 26), _field(event, 18)
+    low, high = F.least(start, other), F.greatest(stop, other)
+    return cuts.bitwiseAND(_bit(high + 1) - _bit(low)), _bit(low).bitwiseOR(_bit(high)), _bit(start).bitwiseOR(_bit(stop)).bitwiseOR(_bit(other))
+
+
+def _checks(event: Column) -> Column:
+    return event.bitwiseAND(F.lit(1 << 24)) != 0
 
 
-def merge_fold(word: Column, edges: Column) -> Column:
-    """Cuts of a word by merges: the adjacent pair with the best piece joins, the leftmost of equals, until none can."""
-    at = lambda cuts, i, j: F.try_element_at(edges, F.get(cuts, i).cast("long") * WIDE + F.get(cuts, j))["score"]
+def merge_fold(size: Column, events: Column) -> Column:
+    """The cuts of a word as bits, after all merges: the pair with the best piece first, the leftmost of equals.
 
-    def step(cuts: Column, _: Column) -> Column:
-        inner = F.sequence(F.lit(0), F.size(cuts) - 3)
-        best = F.array_max(F.filter(F.transform(inner, lambda i: F.struct(at(cuts, i, i + 2).alias("score"), (-i).alias("back"))), lambda x: x["score"].isNotNull()))
-        merged = F.filter(cuts, lambda c, i: i != 1 - best["back"])
-        return F.when(F.size(cuts) < 3, cuts).otherwise(F.coalesce(F.when(best.isNotNull(), merged), cuts))
+    Events come in the order of scores and places.  A piece merges if its span has just one
+    cut inside; bit 62 is set where a check finds one that could merge after its turn.
+    """
+
+    def step(cuts: Column, e: Column) -> Column:
+        within, ends, places = _span(e, cuts)
+        checked = F.when(within == places, cuts.bitwiseOR(F.lit(1 << 62))).otherwise(cuts)
+        merges = (F.bit_count(within) == 3) & (within.bitwiseAND(ends) == ends)
+        return F.when(_checks(e), checked).when(merges, cuts - within + ends).otherwise(cuts)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), F.sequence(F.lit(0), F.length(word)), step)
+    return F.aggregate(events, _bit(size + 1) - 1, step)
+
+
+def _merged(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``words`` with ids; null where one is longer than 48, the fold in order does not hold, or a piece is missing."""
+    events, single = merge_events(pieces)
+    others = [c for c in words.columns if c != "word"]
+    # The empty piece is in every word once and brings the word's other columns.
+    known = words.sparkSession.createDataFrame([("", [-1]), *events], "piece string, events array<long>")
+    longest = max((len(p) for p, _ in events), default=2)
+    size = F.length("word")
+    short = size <= NATIVE
+    starts = words.select("*", F.explode(F.sequence(F.lit(0), F.when(short, F.greatest(size - 2, F.lit(0))).otherwise(0))).alias("_start"))
+    stops = F.sequence(F.when(F.col("_start") == 0, 0).otherwise(F.col("_start") + 2), F.when(short, F.least(size, F.col("_start") + longest)).otherwise(0))
+    spans = starts.select("*", F.explode(stops).alias("_stop")).withColumn("piece", F.expr("substring(word, _start + 1, _stop - _start)"))
+    # The vocabulary is a fixed file, so its size is bounded whatever the corpus.
+    edges = spans.join(F.broadcast(known), "piece").select("word", "_start", F.when(F.col("_stop") == 0, F.struct(F.lit(0).alias("_"), *others)).alias("_others"), F.explode("events").alias("_event"))
+    moved = F.when(F.col("_event") >= 0, F.col("_event") + F.col("_start").cast("long") * MOVE)
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(moved)).alias("_events"), F.first("_others", ignorenulls=True).alias("_others"))
+    cut = grouped.withColumn("_cuts", merge_fold(size, F.col("_events")))
+
+    def final(e: Column) -> Column:
+        within, ends, _ = _span(e, F.col("_cuts"))
+        return ~_checks(e) & (within == ends)
+
+    mask = F.lit((1 << 18) - 1).cast("long")
+    long = F.transform(F.filter("_events", final), lambda e: _field(e, 32).cast("long") * (1 << 18) + e.bitwiseAND(mask))
+    alone = F.filter(F.sequence(F.lit(0), size - 1), lambda p: F.call_function("shiftright", F.col("_cuts"), p).bitwiseAND(F.lit(3)) == 3)
+    # Ids of single code points by their place in a text of all of them; 0 is no place.
+    ids = F.split(F.lit(",".join(["", *(str(i) for _, i in single)])), ",").try_cast("array<int>")
+    place = lambda p: F.call_function("instr", F.lit("".join(c for c, _ in single)), F.col("word").substr(p + 1, F.lit(1)))
+    single_ids = F.transform(alone, lambda p: p.cast("long") * (1 << 18) + F.get(ids, place(p)))
+    whole = F.transform(F.sort_array(F.concat(long, single_ids)), lambda x: x.bitwiseAND(mask).cast("int"))
+    sound = short & (F.col("_cuts") < F.lit(1 << 62)) & ~F.exists(single_ids, lambda x: x.isNull())
+    return cut.select("word", *[F.col("_others")[c].alias(c) for c in others], F.when(sound, whole).alias("ids"))
 
 
 def viterbi_fold(word: Column, edges: Column, unknown: float = -1e6) -> Column:
@@ -83,16 +187,16 @@ def viterbi_fold(word: Column, edges: Column, unknown: float = -1e6) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), first, step, lambda best: F.element_at(best, -1)["cuts"])
 
 
-def _cuts_by_heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The merge fold of long words with a heap of pairs, whose work is linear up to a logarithm."""
+def _ids_by_heap(first_byte: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The merge fold of other words with a heap of pairs, whose work is linear up to a logarithm: (.., word, edges) to (.., ids)."""
     for batch in batches:
         out = []
-        for word, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            score = {k: v["score"] for k, v in entries or []}
+        for word, entries in zip(batch.column("word").to_pylist(), batch.column("edges").to_pylist(), strict=True):
+            edge = {k: (v["score"], v["id"]) for k, v in entries or []}
             n = len(word)
             after, before, alive = list(range(1, n + 1)), list(range(-1, n)), [True] * (n + 1)
             # Symbol i runs from i to after[i].
-            heap = [(-score[i * WIDE + i + 2], i, i + 1, i + 2) for i in range(n - 1) if i * WIDE + i + 2 in score]
+            heap = [(-edge[i * WIDE + i + 2][0], i, i + 1, i + 2) for i in range(n - 1) if i * WIDE + i + 2 in edge]
             heapq.heapify(heap)
             while heap:
                 _, i, middle, stop = heapq.heappop(heap)
@@ -102,34 +206,42 @@ def _cuts_by_heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 after[i] = stop
                 if stop < n:
                     before[stop] = i
-                    if (key := i * WIDE + after[stop]) in score:
-                        heapq.heappush(heap, (-score[key], i, stop, after[stop]))
-                if before[i] >= 0 and (key := before[i] * WIDE + stop) in score:
-                    heapq.heappush(heap, (-score[key], before[i], i, stop))
-            cuts, at = [0], 0
+                    if (key := i * WIDE + after[stop]) in edge:
+                        heapq.heappush(heap, (-edge[key][0], i, stop, after[stop]))
+                if before[i] >= 0 and (key := before[i] * WIDE + stop) in edge:
+                    heapq.heappush(heap, (-edge[key][0], before[i], i, stop))
+            ids, at = [], 0
             while at < n:
+                if (key := at * WIDE + after[at]) in edge:
+                    ids.append(edge[key][1])
+                else:
+                    ids += [None if first_byte is None else first_byte + b for b in word[at : after[at]].encode()]
                 at = after[at]
-                cuts.append(at)
-            out.append(cuts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["word", "cuts"])
+            out.append(ids)
+        kept = [k for k, c in enumerate(batch.schema.names) if c not in ("edges", "_name")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(out, pa.list_(pa.int32()))], [*(batch.schema.names[k] for k in kept), "ids"])
 
 
 def encode_words(words: DataFrame, pieces: DataFrame, fold: str = "merge") -> DataFrame:
-    """(word, ids) of distinct words; a code point without a piece becomes the pieces of its UTF-8 bytes.
+    """Distinct words (word, other columns) with their ids; a code point without a piece becomes the pieces of its UTF-8 bytes.
 
     ``fold`` is "merge" for vocabularies whose scores rank merges and "viterbi" for those
-    whose scores are log-probabilities.  Words of more than 48 code points with "merge"
-    take the same steps through a heap, as the aggregate's work grows with the square.
+    whose scores are log-probabilities.  With "merge" the order of scores is folded in one
+    pass.  Words of more than 48 code points, with a code point that is no piece, or with a
+    merge out of that order take the steps one by one through a heap.
     """
-    made = words.filter(F.length("word") > 0).join(lattice(words, pieces), "word", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(map() as map<bigint, struct<score:double,id:int>>)")))
+    words = words.filter(F.length("word") > 0)
     first_byte = pieces.filter("byte = 0").first()
-    if fold == "viterbi":
-        cut = made.withColumn("cuts", viterbi_fold(F.col("word"), F.col("edges")))
-    else:
-        short = made.filter(F.length("word") <= NATIVE).withColumn("cuts", merge_fold(F.col("word"), F.col("edges")))
-        long = made.filter(F.length("word") > NATIVE)
-        folded = long.select("word", "edges").mapInArrow(_cuts_by_heap, "word string, cuts array<int>")
-        cut = short.unionByName(long.join(folded, "word"))
+    if fold == "merge":
+        held = materialize(_merged(words, pieces), "folded_words")
+        # Long words go by a digest: an edge must not hold a copy of its word.
+        left = held.filter("ids is null").drop("ids").withColumn("_name", F.sha2("word", 256))
+        made = left.join(growing(lattice(left, pieces, "_name")), "_name", "left")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
+        slow = made.mapInArrow(partial(_ids_by_heap, first_byte.id if first_byte else None), f"{fields}, ids array<int>")
+        return held.filter("ids is not null").unionByName(slow)
+    made = words.join(lattice(words, pieces), "word", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(map() as map<bigint, struct<score:double,id:int>>)")))
+    cut = made.withColumn("cuts", viterbi_fold(F.col("word"), F.col("edges")))
     base = F.lit(first_byte.id if first_byte else None).cast("int")
 
     def ids(i: Column) -> Column:
@@ -139,36 +251,162 @@ def encode_words(words: DataFrame, pieces: DataFrame, fold: str = "merge") -> Da
         known = F.try_element_at("edges", start.cast("long") * WIDE + stop)["id"]
         return F.when(known.isNotNull(), F.array(known)).otherwise(raw)
 
-    return cut.select("word", F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), ids)).alias("ids"))
+    return cut.select(*words.columns, F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), ids)).alias("ids"))
 
 
-def encode(rows: DataFrame, pieces: DataFrame, key: str, text: str = "text", fold: str = "merge") -> DataFrame:
-    """(key, ids) for each row; ``key`` must tell rows apart.
+class Cutter:
+    """Cuts texts between two code points that no piece holds side by side.
 
-    A space before the text and each space are the space mark; words start at runs of it,
-    as no piece has the mark after another character.  A null or empty text has no ids.
-    Each distinct word is encoded once and meets its occurrences by a join on the word,
-    which adaptive execution splits where a word is frequent.
+    No piece lies across such a place, so what stands on either side is encoded by itself.
+    Pairs are looked up by hash: one that is taken for another leaves a cut out, which changes no id.
     """
-    marked = F.concat(F.lit(SPACE), F.replace(F.col(text), F.lit(" "), F.lit(SPACE)))
-    found = F.regexp_extract_all(F.when(F.length(text) > 0, marked), F.lit(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), F.lit(0))
-    seen = materialize(rows.select(key, F.posexplode(found).alias("at", "word")), "word_places")
-    words = encode_words(seen.select("word").distinct(), pieces, fold)
-    coded = materialize(words, "coded_words")
-    each = seen.join(growing(coded), "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-    whole = each.select(key, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    return rows.select(key).join(whole, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-
 
-def decode(rows: DataFrame, pieces: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """(key, text): pieces and bytes put together again, marks to spaces, without the one before the text.
+    def __init__(self, pairs: str):
+        """``pairs``: the pairs of neighbours in all pieces, one after another."""
+        at = np.frombuffer(pairs.replace(SPACE, " ").encode("utf-32-le"), np.uint32)
+        self.near = np.zeros(1 << PAIRS, bool)
+        self.near[self._hash(at[::2], at[1::2])] = True
+
+    @staticmethod
+    def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIRS)
+
+    def words(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(words, bounds): the words of all rows, the space mark as a space, and where each row's words end.
+
+        A text that is not empty has a space before it.
+        """
+        column = pc.fill_null(column.cast(pa.large_binary()), b"")
+        column = pc.if_else(pc.equal(pc.binary_length(column), 0), column, pc.binary_join_element_wise(*(pa.scalar(x, pa.large_binary()) if isinstance(x, bytes) else x for x in (b" ", column, b""))))
+        try:
+            points = self._points(data := texts_of(column))
+        except UnicodeDecodeError:
+            column = pa.array([t.decode(errors="replace").encode() for t in column.to_pylist()], pa.large_binary())
+            points = self._points(data := texts_of(column))
+        raw, rows = data
+        first = np.flatnonzero((raw & 0xC0) != 0x80)
+        starts = np.zeros(len(raw) + 1, bool)
+        starts[first[1:][~self.near[self._hash(points[:-1], points[1:])]]] = True
+        starts[rows] = True
+        places = np.flatnonzero(starts)
+        words = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(raw))
+        return words, np.searchsorted(places, rows)
+
+    @staticmethod
+    def _points(data: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        points = np.frombuffer(data[0].tobytes().decode().encode("utf-32-le"), np.uint32)
+        return np.where(points == ord(SPACE), np.uint32(32), points)
+
+
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column without nulls, from 0."""
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw, bounds - bounds[0]
+
+
+def _blocks(batch: pa.RecordBatch, text: str, most: int = 1 << 21) -> Iterator[tuple[int, int, int]]:
+    """(block, start, stop) of rows of one block with about ``most`` bytes of text."""
+    block = batch.column("_block").to_numpy(zero_copy_only=False)
+    _, bounds = texts(batch.column(text))
+    ends = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block))
+    start = 0
+    for end in ends.tolist():
+        for a, b in runs(bounds[start : end + 1], most):
+            yield int(block[start]), start + a, start + b
+        start = end
+
+
+def _words_of_blocks(pairs: str, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_block, word): the words of each block of rows, few of them twice."""
+    cutter, held, of = Cutter(pairs), [], None
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        if held:
+            words = pc.replace_substring(pc.unique(pa.concat_arrays(held)), " ", SPACE)
+            for at in range(0, len(words), 1 << 16):
+                part = words.slice(at, 1 << 16).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), of, np.int64)), part], ["_block", "word"])
+            held.clear()
 
-    Ids that are no piece of the table decode to nothing.
+    for batch in batches:
+        if not len(batch):
+            continue
+        for block, start, stop in _blocks(batch, text):
+            if block != of or sum(map(len, held)) > HELD:
+                yield from handed()
+            of = block
+            held.append(pc.unique(cutter.words(batch.column(text).slice(start, stop - start))[0]))
+    yield from handed()
+
+
+def _ids_of_rows(pairs: str, text: str, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their ids, from the dictionary of their block."""
+    cutter, of = Cutter(pairs), None
+    source, base = fs.FileSystem.from_uri(folder)
+    for batch in batches:
+        if not len(batch):
+            continue
+        for block, start, stop in _blocks(batch, text):
+            part = batch.slice(start, stop - start)
+            words, rows = cutter.words(part.column(text))
+            if len(words):
+                if block != of:
+                    table = pq.read_table(f"{base}/_block={block}", columns=["word", "ids"], filesystem=source, partitioning=None).combine_chunks()
+                    known = table.column("word").cast(pa.large_string()).combine_chunks()
+                    lists = table.column("ids").combine_chunks()
+                    first, ids, of = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(), block
+                coded = words.dictionary_encode()
+                at = pc.index_in(pc.replace_substring(coded.dictionary, " ", SPACE), known)
+                if at.null_count:
+                    raise ValueError("a word is missing in the dictionary of its block: the rows changed between two readings")
+                at = at.to_numpy()[coded.indices.to_numpy()]
+                sizes = (first[1:] - first[:-1])[at]
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                flat = ids[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+                bounds = ends[rows]
+            else:
+                flat, bounds = np.zeros(0, np.int32), np.zeros(len(part) + 1, np.int64)
+            made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+            kept = [k for k, c in enumerate(part.schema.names) if c != "_block"]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), made], [*(part.schema.names[k] for k in kept), "ids"])
+
+
+def encode(rows: DataFrame, pieces: DataFrame, key: str, text: str = "text", fold: str = "merge", stored: bool = False) -> DataFrame:
+    """``rows`` with their ids; ``key`` is kept as it is and need not tell rows apart.
+
+    A space before the text and each space are the space mark.  A null or empty text has no
+    ids.  Each distinct word is encoded once, and its ids go to the dictionary of every block
+    of rows that holds it.  The rows are read twice: ``stored`` says that they come straight
+    from Parquet files, others are written first.
+    """
+    rows = rows.select(key, *[c for c in rows.columns if c != key])
+    if not stored:
+        rows = materialize(rows, "encoded_rows")
+    held = rows.withColumn("_block", F.xxhash64("_metadata.file_path", F.shiftright("_metadata.row_index", ROWS)))
+    pairs = "".join(sorted({p[i : i + 2] for (p,) in pieces.filter("length(piece) > 1").select("piece").collect() for i in range(len(p) - 1)}))
+    seen = held.select("_block", text).mapInArrow(partial(_words_of_blocks, pairs, text), "_block long, word string")
+    words = encode_words(seen.groupBy("word").agg(F.collect_set("_block").alias("_blocks")), pieces, fold)
+    folder = new_folder(rows.sparkSession, "word_ids")
+    words.select(F.explode("_blocks").alias("_block"), "word", "ids").repartition("_block").write.partitionBy("_block").parquet(folder)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return held.mapInArrow(partial(_ids_of_rows, pairs, text, folder), f"{fields}, ids array<int>")
+
+
+def decoded(ids: Column, pieces: DataFrame) -> Column:
+    """The text of ids: pieces and bytes put together again, marks to spaces, without the one before the text.
+
+    Ids that are no piece of the table decode to nothing.  The table is a fixed file, so it
+    is one constant array, and each id is looked up by its place.
     """
     plain = F.hex(F.encode(F.replace(F.col("piece"), F.lit(SPACE), F.lit(" ")), "UTF-8"))
-    code = pieces.select(F.col("id").alias("_id"), F.coalesce(plain, F.lpad(F.hex("byte"), 2, "0")).alias("code"))
-    each = rows.select(key, F.posexplode(ids).alias("at", "_id")).join(F.broadcast(code), "_id")
-    joined = each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]), "").alias("code"))
-    text = F.decode(F.unhex("code"), "UTF-8")
-    back = joined.select(key, F.when(text.startswith(" "), text.substr(2, 2147483647)).otherwise(text).alias("text"))
-    return rows.select(key).join(back, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    code = dict(pieces.select("id", F.coalesce(plain, F.lpad(F.hex("byte"), 2, "0"))).collect())
+    codes = F.split(F.lit(",".join(code.get(i) or "" for i in range(max(code, default=-1) + 1))), ",")
+    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(codes, i)), "")), "UTF-8")
+    return F.coalesce(F.when(text.startswith(" "), text.substr(2, 2147483647)).otherwise(text), F.lit(""))
+
+
+def decode(rows: DataFrame, pieces: DataFrame, key: str, ids: str = "ids") -> DataFrame:
+    """(key, text) of rows of ids."""
+    return rows.select(key, decoded(F.col(ids), pieces).alias("text"))
