@@ -263,14 +263,24 @@ class Cutter:
 
     def __init__(self, pairs: str):
         """``pairs``: the pairs of neighbours in all pieces, one after another."""
-        at = np.frombuffer(pairs.replace(SPACE, " ").encode("utf-32-le"), np.uint32)
         self.near = np.zeros(1 << PAIRS, bool)
-        self.near[self._hash(at[::2], at[1::2])] = True
+        # A space and the mark are the same, on either side.
+        for first, second in [(a, b) for a in (SPACE, " ") for b in (SPACE, " ")]:
+            at = np.frombuffer((pairs[::2].replace(SPACE, first) + pairs[1::2].replace(SPACE, second)).encode("utf-32-le"), np.uint32)
+            self.near[self._hash(at[: len(at) // 2], at[len(at) // 2 :])] = True
 
     @staticmethod
     def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIRS)
 
+    def _apart(self, points: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+        """Whether a text is cut after each code point but the last; few are hashed at a time."""
+        out = np.empty(max(len(points) - 1, 0), bool)
+        for at in range(0, len(out), most):
+            part = points[at : at + most + 1]
+            np.logical_not(self.near[self._hash(part[:-1], part[1:])], out=out[at : at + most])
+        return out
+
     def words(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(words, bounds): the words of all rows, the space mark as a space, and where each row's words end.
 
@@ -286,7 +296,7 @@ class Cutter:
         raw, rows = data
         first = np.flatnonzero((raw & 0xC0) != 0x80)
         starts = np.zeros(len(raw) + 1, bool)
-        starts[first[1:][~self.near[self._hash(points[:-1], points[1:])]]] = True
+        starts[first[1:][self._apart(points)]] = True
         starts[rows] = True
         places = np.flatnonzero(starts)
         words = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(raw))
@@ -294,8 +304,7 @@ class Cutter:
 
     @staticmethod
     def _points(data: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        points = np.frombuffer(data[0].tobytes().decode().encode("utf-32-le"), np.uint32)
-        return np.where(points == ord(SPACE), np.uint32(32), points)
+        return np.frombuffer(data[0].tobytes().decode().encode("utf-32-le"), np.uint32)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +315,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def _blocks(batch: pa.RecordBatch, text: str, most: int = 1 << 21) -> Iterator[tuple[int, int, int]]:
+def _blocks(batch: pa.RecordBatch, text: str, most: int = 3 << 19) -> Iterator[tuple[int, int, int]]:
     """(block, start, stop) of rows of one block with about ``most`` bytes of text."""
     block = batch.column("_block").to_numpy(zero_copy_only=False)
     _, bounds = texts(batch.column(text))

@@ -64,5 +64,9 @@ def test_cutter_keeps_pairs_and_bytes():
     cutter = sentencepiece.Cutter("▁tthhe")
     words, rows = cutter.words(pa.array(["the▁ the,é", None, "", "x"]))
     assert words.to_pylist() == [" the", "▁", " the", ",", "é", " ", "x"] and list(rows) == [0, 5, 5, 5, 7]
+    words, _ = sentencepiece.Cutter("▁▁").words(pa.array(["▁ ▁  ▁▁"]))
+    assert words.to_pylist() == [" ▁ ▁  ▁▁"]
+    points = np.frombuffer(("the" * 50).encode("utf-32-le"), np.uint32)
+    assert np.array_equal(cutter._apart(points, 7), cutter._apart(points)) and cutter._apart(points).sum() == 49
     words, rows = cutter.words(pa.array([None, "", "h"]).slice(1, 1))
     assert len(words) == 0 and np.array_equal(rows, [0, 0])
