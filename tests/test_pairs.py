@@ -58,3 +58,22 @@ def test_rows_of_one_key_are_one_set(spark, k):
         if (s := len(sets[a] & sets[b]) / len(sets[a])) >= 0.3:
             expected[a, b] = s
     assert got == pytest.approx(expected)
+
+
+def test_crossing_pairs_carry_their_splits(spark):
+    """Ids that occur twice, in one split or in two, without a split, or not at all in the splits."""
+    texts = words(60, 3)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "id int, sequence string")
+    rows = [(i, i % 3 and f"s{i % 3}") for i in range(len(texts) - 5)] + [(i, f"s{i % 2}") for i in range(0, 20, 2)] + [(7, "s1"), (8, None)]
+    splits = spark.createDataFrame([(i, s or None) for i, s in rows], "id int, split string")
+    joined = cl.crossing_pairs(cl.similar_pairs(df, k=3), splits).first()
+    carried = cl.crossing_pairs(cl.similar_pairs(cl.split_labels(df, splits), k=3, carry=["split"]))
+    assert carried.first() == joined and joined.n_crossing > 0
+    assert cl.crossing_pairs(cl.similar_pairs(cl.split_labels(df, splits.limit(0)), k=3, carry=["split"])).first() == (0, 0)
+
+
+def test_pairs_are_not_joined_to_their_splits(spark):
+    from pepspark.plans.catalog import QUERIES
+
+    plan = QUERIES["p7_crossing_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
