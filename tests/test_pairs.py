@@ -77,3 +77,13 @@ def test_pairs_are_not_joined_to_their_splits(spark):
 
     plan = QUERIES["p7_crossing_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_batches_of_the_greedy_rule_share_one_store(spark, monkeypatch):
+    """Sets are written once however many batches there are, and the batches change nothing."""
+    written = []
+    stored = cl._stored
+    monkeypatch.setattr(cl, "_stored", lambda placed: written.append(1) or stored(placed))
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(words(120, 5))], "id int, sequence string")
+    got = [sorted(map(tuple, cl.cluster_by_kmer(df, first=first).collect())) for first in (8, 1000)]
+    assert got[0] == got[1] and len(written) == 2
