@@ -411,33 +411,71 @@ def first_by(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFra
     return chosen.select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 
-def dedup_with_provenance(df: DataFrame, order: Sequence[str] = (), per_part: int = 10000) -> DataFrame:
+#: Shares of the rows, by the first order column, up to which records of a sequence are counted.
+SHARES = [0.25**i for i in range(1, 7)]
+#: Frequent sequences whose later records are dropped before the shuffle, and their longest.
+FREQUENT, FREQUENT_LENGTH = 1 << 17, 256
+
+
+def dedup_with_provenance(df: DataFrame, order: Sequence[str] = (), per_part: int = 10000, spread: DataFrame | None = None) -> DataFrame:
     """One row per sequence: sorted distinct sources, counts, flags and first id.
 
     State per sequence is one entry per source, whatever the number of copies.  With
     ``order`` the row has its records' ids in that order too (``source_ids``, the first
     ``per_part`` of them) and how many such lists there are; the others are in
-    ``provenance_ids``.
+    ``provenance_ids``.  Records of a frequent sequence that come behind its first
+    ``per_part`` are not shuffled if the first order column is a number: records are counted up
+    to some of its quantiles.  ``spread`` may name a smaller table with that column for these; the result does
+    not depend on it.
     """
+    bounds = _bounds(df if spread is None else spread, order[0]) if order else None
     per_source = df.groupBy("sequence", "source_db").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("source_id").alias("first_id"),
         F.bool_or("had_lowercase").alias("had_lowercase"),
         F.bool_or("has_nonstandard_char").alias("has_nonstandard_char"),
     )
-    found = per_source.groupBy("sequence").agg(
+    merged = [
         F.length(F.first("sequence")).alias("sequence_length"),
         F.sort_array(F.collect_list("source_db")).alias("source_dbs"),
-        F.count(F.lit(1)).alias("n_source_dbs"),
+        F.count("n").alias("n_source_dbs"),
         F.min("first_id").alias("first_source_id"),
         F.sum("n").alias("n_records"),
         F.bool_or("had_lowercase").alias("had_lowercase"),
         F.bool_or("has_nonstandard_char").alias("has_nonstandard_char"),
-    )
+    ]
     if not order:
-        return found
-    first = provenance_ids(df, per_part, order).filter("part = 0").select("sequence", "source_ids")
-    return join_same(found, first, ["sequence"], "left").withColumn("n_id_parts", F.ceil(F.col("n_records") / F.lit(per_part)).cast("int"))
+        return per_source.groupBy("sequence").agg(*merged)
+    parts = F.ceil(F.col("n_records") / F.lit(per_part)).cast("int").alias("n_id_parts")
+    if bounds is None:
+        first = provenance_ids(df, per_part, order).filter("part = 0").select("sequence", "source_ids")
+        return join_same(per_source.groupBy("sequence").agg(*merged), first, ["sequence"], "left").select("*", parts)
+    # The lowest bound up to which there are enough records; those of NULL order come before all.
+    upto = {f"_upto{i}": F.count_if(F.col(order[0]) <= F.lit(v)) for i, v in enumerate(bounds)}
+    sums = df.groupBy("sequence").agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in upto.items()])
+    last = F.coalesce(*[F.when(F.col(n) >= per_part, F.lit(v)) for n, v in reversed([*zip(upto, bounds, strict=True)])])
+    frequent = sums.select(F.col("sequence").alias("_frequent"), "_n", last.alias("_last")).filter(
+        (F.col("_n") > 2 * per_part) & F.col("_last").isNotNull() & (F.length("_frequent") <= FREQUENT_LENGTH)
+    )
+    frequent = frequent.orderBy(F.desc("_n"), "_frequent").limit(FREQUENT).drop("_n")
+    entry = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col("source_id"))
+    kept = (
+        df.select("sequence", F.col(order[0]).alias("_at"), entry.alias("_entry"))
+        .join(F.broadcast(frequent), F.col("sequence") == F.col("_frequent"), "left")
+        .filter("_last is null or _at is null or _at <= _last")
+        .select("sequence", "_entry")
+    )
+    # Sources and records come to a sequence in one shuffle.
+    both = per_source.unionByName(kept, allowMissingColumns=True).repartition("sequence")
+    found = both.groupBy("sequence").agg(*merged, F.slice(F.sort_array(F.collect_list("_entry")), 1, per_part).alias("_ids"))
+    return found.select(*[c for c in found.columns if c != "_ids"], F.col("_ids.source_id").alias("source_ids"), parts)
+
+
+def _bounds(df: DataFrame, column: str) -> list | None:
+    """Values of a number column at SHARES of its rows, about; None if it is none or has no value."""
+    if not isinstance(df.schema[column].dataType, T.NumericType):
+        return None
+    return df.agg(F.percentile_approx(column, SHARES, 10000).alias("q")).first().q or None
 
 
 def provenance_ids(df: DataFrame, per_part: int = 10000, order: Sequence[str] = ()) -> DataFrame:

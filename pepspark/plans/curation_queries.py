@@ -507,7 +507,7 @@ def provenance(spark, path):
         string_agg(source_id, ';' order by k) filter (where k <= 100) as source_ids from r group by 1""",
 )
 def _(spark, path):
-    deduped = cu.dedup_with_provenance(normalized(spark, path), order=["doc_id", "pos"], per_part=100)
+    deduped = cu.dedup_with_provenance(normalized(spark, path), order=["doc_id", "pos"], per_part=100, spread=views.table(spark, path, "documents").select("doc_id"))
     return deduped.select("sequence", "n_records", "n_id_parts", F.array_join("source_ids", ";").alias("source_ids"))
 
 
