@@ -87,3 +87,26 @@ def test_batches_of_the_greedy_rule_share_one_store(spark, monkeypatch):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(words(120, 5))], "id int, sequence string")
     got = [sorted(map(tuple, cl.cluster_by_kmer(df, first=first).collect())) for first in (8, 1000)]
     assert got[0] == got[1] and len(written) == 2
+
+
+@pytest.mark.parametrize("size, rounds, few", [(1 << 17, (1.0,), 1 << 20), (120, (0.0, 0.2, 0.6, 1.0), 0)])
+def test_links_are_forests_that_connect_the_same_rows(spark, monkeypatch, size, rounds, few):
+    monkeypatch.setattr(cl.numbered_blocks, "__defaults__", (size,))
+    monkeypatch.setattr(cl, "ROUNDS", rounds)
+    monkeypatch.setattr(cl, "FEW_BLOCKS", few)
+    rng = random.Random(8)
+    roots = ["".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=30)) for _ in range(9)]
+    texts = sorted({rng.choice(roots)[rng.randrange(18) :][: rng.randrange(5, 16)] for _ in range(150)} | {"YYYY", "A"})
+    root = list(range(len(texts)))
+    sets, pairs = [kset(t, 3) for t in texts], 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and len(x & y) >= 0.5 * min(len(x), len(y)):
+                pairs += 1
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, sequence string")
+    got = {r.id: r.cluster_id for r in cl.cluster_by_kmer(df, mode="components").collect()}
+    assert got == dict(enumerate(root)) and 5 < len(set(root)) < len(texts)
+    links = cl._links(df.select("id"), cl.kmer_sets(df, "id", "sequence", 3, 0.5))
+    assert links.count() < (pairs if few == 0 else len(texts)) and links.filter("id_a >= id_b").isEmpty()
